@@ -188,6 +188,29 @@ def _blocks() -> dict[str, tuple[str, list[str]]]:
                         ["features", "master"])
     b["tiers"] = ("SELECT * FROM (VALUES " + ", ".join(f"('{t}', {i})" for i, t in enumerate(TIER_LABELS))
                   + ") AS t(tier, tier_order)", [])
+    b["app_c0"] = ("""SELECT SK_ID_CURR, TARGET, AMT_INCOME_TOTAL, AMT_CREDIT, AMT_ANNUITY,
+   CASE WHEN upper(trim(FLAG_OWN_CAR)) IN ('Y', '1') THEN 1 ELSE 0 END AS FLAG_OWN_CAR,
+   CASE WHEN upper(trim(FLAG_OWN_REALTY)) IN ('Y', '1') THEN 1 ELSE 0 END AS FLAG_OWN_REALTY,
+   CASE WHEN FLAG_DOCUMENT_3 IS NULL THEN NULL ELSE least(greatest(FLAG_DOCUMENT_3, 0), 1) END AS FLAG_DOCUMENT_3,
+   CNT_CHILDREN, CNT_FAM_MEMBERS, NAME_HOUSING_TYPE, NAME_EDUCATION_TYPE, SPARSE_COL,
+   abs(CASE WHEN DAYS_EMPLOYED >= 365243 THEN NULL ELSE DAYS_EMPLOYED END) / 365.25::DOUBLE AS YEARS_EMPLOYED,
+   CASE WHEN DAYS_EMPLOYED >= 365243 THEN 1 ELSE 0 END AS IS_UNEMPLOYED,
+   abs(DAYS_BIRTH) / 365.25::DOUBLE AS AGE_YEARS,
+   CASE WHEN abs(DAYS_BIRTH) / 365.25::DOUBLE < 35 THEN 1 ELSE 0 END AS IS_YOUNG,
+   CASE WHEN CODE_GENDER = 'F' THEN 1 ELSE 0 END AS IS_FEMALE FROM application""", ["application"])
+    def _mode(c):
+        return (f"(SELECT v FROM (SELECT {c} AS v, count(*) AS k FROM app_c0 WHERE {c} IS NOT NULL GROUP BY {c}) "
+                f"ORDER BY k DESC, v ASC LIMIT 1)")
+    def _med(c, t):
+        return f"coalesce({c}, CAST((SELECT median({c}) FROM app_c0) AS {t}))"
+    b["app_clean"] = (f"""SELECT SK_ID_CURR, TARGET, {_med('AMT_INCOME_TOTAL', 'DOUBLE')} AS AMT_INCOME_TOTAL,
+   {_med('AMT_CREDIT', 'DOUBLE')} AS AMT_CREDIT, {_med('AMT_ANNUITY', 'DOUBLE')} AS AMT_ANNUITY,
+   FLAG_OWN_CAR, FLAG_OWN_REALTY, FLAG_DOCUMENT_3, {_med('CNT_CHILDREN', 'INTEGER')} AS CNT_CHILDREN,
+   {_med('CNT_FAM_MEMBERS', 'DOUBLE')} AS CNT_FAM_MEMBERS,
+   coalesce(NAME_HOUSING_TYPE, {_mode('NAME_HOUSING_TYPE')}, 'MISSING') AS NAME_HOUSING_TYPE,
+   coalesce(NAME_EDUCATION_TYPE, {_mode('NAME_EDUCATION_TYPE')}, 'MISSING') AS NAME_EDUCATION_TYPE,
+   {_med('YEARS_EMPLOYED', 'DOUBLE')} AS YEARS_EMPLOYED, IS_UNEMPLOYED, AGE_YEARS, IS_YOUNG, IS_FEMALE
+  FROM app_c0""", ["app_c0"])
     return b
 
 
@@ -237,3 +260,18 @@ def with_ctes(body: str, *needs: str) -> str:
 def rounded_select(cols: dict[str, str]) -> str:
     """Select list with the tie-safe rounding on DOUBLE columns."""
     return ", ".join(f"{r4(c)} AS {c}" if t == "DOUBLE" else c for c, t in cols.items())
+
+
+def segment_label_sql(young="IS_YOUNG", owns="owns_realty") -> str:
+    return (f"CASE WHEN {young} = 1 AND {owns} = 0 THEN 'Young Renter' "
+            f"WHEN {young} = 0 AND {owns} = 1 THEN 'Mature Homeowner' "
+            f"WHEN {young} = 1 AND {owns} = 1 THEN 'Young Homeowner' ELSE 'Mature Renter' END")
+
+
+def income_band_sql(x="income_total") -> str:
+    return (f"CASE WHEN {x} < 50000 THEN 'Low (<50K)' WHEN {x} < 100000 THEN 'Medium (50K-100K)' "
+            f"WHEN {x} < 200000 THEN 'High (100K-200K)' ELSE 'Very High (>200K)' END")
+
+
+def income_band_index_sql(x="income_total") -> str:
+    return f"CASE WHEN {x} < 50000 THEN 0 WHEN {x} < 100000 THEN 1 WHEN {x} < 200000 THEN 2 ELSE 3 END"

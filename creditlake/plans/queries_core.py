@@ -198,7 +198,7 @@ CLEAN_TYPES = {"SK_ID_CURR": "BIGINT", "TARGET": "INTEGER", "AMT_INCOME_TOTAL":
                "IS_YOUNG": "INTEGER", "IS_FEMALE": "INTEGER"}
 
 
-@register("c8_clean_application", None)
+@register("c8_clean_application", with_ctes(f"SELECT {rounded_select(CLEAN_TYPES)} FROM app_clean", "app_clean"))
 def q_clean(spark, sf):
     """Full application cleaning (recodes, flags, >80 % drop, median/mode fill)."""
     return clean_application(role(spark, sf, "application"), exact=exact_quantiles(spark))

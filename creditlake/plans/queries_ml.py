@@ -1 +1,207 @@
-"""Registered queries."""
+"""Registered queries: model preparation (SQL-checked) and MLlib training,
+segmentation, attribution (rows-only: learners differ from any SQL oracle)."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..config import DROP_FOR_MODELING, KEY, RAW_FEATURES, TARGET
+from ..operators import marts as MT
+from ..operators import models as MD
+from ..operators import segments as SG
+from ..operators.cleaning import exact_quantiles
+from ..session import cut_lineage
+from ..sources.roles import role
+from . import master as M
+from .oracle import FEATURE_TYPES, r4, with_ctes
+from .queries_core import MASTER_TYPES
+from .registry import register
+
+MODEL_COLS = [c for c in list(FEATURE_TYPES) + RAW_FEATURES
+              if c not in set(DROP_FOR_MODELING) | {KEY, TARGET}]
+BUCKET = "((SK_ID_CURR % 1000003) * 2654435761 % 4294967296) % 100"
+
+
+def _prepared_cte() -> str:
+    cols = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in MODEL_COLS)
+    meds = ", ".join(f"median({c}) AS {c}__med" for c in MODEL_COLS)
+    fill = ", ".join(f"coalesce(b.{c}, m.{c}__med) AS {c}" for c in MODEL_COLS)
+    return f"""
+, mb AS (SELECT SK_ID_CURR, CAST(TARGET AS INTEGER) AS TARGET, {BUCKET} < 80 AS is_train, {cols} FROM model_input),
+prepared AS (SELECT b.SK_ID_CURR, b.TARGET, b.is_train, {fill} FROM mb b, (SELECT {meds} FROM mb WHERE is_train) m)"""
+
+
+def _ml_sql(body: str) -> str:
+    return with_ctes(_prepared_cte() + "\n" + body, "model_input")
+
+
+def prepared(spark, sf):
+    return MD.prepare_model_data(M.model_table(spark, sf), exact_quantiles(spark))
+
+
+@register("m12_prepare_model_data", _ml_sql(
+    "SELECT SK_ID_CURR, TARGET, is_train, " + ", ".join(f"{r4(c)} AS {c}" for c in MODEL_COLS) + " FROM prepared"))
+def q_m12(spark, sf):
+    """48 model features, ±inf → null, train-only median fill."""
+    return prepared(spark, sf)[0]
+
+
+@register("m13_variance_screen", _ml_sql("\nUNION ALL ".join(
+    f"SELECT '{c}' AS feature, {r4(f'var_pop({c})')} AS variance, coalesce(var_pop({c}) > 0.001, false) AS kept FROM prepared"
+    for c in MODEL_COLS)))
+def q_m13(spark, sf):
+    """Population-variance screen (> 0.001)."""
+    df, cols = prepared(spark, sf)
+    return MD.variance_screen(df, cols)
+
+
+@register("m14_split_counts", _ml_sql("SELECT is_train, TARGET, count(*) AS n FROM prepared GROUP BY 1, 2"))
+def q_m14(spark, sf):
+    """Deterministic hash split, rows per (split, stratum)."""
+    return MD.split_counts(prepared(spark, sf)[0])
+
+
+@register("m15_class_weights", _ml_sql(f"""
+, g AS (SELECT TARGET, count(*) AS n_class FROM prepared WHERE is_train GROUP BY 1),
+t AS (SELECT sum(n_class) AS n_total, sum(CASE WHEN TARGET = 0 THEN n_class END) AS neg,
+   sum(CASE WHEN TARGET = 1 THEN n_class END) AS pos FROM g)
+SELECT TARGET, n_class, {r4('n_total / (2.0 * n_class)')} AS weight, {r4('round(CAST(neg AS DOUBLE) / pos)')} AS scale_pos_weight
+FROM g, t"""))
+def q_m15(spark, sf):
+    """Balanced class weights and the positive-class scale."""
+    return MD.class_weights(prepared(spark, sf)[0])
+
+
+@register("m9_cluster_input", None)
+def q_m9(spark, sf):
+    """Young-cohort clustering matrix (median fill, log1p, standardize)."""
+    prep = SG.cluster_input(M.feature_input(M.master_table(spark, sf)), exact_quantiles(spark))
+    return prep.select(KEY, F.col("features").cast("string").alias("features"))
+
+
+@register("m10_kmeans_elbow", None)
+def q_m10(spark, sf):
+    """K-means inertia for k = 1..6 (best of 3 seeded runs per k)."""
+    prep = SG.cluster_input(M.feature_input(M.master_table(spark, sf)), exact_quantiles(spark))
+    return SG.elbow(prep, restarts=3)
+
+
+def _segments(spark, sf):
+    k = (id(spark.sparkContext), sf, exact_quantiles(spark))
+    if k not in _SEGMENTS:
+        prep = SG.cluster_input(M.feature_input(M.master_table(spark, sf)), exact_quantiles(spark))
+        _SEGMENTS[k] = cut_lineage(SG.assign_segments(prep, k=3, restarts=3))
+    return _SEGMENTS[k]
+
+
+@register("m11_segments", None)
+def q_m11(spark, sf):
+    """Young customers with their K-means segment (named by income order)."""
+    return _segments(spark, sf).select(KEY, "cluster", "segment_name")
+
+
+@register("a11_segment_profile", None)
+def q_a11(spark, sf):
+    """Segment profile with share and rule-based insight."""
+    return SG.segment_profile(_segments(spark, sf))
+
+
+@register("w4_segment_radar", None)
+def q_w4s(spark, sf):
+    """Segment profile normalized by column maximum."""
+    prof = SG.segment_profile(_segments(spark, sf))
+    return MT.radar_normalized(prof, ["avg_income", "avg_credit", "on_time_ratio", "dpd_zero", "approved_ratio"])
+
+
+@register("o1_dim_customer_with_segment", None)
+def q_o1s(spark, sf):
+    """O1 + J3: customer dimension with the young-cohort segment attached."""
+    segs = _segments(spark, sf).select(KEY, F.col("segment_name").alias("cluster_name"))
+    return MT.customer_dim(M.scored_table(spark, sf), segs)
+
+
+_FITTED: dict = {}
+
+
+def _scores(spark, sf, kind, iters=None):
+    """Fit once per session, input folder and learner; later queries reuse the fit."""
+    k = (id(spark.sparkContext), sf, kind, iters, exact_quantiles(spark))
+    if k not in _FITTED:
+        model, pred, feats = MD.train_and_score(M.model_table(spark, sf), kind, iters, exact_quantiles(spark))
+        _FITTED[k] = (model, cut_lineage(pred), feats)
+    return _FITTED[k]
+
+
+_SEGMENTS: dict = {}
+
+
+@register("m16_logistic_regression", None)
+def q_m16(spark, sf):
+    """Class-balanced logistic regression; test-set probabilities."""
+    _, pred, _ = _scores(spark, sf, "lr", 100)
+    return pred.select(KEY, TARGET, "score")
+
+
+@register("m17_gbt_a", None)
+def q_m17(spark, sf):
+    """Gradient-boosted trees A; test-set probabilities."""
+    _, pred, _ = _scores(spark, sf, "gbt_a", 40)
+    return pred.select(KEY, TARGET, "score")
+
+
+@register("m18_gbt_b_early_stopping", None)
+def q_m18(spark, sf):
+    """Gradient-boosted trees B with early stopping on a training fold."""
+    _, pred, _ = _scores(spark, sf, "gbt_b", 60)
+    return pred.select(KEY, TARGET, "score")
+
+
+@register("m25_model_comparison", None)
+def q_m25(spark, sf):
+    """Models ranked by test AUC."""
+    res = {name: _scores(spark, sf, kind, it)[1] for name, kind, it in
+           (("LogisticRegression", "lr", 100), ("GBT-A", "gbt_a", 40), ("GBT-B", "gbt_b", 60))}
+    return MD.model_comparison(res)
+
+
+@register("m26_linear_attributions", None)
+def q_m26(spark, sf):
+    """Exact per-row attributions of the linear model on the test rows."""
+    model, pred, feats = _scores(spark, sf, "lr", 100)
+    return MD.linear_attributions(model, pred, feats)
+
+
+ACTIONS = [
+    # FIXED VALUES: feature → (dimension, product action)
+    ("inst_late_ratio", "Savings Consistency", "You have not missed a payment in 3 months +8 points"),
+    ("debt_to_income", "Debt Burden", "Pay down your card to unlock the next tier"),
+    ("years_employed", "Income Stability", "One year in your current role - your profile just got stronger"),
+    ("prev_refused_ratio", "Behavioral", "Let us review what went wrong last time"),
+    ("prev_app_annuity_mean", "Debt Burden", "Lower monthly commitments = higher Readiness Score"),
+    ("bureau_days_since_latest", "Behavioral", "No new credit inquiries - that is good for your score"),
+    ("prev_app_days_mean", "Behavioral", "You are getting closer - keep going!"),
+    ("pos_month_count", "Spending Discipline", "Let us review your spending patterns this month"),
+]
+
+
+@register("m27_m28_importance_actions", None)
+def q_m27(spark, sf):
+    """Top-10 features by mean |attribution| mapped to product actions."""
+    model, pred, feats = _scores(spark, sf, "lr", 100)
+    imp = MD.importance(MD.linear_attributions(model, pred, feats), feats, 10)
+    actions = spark.createDataFrame(ACTIONS, "feature string, dimension string, action string")
+    return MT.feature_actions(imp, actions)
+
+
+@register("m30_cross_validation", None)
+def q_m30(spark, sf):
+    """3-fold cross-validated L2 grid for the logistic model."""
+    return MD.cross_validated_lr(M.model_table(spark, sf), folds=3, exact=exact_quantiles(spark))
+
+
+@register("m31_approval_model", None)
+def q_m31(spark, sf):
+    """Approved-vs-refused model on previous applications (test AUC)."""
+    data = MD.approval_model_data(role(spark, sf, "previous_application"), M.features_table(spark, sf))
+    _, pred, _ = MD.train_and_score(data, "lr", 100, exact_quantiles(spark))
+    from ..operators.metrics import auc_roc_pr
+    return auc_roc_pr(pred, TARGET, "score")
