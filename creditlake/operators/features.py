@@ -203,13 +203,17 @@ def build_all_features(master: DataFrame, exact: bool = True, materialize: bool
     session's checkpoint dir) so the two passes — medians, then fill — read it
     instead of recomputing the five child aggregates and the join chain."""
     pre = build_features_unfilled(master, exact)
-    if materialize:
-        from ..session import cut_lineage
-        pre = cut_lineage(pre)
     cols = [f for f in pre.schema.fields if f.name not in (KEY, TARGET)]
     pre = pre.withColumns({f.name: clean_num(f.name) for f in cols
                            if f.dataType.typeName() in ("double", "float")})
     med = pre.agg(*[quantile_expr(f.name, 0.5, exact).alias(f"{f.name}__med") for f in cols])
+    if materialize:
+        from ..session import cut_lineage
+        pre = cut_lineage(pre)
+        # one row of medians (one scalar per feature, bounded by the column count)
+        row = pre.agg(*[quantile_expr(f.name, 0.5, exact).alias(f"{f.name}__med") for f in cols]).first()
+        filled = {f.name: F.coalesce(F.col(f.name), F.lit(row[f"{f.name}__med"]).cast(f.dataType)) for f in cols}
+        return pre.withColumns(filled)
     joined = pre.crossJoin(F.broadcast(med))
     filled = {f.name: F.coalesce(F.col(f.name), F.col(f"{f.name}__med").cast(f.dataType)) for f in cols}
     return joined.withColumns(filled).select(*pre.columns)

@@ -17,19 +17,24 @@ from ..functions.special import f_pvalue, t_pvalue
 
 def _group_moments(df: DataFrame, group_col: str, cols: list[str]) -> DataFrame:
     """Long frame (column_name, n1, m1, v1, n0, m0, v0): group value 1 vs 0,
-    nulls dropped per column (as ``Series.dropna``)."""
+    nulls dropped per column (as ``Series.dropna``). One group-by on the (binary)
+    group column computes n/mean/variance of every column with map-side partial
+    aggregation; the two result rows are reshaped into one row per column."""
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        for g in (1, 0):
-            xg = F.when(F.col(group_col) == g, x)
-            aggs += [F.count(xg).alias(f"n{g}_{i}"), F.avg(xg).alias(f"m{g}_{i}"),
-                     F.var_samp(xg).alias(f"v{g}_{i}")]
-    wide = df.agg(*aggs)
-    rows = [F.struct(F.lit(c).alias("column_name"),
-                     *[F.col(f"{s}{g}_{i}").alias(f"{s}{g}") for g in (1, 0) for s in ("n", "m", "v")])
-            for i, c in enumerate(cols)]
-    return wide.select(F.inline(F.array(*rows)))
+        aggs += [F.count(x).alias(f"n_{i}"), F.avg(x).alias(f"m_{i}"), F.var_samp(x).alias(f"v_{i}")]
+    wide = df.where(F.col(group_col).isin(0, 1)).groupBy(F.col(group_col).alias("__g")).agg(*aggs)
+    rows = [F.struct(F.lit(c).alias("column_name"), F.col(f"n_{i}").alias("n"), F.col(f"m_{i}").alias("m"),
+                     F.col(f"v_{i}").alias("v")) for i, c in enumerate(cols)]
+    long = wide.select("__g", F.inline(F.array(*rows)))
+    g1 = long.where(F.col("__g") == 1).select("column_name", F.col("n").alias("n1"), F.col("m").alias("m1"),
+                                               F.col("v").alias("v1"))
+    g0 = long.where(F.col("__g") == 0).select("column_name", F.col("n").alias("n0"), F.col("m").alias("m0"),
+                                               F.col("v").alias("v0"))
+    return g1.join(g0, "column_name", "full").select(
+        "column_name", F.coalesce("n1", F.lit(0)).alias("n1"), "m1", "v1",
+        F.coalesce("n0", F.lit(0)).alias("n0"), "m0", "v0")
 
 
 def _welch(m: DataFrame) -> DataFrame:

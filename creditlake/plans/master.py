@@ -58,14 +58,15 @@ def master_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MATERIALIZED: dict[tuple, DataFrame] = {}
 
 
-def materialized(spark: SparkSession, key: tuple, build) -> DataFrame:
+def materialized(spark: SparkSession, key: tuple, build, checkpoint: bool = True) -> DataFrame:
     """S8 materialize-or-reuse: build once per session and input folder, cut the
     lineage with a reliable checkpoint in the cluster's ``spark.checkpoint.dir``
     (survives executor loss; never a local checkpoint), reuse afterwards."""
     k = (id(spark.sparkContext), spark.conf.get("creditlake.quantiles.exact", "true")) + key
     df = _MATERIALIZED.get(k)
     if df is None:
-        df = cut_lineage(build(), spark)
+        df = build()
+        df = cut_lineage(df, spark) if checkpoint else df
         _MATERIALIZED[k] = df
     return df
 
@@ -76,7 +77,7 @@ def features_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact = exact_quantiles(spark)
     return materialized(spark, ("features", sf_dir),
                         lambda: build_all_features(feature_input(master_table(spark, sf_dir)), exact,
-                                                   materialize=True))
+                                                   materialize=True), checkpoint=False)
 
 
 def scored_table(spark: SparkSession, sf_dir: str) -> DataFrame:

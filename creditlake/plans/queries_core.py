@@ -263,3 +263,47 @@ def q_recodes(spark, sf):
     """C3 + C4: sentinel recode, years employed, age, young flag."""
     app = role(spark, sf, "application").select(KEY, "DAYS_EMPLOYED", "DAYS_BIRTH")
     return recode_days_birth(recode_days_employed(app)).drop("DAYS_BIRTH")
+
+
+# ------------------------------------------------------------------ S: file sources and sinks
+from ..sources import io as IO  # noqa: E402
+
+_SPARK_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string"}
+APP_DDL = ", ".join(f"{c} {_SPARK_TYPES[t]}" for c, t in APP_TYPES.items())
+MARKETING_DDL = "age int, income_band int, balance double"
+
+
+def _tag(sf: str) -> str:
+    import hashlib
+    return hashlib.sha1(sf.encode()).hexdigest()[:10]
+
+
+@register("s1_csv_scan", with_ctes(f"SELECT {rounded_select(APP_TYPES)} FROM application", "application"))
+def q_s1(spark, sf):
+    """Application written as CSV (derived from the data), scanned back with a
+    declared schema (no inference job)."""
+    path = IO.write_csv(role(spark, sf, "application"), IO.shared_path(spark, f"application_csv_{_tag(sf)}"))
+    return IO.read_csv(spark, path, APP_DDL)
+
+
+@register("s3_semicolon_csv", with_ctes(
+    "SELECT age, income_band, round(balance + 3e-7, 4) AS balance FROM bank_marketing", "bank_marketing"))
+def q_s3(spark, sf):
+    """S3: ';'-separated survey file; an absent file yields an empty frame."""
+    path = IO.write_csv(role(spark, sf, "bank_marketing"), IO.shared_path(spark, f"marketing_{_tag(sf)}"), sep=";")
+    missing = IO.read_csv_or_empty(spark, path + "_absent", MARKETING_DDL)
+    return IO.read_csv_or_empty(spark, path, MARKETING_DDL).unionByName(missing)
+
+
+@register("s4_schema_only", with_ctes(f"SELECT {rounded_select(APP_TYPES)} FROM application LIMIT 0", "application"))
+def q_s4(spark, sf):
+    """Schema-only scan (zero rows)."""
+    path = IO.write_csv(role(spark, sf, "application"), IO.shared_path(spark, f"application_csv4_{_tag(sf)}"))
+    return IO.schema_only(spark, path, APP_DDL)
+
+
+@register("s8_materialized_master", with_ctes(f"SELECT {rounded_select(MASTER_TYPES)} FROM master", "master"))
+def q_s8(spark, sf):
+    """S6 + S8: master written once as parquet in the shared folder, reused after."""
+    return IO.materialize_or_reuse(spark, IO.shared_path(spark, f"master_{_tag(sf)}"),
+                                   lambda: M.master_table(spark, sf))

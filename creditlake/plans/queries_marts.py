@@ -263,3 +263,17 @@ def q_declared(spark, sf):
     """D list + W5 + W6: declared-only features built as per-customer aggregates."""
     roles = M.load(spark, sf)
     return X.declared_features(roles)
+
+
+@register("s7_csv_sink_customer_dim", with_ctes(f"""
+SELECT SK_ID_CURR, {r4('AGE_YEARS')} AS AGE_YEARS, IS_YOUNG, {r4('income_total')} AS income_total, owns_car, owns_realty,
+ {r4('years_employed')} AS years_employed, {r4('income_bracket')} AS income_bracket,
+ {r4('composite_score')} AS composite_score, tier, {segment_label_sql()} AS segment_label,
+ {income_band_sql()} AS income_band FROM scored""", "scored"))
+def q_s7(spark, sf):
+    """Customer dimension exported as CSV for the BI tool and read back."""
+    from ..sources import io as IO
+    import hashlib
+    dim = MT.customer_dim(scored(spark, sf))
+    path = IO.write_csv(dim, IO.shared_path(spark, "dim_customer_" + hashlib.sha1(sf.encode()).hexdigest()[:10]))
+    return IO.read_csv(spark, path, dim.schema)

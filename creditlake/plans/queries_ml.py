@@ -205,3 +205,24 @@ def q_m31(spark, sf):
     _, pred, _ = MD.train_and_score(data, "lr", 100, exact_quantiles(spark))
     from ..operators.metrics import auc_roc_pr
     return auc_roc_pr(pred, TARGET, "score")
+
+
+@register("s10_metrics_report_sink", None)
+def q_s10(spark, sf):
+    """Model comparison written as a JSON metrics report and read back."""
+    from ..sources import io as IO
+    res = {name: _scores(spark, sf, kind, it)[1] for name, kind, it in (("LogisticRegression", "lr", 100),)}
+    path = IO.write_metrics(MD.model_comparison(res), IO.shared_path(spark, "metrics_report"))
+    return spark.read.schema("model string, auc_roc double, auc_pr double").json(path)
+
+
+@register("s11_model_sink", None)
+def q_s11(spark, sf):
+    """Fitted pipeline saved with the MLlib writer, loaded back and re-scored."""
+    from pyspark.ml import PipelineModel
+    from ..sources import io as IO
+    model, pred, _ = _scores(spark, sf, "lr", 100)
+    path = IO.save_model(model, IO.shared_path(spark, "model_lr"))
+    again = PipelineModel.load(path).transform(pred.select(*[c for c in pred.columns if c not in (
+        "raw_features", "features", "rawPrediction", "probability", "prediction", "score")]))
+    return MD.positive_probability(again).select(KEY, TARGET, "score")

@@ -1,0 +1,8 @@
+"""Streaming.
+
+The analysis being reproduced is a batch pipeline with no stream source, watermark,
+window or state (real-time pipelines are declared out of its scope), so this
+package holds no operators. Every batch operator here is a pure DataFrame
+transformation and can be applied inside ``foreachBatch`` of a Structured
+Streaming query unchanged if incremental refresh is ever needed.
+"""
