@@ -99,3 +99,30 @@ def sample_skew(m_skew, n) -> Column:
     """Spark's ``skewness`` is the population g1; pandas reports bias-corrected G1."""
     n = _c(n).cast("double")
     return F.when(n >= 3, _c(m_skew) * F.sqrt(n * (n - 1)) / (n - 2))
+
+
+def with_scalars(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """Attach the single row of an aggregate-only frame (medians, quartiles, totals)
+    to every row of ``df`` as a scalar subquery: Spark evaluates it once and
+    inlines the values into each task — no join operator, no row pairing."""
+    s = stats.select(F.struct(*[F.col(f"`{c}`") for c in stats.columns]).alias("__s")).scalar()
+    return (df.withColumn("__stats", s)
+              .withColumns({c: F.col("__stats").getField(c) for c in stats.columns})
+              .drop("__stats"))
+
+
+def literal_rows(rows: list[tuple], schema: list[tuple[str, str]]) -> Column:
+    """A literal array of structs (a small, config-bounded parameter grid) to be
+    exploded next to the data rows instead of joined."""
+    return F.array(*[F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(r, schema)]) for r in rows])
+
+
+def select_available(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The wanted columns that exist, in the wanted order."""
+    have = set(df.columns)
+    return df.select(*[c for c in cols if c in have])
+
+
+def columns_by_keywords(df: DataFrame, keywords: list[str]) -> list[str]:
+    """Columns whose upper-cased name contains any keyword."""
+    return [c for c in df.columns if any(k.upper() in c.upper() for k in keywords)]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DAYS_PER_YEAR, IQR_FACTOR, KEY, MISSING_DROP_SHARE, TARGET, UNEMPLOYED_SENTINEL, YOUNG_AGE_MAX
-from ..functions.exprs import clean_num, clip_, flag_yn
+from ..functions.exprs import clean_num, clip_, flag_yn, with_scalars
 from .quality import numeric_columns, string_columns
 
 
@@ -84,24 +84,6 @@ def handle_missing_values(df: DataFrame, protect=(KEY, TARGET), exact: bool = Tr
     return df.drop(*drop).withColumns(fills) if fills else df.drop(*drop)
 
 
-def handle_missing_values_lazy(df: DataFrame, protect=(KEY, TARGET), exact: bool = True) -> DataFrame:
-    """C5 without any driver round trip: the fill values come from a cross join
-    with the one-row statistics frame. Column dropping is data dependent and is
-    expressed by nulling nothing — the >80 % columns are reported by
-    :func:`high_missing_columns` instead."""
-    cols = [c for c in df.columns if c not in protect]
-    stats = missing_stats(df, cols, exact)
-    num = set(numeric_columns(df))
-    joined = df.crossJoin(F.broadcast(stats))
-    fills = {}
-    for c in cols:
-        if c in num:
-            fills[c] = F.coalesce(F.col(c), F.col(f"{c}__med").cast(df.schema[c].dataType))
-        else:
-            fills[c] = F.coalesce(F.col(c), F.col(f"{c}__mode"), F.lit("MISSING"))
-    return joined.withColumns(fills).select(*df.columns)
-
-
 def clean_application(df: DataFrame, impute: bool = True, exact: bool = True) -> DataFrame:
     """Recodes, gender flag, document flags in [0,1], Y/N flags, inf → null, C5."""
     out = recode_days_birth(recode_days_employed(df)).drop("DAYS_EMPLOYED", "DAYS_BIRTH")
@@ -125,7 +107,7 @@ def remove_outliers_iqr(df: DataFrame, cols: list[str], factor: float = IQR_FACT
         return df
     q = df.agg(*[e for c in cols for e in (quantile_expr(c, 0.25, exact).alias(f"{c}__q1"),
                                             quantile_expr(c, 0.75, exact).alias(f"{c}__q3"))])
-    joined = df.crossJoin(F.broadcast(q))
+    joined = with_scalars(df, q)
     out = {}
     for c in cols:
         iqr = F.col(f"{c}__q3") - F.col(f"{c}__q1")
@@ -140,7 +122,7 @@ def outlier_report(df: DataFrame, cols: list[str], factor: float = IQR_FACTOR,
     cols = [c for c in cols if c in df.columns]
     q = df.agg(*[e for c in cols for e in (quantile_expr(c, 0.25, exact).alias(f"{c}__q1"),
                                             quantile_expr(c, 0.75, exact).alias(f"{c}__q3"))])
-    joined = df.crossJoin(F.broadcast(q))
+    joined = with_scalars(df, q)
     aggs = []
     for c in cols:
         iqr = F.col(f"{c}__q3") - F.col(f"{c}__q1")
@@ -156,6 +138,32 @@ def fill_with_medians(df: DataFrame, cols: list[str], exact: bool = True) -> Dat
     """±inf → null, then every listed column ← its median (lazy, one agg)."""
     cleaned = df.withColumns({c: clean_num(F.col(c).cast("double")) for c in cols})
     med = cleaned.agg(*[quantile_expr(c, 0.5, exact).alias(f"{c}__med") for c in cols])
-    joined = cleaned.crossJoin(F.broadcast(med))
+    joined = with_scalars(cleaned, med)
     return (joined.withColumns({c: F.coalesce(F.col(c), F.col(f"{c}__med")) for c in cols})
                   .select(*df.columns))
+
+
+def label_encode(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``<c>_enc`` = rank of the value among the sorted distinct values (null
+    encoded as the string "nan"), source columns dropped. The code table is one
+    row per distinct value of a categorical column; the join back is planned by
+    Catalyst from its size (broadcast when small, shuffle otherwise)."""
+    from pyspark.sql import Window
+    out = df
+    for c in cols:
+        v = F.coalesce(F.col(c).cast("string"), F.lit("nan"))
+        codes = (df.select(v.alias("__v")).distinct()
+                   .withColumn(f"{c}_enc", (F.dense_rank().over(Window.orderBy("__v")) - 1).cast("int")))
+        out = out.withColumn("__v", v).join(codes, "__v", "left").drop("__v")
+    return out.drop(*cols)
+
+
+def onehot_drop_first(df: DataFrame, cols: list[str]) -> DataFrame:
+    """One 0/1 column per sorted distinct value except the first; a null row is
+    all zeros. The distinct values of each categorical column (a short list) are
+    read once to name the output columns."""
+    out = df
+    for c in cols:
+        values = [r[0] for r in df.where(F.col(c).isNotNull()).select(c).distinct().orderBy(c).collect()]
+        out = out.withColumns({f"{c}_{v}": F.when(F.col(c) == v, 1).otherwise(0) for v in values[1:]})
+    return out.drop(*cols)

@@ -16,6 +16,7 @@ from ..config import (AVG_LOAN_SIZE, BREAKEVEN_GRID, BROKER_COMM_TRAIL, BROKER_C
                       DISCOUNT_RATE, FIXED_COST_ANNUAL, KEY, PENETRATION_SCENARIOS, REACH_RAMP,
                       SENSITIVITY_CONVERSION, SENSITIVITY_LOAN_SIZE, SENSITIVITY_PENETRATION,
                       VARIABLE_COST_PER_USER)
+from ..functions.exprs import literal_rows
 from .marts import roi_color, segment_label
 
 COMMISSION_RATE = BROKER_COMM_UPFRONT + BROKER_COMM_TRAIL
@@ -24,28 +25,26 @@ TARGET_SEGMENT = "Young Renter"
 
 def market_by_segment(scored: DataFrame) -> DataFrame:
     """Eligible customers per SegmentLabel (the market each scenario reaches)."""
-    return scored.groupBy(segment_label().alias("segment_label")).agg(F.count_distinct(KEY).alias("market_size"))
+    return scored.groupBy(segment_label().alias("segment_label")).agg(F.count(KEY).alias("market_size"))
 
 
-def scenario_grid(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    """(scenario, penetration, conversion, loan_size) parameter rows."""
-    return spark.createDataFrame([(s, float(p), float(c), float(l)) for s, p, c, l in rows],
-                                 "scenario string, penetration double, conversion double, loan_size double")
+GRID_SCHEMA = [("scenario", "string"), ("penetration", "double"), ("conversion", "double"), ("loan_size", "double")]
 
 
-def default_scenarios(spark: SparkSession) -> DataFrame:
-    return scenario_grid(spark, [(n, p, DEFAULT_CONVERSION, AVG_LOAN_SIZE) for n, p in PENETRATION_SCENARIOS.items()])
+def default_scenarios() -> list[tuple]:
+    """(scenario, penetration, conversion, loan_size) rows of the three scenarios."""
+    return [(n, float(p), float(DEFAULT_CONVERSION), float(AVG_LOAN_SIZE)) for n, p in PENETRATION_SCENARIOS.items()]
 
 
-def years_frame(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(y + 1, float(r)) for y, r in enumerate(REACH_RAMP)], "year int, ramp double")
-
-
-def project(markets: DataFrame, grid: DataFrame) -> DataFrame:
+def project(markets: DataFrame, grid: list[tuple]) -> DataFrame:
     """B1: yearly P&L per market × scenario × year (amounts in millions).
-    Users and loans are truncated to whole numbers as in the original model."""
-    spark = markets.sparkSession
-    base = markets.crossJoin(F.broadcast(grid)).crossJoin(F.broadcast(years_frame(spark)))
+    The scenario grid and the 3-year ramp are literal arrays (bounded by the
+    config) exploded next to each market row — no join. Users and loans are
+    truncated to whole numbers as in the original model."""
+    years = [(y + 1, float(r)) for y, r in enumerate(REACH_RAMP)]
+    base = (markets.withColumn("__g", F.explode(literal_rows([tuple(r) for r in grid], GRID_SCHEMA)))
+                   .withColumn("__y", F.explode(literal_rows(years, [("year", "int"), ("ramp", "double")])))
+                   .select(*markets.columns, "__g.*", "__y.*"))
     users = F.floor(F.col("market_size") * F.col("penetration") * F.col("ramp")).cast("bigint")
     out = base.withColumn("active_users", users)
     out = out.withColumn("converted_loans", F.floor(F.col("active_users") * F.col("conversion")).cast("bigint"))
@@ -76,14 +75,14 @@ def financial_projection(scored: DataFrame, segment: str = TARGET_SEGMENT) -> Da
     ROI and the ROI colour band."""
     spark = scored.sparkSession
     markets = market_by_segment(scored).where(F.col("segment_label") == segment)
-    proj = project(markets, default_scenarios(spark))
+    proj = project(markets, default_scenarios())
     summary = npv_roi(proj, ["segment_label", "scenario"]).select("segment_label", "scenario", "npv_m", "roi")
     return proj.join(summary, ["segment_label", "scenario"]).withColumn("roi_color", roi_color("roi"))
 
 
 def scenario_comparison(scored: DataFrame) -> DataFrame:
     """NPV, ROI, last-year users and loans for every segment × scenario."""
-    proj = project(market_by_segment(scored), default_scenarios(scored.sparkSession))
+    proj = project(market_by_segment(scored), default_scenarios())
     return npv_roi(proj, ["segment_label", "scenario", "penetration"])
 
 
@@ -92,20 +91,21 @@ def sensitivity(scored: DataFrame, segment: str = TARGET_SEGMENT) -> DataFrame:
     size recomputed through the model rather than scaled)."""
     spark = scored.sparkSession
     base_p = PENETRATION_SCENARIOS["baseline"]
-    rows = ([(f"penetration={p}", p, DEFAULT_CONVERSION, AVG_LOAN_SIZE) for p in SENSITIVITY_PENETRATION]
+    rows = ([(f"penetration={p}", p, DEFAULT_CONVERSION, float(AVG_LOAN_SIZE)) for p in SENSITIVITY_PENETRATION]
             + [(f"conversion={c}", base_p, c, AVG_LOAN_SIZE) for c in SENSITIVITY_CONVERSION]
             + [(f"loan_size={int(s)}", base_p, DEFAULT_CONVERSION, s) for s in SENSITIVITY_LOAN_SIZE])
     markets = market_by_segment(scored).where(F.col("segment_label") == segment)
-    res = npv_roi(project(markets, scenario_grid(spark, rows)), ["scenario", "penetration", "conversion", "loan_size"])
-    return res.select(F.col("scenario").alias("lever"), "penetration", "conversion", "loan_size", "npv_m", "roi")
+    res = npv_roi(project(markets, rows), ["scenario", "penetration", "conversion", "loan_size"])
+    return (res.select(F.col("scenario").alias("lever"), "penetration", "conversion", "loan_size", "npv_m", "roi")
+               .orderBy(F.desc("roi"), "lever"))
 
 
 def breakeven(scored: DataFrame, segment: str = TARGET_SEGMENT) -> DataFrame:
     """First grid penetration with ROI ≥ 1 and the cumulative net path."""
     spark = scored.sparkSession
     lo, hi, n = BREAKEVEN_GRID
-    grid = scenario_grid(spark, [(f"p{i:02d}", float(p), DEFAULT_CONVERSION, AVG_LOAN_SIZE)
-                                 for i, p in enumerate(np.linspace(lo, hi, n))])
+    grid = [(f"p{i:02d}", float(p), float(DEFAULT_CONVERSION), float(AVG_LOAN_SIZE))
+            for i, p in enumerate(np.linspace(lo, hi, n))]
     markets = market_by_segment(scored).where(F.col("segment_label") == segment)
     proj = project(markets, grid)
     res = npv_roi(proj, ["scenario", "penetration"])
@@ -158,9 +158,8 @@ def commission_at_reach(scored: DataFrame, penetrations: list[float] | None = No
                         segment: str = TARGET_SEGMENT) -> DataFrame:
     """Slider — commission saved at a chosen reach (market × p × conversion ×
     loan size × commission rate)."""
-    spark = scored.sparkSession
-    ps = spark.createDataFrame([(float(p),) for p in (penetrations or [PENETRATION_SCENARIOS["baseline"]])],
-                               "penetration double")
+    ps = [(float(p),) for p in (penetrations or [PENETRATION_SCENARIOS["baseline"]])]
     markets = market_by_segment(scored).where(F.col("segment_label") == segment)
     est = (F.col("market_size") * F.col("penetration") * DEFAULT_CONVERSION * AVG_LOAN_SIZE * COMMISSION_RATE)
-    return markets.crossJoin(F.broadcast(ps)).select("segment_label", "penetration", est.alias("commission_saved"))
+    return (markets.withColumn("__p", F.explode(literal_rows(ps, [("penetration", "double")])))
+                   .select("segment_label", "__p.penetration", est.alias("commission_saved")))

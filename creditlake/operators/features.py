@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..config import (DIMENSION_SCORES, EDUCATION_DEFAULT, EDUCATION_SCORE, HOUSING_DEFAULT,
                       HOUSING_SCORE, INCOME_BRACKET_BOUNDS, KEY, RAW_FEATURES, TARGET,
                       TIER_BOUNDS, TIER_LABELS, UNEMPLOYED_SENTINEL, DAYS_PER_YEAR)
-from ..functions.exprs import bin_right_closed, clean_num, clip_, col_or, map_lookup, ratio
+from ..functions.exprs import bin_right_closed, clean_num, clip_, col_or, map_lookup, ratio, with_scalars
 from .cleaning import quantile_expr
 
 INCOME_FEATURES = ["income_total", "income_to_credit", "income_to_annuity", "annuity_income_ratio",
@@ -182,7 +182,7 @@ def build_behavioral(df: DataFrame) -> DataFrame:
 def build_features_unfilled(master: DataFrame, exact: bool = True) -> DataFrame:
     """F1–F6 + demographics, before the final median fill."""
     med = master.agg(quantile_expr("AMT_INCOME_TOTAL", 0.5, exact).alias("__income_med"))
-    df = master.crossJoin(F.broadcast(med))
+    df = with_scalars(master, med)
     for step in (build_income_stability, build_spending_discipline, build_savings_consistency,
                  build_debt_burden, build_asset_signal, build_behavioral):
         df = step(df)
@@ -214,7 +214,7 @@ def build_all_features(master: DataFrame, exact: bool = True, materialize: bool
         row = pre.agg(*[quantile_expr(f.name, 0.5, exact).alias(f"{f.name}__med") for f in cols]).first()
         filled = {f.name: F.coalesce(F.col(f.name), F.lit(row[f"{f.name}__med"]).cast(f.dataType)) for f in cols}
         return pre.withColumns(filled)
-    joined = pre.crossJoin(F.broadcast(med))
+    joined = with_scalars(pre, med)
     filled = {f.name: F.coalesce(F.col(f.name), F.col(f"{f.name}__med").cast(f.dataType)) for f in cols}
     return joined.withColumns(filled).select(*pre.columns)
 

@@ -3,7 +3,9 @@
 Every mart is a group-by on a low-cardinality dimension (cohort, tier, band,
 segment) over the customer-grain table: partial aggregation leaves a handful of
 rows per task before the shuffle, so hot groups never concentrate raw rows.
-Windows run only over those aggregated rows. Category dimensions with fixed,
+Windows run only over those aggregated rows. The customer table has one row
+per key, so the dashboards' COUNTD(customer) is a plain count here — no
+distinct-aggregation stage that would route every key of a hot group to one task. Category dimensions with fixed,
 tiny domains (tiers, bands) are literal frames joined with ``broadcast``.
 """
 from __future__ import annotations
@@ -82,8 +84,9 @@ def cohort_comparison(app: DataFrame) -> DataFrame:
 def median_by_category(df: DataFrame, cat: str, value: str, exact: bool = True) -> DataFrame:
     """Median of ``value`` per category, sorted descending (null category dropped)."""
     med = F.percentile(F.col(value), F.lit(0.5)) if exact else F.percentile_approx(value, 0.5, 100000)
+    dwelling = F.lower(F.col(cat)).contains("house") | F.lower(F.col(cat)).contains("apartment")
     return (df.where(F.col(cat).isNotNull()).groupBy(cat).agg(med.alias("median_value"))
-              .orderBy(F.desc("median_value"), cat))
+              .withColumn("is_dwelling", dwelling).orderBy(F.desc("median_value"), cat))
 
 
 def frequency_table(df: DataFrame, col: str, top: int = 10) -> DataFrame:
@@ -140,7 +143,7 @@ def age_histogram(scored: DataFrame) -> DataFrame:
     lo, hi = AGE_FILTER
     return (scored.where(F.col("AGE_YEARS").between(lo, hi))
                   .withColumn("age_bin", F.floor(F.col("AGE_YEARS") / AGE_BIN_WIDTH) * AGE_BIN_WIDTH)
-                  .groupBy("age_bin", "IS_YOUNG").agg(F.count_distinct(KEY).alias("n_customers")))
+                  .groupBy("age_bin", "IS_YOUNG").agg(F.count(KEY).alias("n_customers")))
 
 
 def score_histogram(scored: DataFrame) -> DataFrame:
@@ -176,13 +179,13 @@ def score_matrix(scored: DataFrame) -> DataFrame:
 
 def segment_mix(scored: DataFrame) -> DataFrame:
     """Customers per SegmentLabel with percent of total."""
-    g = scored.groupBy(segment_label().alias("segment_label")).agg(F.count_distinct(KEY).alias("n_customers"))
+    g = scored.groupBy(segment_label().alias("segment_label")).agg(F.count(KEY).alias("n_customers"))
     return g.withColumn("pct_of_total", F.col("n_customers") / F.sum("n_customers").over(_all()) * 100)
 
 
 def kpi_cards(scored: DataFrame) -> DataFrame:
     """Customers, average score, % young, % owners, % ready."""
-    return scored.agg(F.count_distinct(KEY).alias("total_customers"),
+    return scored.agg(F.count(KEY).alias("total_customers"),
                       F.avg("composite_score").alias("avg_score"),
                       (F.avg("IS_YOUNG") * 100).alias("pct_young"),
                       (F.avg("owns_realty") * 100).alias("pct_own_home"),
@@ -201,7 +204,7 @@ def dimension_extremes(scored: DataFrame) -> DataFrame:
 
 def tier_distribution(scored: DataFrame) -> DataFrame:
     """Customers per tier in declared order (empty tiers kept)."""
-    agg = scored.groupBy("tier").agg(F.count_distinct(KEY).alias("n_customers"))
+    agg = scored.groupBy("tier").agg(F.count(KEY).alias("n_customers"))
     return (F.broadcast(tier_dim(scored.sparkSession)).join(agg, "tier", "left")
               .withColumn("n_customers", F.coalesce("n_customers", F.lit(0)).cast("bigint"))
               .orderBy("tier_order"))
@@ -252,3 +255,36 @@ def feature_actions(importance: DataFrame, actions: DataFrame) -> DataFrame:
     return (importance.join(F.broadcast(actions), "feature", "left")
                       .withColumns({"dimension": F.coalesce("dimension", F.lit("Other")),
                                     "action": F.coalesce("action", F.lit("Monitor this signal"))}))
+
+
+def dashboard_filter(scored: DataFrame, segment: str | None = None, age_range=AGE_FILTER) -> DataFrame:
+    """The dashboard's global filters (age range, segment) pushed into a mart's
+    input as ordinary predicates."""
+    lo, hi = age_range
+    out = scored.where(F.col("AGE_YEARS").between(lo, hi))
+    if segment is not None:
+        out = out.where(segment_label() == segment)
+    return out
+
+
+def dim_fact(dim: DataFrame, fact: DataFrame) -> DataFrame:
+    """Dashboard relationship customer dimension ↔ behaviour fact on the key
+    (both customer-grain, co-partitioned on the key by the planner)."""
+    return dim.join(fact.drop("composite_score", "tier"), KEY, "inner")
+
+
+def dimension_label(col: F.Column) -> F.Column:
+    """E15: 'savings_consistency_score' → 'Savings Consistency'."""
+    return F.initcap(F.regexp_replace(F.regexp_replace(col, "_score", ""), "_", " "))
+
+
+def channel_by_segment(prev: DataFrame, scored: DataFrame, channel_col: str) -> DataFrame:
+    """Channel (contract type) mix per customer segment with share within the
+    segment. Applications are pre-aggregated per (customer, channel) before the
+    key join, so the join carries counts, not application rows."""
+    per_cust = (prev.where(F.col(channel_col).isNotNull())
+                    .groupBy(KEY, F.col(channel_col).alias("channel")).agg(F.count(F.lit(1)).alias("n")))
+    seg = scored.select(KEY, segment_label().alias("segment_label"))
+    g = per_cust.join(seg, KEY).groupBy("segment_label", "channel").agg(F.sum("n").alias("n_applications"))
+    return g.withColumn("share_in_segment",
+                        F.col("n_applications") / F.sum("n_applications").over(Window.partitionBy("segment_label")))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import THRESHOLD_GRID
 from ..functions.cumulative import running_totals
+from ..functions.exprs import with_scalars
 
 
 def score_groups(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -31,7 +32,7 @@ def auc_roc_pr(df: DataFrame, label: str = "label", score: str = "score") -> Dat
     first point reaching full recall)."""
     cum = _desc_cumulative(df, label, score)
     totals = cum.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    j = cum.crossJoin(F.broadcast(totals))
+    j = with_scalars(cum, totals)
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
     tp0, fp0 = tp - F.col("pos"), fp - F.col("neg")
     prec = F.try_divide(tp, tp + fp)
@@ -47,7 +48,7 @@ def roc_pr_points(df: DataFrame, label: str = "label", score: str = "score") ->
     """One curve point per distinct score (descending): fpr, tpr, precision, recall."""
     cum = _desc_cumulative(df, label, score)
     totals = cum.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    j = cum.crossJoin(F.broadcast(totals))
+    j = with_scalars(cum, totals)
     return j.select(F.col("score").alias("threshold"),
                     F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
                     F.try_divide(F.col("cum_neg"), F.col("N")).alias("fpr"),

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DROP_FOR_MODELING, KEY, TARGET, VARIANCE_THRESHOLD
-from ..functions.exprs import clean_num
+from ..functions.exprs import clean_num, with_scalars
 from ..session import cut_lineage
 from .cleaning import quantile_expr
 from .metrics import auc_roc_pr
@@ -47,7 +47,7 @@ def prepare_model_data(df: DataFrame, exact: bool = True) -> tuple[DataFrame, li
                      *[clean_num(F.col(c).cast("double")).alias(c) for c in cols])
     base = base.withColumn("is_train", split_bucket() < TRAIN_SHARE)
     med = base.where("is_train").agg(*[quantile_expr(c, 0.5, exact).alias(f"{c}__med") for c in cols])
-    filled = base.crossJoin(F.broadcast(med)).select(
+    filled = with_scalars(base, med).select(
         KEY, TARGET, "is_train", *[F.coalesce(F.col(c), F.col(f"{c}__med")).alias(c) for c in cols])
     return filled, cols
 
@@ -71,7 +71,7 @@ def class_weights(prepared: DataFrame) -> DataFrame:
     tot = g.agg(F.sum("n_class").alias("n_total"),
                 F.sum(F.when(F.col(TARGET) == 0, F.col("n_class"))).alias("neg"),
                 F.sum(F.when(F.col(TARGET) == 1, F.col("n_class"))).alias("pos"))
-    return g.crossJoin(tot).select(
+    return with_scalars(g, tot).select(
         TARGET, "n_class", (F.col("n_total") / (2.0 * F.col("n_class"))).alias("weight"),
         F.round(F.try_divide(F.col("neg"), F.col("pos"))).alias("scale_pos_weight"))
 
@@ -150,7 +150,7 @@ def linear_attributions(model, scored_test: DataFrame, feats: list[str]) -> Data
     z = vector_to_array(F.col("features"))
     means = scored_test.select(z.alias("__z")).agg(
         *[F.avg(F.col("__z")[i]).alias(f"m{i}") for i in range(len(feats))])
-    j = scored_test.select(KEY, z.alias("__z")).crossJoin(F.broadcast(means))
+    j = with_scalars(scored_test.select(KEY, z.alias("__z")), means)
     return j.select(KEY, *[(F.lit(beta[i]) * (F.col("__z")[i] - F.col(f"m{i}"))).alias(f) for i, f in enumerate(feats)])
 
 
@@ -185,3 +185,17 @@ def approval_model_data(prev: DataFrame, features: DataFrame) -> DataFrame:
                .select(KEY, "SK_ID_PREV", (F.col("NAME_CONTRACT_STATUS") == "Approved").cast("int").alias(TARGET),
                        "AMT_APPLICATION", "AMT_ANNUITY", "DAYS_DECISION", "NFLAG_LAST_APPL_IN_DAY"))
     return lab.join(features.drop(TARGET), KEY, "left")
+
+
+def deterministic_sample(df: DataFrame, n: int, key: str = KEY) -> DataFrame:
+    """A reproducible n-row sample (order by a hash of the key, take n) — the
+    limit is the feature: attribution is computed on a fixed-size sample."""
+    return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(n)
+
+
+def tree_importance(spark, model, feats: list[str], top_n: int = 15) -> DataFrame:
+    """G5 re-aimed: split-gain importance of the boosted trees (one value per
+    feature, a vector bounded by the feature count)."""
+    imp = model.stages[-1].featureImportances.toArray().tolist()
+    rows = sorted(zip(feats, imp), key=lambda kv: (-kv[1], kv[0]))[:top_n]
+    return spark.createDataFrame([(f, float(v)) for f, v in rows], "feature string, importance double")

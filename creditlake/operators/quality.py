@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import KEY, TARGET, UNEMPLOYED_SENTINEL
-from ..functions.exprs import sample_skew
+from ..functions.exprs import sample_skew, with_scalars
 
 _NUMERIC = ("byte", "short", "integer", "long", "float", "double", "decimal")
 
@@ -103,6 +103,6 @@ def join_coverage(app: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
         parts.append(keys.join(k, KEY, "left")
                          .agg(F.count("__m").alias("matched"))
                          .select(F.lit(name).alias("source"), "matched"))
-    cov = reduce(DataFrame.unionByName, parts).crossJoin(n_app)
+    cov = with_scalars(reduce(DataFrame.unionByName, parts), n_app)
     return cov.select("source", "matched", "n_app",
                       (F.col("matched") / F.col("n_app")).alias("match_rate"))

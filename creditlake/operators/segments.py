@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import CLUSTER_FEATURES, CLUSTER_LOG_FEATURES, KEY, YOUNG_AGE_MAX
 from ..session import cut_lineage
+from ..functions.exprs import with_scalars
 from .cleaning import quantile_expr
 
 # FIXED VALUES: segment names, assigned in order of decreasing average income
@@ -26,7 +27,7 @@ def cluster_input(master_with_age: DataFrame, exact: bool = True) -> DataFrame:
     young = master_with_age.where(F.col("AGE_YEARS") < YOUNG_AGE_MAX).select(
         KEY, *[F.col(src).cast("double").alias(dst) for dst, src in _SOURCE.items()])
     med = young.agg(*[quantile_expr(c, 0.5, exact).alias(f"{c}__med") for c in CLUSTER_FEATURES])
-    filled = young.crossJoin(F.broadcast(med)).select(
+    filled = with_scalars(young, med).select(
         KEY, *[F.coalesce(F.col(c), F.col(f"{c}__med")).alias(c) for c in CLUSTER_FEATURES])
     logged = filled.withColumns({c: F.log1p(c) for c in CLUSTER_LOG_FEATURES})
     vec = VectorAssembler(inputCols=CLUSTER_FEATURES, outputCol="raw", handleInvalid="keep").transform(
@@ -41,7 +42,7 @@ def inertia_k1(prepared: DataFrame) -> float:
     n = len(CLUSTER_FEATURES)
     arr = vector_to_array("features")
     means = prepared.agg(*[F.avg(arr[i]).alias(f"m{i}") for i in range(n)])
-    j = prepared.crossJoin(F.broadcast(means))
+    j = with_scalars(prepared, means)
     return j.agg(F.sum(sum((arr[i] - F.col(f"m{i}")) ** 2 for i in range(n)))).first()[0]
 
 

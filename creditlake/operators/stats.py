@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import FEATURE_GROUPS, TTEST_MIN_GROUP
 from ..functions.cumulative import running_totals
+from ..functions.exprs import with_scalars
 from ..functions.special import f_pvalue, t_pvalue
 
 
@@ -164,7 +165,7 @@ def quantile_strata(df: DataFrame, value_col: str, outcome: str, n_bins: int = 1
     else:
         cuts = df.agg(F.percentile_approx(F.col(value_col), F.array(*[F.lit(p) for p in probs]), 100000)
                       .cast("array<double>").alias("__cuts"))
-    joined = df.crossJoin(F.broadcast(cuts))
+    joined = with_scalars(df, cuts)
     bucket = F.aggregate(F.col("__cuts"), F.lit(0), lambda acc, c: acc + F.when(F.col(value_col) > c, 1).otherwise(0))
     return (joined.withColumn("bucket", bucket + 1)
                   .groupBy("bucket")

@@ -34,7 +34,8 @@ def q_a10(spark, sf):
 
 
 @register("a12_median_income_by_housing", with_ctes(f"""
-SELECT NAME_HOUSING_TYPE, {r4('median(AMT_INCOME_TOTAL)')} AS median_value FROM app_clean
+SELECT NAME_HOUSING_TYPE, {r4('median(AMT_INCOME_TOTAL)')} AS median_value,
+ contains(lower(NAME_HOUSING_TYPE), 'house') OR contains(lower(NAME_HOUSING_TYPE), 'apartment') AS is_dwelling FROM app_clean
 WHERE AGE_YEARS < 35 AND NAME_HOUSING_TYPE IS NOT NULL GROUP BY 1""", "app_clean"))
 def q_a12(spark, sf):
     """Median income by housing type within the young cohort."""
@@ -277,3 +278,62 @@ def q_s7(spark, sf):
     dim = MT.customer_dim(scored(spark, sf))
     path = IO.write_csv(dim, IO.shared_path(spark, "dim_customer_" + hashlib.sha1(sf.encode()).hexdigest()[:10]))
     return IO.read_csv(spark, path, dim.schema)
+
+
+@register("c6_label_encode", with_ctes("""
+SELECT SK_ID_CURR, CAST(dense_rank() OVER (ORDER BY coalesce(CODE_GENDER, 'nan')) - 1 AS INTEGER) AS CODE_GENDER_enc,
+ CAST(dense_rank() OVER (ORDER BY coalesce(NAME_EDUCATION_TYPE, 'nan')) - 1 AS INTEGER) AS NAME_EDUCATION_TYPE_enc
+FROM application""", "application"))
+def q_c6(spark, sf):
+    """Label encoding in sorted order (null → "nan")."""
+    from ..operators.cleaning import label_encode
+    app = role(spark, sf, "application").select(KEY, "CODE_GENDER", "NAME_EDUCATION_TYPE")
+    return label_encode(app, ["CODE_GENDER", "NAME_EDUCATION_TYPE"])
+
+
+_HOUSING = ["Co-op apartment", "House / apartment", "Municipal apartment", "Rented apartment", "With parents"]
+
+
+@register("c7_onehot_drop_first", with_ctes(
+    "SELECT SK_ID_CURR, " + ", ".join(
+        f"CASE WHEN NAME_HOUSING_TYPE = '{v}' THEN 1 ELSE 0 END AS \"NAME_HOUSING_TYPE_{v}\"" for v in _HOUSING[1:])
+    + " FROM application", "application"))
+def q_c7(spark, sf):
+    """One-hot encoding dropping the first sorted category."""
+    from ..operators.cleaning import onehot_drop_first
+    return onehot_drop_first(role(spark, sf, "application").select(KEY, "NAME_HOUSING_TYPE"), ["NAME_HOUSING_TYPE"])
+
+
+@register("p13_filtered_kpis", with_ctes(f"""
+SELECT count(SK_ID_CURR) AS total_customers, {r4('avg(composite_score)')} AS avg_score,
+ {r4('avg(IS_YOUNG) * 100')} AS pct_young, {r4('avg(owns_realty) * 100')} AS pct_own_home,
+ {r4("avg(CASE WHEN tier = 'Ready' THEN 1.0 ELSE 0.0 END) * 100")} AS pct_ready
+FROM scored WHERE AGE_YEARS BETWEEN 18 AND 70 AND {segment_label_sql()} = 'Young Renter'""", "scored"))
+def q_p13(spark, sf):
+    """KPI cards under the dashboard filters (age 18–70, one segment)."""
+    return MT.kpi_cards(MT.dashboard_filter(scored(spark, sf), "Young Renter"))
+
+
+@register("j9_dim_fact", with_ctes(f"""
+SELECT SK_ID_CURR, {r4('AGE_YEARS')} AS AGE_YEARS, IS_YOUNG, {r4('income_total')} AS income_total, owns_car, owns_realty,
+ {r4('years_employed')} AS years_employed, {r4('income_bracket')} AS income_bracket,
+ {r4('composite_score')} AS composite_score, tier, {segment_label_sql()} AS segment_label,
+ {income_band_sql()} AS income_band, """ + ", ".join(f"{r4(d)} AS {d}" for d in DIMS) + """ FROM scored""", "scored"))
+def q_j9(spark, sf):
+    """Customer dimension joined to the behaviour fact on the key."""
+    s = scored(spark, sf)
+    return MT.dim_fact(MT.customer_dim(s), MT.behavior_fact(s))
+
+
+@register("m32_channel_by_segment", with_ctes(f"""
+SELECT segment_label, channel, n_applications,
+ {r4('CAST(n_applications AS DOUBLE) / sum(n_applications) OVER (PARTITION BY segment_label)')} AS share_in_segment FROM (
+ SELECT {segment_label_sql()} AS segment_label, p.NAME_CONTRACT_TYPE AS channel, count(*) AS n_applications
+ FROM previous_application p JOIN scored s USING (SK_ID_CURR) WHERE p.NAME_CONTRACT_TYPE IS NOT NULL GROUP BY 1, 2) t""",
+    "previous_application", "scored"))
+def q_m32(spark, sf):
+    """Channel-proxy mix per customer segment (channel column found by keyword)."""
+    from ..functions.exprs import columns_by_keywords
+    prev = role(spark, sf, "previous_application")
+    channel = columns_by_keywords(prev, ["CHANNEL", "SELLER", "CLIENT", "TYPE"])[0]
+    return MT.channel_by_segment(prev, scored(spark, sf), channel)

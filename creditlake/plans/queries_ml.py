@@ -187,7 +187,8 @@ ACTIONS = [
 def q_m27(spark, sf):
     """Top-10 features by mean |attribution| mapped to product actions."""
     model, pred, feats = _scores(spark, sf, "lr", 100)
-    imp = MD.importance(MD.linear_attributions(model, pred, feats), feats, 10)
+    sample = MD.deterministic_sample(pred, 2000)
+    imp = MD.importance(MD.linear_attributions(model, sample, feats), feats, 10)
     actions = spark.createDataFrame(ACTIONS, "feature string, dimension string, action string")
     return MT.feature_actions(imp, actions)
 
@@ -226,3 +227,46 @@ def q_s11(spark, sf):
     again = PipelineModel.load(path).transform(pred.select(*[c for c in pred.columns if c not in (
         "raw_features", "features", "rawPrediction", "probability", "prediction", "score")]))
     return MD.positive_probability(again).select(KEY, TARGET, "score")
+
+
+@register("m27_gbt_importance", None)
+def q_m27g(spark, sf):
+    """M27/G5 (trees): gain-based importance of the boosted-tree model, top 15."""
+    model, _, feats = _scores(spark, sf, "gbt_a", 40)
+    return MD.tree_importance(spark, model, feats, 15)
+
+
+@register("m29_evaluation_report", None)
+def q_m29(spark, sf):
+    """Evaluation summary — best model, AUCs, best-F1 threshold, confusion counts
+    at that threshold and the top features, as one long (section, item, value) table."""
+    from ..operators import metrics as ME
+    res = {name: _scores(spark, sf, kind, it)[1] for name, kind, it in
+           (("LogisticRegression", "lr", 100), ("GBT-A", "gbt_a", 40), ("GBT-B", "gbt_b", 60))}
+    kinds = {"LogisticRegression": ("lr", 100), "GBT-A": ("gbt_a", 40), "GBT-B": ("gbt_b", 60)}
+    comp = MD.model_comparison(res)
+    best_name = comp.first()["model"]
+    pred = res[best_name]
+    sweep = ME.threshold_sweep(pred, TARGET, "score")
+    best = ME.best_threshold(sweep).first()
+    cm = ME.confusion_matrix(pred, TARGET, "score", best["best_threshold"])
+    model, _, feats = _scores(spark, sf, *kinds[best_name])
+    if kinds[best_name][0] == "lr":
+        top = MD.importance(MD.linear_attributions(model, MD.deterministic_sample(pred, 2000), feats), feats, 10)
+        top = top.select(F.lit("top_features").alias("section"), F.col("feature").alias("item"),
+                         F.col("mean_abs_attribution").alias("value"))
+    else:
+        top = MD.tree_importance(spark, model, feats, 10).select(
+            F.lit("top_features").alias("section"), F.col("feature").alias("item"), F.col("importance").alias("value"))
+    parts = [
+        comp.select(F.lit("auc_roc").alias("section"), F.col("model").alias("item"), F.col("auc_roc").alias("value")),
+        comp.select(F.lit("auc_pr").alias("section"), F.col("model").alias("item"), F.col("auc_pr").alias("value")),
+        spark.createDataFrame([("best_model", best_name, None), ("threshold", "best_threshold", best["best_threshold"]),
+                               ("threshold", "best_f1", best["best_f1"])], "section string, item string, value double"),
+        cm.select(F.lit("confusion").alias("section"),
+                  F.concat(F.lit("actual="), F.col("actual"), F.lit(",predicted="), F.col("predicted")).alias("item"),
+                  F.col("n").cast("double").alias("value")),
+        top,
+    ]
+    from functools import reduce
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -344,7 +344,7 @@ def _npv_sql(keys: str) -> str:
 def q_b1(spark, sf):
     """B1: yearly P&L per segment × scenario × year (market size from the data)."""
     s = scored(spark, sf)
-    return EC.project(EC.market_by_segment(s), EC.default_scenarios(spark)).drop("ramp")
+    return EC.project(EC.market_by_segment(s), EC.default_scenarios()).drop("ramp")
 
 
 @register("b3_scenario_comparison", with_ctes(
@@ -408,7 +408,7 @@ FROM st""", "scored").replace("\n\n, pl AS", ",\npl AS", 1).replace("\n, pl AS",
 def q_w2(spark, sf):
     """Baseline year-3 waterfall per segment."""
     s = scored(spark, sf)
-    return EC.waterfall(EC.project(EC.market_by_segment(s), EC.default_scenarios(spark)))
+    return EC.waterfall(EC.project(EC.market_by_segment(s), EC.default_scenarios()))
 
 
 @register("a27_scenario_totals", with_ctes(
@@ -418,7 +418,7 @@ def q_w2(spark, sf):
 def q_a27(spark, sf):
     """P&L sums per segment × scenario."""
     s = scored(spark, sf)
-    return EC.scenario_totals(EC.project(EC.market_by_segment(s), EC.default_scenarios(spark)))
+    return EC.scenario_totals(EC.project(EC.market_by_segment(s), EC.default_scenarios()))
 
 
 @register("o3_financial_projection", with_ctes(f"""

@@ -10,7 +10,7 @@ def _markets(spark):
 
 
 def test_scenario_npv_roi_goldens(spark):
-    res = {r["scenario"]: r for r in EC.npv_roi(EC.project(_markets(spark), EC.default_scenarios(spark)),
+    res = {r["scenario"]: r for r in EC.npv_roi(EC.project(_markets(spark), EC.default_scenarios()),
                                                 ["scenario"]).collect()}
     assert abs(res["pessimistic"]["npv_m"] - 18.2632) < 1e-3 and abs(res["pessimistic"]["roi"] - 1.1204) < 1e-3
     assert abs(res["baseline"]["npv_m"] - 50.1153) < 1e-3 and abs(res["baseline"]["roi"] - 1.8357) < 1e-3
@@ -18,14 +18,14 @@ def test_scenario_npv_roi_goldens(spark):
 
 
 def test_baseline_year_nets(spark):
-    proj = EC.project(_markets(spark), EC.default_scenarios(spark)).where(F.col("scenario") == "baseline")
+    proj = EC.project(_markets(spark), EC.default_scenarios()).where(F.col("scenario") == "baseline")
     nets = [round(r["net_benefit_m"], 4) for r in proj.orderBy("year").collect()]
     assert nets == [7.463, 17.7286, 27.695]
 
 
 def test_conversion_sweep(spark):
     rows = [(f"c{c}", 0.18, c, 450000.0) for c in (0.03, 0.06, 0.09, 0.12)]
-    res = EC.npv_roi(EC.project(_markets(spark), EC.scenario_grid(spark, rows)), ["conversion"])
+    res = EC.npv_roi(EC.project(_markets(spark), rows), ["conversion"])
     got = {r["conversion"]: round(r["roi"], 3) for r in res.collect()}
     assert got == {0.03: 0.441, 0.06: 1.836, 0.09: 3.23, 0.12: 4.624}
 
@@ -33,6 +33,6 @@ def test_conversion_sweep(spark):
 def test_breakeven_on_grid(spark):
     import numpy as np
     rows = [(f"p{i}", float(p), 0.06, 450000.0) for i, p in enumerate(np.linspace(0.05, 0.30, 50))]
-    res = EC.npv_roi(EC.project(_markets(spark), EC.scenario_grid(spark, rows)), ["penetration"])
+    res = EC.npv_roi(EC.project(_markets(spark), rows), ["penetration"])
     first = res.where("roi >= 1").agg(F.min("penetration")).first()[0]
     assert abs(first - 0.0755) < 1e-3
