@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import DAYS_PER_YEAR, IQR_FACTOR, KEY, MISSING_DROP_SHARE, TARGET, UNEMPLOYED_SENTINEL, YOUNG_AGE_MAX
 from ..functions.exprs import clean_num, clip_, flag_yn, with_scalars
+from ..functions.quantiles import quantile_frame
 from .quality import numeric_columns, string_columns
 
 
@@ -22,12 +23,6 @@ def exact_quantiles(spark) -> bool:
     return str(spark.conf.get("creditlake.quantiles.exact", "true")).lower() == "true"
 
 
-def quantile_expr(c: str, q: float, exact: bool = True) -> F.Column:
-    if exact:
-        return F.percentile(F.col(c), F.lit(q))
-    return F.percentile_approx(F.col(c), F.lit(q), F.lit(100000)).cast("double")
-
-
 def recode_days_employed(df: DataFrame, col: str = "DAYS_EMPLOYED") -> DataFrame:
     """Sentinel → null + IS_UNEMPLOYED flag; |days| and years employed."""
     sentinel = F.col(col) >= UNEMPLOYED_SENTINEL
@@ -55,11 +50,11 @@ def missing_stats(df: DataFrame, cols: list[str] | None = None, exact: bool = Tr
     aggs = [F.count(F.lit(1)).alias("__n")]
     for c in cols:
         aggs.append(F.count_if(F.col(c).isNull()).alias(f"{c}__null"))
-        if c in num:
-            aggs.append(quantile_expr(c, 0.5, exact).alias(f"{c}__med"))
-        else:
+        if c not in num:
             aggs.append(F.mode(F.col(c), True).alias(f"{c}__mode"))
-    return df.agg(*aggs)
+    counts = df.agg(*aggs)
+    specs = [(c, 0.5, f"{c}__med") for c in cols if c in num]
+    return with_scalars(counts, quantile_frame(df, specs, exact)) if specs else counts
 
 
 def handle_missing_values(df: DataFrame, protect=(KEY, TARGET), exact: bool = True) -> DataFrame:
@@ -105,8 +100,7 @@ def remove_outliers_iqr(df: DataFrame, cols: list[str], factor: float = IQR_FACT
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return df
-    q = df.agg(*[e for c in cols for e in (quantile_expr(c, 0.25, exact).alias(f"{c}__q1"),
-                                            quantile_expr(c, 0.75, exact).alias(f"{c}__q3"))])
+    q = quantile_frame(df, [s for c in cols for s in ((c, 0.25, f"{c}__q1"), (c, 0.75, f"{c}__q3"))], exact)
     joined = with_scalars(df, q)
     out = {}
     for c in cols:
@@ -120,8 +114,7 @@ def outlier_report(df: DataFrame, cols: list[str], factor: float = IQR_FACTOR,
                    exact: bool = True) -> DataFrame:
     """C9 report: per column the fences and the number of values outside them."""
     cols = [c for c in cols if c in df.columns]
-    q = df.agg(*[e for c in cols for e in (quantile_expr(c, 0.25, exact).alias(f"{c}__q1"),
-                                            quantile_expr(c, 0.75, exact).alias(f"{c}__q3"))])
+    q = quantile_frame(df, [s for c in cols for s in ((c, 0.25, f"{c}__q1"), (c, 0.75, f"{c}__q3"))], exact)
     joined = with_scalars(df, q)
     aggs = []
     for c in cols:
@@ -137,7 +130,7 @@ def outlier_report(df: DataFrame, cols: list[str], factor: float = IQR_FACTOR,
 def fill_with_medians(df: DataFrame, cols: list[str], exact: bool = True) -> DataFrame:
     """±inf → null, then every listed column ← its median (lazy, one agg)."""
     cleaned = df.withColumns({c: clean_num(F.col(c).cast("double")) for c in cols})
-    med = cleaned.agg(*[quantile_expr(c, 0.5, exact).alias(f"{c}__med") for c in cols])
+    med = quantile_frame(cleaned, [(c, 0.5, f"{c}__med") for c in cols], exact)
     joined = with_scalars(cleaned, med)
     return (joined.withColumns({c: F.coalesce(F.col(c), F.col(f"{c}__med")) for c in cols})
                   .select(*df.columns))

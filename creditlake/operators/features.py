@@ -21,7 +21,7 @@ from ..config import (DIMENSION_SCORES, EDUCATION_DEFAULT, EDUCATION_SCORE, HOUS
                       HOUSING_SCORE, INCOME_BRACKET_BOUNDS, KEY, RAW_FEATURES, TARGET,
                       TIER_BOUNDS, TIER_LABELS, UNEMPLOYED_SENTINEL, DAYS_PER_YEAR)
 from ..functions.exprs import bin_right_closed, clean_num, clip_, col_or, map_lookup, ratio, with_scalars
-from .cleaning import quantile_expr
+from ..functions.quantiles import quantile_frame
 
 INCOME_FEATURES = ["income_total", "income_to_credit", "income_to_annuity", "annuity_income_ratio",
                    "years_employed", "is_unemployed", "job_stability_score", "income_bracket",
@@ -181,7 +181,7 @@ def build_behavioral(df: DataFrame) -> DataFrame:
 
 def build_features_unfilled(master: DataFrame, exact: bool = True) -> DataFrame:
     """F1–F6 + demographics, before the final median fill."""
-    med = master.agg(quantile_expr("AMT_INCOME_TOTAL", 0.5, exact).alias("__income_med"))
+    med = quantile_frame(master, [("AMT_INCOME_TOTAL", 0.5, "__income_med")], exact)
     df = with_scalars(master, med)
     for step in (build_income_stability, build_spending_discipline, build_savings_consistency,
                  build_debt_burden, build_asset_signal, build_behavioral):
@@ -206,15 +206,15 @@ def build_all_features(master: DataFrame, exact: bool = True, materialize: bool
     cols = [f for f in pre.schema.fields if f.name not in (KEY, TARGET)]
     pre = pre.withColumns({f.name: clean_num(f.name) for f in cols
                            if f.dataType.typeName() in ("double", "float")})
-    med = pre.agg(*[quantile_expr(f.name, 0.5, exact).alias(f"{f.name}__med") for f in cols])
+    specs = [(f.name, 0.5, f"{f.name}__med") for f in cols]
     if materialize:
         from ..session import cut_lineage
         pre = cut_lineage(pre)
         # one row of medians (one scalar per feature, bounded by the column count)
-        row = pre.agg(*[quantile_expr(f.name, 0.5, exact).alias(f"{f.name}__med") for f in cols]).first()
+        row = quantile_frame(pre, specs, exact).first()
         filled = {f.name: F.coalesce(F.col(f.name), F.lit(row[f"{f.name}__med"]).cast(f.dataType)) for f in cols}
         return pre.withColumns(filled)
-    joined = with_scalars(pre, med)
+    joined = with_scalars(pre, quantile_frame(pre, specs, exact))
     filled = {f.name: F.coalesce(F.col(f.name), F.col(f"{f.name}__med").cast(f.dataType)) for f in cols}
     return joined.withColumns(filled).select(*pre.columns)
 

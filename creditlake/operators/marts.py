@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..config import (AGE_BIN_WIDTH, AGE_FILTER, DIMENSION_SCORES, INCOME_BAND_TOP, INCOME_BANDS, KEY,
                       ROI_COLOR_BELOW, ROI_COLORS, SCORE_BINS, SEGMENT_LABELS, TIER_LABELS, YOUNG_AGE_MAX)
 from ..functions.exprs import bin_right_closed
+from ..functions.quantiles import quantile_frame
 
 AGE_BAND_BOUNDS = [20, 25, 30, 35, 40, 45, 50, 55, 60, 70]
 
@@ -83,10 +84,9 @@ def cohort_comparison(app: DataFrame) -> DataFrame:
 
 def median_by_category(df: DataFrame, cat: str, value: str, exact: bool = True) -> DataFrame:
     """Median of ``value`` per category, sorted descending (null category dropped)."""
-    med = F.percentile(F.col(value), F.lit(0.5)) if exact else F.percentile_approx(value, 0.5, 100000)
     dwelling = F.lower(F.col(cat)).contains("house") | F.lower(F.col(cat)).contains("apartment")
-    return (df.where(F.col(cat).isNotNull()).groupBy(cat).agg(med.alias("median_value"))
-              .withColumn("is_dwelling", dwelling).orderBy(F.desc("median_value"), cat))
+    med = quantile_frame(df.where(F.col(cat).isNotNull()), [(value, 0.5, "median_value")], exact, [cat])
+    return med.withColumn("is_dwelling", dwelling).orderBy(F.desc("median_value"), cat)
 
 
 def frequency_table(df: DataFrame, col: str, top: int = 10) -> DataFrame:
@@ -156,12 +156,8 @@ def score_histogram(scored: DataFrame) -> DataFrame:
 def box_stats(scored: DataFrame, value: str, by: str, exact: bool = True) -> DataFrame:
     """q1/median/q3, whiskers (most extreme values within 1.5·IQR) and outlier
     count per group — quartiles in one aggregate, whiskers in a second pass."""
-    pct = (F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
-           else F.percentile_approx(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 100000))
-    q = scored.groupBy(by).agg(pct.alias("__q"))
-    q = q.select(by, F.col("__q")[0].cast("double").alias("q1"), F.col("__q")[1].cast("double").alias("median"),
-                 F.col("__q")[2].cast("double").alias("q3"))
-    j = scored.join(F.broadcast(q), by)
+    q = quantile_frame(scored, [(value, 0.25, "q1"), (value, 0.5, "median"), (value, 0.75, "q3")], exact, [by])
+    j = scored.join(q, by)
     iqr = F.col("q3") - F.col("q1")
     lo, hi = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     x = F.col(value)

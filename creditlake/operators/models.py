@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..config import DROP_FOR_MODELING, KEY, TARGET, VARIANCE_THRESHOLD
 from ..functions.exprs import clean_num, with_scalars
 from ..session import cut_lineage
-from .cleaning import quantile_expr
+from ..functions.quantiles import quantile_frame
 from .metrics import auc_roc_pr
 from .quality import numeric_columns
 
@@ -46,7 +46,7 @@ def prepare_model_data(df: DataFrame, exact: bool = True) -> tuple[DataFrame, li
     base = df.select(KEY, F.col(TARGET).cast("int").alias(TARGET),
                      *[clean_num(F.col(c).cast("double")).alias(c) for c in cols])
     base = base.withColumn("is_train", split_bucket() < TRAIN_SHARE)
-    med = base.where("is_train").agg(*[quantile_expr(c, 0.5, exact).alias(f"{c}__med") for c in cols])
+    med = quantile_frame(base.where("is_train"), [(c, 0.5, f"{c}__med") for c in cols], exact)
     filled = with_scalars(base, med).select(
         KEY, TARGET, "is_train", *[F.coalesce(F.col(c), F.col(f"{c}__med")).alias(c) for c in cols])
     return filled, cols

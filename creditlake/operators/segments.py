@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import CLUSTER_FEATURES, CLUSTER_LOG_FEATURES, KEY, YOUNG_AGE_MAX
 from ..session import cut_lineage
 from ..functions.exprs import with_scalars
-from .cleaning import quantile_expr
+from ..functions.quantiles import quantile_frame
 
 # FIXED VALUES: segment names, assigned in order of decreasing average income
 SEGMENT_NAMES = ["Digitally Confident Spender", "Financially Anxious Renter", "Cautious Observer"]
@@ -26,7 +26,7 @@ def cluster_input(master_with_age: DataFrame, exact: bool = True) -> DataFrame:
     log1p on the money columns, assembled + standardized (mean 0, unit sd)."""
     young = master_with_age.where(F.col("AGE_YEARS") < YOUNG_AGE_MAX).select(
         KEY, *[F.col(src).cast("double").alias(dst) for dst, src in _SOURCE.items()])
-    med = young.agg(*[quantile_expr(c, 0.5, exact).alias(f"{c}__med") for c in CLUSTER_FEATURES])
+    med = quantile_frame(young, [(c, 0.5, f"{c}__med") for c in CLUSTER_FEATURES], exact)
     filled = with_scalars(young, med).select(
         KEY, *[F.coalesce(F.col(c), F.col(f"{c}__med")).alias(c) for c in CLUSTER_FEATURES])
     logged = filled.withColumns({c: F.log1p(c) for c in CLUSTER_LOG_FEATURES})

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..config import FEATURE_GROUPS, TTEST_MIN_GROUP
 from ..functions.cumulative import running_totals
 from ..functions.exprs import with_scalars
+from ..functions.quantiles import quantile_frame
 from ..functions.special import f_pvalue, t_pvalue
 
 
@@ -160,11 +161,8 @@ def quantile_strata(df: DataFrame, value_col: str, outcome: str, n_bins: int = 1
     """M8: cut points at the 1/n … (n−1)/n quantiles (one aggregate), right-closed
     buckets, outcome rate per bucket."""
     probs = [i / n_bins for i in range(1, n_bins)]
-    if exact:
-        cuts = df.agg(F.percentile(F.col(value_col), F.array(*[F.lit(p) for p in probs])).alias("__cuts"))
-    else:
-        cuts = df.agg(F.percentile_approx(F.col(value_col), F.array(*[F.lit(p) for p in probs]), 100000)
-                      .cast("array<double>").alias("__cuts"))
+    q = quantile_frame(df, [(value_col, p, f"__c{i}") for i, p in enumerate(probs)], exact)
+    cuts = q.select(F.array(*[F.col(f"__c{i}") for i in range(len(probs))]).alias("__cuts"))
     joined = with_scalars(df, cuts)
     bucket = F.aggregate(F.col("__cuts"), F.lit(0), lambda acc, c: acc + F.when(F.col(value_col) > c, 1).otherwise(0))
     return (joined.withColumn("bucket", bucket + 1)

@@ -51,10 +51,6 @@ def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return load_roles(spark, sf_dir)
 
 
-def master_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_master(load(spark, sf_dir))
-
-
 _MATERIALIZED: dict[tuple, DataFrame] = {}
 
 
@@ -71,6 +67,13 @@ def materialized(spark: SparkSession, key: tuple, build, checkpoint: bool = True
     return df
 
 
+def master_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O5, written once per session and input folder (features, model input,
+    clustering and the marts all read it; each median pass would otherwise
+    recompute the five child aggregates)."""
+    return materialized(spark, ("master", sf_dir), lambda: build_master(load(spark, sf_dir)))
+
+
 def features_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F7 table (customer grain), materialized once: the median fill needs two
     passes over it, and every mart reads it."""
@@ -87,7 +90,8 @@ def scored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F7 → F10: features with the raw aggregates appended (model input)."""
-    return append_raw_features(master_table(spark, sf_dir), features_table(spark, sf_dir))
+    return materialized(spark, ("model_input", sf_dir),
+                        lambda: append_raw_features(master_table(spark, sf_dir), features_table(spark, sf_dir)))
 
 
 def customer_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
