@@ -14,7 +14,10 @@ from .registry import register
 
 
 def app_clean(spark, sf):
-    return clean_application(role(spark, sf, "application"), exact=exact_quantiles(spark))
+    """C8 cleaned application, written once per session (four marts and the
+    cohort tests read it; the imputation needs two statistics passes)."""
+    return M.materialized(spark, ("app_clean", sf),
+                          lambda: clean_application(role(spark, sf, "application"), exact=exact_quantiles(spark)))
 
 
 def scored(spark, sf):

@@ -35,7 +35,11 @@ def _ml_sql(body: str) -> str:
 
 
 def prepared(spark, sf):
-    return MD.prepare_model_data(M.model_table(spark, sf), exact_quantiles(spark))
+    """M12 model matrix (train-only medians), written once per session."""
+    cols = MD.model_feature_columns(M.model_table(spark, sf))
+    df = M.materialized(spark, ("prepared", sf),
+                        lambda: MD.prepare_model_data(M.model_table(spark, sf), exact_quantiles(spark))[0])
+    return df, cols
 
 
 @register("m12_prepare_model_data", _ml_sql(

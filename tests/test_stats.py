@@ -40,3 +40,20 @@ def test_kruskal_with_ties(spark):
     _, t = np.unique(x, return_counts=True)
     hh /= 1 - (t ** 3 - t).sum() / (n ** 3 - n)
     assert abs(h - hh) < 1e-9
+
+
+def test_bounded_exact_quantiles_match_pandas(spark):
+    from creditlake.functions.quantiles import quantile_frame
+    rng = np.random.default_rng(11)
+    n = 5000
+    pdf = pd.DataFrame({"a": rng.normal(size=n), "b": np.where(rng.random(n) < 0.6, 0.0, rng.integers(0, 4, n)),
+                        "g": rng.integers(0, 3, n)})
+    pdf.loc[rng.random(n) < 0.1, "a"] = None
+    df = spark.createDataFrame(pdf.astype({"a": "float64", "b": "float64"})).replace(float("nan"), None)
+    specs = [("a", 0.5, "a50"), ("a", 0.25, "a25"), ("b", 0.5, "b50"), ("b", 0.9, "b90"), ("a", 1.0, "amax")]
+    r = quantile_frame(df, specs, accuracy=500).first()
+    for c, p, a in specs:
+        assert abs(r[a] - pdf[c].quantile(p)) < 1e-12, a
+    g = {row["g"]: row["m"] for row in quantile_frame(df, [("a", 0.5, "m")], group_cols=["g"], accuracy=500).collect()}
+    for k, v in pdf.groupby("g")["a"].median().items():
+        assert abs(g[k] - v) < 1e-12
