@@ -72,11 +72,11 @@ def map_lookup(x, mapping: dict, default=None) -> Column:
 
 def r4(x) -> Column:
     """Tie-safe rounding used for every double that is compared across engines."""
-    return F.round(_c(x).cast("double") + F.lit(3e-7), 4)
+    return F.round(_c(x).cast("double") + F.lit(3e-7), 4) + F.lit(0.0)  # + 0.0 turns -0.0 into 0.0
 
 
 def r2(x) -> Column:
-    return F.round(_c(x).cast("double") + F.lit(3e-5), 2)
+    return F.round(_c(x).cast("double") + F.lit(3e-5), 2) + F.lit(0.0)
 
 
 def round_doubles(df: DataFrame, digits: int = 4) -> DataFrame:

@@ -31,7 +31,7 @@ def ratio(num: str, den: str) -> str:
 
 
 def r4(x: str) -> str:
-    return f"round(CAST({x} AS DOUBLE) + 3e-7, 4)"
+    return f"(round(CAST({x} AS DOUBLE) + 3e-7, 4) + 0.0::DOUBLE)"
 
 
 def dbl(v) -> str:

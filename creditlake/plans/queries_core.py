@@ -131,7 +131,7 @@ def q_master(spark, sf):
 
 
 @register("j4_join_coverage", with_ctes("""
-SELECT source, matched, n_app, round(CAST(matched AS DOUBLE) / n_app + 3e-7, 4) AS match_rate FROM (
+SELECT source, matched, n_app, (round(CAST(matched AS DOUBLE) / n_app + 3e-7, 4) + 0.0::DOUBLE) AS match_rate FROM (
   SELECT 'bureau' AS source, count(DISTINCT a.SK_ID_CURR) FILTER (WHERE b.SK_ID_CURR IS NOT NULL) AS matched FROM application a LEFT JOIN bureau_agg b USING (SK_ID_CURR)
   UNION ALL SELECT 'previous_app', count(*) FILTER (WHERE b.SK_ID_CURR IS NOT NULL) FROM application a LEFT JOIN prev_agg b USING (SK_ID_CURR)
   UNION ALL SELECT 'credit_card', count(*) FILTER (WHERE b.SK_ID_CURR IS NOT NULL) FROM application a LEFT JOIN cc_agg b USING (SK_ID_CURR)
@@ -287,7 +287,7 @@ def q_s1(spark, sf):
 
 
 @register("s3_semicolon_csv", with_ctes(
-    "SELECT age, income_band, round(balance + 3e-7, 4) AS balance FROM bank_marketing", "bank_marketing"))
+    "SELECT age, income_band, (round(balance + 3e-7, 4) + 0.0::DOUBLE) AS balance FROM bank_marketing", "bank_marketing"))
 def q_s3(spark, sf):
     """S3: ';'-separated survey file; an absent file yields an empty frame."""
     path = IO.write_csv(role(spark, sf, "bank_marketing"), IO.shared_path(spark, f"marketing_{_tag(sf)}"), sep=";")
