@@ -138,15 +138,17 @@ def fill_with_medians(df: DataFrame, cols: list[str], exact: bool = True) -> Dat
 
 def label_encode(df: DataFrame, cols: list[str]) -> DataFrame:
     """``<c>_enc`` = rank of the value among the sorted distinct values (null
-    encoded as the string "nan"), source columns dropped. The code table is one
-    row per distinct value of a categorical column; the join back is planned by
-    Catalyst from its size (broadcast when small, shuffle otherwise)."""
-    from pyspark.sql import Window
+    encoded as the string "nan"), source columns dropped. The rank is a
+    distributed running count over the distinct values (range-partitioned, no
+    single-task window), and the code table — one row per distinct value — is
+    joined back with the strategy Catalyst picks from its size."""
+    from ..functions.cumulative import running_totals
     out = df
     for c in cols:
         v = F.coalesce(F.col(c).cast("string"), F.lit("nan"))
-        codes = (df.select(v.alias("__v")).distinct()
-                   .withColumn(f"{c}_enc", (F.dense_rank().over(Window.orderBy("__v")) - 1).cast("int")))
+        distinct = df.select(v.alias("__v")).distinct().withColumn("__one", F.lit(1))
+        codes = running_totals(distinct, "__v", ["__one"]).select(
+            "__v", (F.col("cum___one") - 1).cast("int").alias(f"{c}_enc"))
         out = out.withColumn("__v", v).join(codes, "__v", "left").drop("__v")
     return out.drop(*cols)
 
