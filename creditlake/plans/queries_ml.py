@@ -13,7 +13,6 @@ from ..session import cut_lineage
 from ..sources.roles import role
 from . import master as M
 from .oracle import FEATURE_TYPES, r4, with_ctes
-from .queries_core import MASTER_TYPES
 from .registry import register
 
 MODEL_COLS = [c for c in list(FEATURE_TYPES) + RAW_FEATURES

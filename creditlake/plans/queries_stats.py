@@ -13,7 +13,7 @@ from ..operators import economics as EC
 from ..operators import metrics as ME
 from ..operators import stats as ST
 from ..operators.cleaning import exact_quantiles
-from ..operators.features import DEMOGRAPHICS, ENGINEERED
+from ..operators.features import ENGINEERED
 from ..sources.roles import role
 from . import master as M
 from .oracle import r4, segment_label_sql, with_ctes
