@@ -46,9 +46,10 @@ def prepare_model_data(df: DataFrame, exact: bool = True) -> tuple[DataFrame, li
     base = df.select(KEY, F.col(TARGET).cast("int").alias(TARGET),
                      *[clean_num(F.col(c).cast("double")).alias(c) for c in cols])
     base = base.withColumn("is_train", split_bucket() < TRAIN_SHARE)
-    med = quantile_frame(base.where("is_train"), [(c, 0.5, f"{c}__med") for c in cols], exact)
-    filled = with_scalars(base, med).select(
-        KEY, TARGET, "is_train", *[F.coalesce(F.col(c), F.col(f"{c}__med")).alias(c) for c in cols])
+    # one row of training medians (one scalar per feature) → literal fills
+    med = quantile_frame(base.where("is_train"), [(c, 0.5, f"{c}__med") for c in cols], exact).first()
+    filled = base.select(KEY, TARGET, "is_train",
+                         *[F.coalesce(F.col(c), F.lit(med[f"{c}__med"]).cast("double")).alias(c) for c in cols])
     return filled, cols
 
 

@@ -17,7 +17,8 @@ def app_clean(spark, sf):
     """C8 cleaned application, written once per session (four marts and the
     cohort tests read it; the imputation needs two statistics passes)."""
     return M.materialized(spark, ("app_clean", sf),
-                          lambda: clean_application(role(spark, sf, "application"), exact=exact_quantiles(spark)))
+                          lambda: clean_application(role(spark, sf, "application"), exact=exact_quantiles(spark)),
+                          checkpoint=False)
 
 
 def scored(spark, sf):

@@ -37,7 +37,8 @@ def prepared(spark, sf):
     """M12 model matrix (train-only medians), written once per session."""
     cols = MD.model_feature_columns(M.model_table(spark, sf))
     df = M.materialized(spark, ("prepared", sf),
-                        lambda: MD.prepare_model_data(M.model_table(spark, sf), exact_quantiles(spark))[0])
+                        lambda: MD.prepare_model_data(M.model_table(spark, sf), exact_quantiles(spark))[0],
+                        checkpoint=False)
     return df, cols
 
 
