@@ -126,8 +126,10 @@ def q_m3(spark, sf):
 @register("m3_anova_pvalues", None)
 def q_m3p(spark, sf):
     """M3 + G4 + E18: ANOVA with p-values and stars."""
+    from ..operators.marts import dimension_label
     out = ST.anova_two_groups(M.features_table(spark, sf), TARGET, DIMENSION_SCORES, with_p=True)
-    return out.withColumn("stars", pvalue_stars("p_value"))
+    return (out.withColumns({"dimension": dimension_label(F.col("column_name")), "stars": pvalue_stars("p_value")})
+               .orderBy(F.desc("f_stat")))
 
 
 @register("m5_kruskal_wallis", with_ctes(f"""

@@ -58,7 +58,7 @@ def materialize_or_reuse(spark: SparkSession, path: str, build) -> DataFrame:
     """Read the table at ``path`` when it exists, else build, write and read back."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path.suffix("/_SUCCESS")) and not fs.exists(jvm_path):
+    if not fs.exists(jvm_path.suffix("/_SUCCESS")):      # absent or an interrupted write
         write_parquet(build(), path)
     return spark.read.parquet(path)
 
