@@ -6,6 +6,7 @@ writes its own partition files in parallel — nothing is collected to the drive
 """
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -20,11 +21,18 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, sep: str
     return df.limit(row_cap) if row_cap is not None else df
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists (a file listing through the public reader API)."""
+    try:
+        spark.read.format("text").load(path)
+        return True
+    except AnalysisException:
+        return False
+
+
 def read_csv_or_empty(spark: SparkSession, path: str, schema: StructType | str, sep: str = ";") -> DataFrame:
     """S3: custom-delimiter CSV; an empty frame with the schema when the path is absent."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path):
+    if not _exists(spark, path):
         return spark.createDataFrame([], schema)
     return read_csv(spark, path, schema, sep=sep)
 
@@ -56,9 +64,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def materialize_or_reuse(spark: SparkSession, path: str, build) -> DataFrame:
     """Read the table at ``path`` when it exists, else build, write and read back."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path.suffix("/_SUCCESS")):      # absent or an interrupted write
+    if not _exists(spark, path.rstrip("/") + "/_SUCCESS"):      # absent or an interrupted write
         write_parquet(build(), path)
     return spark.read.parquet(path)
 
