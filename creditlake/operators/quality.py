@@ -106,3 +106,19 @@ def join_coverage(app: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
     cov = with_scalars(reduce(DataFrame.unionByName, parts), n_app)
     return cov.select("source", "matched", "n_app",
                       (F.col("matched") / F.col("n_app")).alias("match_rate"))
+
+
+COVERAGE_MARKERS = {"bureau": "bureau_credit_count", "previous_app": "prev_app_count",
+                    "credit_card": "cc_month_count", "installments": "inst_count", "pos_cash": "pos_month_count"}
+
+
+def join_coverage_from_master(master: DataFrame, markers: dict[str, str] = COVERAGE_MARKERS) -> DataFrame:
+    """J4 on the built master: a child's count column is non-null exactly when the
+    customer matched that child aggregate, so every match rate comes from one
+    pass over the customer-grain master (no aggregate is recomputed)."""
+    wide = master.agg(F.count(F.lit(1)).alias("n_app"),
+                      *[F.count(F.col(c)).alias(f"m_{i}") for i, c in enumerate(markers.values())])
+    rows = [F.struct(F.lit(name).alias("source"), F.col(f"m_{i}").alias("matched"))
+            for i, name in enumerate(markers)]
+    return wide.select("n_app", F.inline(F.array(*rows))).select(
+        "source", "matched", "n_app", (F.col("matched") / F.col("n_app")).alias("match_rate"))

@@ -139,9 +139,8 @@ SELECT source, matched, n_app, (round(CAST(matched AS DOUBLE) / n_app + 3e-7, 4)
   UNION ALL SELECT 'pos_cash', count(*) FILTER (WHERE b.SK_ID_CURR IS NOT NULL) FROM application a LEFT JOIN pos_agg b USING (SK_ID_CURR)
 ) t, (SELECT count(*) AS n_app FROM application) n""", "application", "bureau_agg", "prev_agg", "cc_agg", "inst_agg", "pos_agg"))
 def q_coverage(spark, sf):
-    """True match rate per child aggregate."""
-    roles = load_roles(spark, sf)
-    return Q.join_coverage(roles["application"], M.child_aggregates(roles))
+    """True match rate per child aggregate (one pass over the built master)."""
+    return Q.join_coverage_from_master(M.master_table(spark, sf))
 
 
 # ------------------------------------------------------------------ C: cleaning / quality
