@@ -106,10 +106,15 @@ def breakeven(scored: DataFrame, segment: str = TARGET_SEGMENT) -> DataFrame:
     markets = market_by_segment(scored).where(F.col("segment_label") == segment)
     proj = project(markets, grid)
     res = npv_roi(proj, ["scenario", "penetration"])
-    first = res.where(F.col("roi") >= 1.0).agg(F.min("penetration").alias("breakeven_penetration"))
+    # first grid point with ROI >= 1; when none reaches it the search ends on the
+    # last grid point, whose path is then reported (as the original grid loop does)
+    first = res.agg(F.min(F.when(F.col("roi") >= 1.0, F.col("penetration"))).alias("__hit"),
+                    F.max("penetration").alias("__last"))
+    first = first.select(F.coalesce("__hit", "__last").alias("breakeven_penetration"),
+                         F.col("__hit").isNotNull().alias("breakeven_reached"))
     path = proj.join(F.broadcast(first), F.col("penetration") == F.col("breakeven_penetration"))
     w = Window.partitionBy("scenario").orderBy("year").rowsBetween(Window.unboundedPreceding, 0)
-    return path.select("breakeven_penetration", "year", "net_benefit_m",
+    return path.select("breakeven_penetration", "breakeven_reached", "year", "net_benefit_m",
                        F.sum("net_benefit_m").over(w).alias("cumulative_net_m"))
 
 

@@ -389,8 +389,10 @@ def _breakeven_rows():
 @register("b5_breakeven", with_ctes(f"""
 , pl AS ({_pl_sql(_breakeven_rows(), WHERE_TARGET)}),
 res AS ({_npv_sql('scenario, penetration')} FROM pl GROUP BY scenario, penetration),
-fb AS (SELECT min(penetration) AS bp FROM res WHERE CASE WHEN total_cost_m > 0 THEN npv_m / total_cost_m ELSE 0.0 END >= 1.0)
-SELECT {r4('fb.bp')} AS breakeven_penetration, pl.year, {r4('pl.net_benefit_m')} AS net_benefit_m,
+hit AS (SELECT min(CASE WHEN (CASE WHEN total_cost_m > 0 THEN npv_m / total_cost_m ELSE 0.0 END) >= 1.0 THEN penetration END) AS h,
+   max(penetration) AS l FROM res),
+fb AS (SELECT coalesce(h, l) AS bp, h IS NOT NULL AS reached FROM hit)
+SELECT {r4('fb.bp')} AS breakeven_penetration, fb.reached AS breakeven_reached, pl.year, {r4('pl.net_benefit_m')} AS net_benefit_m,
  {r4('sum(pl.net_benefit_m) OVER (PARTITION BY pl.scenario ORDER BY pl.year ROWS UNBOUNDED PRECEDING)')} AS cumulative_net_m
 FROM pl JOIN fb ON pl.penetration = fb.bp""", "scored").replace("\n\n, pl AS", ",\npl AS", 1).replace("\n, pl AS", ",\npl AS", 1))
 def q_b5(spark, sf):

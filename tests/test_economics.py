@@ -36,3 +36,11 @@ def test_breakeven_on_grid(spark):
     res = EC.npv_roi(EC.project(_markets(spark), rows), ["penetration"])
     first = res.where("roi >= 1").agg(F.min("penetration")).first()[0]
     assert abs(first - 0.0755) < 1e-3
+
+
+def test_breakeven_operator_reports_first_grid_hit(spark):
+    from pyspark.sql import Row
+    scored = spark.createDataFrame([Row(SK_ID_CURR=i, IS_YOUNG=1, owns_realty=0) for i in range(3)])
+    # three young renters never reach ROI 1 → the last grid point is reported, flagged
+    out = EC.breakeven(scored).orderBy("year").collect()
+    assert len(out) == 3 and out[0]["breakeven_reached"] is False and abs(out[0]["breakeven_penetration"] - 0.30) < 1e-12
