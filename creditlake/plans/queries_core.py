@@ -306,3 +306,20 @@ def q_s8(spark, sf):
     """S6 + S8: master written once as parquet in the shared folder, reused after."""
     return IO.materialize_or_reuse(spark, IO.shared_path(spark, f"master_{_tag(sf)}"),
                                    lambda: M.master_table(spark, sf))
+
+
+def _winsor_sql() -> str:
+    cols = ["AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY"]
+    q = ", ".join(f"quantile_cont({c}, 0.25) AS {c}__q1, quantile_cont({c}, 0.75) AS {c}__q3" for c in cols)
+    sel = ", ".join(
+        r4(f"CASE WHEN {c} IS NULL THEN NULL ELSE least(greatest({c}, {c}__q1 - 3.0 * ({c}__q3 - {c}__q1)), "
+           f"{c}__q3 + 3.0 * ({c}__q3 - {c}__q1)) END") + f" AS {c}" for c in cols)
+    return with_ctes(f"SELECT SK_ID_CURR, {sel} FROM application, (SELECT {q} FROM application) q", "application")
+
+
+@register("c9_winsorized_money", _winsor_sql())
+def q_c9w(spark, sf):
+    """Money columns winsorized to [Q1 − 3·IQR, Q3 + 3·IQR] (clipped, never dropped)."""
+    from ..operators.cleaning import remove_outliers_iqr
+    app = role(spark, sf, "application").select(KEY, "AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY")
+    return remove_outliers_iqr(app, ["AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY"], exact=exact_quantiles(spark))
