@@ -16,7 +16,7 @@ from ..config import KEY
 from ..operators import aggregates as A
 from ..operators.cleaning import exact_quantiles, recode_days_birth, recode_days_employed
 from ..operators.features import append_raw_features, build_all_features, score_features
-from ..session import cut_lineage
+from ..session import app_key, cut_lineage
 from ..sources.roles import load_roles
 
 CHILD_ROLES = ("bureau", "bureau_balance", "previous_application", "credit_card_balance",
@@ -58,7 +58,7 @@ def materialized(spark: SparkSession, key: tuple, build, checkpoint: bool = True
     """S8 materialize-or-reuse: build once per session and input folder, cut the
     lineage with a reliable checkpoint in the cluster's ``spark.checkpoint.dir``
     (survives executor loss; never a local checkpoint), reuse afterwards."""
-    k = (spark.sparkContext.applicationId, id(spark), spark.conf.get("creditlake.quantiles.exact", "true")) + key
+    k = app_key(spark) + (spark.conf.get("creditlake.quantiles.exact", "true"),) + key
     df = _MATERIALIZED.get(k)
     if df is None:
         df = build()

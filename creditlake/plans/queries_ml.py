@@ -9,7 +9,7 @@ from ..operators import marts as MT
 from ..operators import models as MD
 from ..operators import segments as SG
 from ..operators.cleaning import exact_quantiles
-from ..session import cut_lineage
+from ..session import app_key, cut_lineage
 from ..sources.roles import role
 from . import master as M
 from .oracle import FEATURE_TYPES, r4, with_ctes
@@ -90,7 +90,7 @@ def q_m10(spark, sf):
 
 
 def _segments(spark, sf):
-    k = (spark.sparkContext.applicationId, id(spark), sf, exact_quantiles(spark))
+    k = app_key(spark) + (sf, exact_quantiles(spark))
     if k not in _SEGMENTS:
         prep = SG.cluster_input(M.feature_input(M.master_table(spark, sf)), exact_quantiles(spark))
         _SEGMENTS[k] = cut_lineage(SG.assign_segments(prep, k=3, restarts=3))
@@ -128,7 +128,7 @@ _FITTED: dict = {}
 
 def _scores(spark, sf, kind, iters=None):
     """Fit once per session, input folder and learner; later queries reuse the fit."""
-    k = (spark.sparkContext.applicationId, id(spark), sf, kind, iters, exact_quantiles(spark))
+    k = app_key(spark) + (sf, kind, iters, exact_quantiles(spark))
     if k not in _FITTED:
         model, pred, feats = MD.train_and_score(M.model_table(spark, sf), kind, iters, exact_quantiles(spark))
         _FITTED[k] = (model, cut_lineage(pred), feats)

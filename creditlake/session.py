@@ -41,10 +41,29 @@ def get_spark(master: str | None = None, app_name: str = "creditlake",
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    try:
+        spark.sparkContext.setLogLevel("ERROR")
+    except Exception:
+        pass
     return spark
 
 
+def app_key(spark: SparkSession) -> tuple:
+    """Identity of the running application and session (for per-session reuse)."""
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # Spark Connect sessions expose no SparkContext
+        app = spark.conf.get("spark.app.id", "")
+    return (app, id(spark))
+
+
+def _set_context_checkpoint_dir(spark: SparkSession, path: str) -> None:
+    try:
+        spark.sparkContext.setCheckpointDir(path)
+    except Exception:  # Spark Connect: the session conf is the only handle
+        pass
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
@@ -53,11 +72,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        spark.sparkContext.setCheckpointDir(configured)
+        _set_context_checkpoint_dir(spark, configured)
         return configured
     local = tempfile.mkdtemp(prefix="creditlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
+    _set_context_checkpoint_dir(spark, local)
     return local
 
 
