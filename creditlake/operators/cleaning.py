@@ -137,19 +137,33 @@ def fill_with_medians(df: DataFrame, cols: list[str], exact: bool = True) -> Dat
 
 
 def label_encode(df: DataFrame, cols: list[str]) -> DataFrame:
-    """``<c>_enc`` = rank of the value among the sorted distinct values (null
-    encoded as the string "nan"), source columns dropped. The rank is a
-    distributed running count over the distinct values (range-partitioned, no
-    single-task window), and the code table — one row per distinct value — is
-    joined back with the strategy Catalyst picks from its size."""
+    """``<c>_enc`` = rank of the value among the sorted distinct values of its
+    column (null encoded as the string "nan"), source columns dropped.
+
+    The distinct (column, value) pairs of all columns are ranked in ONE
+    distributed running count ordered by (column, value) — range-partitioned,
+    no single-task window — and each column's offset (distinct values of the
+    columns before it, a table of one row per column) is subtracted. The code
+    table is joined back per column with the strategy Catalyst picks."""
+    from pyspark.sql import Window
     from ..functions.cumulative import running_totals
+    if not cols:
+        return df
+    vals = {c: F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in cols}
+    pairs = (df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("__c"), vals[c].alias("__v"))
+                                          for i, c in enumerate(cols)])))
+               .distinct()
+               .withColumns({"__key": F.struct("__c", "__v"), "__one": F.lit(1)}))
+    ranked = running_totals(pairs, "__key", ["__one"])
+    sizes = pairs.groupBy("__c").agg(F.count(F.lit(1)).alias("__size"))
+    offsets = sizes.withColumn("__before", F.coalesce(
+        F.sum("__size").over(Window.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    codes = (ranked.join(F.broadcast(offsets.select("__c", "__before")), "__c")
+                   .select("__c", "__v", (F.col("cum___one") - F.col("__before") - 1).cast("int").alias("__code")))
     out = df
-    for c in cols:
-        v = F.coalesce(F.col(c).cast("string"), F.lit("nan"))
-        distinct = df.select(v.alias("__v")).distinct().withColumn("__one", F.lit(1))
-        codes = running_totals(distinct, "__v", ["__one"]).select(
-            "__v", (F.col("cum___one") - 1).cast("int").alias(f"{c}_enc"))
-        out = out.withColumn("__v", v).join(codes, "__v", "left").drop("__v")
+    for i, c in enumerate(cols):
+        col_codes = codes.where(F.col("__c") == i).select(F.col("__v"), F.col("__code").alias(f"{c}_enc"))
+        out = out.withColumn("__v", vals[c]).join(col_codes, "__v", "left").drop("__v")
     return out.drop(*cols)
 
 
