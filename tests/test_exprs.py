@@ -66,3 +66,22 @@ def test_null_comparison_counts_as_false_but_stays_in_denominator(spark):
 def test_tie_safe_rounding(spark):
     df = spark.createDataFrame([(0.12345,), (2.5e-5,)], "x double")
     assert [r[0] for r in df.select(r4("x")).collect()] == [0.1235, 0.0]
+
+
+def test_with_scalars_attaches_one_row_without_join(spark):
+    from creditlake.functions.exprs import with_scalars
+    df = spark.createDataFrame([(1.0,), (3.0,), (5.0,)], "x double")
+    stats = df.agg(F.avg("x").alias("mx"), F.max("x").alias("hx"))
+    out = with_scalars(df, stats)
+    assert [(r["x"], r["mx"], r["hx"]) for r in out.orderBy("x").collect()] == [(1.0, 3.0, 5.0), (3.0, 3.0, 5.0),
+                                                                                (5.0, 3.0, 5.0)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_literal_rows_explode_grid(spark):
+    from creditlake.functions.exprs import literal_rows
+    df = spark.createDataFrame([("a",), ("b",)], "k string")
+    g = df.select("k", F.explode(literal_rows([(1, 0.5), (2, 1.5)], [("i", "int"), ("v", "double")])).alias("g"))
+    assert sorted((r["k"], r["g"]["i"], r["g"]["v"]) for r in g.collect()) == [
+        ("a", 1, 0.5), ("a", 2, 1.5), ("b", 1, 0.5), ("b", 2, 1.5)]
