@@ -2,10 +2,10 @@
 
 The text's words (A-Z lower-cased) joined by spaces and ended by a line feed are
 predicted byte by byte. A trie of contexts of up to ORDER bytes holds the symbol
-counts of all training documents. A symbol costs its share in the longest known
-context; if it was never seen there, an escape (number of distinct symbols over
-count + distinct) leads to the next shorter context, where the symbols of the
-longer one are excluded; the last resort is uniform over the bytes left. The
+counts of all training documents. In the longest known context, of count T with
+D distinct symbols, a symbol seen n times has probability (2n - 1) / 2T; one never
+seen there escapes with D / 2T to the next shorter context, where the symbols of
+the longer one are excluded; the last resort is uniform over the bytes left. The
 model is pretrained and static, so a symbol's cost depends on the gram of ORDER
 context bytes and the symbol alone.
 
@@ -13,8 +13,8 @@ That makes scoring an aggregate join: grams and words are counted map-side over
 all documents; each distinct gram is priced once, in groups that share their last
 two context bytes (their longer contexts all end in them; the tables for one and
 no byte have 65,792 entries at most and are shipped to the tasks); a document
-sums the prices of its grams. The HEAD most frequent grams and words (a fixed
-number) are broadcast; all others go through a shuffle join, so the tables may
+sums the prices of its grams. The most frequent grams and words (HEAD_GRAMS and
+HEAD_WORDS at most) are broadcast; all others go through a shuffle join, so the tables may
 grow with the corpus. Tail keys are rare by construction, so none is hot.
 
 Edge cases: null and empty texts are scored as the end symbol alone; repeated
@@ -40,8 +40,9 @@ from .common import fold_of, runs_in_tasks, stored, text_of
 
 runs_in_tasks(__name__)
 
-ORDER = 4
-HEAD = 300_000
+ORDER = 5
+HEAD_WORDS = 300_000
+HEAD_GRAMS = 1_000_000
 SLICE = 1 << 21
 GROUP = 50_000
 END = 10
@@ -71,27 +72,28 @@ def _counted(grams: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.nda
     return keys, np.bincount(at, np.concatenate(weights), len(keys)).astype(np.int64)
 
 
+def _add_up(buffer: list[np.ndarray], total: tuple[list, list], weight: int) -> None:
+    """Move the grams of ``buffer`` to ``total`` as distinct ones with counts."""
+    if not buffer:
+        return
+    keys, n = np.unique(np.concatenate(buffer), return_counts=True)
+    buffer.clear()
+    total[0].append(keys)
+    total[1].append(n.astype(np.int64) * weight)
+    if sum(map(len, total[0])) > 4_000_000:
+        keys, n = _counted(*total)
+        total[0][:], total[1][:] = [keys], [n]
+
+
 def corpus_counts(rows: DataFrame) -> DataFrame:
     """kind, word, gram, n (in training documents) of every word of the training
     documents and every gram of all documents. ``rows``: text, held_out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, buffered = Counter(), 0
-        grams: list[np.ndarray] = []
-        known: list[np.ndarray] = []
+        buffers: tuple[list, list] = ([], [])  # grams of training and of held-out documents
         total: tuple[list, list] = ([], [])
 
-        def reduce_grams():
-            # the sums over training positions; grams of held-out ones enter with 0
-            keys, at = np.unique(np.concatenate(grams), return_inverse=True)
-            total[0].append(keys)
-            total[1].append(np.bincount(at, np.concatenate(known), len(keys)).astype(np.int64))
-            if sum(map(len, total[0])) > 2_000_000:
-                keys, n = _counted(*total)
-                total[0][:], total[1][:] = [keys], [n]
-            grams.clear()
-            known.clear()
-
         def emit_words():
             out = pa.RecordBatch.from_arrays([
                 pa.array(np.full(len(words), WORD_ROW, np.int8)), pa.array(list(words.keys()), pa.binary()),
@@ -116,18 +118,18 @@ def corpus_counts(rows: DataFrame) -> DataFrame:
                     words.update(line)
                 for part in _slices(line):
                     codes = gram_codes(part)
-                    grams.append(codes)
-                    known.append(np.full(len(codes), 0.0 if held else 1.0))
+                    buffers[held].append(codes)
                     buffered += len(codes)
                     if buffered >= SLICE:
-                        reduce_grams()
+                        _add_up(buffers[0], total, 1)
+                        _add_up(buffers[1], total, 0)
                         buffered = 0
                 if len(words) > 300_000:
                     yield emit_words()
-            if sum(map(len, total[0])) > 4_000_000:
+            if sum(map(len, total[0])) > 3_000_000:
                 yield from emit_grams()
-        if grams:
-            reduce_grams()
+        _add_up(buffers[0], total, 1)
+        _add_up(buffers[1], total, 0)
         if words:
             yield emit_words()
         if total[0]:
@@ -155,8 +157,7 @@ def price(codes: np.ndarray, n: np.ndarray, one: np.ndarray, none: np.ndarray) -
     tables = []  # per order, longest first: context -> {symbol: count}
     full, at = np.unique(codes[seen] >> 8, return_inverse=True)
     count = np.bincount(at, n[seen], len(full))
-    distinct = np.bincount(at, minlength=len(full))
-    out[seen] = np.log10(n[seen] / (count + distinct)[at])
+    out[seen] = np.log10((2 * n[seen] - 1) / (2 * count)[at])
     unseen = np.flatnonzero(n == 0)
     if not len(unseen):
         return out
@@ -179,9 +180,9 @@ def price(codes: np.ndarray, n: np.ndarray, one: np.ndarray, none: np.ndarray) -
             left = {j: c for j, c in node.items() if j not in gone}
             if not left:
                 continue
-            whole = sum(left.values()) + len(left)
+            whole = 2 * sum(left.values())
             if s in left:
-                cost += math.log10(left[s] / whole)
+                cost += math.log10((2 * left[s] - 1) / whole)
                 break
             cost += math.log10(len(left) / whole)
             gone.update(left)
@@ -218,7 +219,8 @@ def _most_frequent(counts: DataFrame, head: int) -> pa.Table:
     return counts.filter(level >= least).toArrow()
 
 
-def document_scores(docs: DataFrame, modulus: int = 7, held: int = 2, head: int = HEAD) -> DataFrame:
+def document_scores(docs: DataFrame, modulus: int = 7, held: int = 2, head_words: int = HEAD_WORDS,
+                    head_grams: int = HEAD_GRAMS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"),
@@ -232,7 +234,7 @@ def document_scores(docs: DataFrame, modulus: int = 7, held: int = 2, head: int
     grams = counts.filter(F.col("kind") == GRAM_ROW).select("gram", "n")
     prices = stored(gram_prices(grams, grams.count()), "lm-prices")
 
-    top_words, top_grams = _most_frequent(words, head), _most_frequent(prices, head)
+    top_words, top_grams = _most_frequent(words, head_words), _most_frequent(prices, head_grams)
     keys = top_grams.column("gram").to_numpy()
     order = np.argsort(keys)
     shipped = spark.sparkContext.broadcast((
