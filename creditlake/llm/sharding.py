@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_documents, one_row_per_copy, prefix_sums, text_of, with_row_key
+from .common import attach_documents, one_row_per_copy, prefix_sums, stored, text_of, with_row_key
 
 BUCKETS = 1024
 ROUNDS = 6
@@ -56,8 +56,8 @@ def place(df: DataFrame, number: str, total: str, shards: int, seed: int) -> Dat
 
 def assign_shards(rows: DataFrame, key: list[str], shards: int, seed: int = 17) -> DataFrame:
     """One row per input row: the ``key`` columns, ``row_number``, ``shard``, ``slot``."""
-    distinct = (rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
-                .withColumn("__bucket", F.pmod(F.xxhash64(*key), F.lit(BUCKETS))))
+    distinct = stored(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
+                      .withColumn("__bucket", F.pmod(F.xxhash64(*key), F.lit(BUCKETS))), "shard-keys")
     numbered = prefix_sums(distinct, "__n", "__bucket", key, "__first")
     total = distinct.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__total"))
     copies = one_row_per_copy(numbered, "__n", "__copy").withColumns(
