@@ -29,9 +29,11 @@ SEED = 17
 
 
 def sized(docs: DataFrame, *more) -> DataFrame:
-    """doc_id, source, size (words) and further columns."""
+    """doc_id, source, size (words) and further columns, written to the shared
+    folder: sizes are read several times, the texts once."""
     source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string").alias("source")
-    return docs.select("doc_id", source, F.regexp_count(text_of(docs), F.lit(WORD)).cast("long").alias("size"), *more)
+    return stored(docs.select("doc_id", source, F.regexp_count(text_of(docs), F.lit(WORD)).cast("long").alias("size"),
+                              *more), "mix-sizes")
 
 
 def cycled_weights(sizes: DataFrame, weights: tuple[int, ...]) -> DataFrame:
