@@ -37,7 +37,7 @@ runs_in_tasks(__name__)
 CAPACITY = 2048
 END_ID = 0
 BUCKETS = 1024
-CACHED_WORDS = 200_000
+CACHED_WORDS = 500_000
 CACHED_BYTES = 48
 
 
@@ -50,28 +50,43 @@ class _Encoder:
     """Token ids of a text as little-endian unsigned 32-bit bytes.
 
     The tokenizer's white space ends every unit it encodes, so a text's ids are
-    those of its space-separated words in turn; frequent words come from a cache.
+    those of its space-separated words in turn. Words come from a cache of two
+    generations: when the young one is full it becomes the old one, so words in
+    use stay and memory is bounded.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    @classmethod
+    def of_process(cls, path: str) -> "_Encoder":
+        """The encoder of this worker process, which serves many tasks in turn."""
+        import tokenizers
+        held = tokenizers.__dict__.setdefault("_word_encoders", {})
+        if path not in held:
+            held[path] = cls(path)
+        return held[path]
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         words = [t.encode("utf-8").split() for t in texts]
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        known = self.cache
-        new = list({w for line in words for w in line if w not in known})
-        fresh = {}
+        if len(self.young) > CACHED_WORDS:
+            self.old, self.young = self.young, {}
+        young, old, long, new = self.young, self.old, {}, []
+        for w in set().union(*words):
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    new.append(w)
         for i in range(0, len(new), 10_000):
             some = new[i:i + 10_000]
             for w, e in zip(some, self.tokenizer.encode_batch([w.decode("utf-8") for w in some], add_special_tokens=False)):
-                ids = np.array(e.ids, "<u4").tobytes()
-                (known if len(w) <= CACHED_BYTES else fresh)[w] = ids
+                (young if len(w) <= CACHED_BYTES else long)[w] = np.array(e.ids, "<u4").tobytes()
         for line in words:
-            yield b"".join([known[w] if w in known else fresh[w] for w in line])
+            yield b"".join([young[w] if w in young else long[w] for w in line])
 
 
 def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID,
@@ -85,7 +100,7 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        encode = _Encoder(tokenizer)
+        encode = _Encoder.of_process(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
