@@ -150,8 +150,9 @@ def fit(rows: DataFrame, max_docs: int = MAX_DOCS, precision: float = PRECISION)
     """Fit on the candidates of a hash sample of ``rows`` (with ``__text``, ``base``)."""
     total = rows.count()
     part = F.pmod(F.xxhash64("__text", F.lit("pii")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, max_docs / max(1, total)))
-    found = candidates(base_spans(rows.filter(part))).select(F.explode("cands").alias("c"), F.xxhash64("__text").alias("t"))
-    found = found.filter("c.same or not c.hit")
+    # outer: an inner explode adds a filter that would push the whole scan into itself
+    found = candidates(base_spans(rows.filter(part))).select(F.explode_outer("cands").alias("c"), F.xxhash64("__text").alias("t"))
+    found = found.filter("c.start is not null and (c.same or not c.hit)")
     found = stored(found.select("c.kind", "c.f", F.col("c.same").cast("double").alias("label"),
                                 (F.pmod(F.xxhash64("t", "c.start"), F.lit(4)) == 0).alias("fold")), "pii-candidates")
     fitted = found.filter("not fold")
