@@ -255,7 +255,7 @@ def brute_spans(t):
 
 def test_personal_data(spark):
     texts = [t for _, t, _ in ROWS] + [PRIVATE * 300, "a@" + "b." * 5000 + "c", "1" * 4000, "x.y" * 3000, "+1" + " " * 3000]
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     for r in pii.document_spans(rows).collect():
         base = brute_spans(texts[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
