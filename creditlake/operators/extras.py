@@ -16,7 +16,7 @@ from ..config import DAYS_PER_YEAR, KEY
 
 def income_stability_cv(inst: DataFrame) -> DataFrame:
     """Coefficient of variation of the payment stream (income regularity proxy)."""
-    return inst.groupBy(KEY).agg((F.stddev_samp("AMT_PAYMENT") / F.avg("AMT_PAYMENT")).alias("income_stability_cv"))
+    return inst.groupBy(KEY).agg(F.try_divide(F.stddev_samp("AMT_PAYMENT"), F.avg("AMT_PAYMENT")).alias("income_stability_cv"))
 
 
 def card_spending(cc: DataFrame) -> DataFrame:

@@ -249,8 +249,8 @@ def balance_proxy(scored: DataFrame, marketing: DataFrame) -> DataFrame:
 def feature_actions(importance: DataFrame, actions: DataFrame) -> DataFrame:
     """Feature → (dimension, product action) with defaults."""
     return (importance.join(F.broadcast(actions), "feature", "left")
-                      .withColumns({"dimension": F.coalesce("dimension", F.lit("Other")),
-                                    "action": F.coalesce("action", F.lit("Monitor this signal"))}))
+                      .withColumns({"dimension": F.coalesce("dimension", F.lit("General")),
+                                    "action": F.coalesce("action", F.lit("Monitor trend over time"))}))
 
 
 def dashboard_filter(scored: DataFrame, segment: str | None = None, age_range=AGE_FILTER) -> DataFrame:

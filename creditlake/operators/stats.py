@@ -130,7 +130,7 @@ def kruskal_wallis(df: DataFrame, value_col: str, group_col: str) -> DataFrame:
                                            F.lit(0.0)) - 3 * (big_n + 1)
     corr = 1 - F.col("ties") / (big_n ** 3 - big_n)
     return per.select(F.lit(value_col).alias("column_name"), F.lit(len(groups)).alias("k"),
-                      F.col("N").alias("n"), (h / corr).alias("h_stat"))
+                      F.col("N").alias("n"), F.try_divide(h, corr).alias("h_stat"))
 
 
 def correlation_with(df: DataFrame, target: str, cols: list[str]) -> DataFrame:
