@@ -328,7 +328,14 @@ def test_toxicity_learns_and_swaps(spark):
     held = [r for r in rows if got[r[0]].held_out]
     assert held and sum(got[r[0]].predicted == r[2] for r in held) >= 0.97 * len(held)
     assert all(0 <= r.score <= 1 for r in got.values()) and got[9998].predicted == 0
-    train = docs.join(labels.withColumnRenamed("toxic", "label"), "doc_id")
+
+
+def test_swaps_close_the_gap_between_groups(spark):
+    """One group named mostly in toxic rows, its counterpart mostly in clean ones."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(rng.choice(["ab", "cd", "ef", "gh", "ij"], 6)) + (" muslims." if (i % 2 == 1) == (i % 7 > 1) else " christians."),
+             i % 2) for i in range(600)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, label int")
     loose, tight = (toxicity.fit(train, swap_weight=w).weights() for w in (1e-6, 5.0))
     gap = lambda w: abs(w.get("muslims", 0.0) - w.get("christians", 0.0))
     assert gap(tight) < gap(loose)
