@@ -59,7 +59,8 @@ def missing_stats(df: DataFrame, cols: list[str] | None = None, exact: bool = Tr
 
 def handle_missing_values(df: DataFrame, protect=(KEY, TARGET), exact: bool = True) -> DataFrame:
     """Drop columns more than 80 % missing; numeric ← median, string ← mode
-    (or "MISSING" when the column has no value at all). The decision which
+    (or "MISSING" when the column has no value at all). A filled whole-number column
+    becomes double, as a median can be fractional. The decision which
     columns to drop needs the shares, so one aggregate runs here (a single
     row comes back); the fills stay lazy in the returned plan."""
     cols = [c for c in df.columns if c not in protect]
@@ -72,7 +73,7 @@ def handle_missing_values(df: DataFrame, protect=(KEY, TARGET), exact: bool = Tr
             continue
         if f"{c}__med" in stats:
             if stats[f"{c}__med"] is not None:
-                fills[c] = F.coalesce(F.col(c), F.lit(stats[f"{c}__med"]).cast(df.schema[c].dataType))
+                fills[c] = F.coalesce(F.col(c).cast("double"), F.lit(float(stats[f"{c}__med"])))
         else:
             mode = stats[f"{c}__mode"]
             fills[c] = F.coalesce(F.col(c), F.lit(mode if mode is not None else "MISSING"))

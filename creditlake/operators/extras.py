@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DAYS_PER_YEAR, KEY
+from ..functions.exprs import ratio
 
 
 def income_stability_cv(inst: DataFrame) -> DataFrame:
@@ -21,12 +22,13 @@ def income_stability_cv(inst: DataFrame) -> DataFrame:
 
 def card_spending(cc: DataFrame) -> DataFrame:
     """Non-essential (ATM + other) share of drawings; utilization trend (W5) as the
-    least-squares slope of monthly utilization over the month index."""
+    least-squares slope of monthly utilization over the month index. Unknown
+    drawings or limits give no value."""
     non_ess = F.coalesce(F.col("AMT_DRAWINGS_ATM_CURRENT"), F.lit(0.0)) + F.coalesce(
         F.col("AMT_DRAWINGS_OTHER_CURRENT"), F.lit(0.0))
-    util = F.col("AMT_BALANCE") / F.greatest(F.col("AMT_CREDIT_LIMIT_ACTUAL"), F.lit(1))
+    util = ratio("AMT_BALANCE", "AMT_CREDIT_LIMIT_ACTUAL")
     return cc.groupBy(KEY).agg(
-        (F.sum(non_ess) / F.greatest(F.sum("AMT_DRAWINGS_CURRENT"), F.lit(1))).alias("non_essential_spending_ratio"),
+        ratio(F.sum(non_ess), F.sum("AMT_DRAWINGS_CURRENT")).alias("non_essential_spending_ratio"),
         F.regr_slope(util, F.col("MONTHS_BALANCE").cast("double")).alias("credit_utilization_trend"))
 
 

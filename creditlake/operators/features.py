@@ -210,12 +210,17 @@ def build_all_features(master: DataFrame, exact: bool = True, materialize: bool
     if materialize:
         from ..session import cut_lineage
         pre = cut_lineage(pre)
+    # a whole-number feature with gaps becomes double, as its median can be fractional
+    whole = [f.name for f in cols if f.dataType.typeName() in ("integer", "long", "short", "byte")]
+    gaps = pre.agg(F.count(F.lit(1)), *[F.count_if(F.col(c).isNull()).alias(c) for c in whole]).first()
+    kinds = {f.name: "double" if f.name in whole and gaps[f.name] else f.dataType for f in cols}
+    if materialize:
         # one row of medians (one scalar per feature, bounded by the column count)
         row = quantile_frame(pre, specs, exact).first()
-        filled = {f.name: F.coalesce(F.col(f.name), F.lit(row[f"{f.name}__med"]).cast(f.dataType)) for f in cols}
+        filled = {f.name: F.coalesce(F.col(f.name), F.lit(row[f"{f.name}__med"]).cast(kinds[f.name])) for f in cols}
         return pre.withColumns(filled)
     joined = with_scalars(pre, quantile_frame(pre, specs, exact))
-    filled = {f.name: F.coalesce(F.col(f.name), F.col(f"{f.name}__med").cast(f.dataType)) for f in cols}
+    filled = {f.name: F.coalesce(F.col(f.name), F.col(f"{f.name}__med").cast(kinds[f.name])) for f in cols}
     return joined.withColumns(filled).select(*pre.columns)
 
 

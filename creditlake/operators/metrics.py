@@ -79,10 +79,11 @@ def threshold_sweep(df: DataFrame, label: str = "label", score: str = "score",
 
 
 def best_threshold(sweep: DataFrame) -> DataFrame:
-    """First grid point with the maximal F1 (ties → smallest threshold)."""
+    """First grid point with the maximal F1 (ties → smallest threshold);
+    0.5 when no threshold finds a positive row."""
     return (sweep.agg(F.max_by(F.struct("threshold", "f1"),
                                F.struct(F.col("f1"), -F.col("grid_index"))).alias("b"))
-                 .select(F.col("b.threshold").alias("best_threshold"), F.col("b.f1").alias("best_f1")))
+                 .select(F.when(F.col("b.f1") > 0, F.col("b.threshold")).otherwise(0.5).alias("best_threshold"), F.col("b.f1").alias("best_f1")))
 
 
 def confusion_matrix(df: DataFrame, label: str, score: str, threshold: float) -> DataFrame:

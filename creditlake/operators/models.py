@@ -7,10 +7,13 @@ distributed metric operators in :mod:`creditlake.operators.metrics`.
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import DataFrame
@@ -33,16 +36,22 @@ def split_bucket(key: str = KEY) -> F.Column:
     return F.pmod(F.pmod(F.col(key), F.lit(1000003)) * F.lit(2654435761), F.lit(4294967296)) % 100
 
 
+def valid_fold(key: str = KEY) -> F.Column:
+    """Rows held out for early stopping, by a hash independent of the split bucket."""
+    return F.pmod(F.xxhash64(F.col(key), F.lit("validation")), F.lit(100)) < VALID_SHARE
+
+
 def model_feature_columns(df: DataFrame, extra_drop: list[str] | None = None) -> list[str]:
     """Numeric columns minus key, target and the redundancy list."""
     exclude = {KEY, TARGET, *DROP_FOR_MODELING, *(extra_drop or [])}
     return [c for c in numeric_columns(df) if c not in exclude]
 
 
-def prepare_model_data(df: DataFrame, exact: bool = True) -> tuple[DataFrame, list[str]]:
+def prepare_model_data(df: DataFrame, exact: bool = True,
+                       extra_drop: list[str] | None = None) -> tuple[DataFrame, list[str]]:
     """Features, ±inf → null, medians from the training rows only,
     train/test flag from the hash bucket (stratum ratios hold in expectation)."""
-    cols = model_feature_columns(df)
+    cols = model_feature_columns(df, extra_drop)
     base = df.select(KEY, F.col(TARGET).cast("int").alias(TARGET),
                      *[clean_num(F.col(c).cast("double")).alias(c) for c in cols])
     base = base.withColumn("is_train", split_bucket() < TRAIN_SHARE)
@@ -87,11 +96,18 @@ def kept_features(prepared: DataFrame, cols: list[str]) -> list[str]:
     return [r["feature"] for r in variance_screen(prepared, cols).where("kept").select("feature").collect()]
 
 
-def logistic_pipeline(cols: list[str], max_iter: int = 2000, c_inv_reg: float = 1.0, n_weight: float = 1.0):
-    """Scaled, class-balanced L2 logistic regression (C = 1 → regParam = 1/(C·Σw))."""
+def population_scale(n_rows: int, width: int):
+    """Factor from the sample deviation of ``StandardScaler`` to the population one."""
+    return Vectors.dense([math.sqrt(n_rows / (n_rows - 1)) if n_rows > 1 else 1.0] * width)
+
+
+def logistic_pipeline(cols: list[str], n_rows: int, max_iter: int = 2000, c_inv_reg: float = 1.0, n_weight: float = 1.0):
+    """Scaled (population deviation of the ``n_rows`` training rows), class-balanced
+    L2 logistic regression (C = 1 → regParam = 1/(C·Σw))."""
     return Pipeline(stages=[
         VectorAssembler(inputCols=cols, outputCol="raw_features", handleInvalid="keep"),
-        StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
+        StandardScaler(inputCol="raw_features", outputCol="scaled", withMean=True, withStd=True),
+        ElementwiseProduct(scalingVec=population_scale(n_rows, len(cols)), inputCol="scaled", outputCol="features"),
         LogisticRegression(featuresCol="features", labelCol=TARGET, weightCol="weight", maxIter=max_iter,
                            regParam=1.0 / (c_inv_reg * max(n_weight, 1.0)), elasticNetParam=0.0,
                            standardization=False),
@@ -118,16 +134,16 @@ def positive_probability(pred: DataFrame) -> DataFrame:
 
 
 def train_and_score(df: DataFrame, kind: str = "lr", max_iter: int | None = None,
-                    exact: bool = True) -> tuple[object, DataFrame, list[str]]:
+                    exact: bool = True, extra_drop: list[str] | None = None) -> tuple[object, DataFrame, list[str]]:
     """Fit on the training rows, return (model, test predictions with score, features)."""
-    prepared, cols = prepare_model_data(df, exact)
+    prepared, cols = prepare_model_data(df, exact, extra_drop)
     feats = kept_features(prepared, cols)
-    data = cut_lineage(with_weights(prepared).withColumn("is_valid", split_bucket() % 10 == 0))
+    data = cut_lineage(with_weights(prepared).withColumn("is_valid", valid_fold()))
     train = data.where("is_train")
     test = data.where(~F.col("is_train"))
     if kind == "lr":
-        n_w = train.agg(F.sum("weight")).first()[0] or 1.0
-        model = logistic_pipeline(feats, max_iter or 2000, n_weight=n_w).fit(train)
+        n, n_w = train.agg(F.count(F.lit(1)), F.sum("weight")).first()
+        model = logistic_pipeline(feats, n, max_iter or 2000, n_weight=n_w or 1.0).fit(train)
     elif kind == "gbt_a":
         model = gbt_pipeline(feats, max_iter or 400, "A").fit(train)
     else:
@@ -167,8 +183,8 @@ def cross_validated_lr(df: DataFrame, folds: int = 5, exact: bool = True) -> Dat
     prepared, cols = prepare_model_data(df, exact)
     feats = kept_features(prepared, cols)
     data = cut_lineage(with_weights(prepared).where("is_train")
-                       .withColumn("fold", (split_bucket() % folds).cast("int")))
-    pipe = logistic_pipeline(feats, max_iter=50)
+                       .withColumn("fold", F.pmod(F.xxhash64(F.col(KEY), F.lit("fold")), F.lit(folds)).cast("int")))
+    pipe = logistic_pipeline(feats, data.count())
     lr = pipe.getStages()[-1]
     grid = ParamGridBuilder().addGrid(lr.regParam, [1e-4, 1e-3, 1e-2]).build()
     ev = BinaryClassificationEvaluator(labelCol=TARGET, rawPredictionCol="rawPrediction", metricName="areaUnderROC")
@@ -181,17 +197,13 @@ def cross_validated_lr(df: DataFrame, folds: int = 5, exact: bool = True) -> Dat
 
 def approval_model_data(prev: DataFrame, features: DataFrame) -> DataFrame:
     """Approved (1) vs refused (0) previous applications with the customer's
-    dimension scores attached by key (customer-grain right side)."""
+    features attached by key (customer-grain right side). Features computed from the
+    previous applications themselves hold the outcome and are left out."""
     lab = (prev.where(F.col("NAME_CONTRACT_STATUS").isin("Approved", "Refused"))
                .select(KEY, "SK_ID_PREV", (F.col("NAME_CONTRACT_STATUS") == "Approved").cast("int").alias(TARGET),
                        "AMT_APPLICATION", "AMT_ANNUITY", "DAYS_DECISION", "NFLAG_LAST_APPL_IN_DAY"))
-    return lab.join(features.drop(TARGET), KEY, "left")
-
-
-def deterministic_sample(df: DataFrame, n: int, key: str = KEY) -> DataFrame:
-    """A reproducible n-row sample (order by a hash of the key, take n) — the
-    limit is the feature: attribution is computed on a fixed-size sample."""
-    return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(n)
+    leaks = [c for c in features.columns if c.startswith("prev_") or c in ("behavioral_score", "composite_score", "tier")]
+    return lab.join(features.drop(TARGET, *leaks), KEY, "left")
 
 
 def tree_importance(spark, model, feats: list[str], top_n: int = 15) -> DataFrame:

@@ -35,7 +35,8 @@ def exact_distinct(spark) -> bool:
 
 
 def data_quality_report(df: DataFrame, exact: bool = True) -> DataFrame:
-    """Per column dtype, missing %, missing n, non-null cardinality, sample skew."""
+    """Per column dtype, missing %, missing n, non-null cardinality, sample skew
+    (0 for a constant column of three values or more)."""
     num = set(numeric_columns(df))
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(df.columns):
@@ -44,7 +45,8 @@ def data_quality_report(df: DataFrame, exact: bool = True) -> DataFrame:
         aggs.append((F.count_distinct(col) if exact else F.approx_count_distinct(col)).alias(f"d{i}"))
         if c in num:
             x = col.cast("double")
-            aggs.append(sample_skew(F.skewness(x), F.count(x)).alias(f"s{i}"))
+            flat = (F.count(x) >= 3) & (F.min(x) == F.max(x))
+            aggs.append(F.when(flat, 0.0).otherwise(sample_skew(F.skewness(x), F.count(x))).alias(f"s{i}"))
         else:
             aggs.append(F.lit(None).cast("double").alias(f"s{i}"))
     wide = df.agg(*aggs)
@@ -55,7 +57,7 @@ def data_quality_report(df: DataFrame, exact: bool = True) -> DataFrame:
             for i, c in enumerate(df.columns)]
     long = wide.select("__n", F.inline(F.array(*rows)))
     return (long.select("column_name", "dtype",
-                        (F.col("missing_n") / F.col("__n") * 100).alias("missing_pct"),
+                        (F.try_divide(F.col("missing_n"), F.col("__n")) * 100).alias("missing_pct"),
                         F.col("missing_n").cast("bigint").alias("missing_n"),
                         F.col("cardinality").cast("bigint").alias("cardinality"),
                         "skew")

@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from ..config import CLUSTER_FEATURES, CLUSTER_LOG_FEATURES, KEY, YOUNG_AGE_MAX
 from ..session import cut_lineage
 from ..functions.exprs import with_scalars
 from ..functions.quantiles import quantile_frame
+from .models import population_scale
 
 # FIXED VALUES: segment names, assigned in order of decreasing average income
 SEGMENT_NAMES = ["Digitally Confident Spender", "Financially Anxious Renter", "Cautious Observer"]
@@ -23,7 +24,7 @@ _SOURCE = {"income": "AMT_INCOME_TOTAL", "credit_amt": "AMT_CREDIT", "annuity":
 
 def cluster_input(master_with_age: DataFrame, exact: bool = True) -> DataFrame:
     """Young cohort, 10 renamed features, median fill (young medians),
-    log1p on the money columns, assembled + standardized (mean 0, unit sd)."""
+    log1p on the money columns, assembled + standardized (mean 0, unit population sd)."""
     young = master_with_age.where(F.col("AGE_YEARS") < YOUNG_AGE_MAX).select(
         KEY, *[F.col(src).cast("double").alias(dst) for dst, src in _SOURCE.items()])
     med = quantile_frame(young, [(c, 0.5, f"{c}__med") for c in CLUSTER_FEATURES], exact)
@@ -32,9 +33,11 @@ def cluster_input(master_with_age: DataFrame, exact: bool = True) -> DataFrame:
     logged = filled.withColumns({c: F.log1p(c) for c in CLUSTER_LOG_FEATURES})
     vec = VectorAssembler(inputCols=CLUSTER_FEATURES, outputCol="raw", handleInvalid="keep").transform(
         logged.withColumnsRenamed({c: c for c in CLUSTER_FEATURES}))
-    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(vec)
+    scaler = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(vec)
+    widen = ElementwiseProduct(scalingVec=population_scale(vec.count(), len(CLUSTER_FEATURES)),
+                               inputCol="scaled", outputCol="features")
     raw_vals = filled.withColumnsRenamed({c: f"raw_{c}" for c in CLUSTER_FEATURES})
-    return cut_lineage(scaler.transform(vec).drop("raw").join(raw_vals, KEY))
+    return cut_lineage(widen.transform(scaler.transform(vec)).drop("raw", "scaled").join(raw_vals, KEY))
 
 
 def inertia_k1(prepared: DataFrame) -> float:

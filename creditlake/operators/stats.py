@@ -159,11 +159,11 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 def quantile_strata(df: DataFrame, value_col: str, outcome: str, n_bins: int = 10,
                     exact: bool = True) -> DataFrame:
     """M8: cut points at the 1/n … (n−1)/n quantiles (one aggregate), right-closed
-    buckets, outcome rate per bucket."""
+    buckets, outcome rate per bucket; rows without a value are in no bucket."""
     probs = [i / n_bins for i in range(1, n_bins)]
     q = quantile_frame(df, [(value_col, p, f"__c{i}") for i, p in enumerate(probs)], exact)
     cuts = q.select(F.array(*[F.col(f"__c{i}") for i in range(len(probs))]).alias("__cuts"))
-    joined = with_scalars(df, cuts)
+    joined = with_scalars(df.where(F.col(value_col).isNotNull()), cuts)
     bucket = F.aggregate(F.col("__cuts"), F.lit(0), lambda acc, c: acc + F.when(F.col(value_col) > c, 1).otherwise(0))
     return (joined.withColumn("bucket", bucket + 1)
                   .groupBy("bucket")

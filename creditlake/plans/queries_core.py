@@ -154,7 +154,7 @@ _DQ_DTYPES = {"SK_ID_CURR": "bigint", "TARGET": "int", "AMT_INCOME_TOTAL": "doub
 def _dq_sql() -> str:
     parts = []
     for c, t in _DQ_DTYPES.items():
-        skew = "skewness(CAST(" + c + " AS DOUBLE))" if t != "string" else "CAST(NULL AS DOUBLE)"
+        skew = f"CASE WHEN count({c}) >= 3 AND min({c}) = max({c}) THEN 0.0 ELSE skewness(CAST({c} AS DOUBLE)) END" if t != "string" else "CAST(NULL AS DOUBLE)"
         parts.append(f"SELECT '{c}' AS column_name, '{t}' AS dtype, "
                      f"{r4('CAST(count_if(' + c + ' IS NULL) AS DOUBLE) / count(*) * 100')} AS missing_pct, "
                      f"CAST(count_if({c} IS NULL) AS BIGINT) AS missing_n, "

@@ -255,8 +255,8 @@ FROM application a
 LEFT JOIN (SELECT SK_ID_CURR, stddev_samp(AMT_PAYMENT) / avg(AMT_PAYMENT) AS income_stability_cv
    FROM installments_payments GROUP BY 1) i USING (SK_ID_CURR)
 LEFT JOIN (SELECT SK_ID_CURR,
-   sum(coalesce(AMT_DRAWINGS_ATM_CURRENT, 0) + coalesce(AMT_DRAWINGS_OTHER_CURRENT, 0)) / greatest(sum(AMT_DRAWINGS_CURRENT), 1) AS non_essential_spending_ratio,
-   regr_slope(AMT_BALANCE / greatest(AMT_CREDIT_LIMIT_ACTUAL, 1), MONTHS_BALANCE) AS credit_utilization_trend
+   sum(coalesce(AMT_DRAWINGS_ATM_CURRENT, 0) + coalesce(AMT_DRAWINGS_OTHER_CURRENT, 0)) / CASE WHEN sum(AMT_DRAWINGS_CURRENT) IS NOT NULL THEN greatest(sum(AMT_DRAWINGS_CURRENT), 1) END AS non_essential_spending_ratio,
+   regr_slope(AMT_BALANCE / CASE WHEN AMT_CREDIT_LIMIT_ACTUAL IS NOT NULL THEN greatest(AMT_CREDIT_LIMIT_ACTUAL, 1) END, MONTHS_BALANCE) AS credit_utilization_trend
    FROM credit_card_balance GROUP BY 1) c USING (SK_ID_CURR)
 LEFT JOIN (SELECT SK_ID_CURR, -max(CASE WHEN SK_DPD > 0 THEN MONTHS_BALANCE END) AS months_since_last_overdue
    FROM pos_cash_balance GROUP BY 1) p USING (SK_ID_CURR)

@@ -84,16 +84,16 @@ def q_m9(spark, sf):
 
 @register("m10_kmeans_elbow", None)
 def q_m10(spark, sf):
-    """K-means inertia for k = 1..6 (best of 3 seeded runs per k)."""
+    """K-means inertia for k = 1..6 (best of 10 seeded runs per k)."""
     prep = SG.cluster_input(M.feature_input(M.master_table(spark, sf)), exact_quantiles(spark))
-    return SG.elbow(prep, restarts=3)
+    return SG.elbow(prep)
 
 
 def _segments(spark, sf):
     k = app_key(spark) + (sf, exact_quantiles(spark))
     if k not in _SEGMENTS:
         prep = SG.cluster_input(M.feature_input(M.master_table(spark, sf)), exact_quantiles(spark))
-        _SEGMENTS[k] = cut_lineage(SG.assign_segments(prep, k=3, restarts=3))
+        _SEGMENTS[k] = cut_lineage(SG.assign_segments(prep, k=3))
     return _SEGMENTS[k]
 
 
@@ -141,7 +141,7 @@ _SEGMENTS: dict = {}
 @register("m16_logistic_regression", None)
 def q_m16(spark, sf):
     """Class-balanced logistic regression; test-set probabilities."""
-    _, pred, _ = _scores(spark, sf, "lr", 100)
+    _, pred, _ = _scores(spark, sf, "lr")
     return pred.select(KEY, TARGET, "score")
 
 
@@ -163,14 +163,14 @@ def q_m18(spark, sf):
 def q_m25(spark, sf):
     """Models ranked by test AUC."""
     res = {name: _scores(spark, sf, kind, it)[1] for name, kind, it in
-           (("LogisticRegression", "lr", 100), ("GBT-A", "gbt_a", 40), ("GBT-B", "gbt_b", 60))}
+           (("LogisticRegression", "lr", None), ("GBT-A", "gbt_a", 40), ("GBT-B", "gbt_b", 60))}
     return MD.model_comparison(res)
 
 
 @register("m26_linear_attributions", None)
 def q_m26(spark, sf):
     """Exact per-row attributions of the linear model on the test rows."""
-    model, pred, feats = _scores(spark, sf, "lr", 100)
+    model, pred, feats = _scores(spark, sf, "lr")
     return MD.linear_attributions(model, pred, feats)
 
 
@@ -190,24 +190,23 @@ ACTIONS = [
 @register("m27_m28_importance_actions", None)
 def q_m27(spark, sf):
     """Top-10 features by mean |attribution| mapped to product actions."""
-    model, pred, feats = _scores(spark, sf, "lr", 100)
-    sample = MD.deterministic_sample(pred, 2000)
-    imp = MD.importance(MD.linear_attributions(model, sample, feats), feats, 10)
+    model, pred, feats = _scores(spark, sf, "lr")
+    imp = MD.importance(MD.linear_attributions(model, pred, feats), feats, 10)
     actions = spark.createDataFrame(ACTIONS, "feature string, dimension string, action string")
     return MT.feature_actions(imp, actions)
 
 
 @register("m30_cross_validation", None)
 def q_m30(spark, sf):
-    """3-fold cross-validated L2 grid for the logistic model."""
-    return MD.cross_validated_lr(M.model_table(spark, sf), folds=3, exact=exact_quantiles(spark))
+    """5-fold cross-validated L2 grid for the logistic model."""
+    return MD.cross_validated_lr(M.model_table(spark, sf), folds=5, exact=exact_quantiles(spark))
 
 
 @register("m31_approval_model", None)
 def q_m31(spark, sf):
     """Approved-vs-refused model on previous applications (test AUC)."""
     data = MD.approval_model_data(role(spark, sf, "previous_application"), M.features_table(spark, sf))
-    _, pred, _ = MD.train_and_score(data, "lr", 100, exact_quantiles(spark))
+    _, pred, _ = MD.train_and_score(data, "lr", exact=exact_quantiles(spark), extra_drop=["SK_ID_PREV"])
     from ..operators.metrics import auc_roc_pr
     return auc_roc_pr(pred, TARGET, "score")
 
@@ -216,7 +215,7 @@ def q_m31(spark, sf):
 def q_s10(spark, sf):
     """Model comparison written as a JSON metrics report and read back."""
     from ..sources import io as IO
-    res = {name: _scores(spark, sf, kind, it)[1] for name, kind, it in (("LogisticRegression", "lr", 100),)}
+    res = {name: _scores(spark, sf, kind, it)[1] for name, kind, it in (("LogisticRegression", "lr", None),)}
     path = IO.write_metrics(MD.model_comparison(res), IO.shared_path(spark, "metrics_report"))
     return spark.read.schema("model string, auc_roc double, auc_pr double").json(path)
 
@@ -226,10 +225,10 @@ def q_s11(spark, sf):
     """Fitted pipeline saved with the MLlib writer, loaded back and re-scored."""
     from pyspark.ml import PipelineModel
     from ..sources import io as IO
-    model, pred, _ = _scores(spark, sf, "lr", 100)
+    model, pred, _ = _scores(spark, sf, "lr")
     path = IO.save_model(model, IO.shared_path(spark, "model_lr"))
     again = PipelineModel.load(path).transform(pred.select(*[c for c in pred.columns if c not in (
-        "raw_features", "features", "rawPrediction", "probability", "prediction", "score")]))
+        "raw_features", "scaled", "features", "rawPrediction", "probability", "prediction", "score")]))
     return MD.positive_probability(again).select(KEY, TARGET, "score")
 
 
@@ -246,8 +245,8 @@ def q_m29(spark, sf):
     at that threshold and the top features, as one long (section, item, value) table."""
     from ..operators import metrics as ME
     res = {name: _scores(spark, sf, kind, it)[1] for name, kind, it in
-           (("LogisticRegression", "lr", 100), ("GBT-A", "gbt_a", 40), ("GBT-B", "gbt_b", 60))}
-    kinds = {"LogisticRegression": ("lr", 100), "GBT-A": ("gbt_a", 40), "GBT-B": ("gbt_b", 60)}
+           (("LogisticRegression", "lr", None), ("GBT-A", "gbt_a", 40), ("GBT-B", "gbt_b", 60))}
+    kinds = {"LogisticRegression": ("lr", None), "GBT-A": ("gbt_a", 40), "GBT-B": ("gbt_b", 60)}
     comp = MD.model_comparison(res)
     best_name = comp.first()["model"]
     pred = res[best_name]
@@ -256,7 +255,7 @@ def q_m29(spark, sf):
     cm = ME.confusion_matrix(pred, TARGET, "score", best["best_threshold"])
     model, _, feats = _scores(spark, sf, *kinds[best_name])
     if kinds[best_name][0] == "lr":
-        top = MD.importance(MD.linear_attributions(model, MD.deterministic_sample(pred, 2000), feats), feats, 10)
+        top = MD.importance(MD.linear_attributions(model, pred, feats), feats, 10)
         top = top.select(F.lit("top_features").alias("section"), F.col("feature").alias("item"),
                          F.col("mean_abs_attribution").alias("value"))
     else:

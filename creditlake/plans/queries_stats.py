@@ -190,7 +190,7 @@ SELECT 1 + len(list_filter(cuts, lambda c: composite_score > c)) AS bucket, coun
  {r4('avg(CAST(TARGET AS DOUBLE))')} AS outcome_rate, {r4('min(composite_score)')} AS min_value,
  {r4('max(composite_score)')} AS max_value
 FROM scored, (SELECT quantile_cont(composite_score, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS cuts FROM scored) q
-GROUP BY 1""", "scored"))
+WHERE composite_score IS NOT NULL GROUP BY 1""", "scored"))
 def q_m8(spark, sf):
     """M8: composite-score deciles → default rate per stratum."""
     return ST.quantile_strata(scored(spark, sf), "composite_score", TARGET, 10, exact_quantiles(spark))

@@ -5,7 +5,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from conftest import SF_CHECK
+from creditlake.config import CLUSTER_FEATURES
 from creditlake.operators import models as MD
+from creditlake.operators import segments as SG
 from creditlake.operators.metrics import auc_roc_pr
 from creditlake.plans import master as M
 
@@ -19,6 +21,15 @@ def _planted(spark):
     return mt.withColumn("TARGET", F.when(flip, 1 - label).otherwise(label))
 
 
+def test_cluster_features_have_population_deviation_one(spark):
+    prep = SG.cluster_input(M.feature_input(M.master_table(spark, SF_CHECK)))
+    values = vector_to_array("features")
+    spread = prep.agg(*[F.var_pop(values[i]) for i in range(len(CLUSTER_FEATURES))]).first()
+    varying = [v for v in spread if v > 0]
+    assert varying and all(abs(v - 1) < 1e-9 for v in varying)
+    assert abs(SG.inertia_k1(prep) - prep.count() * len(varying)) < 1e-6
+
+
 def test_planted_signal_is_learned(spark):
     model, pred, feats = MD.train_and_score(_planted(spark), "lr", 50)
     auc = auc_roc_pr(pred, "TARGET", "score").first()["auc_roc"]
