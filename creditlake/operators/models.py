@@ -188,7 +188,8 @@ def cross_validated_lr(df: DataFrame, folds: int = 5, exact: bool = True) -> Dat
     lr = pipe.getStages()[-1]
     grid = ParamGridBuilder().addGrid(lr.regParam, [1e-4, 1e-3, 1e-2]).build()
     ev = BinaryClassificationEvaluator(labelCol=TARGET, rawPredictionCol="rawPrediction", metricName="areaUnderROC")
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, foldCol="fold", parallelism=3)
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, numFolds=folds, foldCol="fold",
+                        parallelism=3)
     m = cv.fit(data)
     spark = df.sparkSession
     return spark.createDataFrame([(float(p[lr.regParam]), float(a)) for p, a in zip(grid, m.avgMetrics)],
