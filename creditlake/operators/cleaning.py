@@ -16,13 +16,6 @@ from ..functions.quantiles import quantile_frame
 from .quality import numeric_columns
 
 
-def exact_quantiles(spark) -> bool:
-    """Exact quantiles (default) match pandas bit for bit; on very large tables set
-    ``creditlake.quantiles.exact=false`` to use the mergeable sketch instead (its
-    per-task memory is bounded, the exact buffer grows with distinct values)."""
-    return str(spark.conf.get("creditlake.quantiles.exact", "true")).lower() == "true"
-
-
 def recode_days_employed(df: DataFrame, col: str = "DAYS_EMPLOYED") -> DataFrame:
     """Sentinel → null + IS_UNEMPLOYED flag; |days| and years employed."""
     sentinel = F.col(col) >= UNEMPLOYED_SENTINEL

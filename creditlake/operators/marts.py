@@ -110,7 +110,7 @@ def tier_outcome(scored: DataFrame) -> DataFrame:
                       F.avg("income_total").alias("avg_income"), F.avg("composite_score").alias("avg_composite"),
                       F.avg("IS_YOUNG").alias("young_pct")))
     dim = tier_dim(scored.sparkSession)
-    return (F.broadcast(dim).join(agg, "tier", "left")
+    return (dim.join(agg, "tier", "left")
               .withColumn("n_customers", F.coalesce("n_customers", F.lit(0)).cast("bigint"))
               .orderBy("tier_order"))
 
@@ -123,7 +123,7 @@ def ownership_by_age_band(app: DataFrame) -> DataFrame:
               .groupBy("age_band").agg(F.count(F.lit(1)).alias("n"),
                                        (F.avg("FLAG_OWN_REALTY") * 100).alias("ownership_pct")))
     dim = app.sparkSession.createDataFrame([(lab, i) for i, lab in enumerate(labels)], "age_band string, band_order int")
-    return (F.broadcast(dim).join(agg, "age_band", "left")
+    return (dim.join(agg, "age_band", "left")
               .withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint")).orderBy("band_order"))
 
 
@@ -201,7 +201,7 @@ def dimension_extremes(scored: DataFrame) -> DataFrame:
 def tier_distribution(scored: DataFrame) -> DataFrame:
     """Customers per tier in declared order (empty tiers kept)."""
     agg = scored.groupBy("tier").agg(F.count(KEY).alias("n_customers"))
-    return (F.broadcast(tier_dim(scored.sparkSession)).join(agg, "tier", "left")
+    return (tier_dim(scored.sparkSession).join(agg, "tier", "left")
               .withColumn("n_customers", F.coalesce("n_customers", F.lit(0)).cast("bigint"))
               .orderBy("tier_order"))
 

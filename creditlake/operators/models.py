@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DROP_FOR_MODELING, KEY, TARGET, VARIANCE_THRESHOLD
+from ..functions.cumulative import running_totals
 from ..functions.exprs import clean_num, with_scalars
 from ..session import cut_lineage
 from ..functions.quantiles import quantile_frame
@@ -28,6 +29,7 @@ from .quality import numeric_columns
 
 TRAIN_SHARE = 80          # percent of each stratum that goes to training (expected)
 VALID_SHARE = 10          # percent of the training rows held out for early stopping
+ROWS_PER_TASK = 100_000   # inputs too small for one such block per task are merged into fewer tasks
 
 
 def split_bucket(key: str = KEY) -> F.Column:
@@ -41,6 +43,21 @@ def valid_fold(key: str = KEY) -> F.Column:
     return F.pmod(F.xxhash64(F.col(key), F.lit("validation")), F.lit(100)) < VALID_SHARE
 
 
+def stratified_folds(df: DataFrame, folds: int) -> DataFrame:
+    """Add ``fold``: rows in (class, hash) order are dealt out in turn, so the folds
+    of a class differ by one row at most. Ranks come from distributed running totals."""
+    order = F.struct(F.col(TARGET), F.xxhash64(F.col(KEY), F.lit("fold")), F.col(KEY))
+    ranked = running_totals(df.withColumns({"__order": order, "__one": F.lit(1).cast("long")}), "__order", ["__one"])
+    return (ranked.withColumn("fold", F.pmod(F.col("cum___one"), F.lit(folds)).cast("int"))
+                  .drop("__order", "__one", "cum___one"))
+
+
+def in_few_tasks(stored_rows: DataFrame, n: int) -> DataFrame:
+    """Iterative fits run hundreds of jobs over the rows: small inputs go to few
+    tasks. ``coalesce`` only merges partitions, so large inputs keep theirs."""
+    return stored_rows.coalesce(max(1, math.ceil(n / ROWS_PER_TASK)))
+
+
 def model_feature_columns(df: DataFrame, extra_drop: list[str] | None = None) -> list[str]:
     """Numeric columns minus key, target and the redundancy list."""
     exclude = {KEY, TARGET, *DROP_FOR_MODELING, *(extra_drop or [])}
@@ -141,8 +158,9 @@ def train_and_score(df: DataFrame, kind: str = "lr", max_iter: int | None = None
     data = cut_lineage(with_weights(prepared).withColumn("is_valid", valid_fold()))
     train = data.where("is_train")
     test = data.where(~F.col("is_train"))
+    n, n_w = train.agg(F.count(F.lit(1)), F.sum("weight")).first()
+    train = in_few_tasks(train, n)
     if kind == "lr":
-        n, n_w = train.agg(F.count(F.lit(1)), F.sum("weight")).first()
         model = logistic_pipeline(feats, n, max_iter or 2000, n_weight=n_w or 1.0).fit(train)
     elif kind == "gbt_a":
         model = gbt_pipeline(feats, max_iter or 400, "A").fit(train)
@@ -179,12 +197,15 @@ def importance(attributions: DataFrame, feats: list[str], top_n: int = 15) -> Da
 
 
 def cross_validated_lr(df: DataFrame, folds: int = 5, exact: bool = True) -> DataFrame:
-    """K-fold CV over a small L2 grid with a deterministic fold column."""
+    """K-fold CV over a small L2 grid with deterministic, stratified folds. A fold
+    without both classes (fewer than ``folds`` rows of a class) makes the mean AUC a
+    count of such folds more than a measure."""
     prepared, cols = prepare_model_data(df, exact)
     feats = kept_features(prepared, cols)
-    data = cut_lineage(with_weights(prepared).where("is_train")
-                       .withColumn("fold", F.pmod(F.xxhash64(F.col(KEY), F.lit("fold")), F.lit(folds)).cast("int")))
-    pipe = logistic_pipeline(feats, data.count())
+    data = cut_lineage(stratified_folds(with_weights(prepared).where("is_train"), folds))
+    n = data.count()
+    data = in_few_tasks(data, n)
+    pipe = logistic_pipeline(feats, n)
     lr = pipe.getStages()[-1]
     grid = ParamGridBuilder().addGrid(lr.regParam, [1e-4, 1e-3, 1e-2]).build()
     ev = BinaryClassificationEvaluator(labelCol=TARGET, rawPredictionCol="rawPrediction", metricName="areaUnderROC")

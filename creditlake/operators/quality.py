@@ -27,14 +27,7 @@ def string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
 
 
-def exact_distinct(spark) -> bool:
-    """Exact distinct counts (default). On very wide/large tables set
-    ``creditlake.distinct.exact=false``: HyperLogLog sketches merge map-side and
-    avoid the row expansion of many exact distinct aggregates in one job."""
-    return str(spark.conf.get("creditlake.distinct.exact", "true")).lower() == "true"
-
-
-def data_quality_report(df: DataFrame, exact: bool = True) -> DataFrame:
+def data_quality_report(df: DataFrame) -> DataFrame:
     """Per column dtype, missing %, missing n, non-null cardinality, sample skew
     (0 for a constant column of three values or more)."""
     num = set(numeric_columns(df))
@@ -42,7 +35,7 @@ def data_quality_report(df: DataFrame, exact: bool = True) -> DataFrame:
     for i, c in enumerate(df.columns):
         col = F.col(c)
         aggs.append(F.count_if(col.isNull()).alias(f"m{i}"))
-        aggs.append((F.count_distinct(col) if exact else F.approx_count_distinct(col)).alias(f"d{i}"))
+        aggs.append(F.count_distinct(col).alias(f"d{i}"))
         if c in num:
             x = col.cast("double")
             flat = (F.count(x) >= 3) & (F.min(x) == F.max(x))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import KEY
 from ..operators import aggregates as A
-from ..operators.cleaning import exact_quantiles, recode_days_birth, recode_days_employed
+from ..operators.cleaning import recode_days_birth, recode_days_employed
 from ..operators.features import append_raw_features, build_all_features, score_features
 from ..session import app_key, cut_lineage
 from ..sources.roles import load_roles
@@ -58,7 +58,7 @@ def materialized(spark: SparkSession, key: tuple, build, checkpoint: bool = True
     """S8 materialize-or-reuse: build once per session and input folder, cut the
     lineage with a reliable checkpoint in the cluster's ``spark.checkpoint.dir``
     (survives executor loss; never a local checkpoint), reuse afterwards."""
-    k = app_key(spark) + (spark.conf.get("creditlake.quantiles.exact", "true"),) + key
+    k = app_key(spark) + key
     df = _MATERIALIZED.get(k)
     if df is None:
         df = build()
@@ -77,9 +77,8 @@ def master_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def features_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F7 table (customer grain), materialized once: the median fill needs two
     passes over it, and every mart reads it."""
-    exact = exact_quantiles(spark)
     return materialized(spark, ("features", sf_dir),
-                        lambda: build_all_features(feature_input(master_table(spark, sf_dir)), exact,
+                        lambda: build_all_features(feature_input(master_table(spark, sf_dir)),
                                                    materialize=True), checkpoint=False)
 
 

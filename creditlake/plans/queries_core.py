@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..config import KEY
 from ..operators import aggregates as A
 from ..operators import quality as Q
-from ..operators.cleaning import (clean_application, exact_quantiles, outlier_report,
+from ..operators.cleaning import (clean_application, outlier_report,
                                   recode_days_birth, recode_days_employed)
 from ..sources.roles import load_roles, role
 from . import master as M
@@ -165,8 +165,7 @@ def _dq_sql() -> str:
 @register("c1_data_quality_report", _dq_sql())
 def q_dq(spark, sf):
     """One wide aggregate → per-column report."""
-    from ..operators.quality import exact_distinct
-    return Q.data_quality_report(role(spark, sf, "application"), exact=exact_distinct(spark))
+    return Q.data_quality_report(role(spark, sf, "application"))
 
 
 @register("c2_dtype_distribution", with_ctes("""
@@ -200,7 +199,7 @@ CLEAN_TYPES = {"SK_ID_CURR": "BIGINT", "TARGET": "INTEGER", "AMT_INCOME_TOTAL":
 @register("c8_clean_application", with_ctes(f"SELECT {rounded_select(CLEAN_TYPES)} FROM app_clean", "app_clean"))
 def q_clean(spark, sf):
     """Full application cleaning (recodes, flags, >80 % drop, median/mode fill)."""
-    return clean_application(role(spark, sf, "application"), exact=exact_quantiles(spark))
+    return clean_application(role(spark, sf, "application"))
 
 
 @register("c9_outlier_report", with_ctes(f"""
@@ -219,8 +218,7 @@ SELECT column_name, {r4('lo')} AS lower_fence, {r4('hi')} AS upper_fence, n_clip
 ) t""", "application"))
 def q_outliers(spark, sf):
     """IQR fences (factor 3) and clipped counts for the money columns."""
-    return outlier_report(role(spark, sf, "application"), ["AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY"],
-                          exact=exact_quantiles(spark))
+    return outlier_report(role(spark, sf, "application"), ["AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY"])
 
 
 # ------------------------------------------------------------------ F: features
@@ -322,4 +320,4 @@ def q_c9w(spark, sf):
     """Money columns winsorized to [Q1 − 3·IQR, Q3 + 3·IQR] (clipped, never dropped)."""
     from ..operators.cleaning import remove_outliers_iqr
     app = role(spark, sf, "application").select(KEY, "AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY")
-    return remove_outliers_iqr(app, ["AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY"], exact=exact_quantiles(spark))
+    return remove_outliers_iqr(app, ["AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY"])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..config import KEY
 from ..operators import marts as MT
 from ..operators import extras as X
-from ..operators.cleaning import clean_application, exact_quantiles
+from ..operators.cleaning import clean_application
 from ..sources.roles import role
 from . import master as M
 from .oracle import income_band_index_sql, income_band_sql, r4, segment_label_sql, with_ctes
@@ -17,7 +17,7 @@ def app_clean(spark, sf):
     """C8 cleaned application, written once per session (four marts and the
     cohort tests read it; the imputation needs two statistics passes)."""
     return M.materialized(spark, ("app_clean", sf),
-                          lambda: clean_application(role(spark, sf, "application"), exact=exact_quantiles(spark)),
+                          lambda: clean_application(role(spark, sf, "application")),
                           checkpoint=False)
 
 
@@ -44,7 +44,7 @@ WHERE AGE_YEARS < 35 AND NAME_HOUSING_TYPE IS NOT NULL GROUP BY 1""", "app_clean
 def q_a12(spark, sf):
     """Median income by housing type within the young cohort."""
     return MT.median_by_category(app_clean(spark, sf).where(F.col("AGE_YEARS") < 35),
-                                 "NAME_HOUSING_TYPE", "AMT_INCOME_TOTAL", exact_quantiles(spark))
+                                 "NAME_HOUSING_TYPE", "AMT_INCOME_TOTAL")
 
 
 @register("a13_contract_type_top10", with_ctes("""
@@ -141,7 +141,7 @@ FROM scored s JOIN (SELECT tier, quantile_cont(composite_score, 0.25) AS q1, qua
 GROUP BY s.tier, q1, med, q3""", "scored"))
 def q_a20(spark, sf):
     """Box-plot statistics of the composite score per tier."""
-    return MT.box_stats(scored(spark, sf), "composite_score", "tier", exact_quantiles(spark))
+    return MT.box_stats(scored(spark, sf), "composite_score", "tier")
 
 
 @register("a21_score_matrix", with_ctes(f"""

@@ -8,7 +8,6 @@ from ..config import DROP_FOR_MODELING, KEY, RAW_FEATURES, TARGET
 from ..operators import marts as MT
 from ..operators import models as MD
 from ..operators import segments as SG
-from ..operators.cleaning import exact_quantiles
 from ..session import app_key, cut_lineage
 from ..sources.roles import role
 from . import master as M
@@ -37,7 +36,7 @@ def prepared(spark, sf):
     """M12 model matrix (train-only medians), written once per session."""
     cols = MD.model_feature_columns(M.model_table(spark, sf))
     df = M.materialized(spark, ("prepared", sf),
-                        lambda: MD.prepare_model_data(M.model_table(spark, sf), exact_quantiles(spark))[0],
+                        lambda: MD.prepare_model_data(M.model_table(spark, sf))[0],
                         checkpoint=False)
     return df, cols
 
@@ -78,21 +77,21 @@ def q_m15(spark, sf):
 @register("m9_cluster_input", None)
 def q_m9(spark, sf):
     """Young-cohort clustering matrix (median fill, log1p, standardize)."""
-    prep = SG.cluster_input(M.feature_input(M.master_table(spark, sf)), exact_quantiles(spark))
+    prep = SG.cluster_input(M.feature_input(M.master_table(spark, sf)))
     return prep.select(KEY, F.col("features").cast("string").alias("features"))
 
 
 @register("m10_kmeans_elbow", None)
 def q_m10(spark, sf):
     """K-means inertia for k = 1..6 (best of 10 seeded runs per k)."""
-    prep = SG.cluster_input(M.feature_input(M.master_table(spark, sf)), exact_quantiles(spark))
+    prep = SG.cluster_input(M.feature_input(M.master_table(spark, sf)))
     return SG.elbow(prep)
 
 
 def _segments(spark, sf):
-    k = app_key(spark) + (sf, exact_quantiles(spark))
+    k = app_key(spark) + (sf,)
     if k not in _SEGMENTS:
-        prep = SG.cluster_input(M.feature_input(M.master_table(spark, sf)), exact_quantiles(spark))
+        prep = SG.cluster_input(M.feature_input(M.master_table(spark, sf)))
         _SEGMENTS[k] = cut_lineage(SG.assign_segments(prep, k=3))
     return _SEGMENTS[k]
 
@@ -128,9 +127,9 @@ _FITTED: dict = {}
 
 def _scores(spark, sf, kind, iters=None):
     """Fit once per session, input folder and learner; later queries reuse the fit."""
-    k = app_key(spark) + (sf, kind, iters, exact_quantiles(spark))
+    k = app_key(spark) + (sf, kind, iters)
     if k not in _FITTED:
-        model, pred, feats = MD.train_and_score(M.model_table(spark, sf), kind, iters, exact_quantiles(spark))
+        model, pred, feats = MD.train_and_score(M.model_table(spark, sf), kind, iters)
         _FITTED[k] = (model, cut_lineage(pred), feats)
     return _FITTED[k]
 
@@ -199,14 +198,14 @@ def q_m27(spark, sf):
 @register("m30_cross_validation", None)
 def q_m30(spark, sf):
     """5-fold cross-validated L2 grid for the logistic model."""
-    return MD.cross_validated_lr(M.model_table(spark, sf), folds=5, exact=exact_quantiles(spark))
+    return MD.cross_validated_lr(M.model_table(spark, sf), folds=5)
 
 
 @register("m31_approval_model", None)
 def q_m31(spark, sf):
     """Approved-vs-refused model on previous applications (test AUC)."""
     data = MD.approval_model_data(role(spark, sf, "previous_application"), M.features_table(spark, sf))
-    _, pred, _ = MD.train_and_score(data, "lr", exact=exact_quantiles(spark), extra_drop=["SK_ID_PREV"])
+    _, pred, _ = MD.train_and_score(data, "lr", extra_drop=["SK_ID_PREV"])
     from ..operators.metrics import auc_roc_pr
     return auc_roc_pr(pred, TARGET, "score")
 

@@ -12,7 +12,6 @@ from ..functions.exprs import pvalue_stars
 from ..operators import economics as EC
 from ..operators import metrics as ME
 from ..operators import stats as ST
-from ..operators.cleaning import exact_quantiles
 from ..operators.features import ENGINEERED
 from ..sources.roles import role
 from . import master as M
@@ -193,7 +192,7 @@ FROM scored, (SELECT quantile_cont(composite_score, [0.1, 0.2, 0.3, 0.4, 0.5, 0.
 WHERE composite_score IS NOT NULL GROUP BY 1""", "scored"))
 def q_m8(spark, sf):
     """M8: composite-score deciles → default rate per stratum."""
-    return ST.quantile_strata(scored(spark, sf), "composite_score", TARGET, 10, exact_quantiles(spark))
+    return ST.quantile_strata(scored(spark, sf), "composite_score", TARGET, 10)
 
 
 # ------------------------------------------------------------------ metrics on a deterministic risk score

@@ -67,13 +67,16 @@ def _set_context_checkpoint_dir(spark: SparkSession, path: str) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the setting is absent (local tests) is a scratch folder created and
-    registered, so lineage cuts always land in the cluster-wide location.
+    Only when the setting is absent on a local master (tests) is a scratch folder
+    created and registered; on a cluster no other node would see it, so an unset
+    folder is an error there.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         _set_context_checkpoint_dir(spark, configured)
         return configured
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="creditlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
     _set_context_checkpoint_dir(spark, local)

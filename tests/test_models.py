@@ -48,3 +48,10 @@ def test_linear_attributions_add_up_to_logit(spark):
     for r in rows:
         logit = base + sum(r[f] for f in feats)
         assert abs(1 / (1 + math.exp(-logit)) - r["score"]) < 1e-9
+
+
+def test_folds_are_stratified(spark):
+    rows = spark.createDataFrame([(i, int(i % 9 == 0)) for i in range(200)], f"{MD.KEY} long, {MD.TARGET} int")
+    got = MD.stratified_folds(rows, 5).collect()
+    per = {c: [sum(r.fold == k and r[MD.TARGET] == c for r in got) for k in range(5)] for c in (0, 1)}
+    assert len(got) == 200 and all(max(n) - min(n) <= 1 for n in per.values())
