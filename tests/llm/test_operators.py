@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from creditlake.llm import (exact_dedup, lm_scoring, mixing, packing, pii, repetition, sharding, simhash, toxicity,
                             url_filter)
 
@@ -351,3 +352,77 @@ def test_empty_tables(spark):
              url_filter.judge(spark.createDataFrame([], "page_id long, url string"),
                               spark.createDataFrame([("com", "/", "allow")], "host string, path string, verdict string"))]
     assert [df.count() for df in empty] == [0] * len(empty)
+
+
+def brute_stages(rows):
+    """Ids left after quality rules, exact dedup and SimHash, one (id, text) each."""
+    good = []
+    for d, t in rows:
+        w = words(t)
+        k = 7  # the longest window found twice; 7 stands for none
+        while len({tuple(w[i:i + k + 1]) for i in range(len(w) - k)}) < len(w) - k:
+            k += 1
+        if len(w) >= 20 and 100 * brute_repeats(t) <= 30 * len(w) and (k == 7 or 5 * k <= len(w)):
+            good.append((d, t))
+    best = {}
+    for d, t in good:
+        best[folded(t)] = max(best.get(folded(t), (d, t)), (d, t))
+    single = sorted(best.values())
+    prints, kept = [brute_print(t) for _, t in single], list(range(len(single)))
+    for _ in single:
+        for i, a in enumerate(prints):
+            for j, b in enumerate(prints):
+                if (a ^ b).bit_count() <= 4:
+                    kept[i] = kept[j] = min(kept[i], kept[j])
+    return good, single, [single[i] for i in sorted(set(kept))]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage of the pipeline on a fixture with copies, near copies, repeats, nulls and short texts."""
+    rng = np.random.default_rng(5)
+    base = [" ".join(f"w{x}" for x in rng.integers(0, 4000, 120)) for _ in range(12)]
+    twice = " ".join(["same words come again and again in here now then"] * 5)
+    rows = list(enumerate([*base, *[b.upper() for b in base[:4]], *[b + " tail" for b in base[2:6]], None, "", "too short",
+                           twice, base[0] + " " + base[0], " ".join(f"z{x}" for x in range(5000))]))
+    docs = spark.createDataFrame([(d, t, "abc"[d % 3], len(t or "")) for d, t in rows],
+                                 "doc_id long, text string, source string, n_chars int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    table, outs = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for _, stage in corpus_pipeline.STAGES:
+        table = corpus_pipeline.stored(stage(spark, table, str(tmp_path)), "test-stage")
+        outs.append(table)
+    for out, want in zip(outs, brute_stages(rows)):
+        assert out.columns == docs.columns
+        assert sorted((r.doc_id, r.text) for r in out.collect()) == sorted(want)
+    left, mixed, pieces = outs[2].collect(), outs[3].collect(), outs[4].collect()
+    full = {r.doc_id: r.text for r in left}
+    assert outs[3].columns == docs.columns
+    size = collections.Counter()
+    for r in left:
+        size[r.source] += len(words(r.text))
+    weight, target, open_, budget = dict(zip(sorted(size), (5, 2, 1))), {}, set(size), sum(size.values())
+    while open_:
+        level = budget / sum(weight[s] for s in open_)
+        over = {s for s in open_ if weight[s] * level >= 3 * size[s]}
+        target |= {s: 3 * size[s] if s in over else weight[s] * level for s in over or open_}
+        budget -= sum(target[s] for s in over)
+        open_ = open_ - over if over else set()
+    for s in size:
+        assert abs(sum(len(words(r.text)) for r in mixed if r.source == s) - target[s]) <= 1
+    for r in mixed:
+        assert r.text == full[r.doc_id] or words(full[r.doc_id])[:len(words(r.text))] == words(r.text)
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    want = []
+    for r in mixed:
+        ids = np.array(tokenizer.encode(r.text, add_special_tokens=False).ids + [0], "<u4")
+        want += [(r.doc_id, p, len(ids[a:a + 2048]), zlib.crc32(ids[a:a + 2048].tobytes()))
+                 for p, a in enumerate(range(0, len(ids), 2048))]
+    assert sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in pieces) == sorted(want)
+    end = collections.Counter()
+    for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == end[r.sequence_id]
+        end[r.sequence_id] += r.length
+    assert max(end.values()) <= 2048
+    key_of = lambda r: (r.doc_id, r.piece, r.length, r.ids_crc32)
+    assert sorted(map(key_of, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(key_of, pieces))
