@@ -4,12 +4,13 @@ Base spans come from one pattern per kind, leftmost and without overlap, with a
 check on each match. High-recall generators (looser patterns: other separators,
 spelled-out "at" and "dot", numbers without a prefix) propose further spans,
 which may overlap those of other kinds. Boosted trees learn from the generators'
-own candidates: label 1 when the candidate is a base span, 0 when it fails the
-check. The check itself (Luhn, ranges, the exact pattern) is no feature; format
-and the text on both sides are. Candidates that overlap a base span of any kind
-are dropped; of the rest those stay whose score reaches the threshold of their
+own candidates: label 1 when the candidate passes the check of its kind after
+normalising (separators removed, "at" and "dot" resolved), else 0; bare runs of
+digits, dates and decimals are no phone. The check itself (Luhn, ranges, the exact
+pattern) is no feature; format and the text on both sides are. Candidates that
+overlap a base span of any kind are dropped; of the rest those stay whose score reaches the threshold of their
 kind, calibrated on a hash fold kept out of the fit: the lowest score above which
-``precision`` of the fold's candidates are base spans. Added spans of a kind that
+``precision`` of the fold's candidates are valid. Added spans of a kind that
 overlap each other keep the earliest.
 
 Main path: one pass over the documents in DataFrame functions without a shuffle.
@@ -22,8 +23,8 @@ after the last match), which finds the same matches in linear time without
 recursion, whatever the length of the text.
 
 Edge cases: null and empty texts have no spans (empty strings, zero counts);
-repeated rows have equal results; null ids are kept; without candidates of both
-labels nothing is added; an empty table gives an empty result; offsets are code
+repeated rows have equal results; null ids are kept; if all candidates are
+valid all are added, if none is nothing is; an empty table gives an empty result; offsets are code
 points, ends exclusive.
 """
 from __future__ import annotations
@@ -55,6 +56,20 @@ CHECK = {
     "card": "length(regexp_replace({m}, '[^0-9]', '')) between 16 and 19 and luhn_check(regexp_replace({m}, '[^0-9]', ''))",
     "phone": "length(regexp_replace({m}, '[^0-9]', '')) between 8 and 15",
 }
+DIGITS = "regexp_replace({m}, '[^0-9]', '')"
+BRACKETS = r"regexp_replace({m}, r' ?[(\[](dot|[.])[)\]] ?', '.')"
+# A loose match is valid when it passes the check of its kind once separators are
+# removed and spelled-out signs resolved. A number without a sign, brackets or two
+# groups, a decimal, a date, a range of years and four dotted parts are no phone.
+VALID = {
+    "email": (r"regexp_replace(regexp_replace({m}, r' ?[(\[]at[)\]] ?| ?@ ?', '@'), r' ?[(\[]dot[)\]] ?| [.] ?', '.') "
+              rf"rlike r'^{LOCAL}++@{LABEL}++(?:[.]{LABEL}++)++$' and {{m}} rlike '[A-Za-z]{{{{2}}}}$'"),
+    "ip": CHECK["ip"].format(m=BRACKETS),
+    "card": CHECK["card"],
+    "phone": (f"length({DIGITS}) between 8 and 15 and {{m}} rlike '[+( ./-]' and not {{m}} rlike "
+              "'^[0-9]+[.][0-9]+$|^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$|^(19|20)[0-9]{{2}}[ /-]{{1,2}}(19|20)[0-9]{{2}}$"
+              "|^[0-9]{{4}}([./-])[0-9]{{1,2}}[./-][0-9]{{1,2}}( |$)|^[0-9]{{1,2}}([./-])[0-9]{{1,2}}[./-][0-9]{{4}}( |$)'"),
+}
 SIDE = 24
 BLOCK = 256
 MAX_DOCS = 20_000
@@ -66,7 +81,7 @@ FEATURES = tuple(
     + ["double(char_length({c}.m))", "double(length(regexp_replace({c}.m, '[^0-9]', '')))",
        "double(length(regexp_replace({c}.m, '[^A-Za-z]', '')))", "double(size(split({c}.m, '[^0-9A-Za-z]+')))",
        "double(length(regexp_replace({c}.m, '[^ ]', '')))", "double(length(regexp_replace({c}.m, '[^.]', '')))",
-       "double(length(regexp_replace({c}.m, '[^-/_]', '')))", "double(length(regexp_replace({c}.m, '[^()]', '')))",
+       "double(length(regexp_replace({c}.m, '[^-/_]', '')))", "double(length(regexp_replace({c}.m, '[^()]', '')))", r"double(length(regexp_replace({c}.m, r'[^\[\]]', '')))",
        "if({c}.m like '+%', 1D, 0D)", "if({c}.m like '%@%', 1D, 0D)",
        "if(lower({c}.left) rlike 'mail|contact|write', 1D, 0D)", "if(lower({c}.left) rlike 'card|visa|credit|pay', 1D, 0D)",
        "if(lower({c}.left) rlike 'phone|tel|call|fax|mobile', 1D, 0D)", "if(lower({c}.left) rlike 'host|server|address|ip', 1D, 0D)",
@@ -110,16 +125,19 @@ def base_spans(rows: DataFrame) -> DataFrame:
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """Add ``cands``: loose spans with their features, and whether each is a base
-    span (``same``) or overlaps one (``hit``)."""
+    """Add ``cands``: loose spans with their features, label (``valid``) and whether
+    each overlaps a base span (``hit``)."""
     for k, kind in enumerate(KINDS):
         rows = _found(rows, f"__c{k}", k, LOOSE[kind], True)
+        rows = rows.withColumn(f"__c{k}", F.expr(
+            f"transform(__c{k}, c -> named_struct('kind', c.kind, 'start', c.start, 'end', c.end, 'm', c.m, "
+            f"'left', c.left, 'right', c.right, 'valid', {VALID[kind].format(m='c.m')}))"))
     rows = rows.withColumn("__c", F.expr(f"filter(concat({', '.join(f'__c{k}' for k in range(len(KINDS)))}), "
                                          f"c -> length(regexp_replace(c.m, '[^0-9]', '')) >= 7 or c.kind = 0)"))
     features = f"array({', '.join(FEATURES)})".format(c="c")
     return rows.withColumn("cands", F.expr(
         f"transform(__c, c -> named_struct('kind', c.kind, 'start', c.start, 'end', c.end, 'f', {features}, "
-        "'same', exists(base, s -> s.kind = c.kind and s.start = c.start and s.end = c.end), "
+        "'valid', c.valid, "
         "'hit', exists(base, s -> s.start < c.end and c.start < s.end)))")).drop("__c", *[f"__c{k}" for k in range(len(KINDS))])
 
 
@@ -152,16 +170,19 @@ def fit(rows: DataFrame, max_docs: int = MAX_DOCS, precision: float = PRECISION)
     part = F.pmod(F.xxhash64("__text", F.lit("pii")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, max_docs / max(1, total)))
     # outer: an inner explode adds a filter that would push the whole scan into itself
     found = candidates(base_spans(rows.filter(part))).select(F.explode_outer("cands").alias("c"), F.xxhash64("__text").alias("t"))
-    found = found.filter("c.start is not null and (c.same or not c.hit)")
-    found = stored(found.select("c.kind", "c.f", F.col("c.same").cast("double").alias("label"),
+    found = found.filter("c.start is not null and not c.hit")
+    found = stored(found.select("c.kind", "c.f", F.col("c.valid").cast("double").alias("label"),
                                 (F.pmod(F.xxhash64("t", "c.start"), F.lit(4)) == 0).alias("fold")), "pii-candidates")
     fitted = found.filter("not fold")
-    if fitted.agg(F.countDistinct("label")).first()[0] < 2:
-        return SpanModel()
-    model = GBTClassifier(featuresCol="v", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=17).fit(
-        fitted.select("label", array_to_vector("f").alias("v")))
-    weighted = [f"{float(w)!r}D * {_tree_sql(t._call_java('rootNode'), '{f}')}" for t, w in zip(model.trees, model.treeWeights)]
-    score = f"(1D / (1D + exp(-2D * ({' + '.join(weighted)}))))"
+    labels = [r[0] for r in fitted.select("label").distinct().collect()]  # at most two
+    if len(labels) < 2:
+        # one label only leaves nothing to learn: the trees' constant score
+        score = f"{labels[0]!r}D" if labels else "1D"
+    else:
+        model = GBTClassifier(featuresCol="v", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=17).fit(
+            fitted.select("label", array_to_vector("f").alias("v")))
+        weighted = [f"{float(w)!r}D * {_tree_sql(t._call_java('rootNode'), '{f}')}" for t, w in zip(model.trees, model.treeWeights)]
+        score = f"(1D / (1D + exp(-2D * ({' + '.join(weighted)}))))"
     held = found.filter("fold").select("kind", "label", F.floor(F.expr(score.format(f="f")) * 200).cast("int").alias("bin"))
     bins = held.groupBy("kind", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("good")).collect()
     thresholds = []

@@ -268,6 +268,41 @@ def test_redaction(spark):
     assert [r.text for r in pii.redact(rows).orderBy("doc_id").collect()] == ["to [EMAIL] and [IP].", None]
 
 
+def planted(plants, n=30):
+    """Texts of neutral words with a planted span each, and that span."""
+    out = []
+    for i in range(n):
+        for kind, make in plants:
+            lead, span = f"weiter und zu{'x' * (i % 5)} ", make(i)
+            out.append((lead + span + f" danach y{i}", f"{kind}:{len(lead)}:{len(lead) + len(span)}"))
+    return out
+
+
+def card_digits(i, right=True):
+    body = f"4{i * 7919 % 10**14:014d}"
+    check = next(c for c in "0123456789" if luhn(body + c))
+    return body + (check if right else str((int(check) + 5) % 10))
+
+
+def quads(digits, sep):
+    return sep.join(digits[k:k + 4] for k in range(0, 16, 4))
+
+
+def found_and_wanted(spark, texts):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.spans.split(",") for r in pii.document_spans(rows).collect()}
+    return [(w, got[i]) for i, (_, w) in enumerate(texts)]
+
+
+def test_planted_forms_outside_the_base_patterns_are_found(spark):
+    valid = planted([("card", lambda i: quads(card_digits(i), ".")), ("email", lambda i: f"bob{i} (at) mail (dot) com"),
+                     ("phone", lambda i: f"(555) 010-{9000 + i}")])
+    wrong = planted([("card", lambda i: quads(card_digits(i, False), "/"))])
+    results = found_and_wanted(spark, valid + wrong)
+    assert all(w in got for w, got in results[:len(valid)])
+    assert not any(w in got for w, got in results[len(valid):])
+
+
 def test_mixture(docs):
     sizes = mixing.sized(docs)
     got = mixing.mix(sizes, mixing.cycled_weights(sizes, (5, 2, 1))).collect()
