@@ -2,13 +2,14 @@
 
 Base spans come from one pattern per kind, leftmost and without overlap, with a
 check on each match. High-recall generators (looser patterns: other separators,
-spelled-out "at" and "dot", numbers without a prefix) propose further spans,
-which may overlap those of other kinds. Boosted trees learn from the generators'
+spelled-out "at" and "dot", numbers without a prefix) propose further spans in the
+gaps between base spans, which may overlap those of other kinds; runs of digits end
+at the length bounds of their kind, and a phone is no part of an address or a card. Boosted trees learn from the generators'
 own candidates: label 1 when the candidate passes the check of its kind after
 normalising (separators removed, "at" and "dot" resolved), else 0; bare runs of
 digits, dates and decimals are no phone. The check itself (Luhn, ranges, the exact
-pattern) is no feature; format and the text on both sides are. Candidates that
-overlap a base span of any kind are dropped; of the rest those stay whose score reaches the threshold of their
+pattern) is no feature; format and the text on both sides are. Those candidates
+stay whose score reaches the threshold of their
 kind, calibrated on a hash fold kept out of the fit: the lowest score above which
 ``precision`` of the fold's candidates are valid. Added spans of a kind that
 overlap each other keep the earliest.
@@ -44,11 +45,19 @@ BASE = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"[+][0-9][ ().0-9-]+[0-9]",
 }
+# Separators between the groups of a number; a back reference repeats the first one of the run.
+AT, DOT = r"(?: ?@ ?| ?[(\[]at[)\]] ?)", r"(?:[.]| ?[(\[]dot[)\]] ?| [.] ?)"
+IP_DOT = r"(?:[.]|\[[.]\]|[(][.][)]| ?[(\[]dot[)\]] ?)"
+FOURS = r"[0-9]{{4}}([ ./_-]{{1,2}}+)[0-9]{{4}}(?:\{n}[0-9]{{4}}){{2}}(?![0-9])"
 LOOSE = {
-    "email": rf"(?:\G|(?<!{LOCAL})){LOCAL}++ ?(?:@|[(\[]at[)\]]) ?{LABEL}++(?: ?(?:[.]|[(\[]dot[)\]]) ?{LABEL}++)++",
-    "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:(?:[.]|\[[.]\]|[(][.][)])[0-9]++){3}",
-    "card": r"[0-9](?:[ ./_-]{0,2}+[0-9])++",
-    "phone": r"[+(]?[0-9](?:[ ()./-]{0,3}+[0-9])++",
+    "email": rf"(?:\G|(?<!{LOCAL})){LOCAL}++{AT}{LABEL}++(?:{DOT}|[.] ){LABEL}++(?:{DOT}{LABEL}++)*+",
+    "ip": rf"(?:\G|(?<![0-9]))[0-9]++(?:{IP_DOT}[0-9]++){{3}}",
+    # groups of four; one separator throughout; separators other than blanks, mixed: 16 to 19 digits
+    "card": (rf"(?<![0-9])(?:{FOURS.format(n=1)}|(?![0-9]{{1,3}}[ ./_-]{{1,2}}{FOURS.format(n=2)})"
+             r"(?:(?=[0-9]++([ ./_-]{0,2}+))[0-9](?:(?:\3)?[0-9]){15,18}|[0-9](?:[./_-]{0,2}+[0-9]){15,18})(?![0-9]))"),
+    # area code in brackets; one separator throughout; mixed separators: 8 to 15 digits outside brackets
+    "phone": (r"(?<![0-9])(?<![0-9][./-])(?:[+]?(?:[0-9]{1,4}[ .-]{0,2}+)?[(][0-9]{1,5}[)][ ./-]{0,2}+[0-9]++(?:([ ./-])[0-9]++(?:\1[0-9]++)*+)?+"
+              r"|[+]?(?:(?=[0-9]++([ ./-]{0,2}+))[0-9](?:(?:\2)?[0-9]){7,14}|[0-9](?:[ ./-]{0,2}+[0-9]){7,14})(?![0-9]|[./-]{1,2}[0-9]))"),
 }
 CHECK = {
     "email": "true",
@@ -70,6 +79,7 @@ VALID = {
               "'^[0-9]+[.][0-9]+$|^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$|^(19|20)[0-9]{{2}}[ /-]{{1,2}}(19|20)[0-9]{{2}}$"
               "|^[0-9]{{4}}([./-])[0-9]{{1,2}}[./-][0-9]{{1,2}}( |$)|^[0-9]{{1,2}}([./-])[0-9]{{1,2}}[./-][0-9]{{4}}( |$)'"),
 }
+MASK = "\ue000"
 SIDE = 24
 BLOCK = 256
 MAX_DOCS = 20_000
@@ -103,11 +113,11 @@ def _running(lengths: str) -> str:
     return (f"if(size({lengths}) = 0, array(), flatten(transform(zip_with({blocks}, {offsets}, (x, o) -> named_struct('x', x, 'o', o)), z -> {inside})))")
 
 
-def _found(rows: DataFrame, name: str, kind: int, pattern: str, sides: bool) -> DataFrame:
-    """Add an array column of matches: kind, start, end, m (and the text on both sides)."""
+def _found(rows: DataFrame, name: str, kind: int, pattern: str, sides: bool, column: str = "__text") -> DataFrame:
+    """Add an array column of matches in ``column``: kind, start, end, m (and the text on both sides)."""
     p, m, ends = f"__p_{name}", f"__m_{name}", f"__e_{name}"
-    rows = rows.withColumns({m: F.expr(f"regexp_extract_all(__text, {_literal(pattern)}, 0)"),
-                             p: F.expr(f"split(__text, {_literal(pattern)}, -1)")})
+    rows = rows.withColumns({m: F.expr(f"regexp_extract_all({column}, {_literal(pattern)}, 0)"),
+                             p: F.expr(f"split({column}, {_literal(pattern)}, -1)")})
     lengths = f"zip_with(slice({p}, 1, size({m})), {m}, (x, y) -> bigint(char_length(x) + char_length(y)))"
     rows = rows.withColumn(f"__l_{name}", F.expr(lengths)).withColumn(ends, F.expr(_running(f"__l_{name}")))
     more = f", 'left', substring({p}[i], -{SIDE}, {SIDE}), 'right', substring({p}[i + 1], 1, {SIDE})" if sides else ""
@@ -125,20 +135,27 @@ def base_spans(rows: DataFrame) -> DataFrame:
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """Add ``cands``: loose spans with their features, label (``valid``) and whether
-    each overlaps a base span (``hit``)."""
+    """Add ``cands``: loose spans in the gaps between base spans with their features
+    and label (``valid``). Base spans are blanked out by as many ``MASK`` characters."""
+    masked = ("aggregate(array_sort(base, (a, b) -> case when a.start <> b.start then if(a.start < b.start, -1, 1) else 0 end), "
+              "named_struct('at', 0L, 'out', ''), (acc, s) -> if(s.end <= acc.at, acc, named_struct('at', s.end, 'out', concat(acc.out, "
+              "substring(__text, int(acc.at) + 1, int(greatest(0L, s.start - acc.at))), "
+              f"repeat('{MASK}', int(s.end - greatest(s.start, acc.at)))))), "
+              "acc -> concat(acc.out, substring(__text, int(acc.at) + 1)))")
+    rows = rows.withColumn("__gaps", F.expr(f"if(size(base) = 0, __text, {masked})"))
     for k, kind in enumerate(KINDS):
-        rows = _found(rows, f"__c{k}", k, LOOSE[kind], True)
+        rows = _found(rows, f"__c{k}", k, LOOSE[kind], True, "__gaps")
         rows = rows.withColumn(f"__c{k}", F.expr(
             f"transform(__c{k}, c -> named_struct('kind', c.kind, 'start', c.start, 'end', c.end, 'm', c.m, "
             f"'left', c.left, 'right', c.right, 'valid', {VALID[kind].format(m='c.m')}))"))
-    rows = rows.withColumn("__c", F.expr(f"filter(concat({', '.join(f'__c{k}' for k in range(len(KINDS)))}), "
-                                         f"c -> length(regexp_replace(c.m, '[^0-9]', '')) >= 7 or c.kind = 0)"))
+    # a phone inside the run of an address or a card is a part of that run
+    rows = rows.withColumn("__c3", F.expr("filter(__c3, c -> not exists(concat(__c1, __c2), "
+                                          "o -> o.start < c.end and c.start < o.end and (o.valid or not c.m rlike '^[+(]')))"))
+    rows = rows.withColumn("__c", F.expr(f"concat({', '.join(f'__c{k}' for k in range(len(KINDS)))})"))
     features = f"array({', '.join(FEATURES)})".format(c="c")
     return rows.withColumn("cands", F.expr(
-        f"transform(__c, c -> named_struct('kind', c.kind, 'start', c.start, 'end', c.end, 'f', {features}, "
-        "'valid', c.valid, "
-        "'hit', exists(base, s -> s.start < c.end and c.start < s.end)))")).drop("__c", *[f"__c{k}" for k in range(len(KINDS))])
+        f"transform(__c, c -> named_struct('kind', c.kind, 'start', c.start, 'end', c.end, 'f', {features}, 'valid', c.valid))")
+    ).drop("__c", "__gaps", *[f"__c{k}" for k in range(len(KINDS))])
 
 
 def _tree_sql(node, features: str) -> str:
@@ -161,7 +178,7 @@ class SpanModel:
         if self.score is None or all(t >= NEVER for t in self.thresholds):
             return f"filter({cands}, c -> false)"
         least = "array(" + ", ".join(f"{t!r}D" for t in self.thresholds) + ")"
-        return f"filter({cands}, c -> not c.hit and {self.score.format(f='c.f')} >= {least}[c.kind])"
+        return f"filter({cands}, c -> {self.score.format(f='c.f')} >= {least}[c.kind])"
 
 
 def fit(rows: DataFrame, max_docs: int = MAX_DOCS, precision: float = PRECISION) -> SpanModel:
@@ -170,7 +187,7 @@ def fit(rows: DataFrame, max_docs: int = MAX_DOCS, precision: float = PRECISION)
     part = F.pmod(F.xxhash64("__text", F.lit("pii")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, max_docs / max(1, total)))
     # outer: an inner explode adds a filter that would push the whole scan into itself
     found = candidates(base_spans(rows.filter(part))).select(F.explode_outer("cands").alias("c"), F.xxhash64("__text").alias("t"))
-    found = found.filter("c.start is not null and not c.hit")
+    found = found.filter("c.start is not null")
     found = stored(found.select("c.kind", "c.f", F.col("c.valid").cast("double").alias("label"),
                                 (F.pmod(F.xxhash64("t", "c.start"), F.lit(4)) == 0).alias("fold")), "pii-candidates")
     fitted = found.filter("not fold")

@@ -303,6 +303,13 @@ def test_planted_forms_outside_the_base_patterns_are_found(spark):
     assert not any(w in got for w, got in results[len(valid):])
 
 
+def test_candidates_next_to_base_spans_and_short_addresses(spark):
+    texts = planted([("ip", lambda i: f"10[.]0[.]0[.]{i % 9 + 1}")])
+    texts += [(f"{quads(card_digits(i), '.')} 10.2.3.{i} z", "card:0:19") for i in range(30)]
+    texts += [(f"{quads(card_digits(i), '.')} {quads(card_digits(i + 50), '.')} z", f"card:{k}:{k + 19}") for i in range(30) for k in (0, 20)]
+    assert all(w in got for w, got in found_and_wanted(spark, texts))
+
+
 def test_mixture(docs):
     sizes = mixing.sized(docs)
     got = mixing.mix(sizes, mixing.cycled_weights(sizes, (5, 2, 1))).collect()
