@@ -1,32 +1,35 @@
 """Personal data by candidate spans and gradient boosting.
 
-Base spans come from one pattern per kind, leftmost and without overlap, with a
-check on each match. High-recall generators (looser patterns: other separators,
-spelled-out "at" and "dot", numbers without a prefix) propose further spans in the
-gaps between base spans, which may overlap those of other kinds; runs of digits end
-at the length bounds of their kind, and a phone is no part of an address or a card. Boosted trees learn from the generators'
-own candidates: label 1 when the candidate passes the check of its kind after
-normalising (separators removed, "at" and "dot" resolved), else 0; bare runs of
-digits, dates and decimals are no phone. The check itself (Luhn, ranges, the exact
-pattern) is no feature; format and the text on both sides are. Those candidates
-stay whose score reaches the threshold of their
-kind, calibrated on a hash fold kept out of the fit: the lowest score above which
-``precision`` of the fold's candidates are valid. Added spans of a kind that
-overlap each other keep the earliest.
+Base spans come from one pattern per kind, leftmost and without overlap, with a check
+on each match. High-recall generators (looser patterns: other separators, spelled-out
+"at" and "dot", numbers without a prefix) propose further spans in the gaps between
+base spans, which may overlap those of other kinds; runs of digits end at the length
+bounds of their kind, and a phone is no part of an address or a card. Boosted trees
+learn from the generators' own candidates: label 1 when the candidate passes the check
+of its kind after normalising (separators removed, "at" and "dot" resolved), else 0;
+bare runs of digits, dates and decimals are no phone. The check itself (Luhn, ranges,
+the exact pattern) is no feature; format and the text on both sides are. Those
+candidates stay whose score reaches the threshold of their kind, calibrated on a hash
+fold of the candidates of all documents kept out of the fit: the lowest score above
+which ``precision`` of the fold's candidates are valid; a kind without candidates in
+the fold takes the threshold of all kinds together. Added spans of a kind that overlap
+each other keep the earliest.
 
 Main path: one pass over the documents in DataFrame functions without a shuffle.
 Positions come from splitting the text at the matches and summing lengths; the
 fitted trees are an SQL expression evaluated on a document's own candidates. The
-fit reads the candidates of at most ``max_docs`` documents (a documented bound).
+trees are fitted on the candidates of about ``max_docs`` distinct texts (a documented
+bound); one more pass counts (kind, score bin, label) over all documents, combined
+map-side to at most 4 x 201 rows.
 
 Patterns use possessive repeats and start a run only at its left end (or right
 after the last match), which finds the same matches in linear time without
 recursion, whatever the length of the text.
 
-Edge cases: null and empty texts have no spans (empty strings, zero counts);
-repeated rows have equal results; null ids are kept; if all candidates are
-valid all are added, if none is nothing is; an empty table gives an empty result; offsets are code
-points, ends exclusive.
+Edge cases: null and empty texts have no spans (empty strings, zero counts); repeated
+rows have equal results; null ids are kept; if all candidates are valid all are added,
+if none is nothing is; an empty table gives an empty result; offsets are code points,
+ends exclusive.
 """
 from __future__ import annotations
 
@@ -53,12 +56,19 @@ LOOSE = {
     "email": rf"(?:\G|(?<!{LOCAL})){LOCAL}++{AT}{LABEL}++(?:{DOT}|[.] ){LABEL}++(?:{DOT}{LABEL}++)*+",
     "ip": rf"(?:\G|(?<![0-9]))[0-9]++(?:{IP_DOT}[0-9]++){{3}}",
     # groups of four; one separator throughout; separators other than blanks, mixed: 16 to 19 digits
-    "card": (rf"(?<![0-9])(?:{FOURS.format(n=1)}|(?![0-9]{{1,3}}[ ./_-]{{1,2}}{FOURS.format(n=2)})"
+    "card": (rf"(?=[0-9])(?<![0-9])(?:{FOURS.format(n=1)}|(?![0-9]{{1,3}}[ ./_-]{{1,2}}{FOURS.format(n=2)})"
              r"(?:(?=[0-9]++([ ./_-]{0,2}+))[0-9](?:(?:\3)?[0-9]){15,18}|[0-9](?:[./_-]{0,2}+[0-9]){15,18})(?![0-9]))"),
     # area code in brackets; one separator throughout; mixed separators: 8 to 15 digits outside brackets
-    "phone": (r"(?<![0-9])(?<![0-9][./-])(?:[+]?(?:[0-9]{1,4}[ .-]{0,2}+)?[(][0-9]{1,5}[)][ ./-]{0,2}+[0-9]++(?:([ ./-])[0-9]++(?:\1[0-9]++)*+)?+"
+    "phone": (r"(?=[+(0-9])(?<![0-9])(?<![0-9][./-])(?:[+]?(?:[0-9]{1,4}[ .-]{0,2}+)?[(][0-9]{1,5}[)][ ./-]{0,2}+[0-9]++(?:([ ./-])[0-9]++(?:\1[0-9]++)*+)?+"
               r"|[+]?(?:(?=[0-9]++([ ./-]{0,2}+))[0-9](?:(?:\2)?[0-9]){7,14}|[0-9](?:[ ./-]{0,2}+[0-9]){7,14})(?![0-9]|[./-]{1,2}[0-9]))"),
 }
+# What a text must hold for a pattern to match at all (base, loose): the patterns run on such texts only.
+NEEDS = {
+    "email": ("contains({t}, '@')", "contains({t}, '@') or {t} rlike '[(\\\\[]at[)\\\\]]'"),
+    "ip": ("{t} rlike '[0-9][.][0-9]'", "{t} rlike '[0-9] ?[.(\\\\[]'"),
+    "card": ("{t} rlike '[0-9][ -]?[0-9]'", "{t} rlike '[0-9][ ./_-]{{0,2}}[0-9]'"),
+    "phone": ("contains({t}, '+')", "{t} rlike '[0-9][ ()./-]{{0,3}}[0-9]'"),
+}
 CHECK = {
     "email": "true",
     "ip": "forall(split({m}, '[.]'), x -> length(ltrim('0', x)) <= 2 or (length(ltrim('0', x)) = 3 and ltrim('0', x) <= '255'))",
@@ -85,7 +95,8 @@ BLOCK = 256
 MAX_DOCS = 20_000
 TREES, DEPTH = 15, 3
 PRECISION = 0.98
-NEVER = 2.0
+BINS = 200
+NEVER = BINS + 1
 FEATURES = tuple(
     [f"if({{c}}.kind = {k}, 1D, 0D)" for k in range(len(KINDS))]
     + ["double(char_length({c}.m))", "double(length(regexp_replace({c}.m, '[^0-9]', '')))",
@@ -116,8 +127,9 @@ def _running(lengths: str) -> str:
 def _found(rows: DataFrame, name: str, kind: int, pattern: str, sides: bool, column: str = "__text") -> DataFrame:
     """Add an array column of matches in ``column``: kind, start, end, m (and the text on both sides)."""
     p, m, ends = f"__p_{name}", f"__m_{name}", f"__e_{name}"
-    rows = rows.withColumns({m: F.expr(f"regexp_extract_all({column}, {_literal(pattern)}, 0)"),
-                             p: F.expr(f"split({column}, {_literal(pattern)}, -1)")})
+    needs = NEEDS[KINDS[kind]][sides].format(t=column)
+    rows = rows.withColumns({m: F.expr(f"if({needs}, regexp_extract_all({column}, {_literal(pattern)}, 0), array())"),
+                             p: F.expr(f"if({needs}, split({column}, {_literal(pattern)}, -1), array())")})
     lengths = f"zip_with(slice({p}, 1, size({m})), {m}, (x, y) -> bigint(char_length(x) + char_length(y)))"
     rows = rows.withColumn(f"__l_{name}", F.expr(lengths)).withColumn(ends, F.expr(_running(f"__l_{name}")))
     more = f", 'left', substring({p}[i], -{SIDE}, {SIDE}), 'right', substring({p}[i + 1], 1, {SIDE})" if sides else ""
@@ -170,27 +182,39 @@ def _tree_sql(node, features: str) -> str:
 class SpanModel:
     """Score of a candidate as an SQL expression, with one threshold per kind."""
 
-    def __init__(self, score: str | None = None, thresholds: tuple[float, ...] = (NEVER,) * len(KINDS)):
+    def __init__(self, score: str | None = None, thresholds: tuple[int, ...] = (NEVER,) * len(KINDS)):
         self.score, self.thresholds = score, thresholds
 
     def select(self, cands: str) -> str:
         """SQL for the candidates to add."""
         if self.score is None or all(t >= NEVER for t in self.thresholds):
             return f"filter({cands}, c -> false)"
-        least = "array(" + ", ".join(f"{t!r}D" for t in self.thresholds) + ")"
-        return f"filter({cands}, c -> {self.score.format(f='c.f')} >= {least}[c.kind])"
+        least = "array(" + ", ".join(map(str, self.thresholds)) + ")"
+        return f"filter({cands}, c -> {_bin(self.score.format(f='c.f'))} >= {least}[c.kind])"
+
+
+def _bin(score: str) -> str:
+    return f"int(floor({score} * {BINS}))"
+
+
+def _threshold(counts, precision: float) -> int:
+    """Lowest bin from which up ``precision`` of the candidates are valid, from (bin, n, good)."""
+    n = good = 0
+    least = NEVER
+    for b, more, valid in sorted(counts, reverse=True):
+        n, good = n + more, good + valid
+        if good >= precision * n:
+            least = b
+    return least
 
 
 def fit(rows: DataFrame, max_docs: int = MAX_DOCS, precision: float = PRECISION) -> SpanModel:
-    """Fit on the candidates of a hash sample of ``rows`` (with ``__text``, ``base``)."""
-    total = rows.count()
+    """Fit the trees on the candidates of a hash sample of the distinct texts of ``rows``
+    (with ``__text``); count the thresholds over the held fold of all rows."""
+    total = rows.agg(F.approx_count_distinct(F.xxhash64("__text"), 0.02)).first()[0]
     part = F.pmod(F.xxhash64("__text", F.lit("pii")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, max_docs / max(1, total)))
-    # outer: an inner explode adds a filter that would push the whole scan into itself
-    found = candidates(base_spans(rows.filter(part))).select(F.explode_outer("cands").alias("c"), F.xxhash64("__text").alias("t"))
-    found = found.filter("c.start is not null")
-    found = stored(found.select("c.kind", "c.f", F.col("c.valid").cast("double").alias("label"),
-                                (F.pmod(F.xxhash64("t", "c.start"), F.lit(4)) == 0).alias("fold")), "pii-candidates")
-    fitted = found.filter("not fold")
+    fitted = _labelled(rows.select("__text").filter(part).distinct()).filter("not fold")
+    fitted = stored(fitted.select("f", "label"), "pii-candidates")
     labels = [r[0] for r in fitted.select("label").distinct().collect()]  # at most two
     if len(labels) < 2:
         # one label only leaves nothing to learn: the trees' constant score
@@ -200,18 +224,23 @@ def fit(rows: DataFrame, max_docs: int = MAX_DOCS, precision: float = PRECISION)
             fitted.select("label", array_to_vector("f").alias("v")))
         weighted = [f"{float(w)!r}D * {_tree_sql(t._call_java('rootNode'), '{f}')}" for t, w in zip(model.trees, model.treeWeights)]
         score = f"(1D / (1D + exp(-2D * ({' + '.join(weighted)}))))"
-    held = found.filter("fold").select("kind", "label", F.floor(F.expr(score.format(f="f")) * 200).cast("int").alias("bin"))
+    held = _labelled(rows).filter("fold").select("kind", "label", F.expr(_bin(score.format(f="f"))).alias("bin"))
     bins = held.groupBy("kind", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("good")).collect()
-    thresholds = []
-    for k in range(len(KINDS)):  # at most 201 rows a kind
-        n = good = 0.0
-        least = NEVER
-        for r in sorted((r for r in bins if r["kind"] == k), key=lambda r: -r["bin"]):
-            n, good = n + r["n"], good + r["good"]
-            if good >= precision * n:
-                least = r["bin"] / 200
-        thresholds.append(least)
-    return SpanModel(score, tuple(thresholds))
+    counts = [[(r["bin"], r["n"], r["good"]) for r in bins if r["kind"] == k] for k in range(len(KINDS))]
+    pooled: dict[int, tuple[int, int, float]] = {}
+    for b, n, good in (c for kind in counts for c in kind):
+        _, m, g = pooled.get(b, (b, 0, 0.0))
+        pooled[b] = (b, m + n, g + good)
+    # a kind without a held candidate takes the threshold of all kinds together
+    return SpanModel(score, tuple(_threshold(c or pooled.values(), precision) for c in counts))
+
+
+def _labelled(rows: DataFrame) -> DataFrame:
+    """One row per candidate of ``rows`` (with ``__text``): kind, features, label, fold."""
+    # outer: an inner explode adds a filter that would push the whole scan into itself
+    found = candidates(base_spans(rows.select("__text"))).select(F.explode_outer("cands").alias("c"), F.xxhash64("__text").alias("t"))
+    return found.filter("c.start is not null").select(
+        "c.kind", "c.f", F.col("c.valid").cast("double").alias("label"), (F.pmod(F.xxhash64("t", "c.start"), F.lit(4)) == 0).alias("fold"))
 
 
 def find_spans(docs: DataFrame, max_docs: int = MAX_DOCS, precision: float = PRECISION) -> DataFrame:

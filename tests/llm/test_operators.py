@@ -310,6 +310,14 @@ def test_candidates_next_to_base_spans_and_short_addresses(spark):
     assert all(w in got for w, got in found_and_wanted(spark, texts))
 
 
+def test_thresholds_count_the_held_rows_of_all_documents(spark):
+    """A sample without a single short address still finds those of all documents."""
+    texts = planted([("ip", lambda i: f"10[.]0[.]{i % 7}[.]{i % 9 + 1}")]) + planted([("phone", lambda i: f"(555) 010-{1000 + i}")], 400)
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.spans.split(",") for r in pii.document_spans(rows, max_docs=20).collect()}
+    assert all(w in got[i] for i, (_, w) in enumerate(texts))
+
+
 def test_mixture(docs):
     sizes = mixing.sized(docs)
     got = mixing.mix(sizes, mixing.cycled_weights(sizes, (5, 2, 1))).collect()
