@@ -125,11 +125,15 @@ def q_o1s(spark, sf):
 _FITTED: dict = {}
 
 
-def _scores(spark, sf, kind, iters=None):
+# learners under comparison, with the operator's own settings
+LEARNERS = {"LogisticRegression": "lr", "GBT-A": "gbt_a", "GBT-B": "gbt_b"}
+
+
+def _scores(spark, sf, kind):
     """Fit once per session, input folder and learner; later queries reuse the fit."""
-    k = app_key(spark) + (sf, kind, iters)
+    k = app_key(spark) + (sf, kind)
     if k not in _FITTED:
-        model, pred, feats = MD.train_and_score(M.model_table(spark, sf), kind, iters)
+        model, pred, feats = MD.train_and_score(M.model_table(spark, sf), kind)
         _FITTED[k] = (model, cut_lineage(pred), feats)
     return _FITTED[k]
 
@@ -147,22 +151,21 @@ def q_m16(spark, sf):
 @register("m17_gbt_a", None)
 def q_m17(spark, sf):
     """Gradient-boosted trees A; test-set probabilities."""
-    _, pred, _ = _scores(spark, sf, "gbt_a", 40)
+    _, pred, _ = _scores(spark, sf, "gbt_a")
     return pred.select(KEY, TARGET, "score")
 
 
 @register("m18_gbt_b_early_stopping", None)
 def q_m18(spark, sf):
     """Gradient-boosted trees B with early stopping on a training fold."""
-    _, pred, _ = _scores(spark, sf, "gbt_b", 60)
+    _, pred, _ = _scores(spark, sf, "gbt_b")
     return pred.select(KEY, TARGET, "score")
 
 
 @register("m25_model_comparison", None)
 def q_m25(spark, sf):
     """Models ranked by test AUC."""
-    res = {name: _scores(spark, sf, kind, it)[1] for name, kind, it in
-           (("LogisticRegression", "lr", None), ("GBT-A", "gbt_a", 40), ("GBT-B", "gbt_b", 60))}
+    res = {name: _scores(spark, sf, kind)[1] for name, kind in LEARNERS.items()}
     return MD.model_comparison(res)
 
 
@@ -214,7 +217,7 @@ def q_m31(spark, sf):
 def q_s10(spark, sf):
     """Model comparison written as a JSON metrics report and read back."""
     from ..sources import io as IO
-    res = {name: _scores(spark, sf, kind, it)[1] for name, kind, it in (("LogisticRegression", "lr", None),)}
+    res = {name: _scores(spark, sf, kind)[1] for name, kind in (("LogisticRegression", "lr"),)}
     path = IO.write_metrics(MD.model_comparison(res), IO.shared_path(spark, "metrics_report"))
     return spark.read.schema("model string, auc_roc double, auc_pr double").json(path)
 
@@ -234,7 +237,7 @@ def q_s11(spark, sf):
 @register("m27_gbt_importance", None)
 def q_m27g(spark, sf):
     """M27/G5 (trees): gain-based importance of the boosted-tree model, top 15."""
-    model, _, feats = _scores(spark, sf, "gbt_a", 40)
+    model, _, feats = _scores(spark, sf, "gbt_a")
     return MD.tree_importance(spark, model, feats, 15)
 
 
@@ -243,17 +246,15 @@ def q_m29(spark, sf):
     """Evaluation summary — best model, AUCs, best-F1 threshold, confusion counts
     at that threshold and the top features, as one long (section, item, value) table."""
     from ..operators import metrics as ME
-    res = {name: _scores(spark, sf, kind, it)[1] for name, kind, it in
-           (("LogisticRegression", "lr", None), ("GBT-A", "gbt_a", 40), ("GBT-B", "gbt_b", 60))}
-    kinds = {"LogisticRegression": ("lr", None), "GBT-A": ("gbt_a", 40), "GBT-B": ("gbt_b", 60)}
+    res = {name: _scores(spark, sf, kind)[1] for name, kind in LEARNERS.items()}
     comp = MD.model_comparison(res)
     best_name = comp.first()["model"]
     pred = res[best_name]
     sweep = ME.threshold_sweep(pred, TARGET, "score")
     best = ME.best_threshold(sweep).first()
     cm = ME.confusion_matrix(pred, TARGET, "score", best["best_threshold"])
-    model, _, feats = _scores(spark, sf, *kinds[best_name])
-    if kinds[best_name][0] == "lr":
+    model, _, feats = _scores(spark, sf, LEARNERS[best_name])
+    if LEARNERS[best_name] == "lr":
         top = MD.importance(MD.linear_attributions(model, pred, feats), feats, 10)
         top = top.select(F.lit("top_features").alias("section"), F.col("feature").alias("item"),
                          F.col("mean_abs_attribution").alias("value"))

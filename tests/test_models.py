@@ -4,12 +4,13 @@ import math
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from conftest import SF_CHECK
+from conftest import SF_CHECK, SF_SMALL
 from creditlake.config import CLUSTER_FEATURES
 from creditlake.operators import models as MD
 from creditlake.operators import segments as SG
 from creditlake.operators.metrics import auc_roc_pr
 from creditlake.plans import master as M
+from creditlake.plans import queries_ml as Q
 
 
 def _planted(spark):
@@ -55,3 +56,24 @@ def test_folds_are_stratified(spark):
     got = MD.stratified_folds(rows, 5).collect()
     per = {c: [sum(r.fold == k and r[MD.TARGET] == c for r in got) for k in range(5)] for c in (0, 1)}
     assert len(got) == 200 and all(max(n) - min(n) <= 1 for n in per.values())
+
+
+def test_tree_queries_use_the_default_rounds(spark, monkeypatch):
+    """The registered queries reach MLlib with the 400 and 500 rounds of the operators."""
+    rounds, whole = {}, MD.gbt_pipeline
+
+    class Seen(Exception):
+        pass
+
+    def seen(cols, max_iter=None, variant="A"):
+        rounds[variant] = whole(cols, max_iter, variant).getStages()[-1].getMaxIter()
+        raise Seen
+
+    monkeypatch.setattr(MD, "gbt_pipeline", seen)
+    monkeypatch.setattr(Q, "_FITTED", {})
+    for query in (Q.q_m17, Q.q_m27g, Q.q_m18):
+        try:
+            query(spark, SF_SMALL)
+        except Seen:
+            pass
+    assert rounds == {"A": 400, "B": 500}
