@@ -77,3 +77,9 @@ def test_tree_queries_use_the_default_rounds(spark, monkeypatch):
         except Seen:
             pass
     assert rounds == {"A": 400, "B": 500}
+
+
+def test_metrics_report_holds_all_models(spark, monkeypatch):
+    pred = spark.createDataFrame([(i, i % 2, (i * 7 % 10) / 10) for i in range(20)], f"{MD.KEY} long, {MD.TARGET} int, score double")
+    monkeypatch.setattr(Q, "_scores", lambda spark, sf, kind, *more: (None, pred, []))
+    assert {r.model for r in Q.q_s10(spark, SF_SMALL).collect()} == {"LogisticRegression", "GBT-A", "GBT-B"}
