@@ -1,4 +1,4 @@
-"""The ten registered operator queries and the pipeline, with DuckDB SQL where it can say the same."""
+"""The registered operator queries, with DuckDB SQL where it can say the same."""
 from __future__ import annotations
 
 from collections.abc import Callable
@@ -6,7 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lm_scoring, mixing, packing, pii, repetition, sharding, simhash, toxicity, url_filter
+from . import (collocations, exact_dedup, licenses, lm_scoring, merkle, mixing, packing, pii, repetition, sharding,
+               simhash, toxicity, url_filter)
 from .common import read_table
 
 # The rules of the URL query (host, path, verdict).
@@ -63,6 +64,21 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_table(spark, sf_dir, "pages"), rules)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"), longest=3, least=10, top=2000)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = merkle.manifest(docs, merkle.tampered_text(docs, 3))
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("siblings", "").cast("binary"), 256).alias("proof_sha256"),
+                        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.document_licenses(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP4_SQL = """
@@ -111,6 +127,81 @@ SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.verdict, 'allow') AS verdic
 FROM u LEFT JOIN m ON u.rid = m.rid AND m.nth = 1
 """
 
+_UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+OP11_SQL = rf"""
+WITH p AS (
+  SELECT lang, row_number() OVER () AS id, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), {_UPPER}, {_LOWER}),
+                                                                      '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+t AS (SELECT lang, id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM p),
+o AS (SELECT lang, w, lead(w) OVER (PARTITION BY id ORDER BY i) AS w2, lead(w, 2) OVER (PARTITION BY id ORDER BY i) AS w3 FROM t),
+g AS (
+  SELECT lang, 1 AS size, w AS phrase FROM o
+  UNION ALL SELECT lang, 2, w || ' ' || w2 FROM o WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, 3, w || ' ' || w2 || ' ' || w3 FROM o WHERE w3 IS NOT NULL),
+c AS (SELECT lang, size, phrase, CAST(count(*) AS HUGEINT) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM c WHERE size = 1 GROUP BY lang),
+k AS (SELECT *, string_split(phrase, ' ') AS w FROM c WHERE size > 1 AND a >= 10),
+cuts AS (SELECT *, unnest(range(1, size)) AS cut FROM k),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a, x.a AS l, y.a AS r, cut, 1000000 * cuts.a * cuts.a // (x.a * y.a) AS score FROM cuts
+  JOIN c x ON x.lang = cuts.lang AND x.phrase = array_to_string(w[1:cut], ' ')
+  JOIN c y ON y.lang = cuts.lang AND y.phrase = array_to_string(w[cut + 1:cuts.size], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (
+  SELECT lang, phrase, max(a) AS longer
+  FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM k WHERE size = 3)
+  GROUP BY ALL),
+best AS (
+  SELECT lowest.lang, row_number() OVER (PARTITION BY lowest.lang ORDER BY score DESC, a DESC, encode(lowest.phrase)) AS rank,
+         lowest.phrase, a, l, r, score
+  FROM lowest LEFT JOIN inside ON inside.lang = lowest.lang AND inside.phrase = lowest.phrase
+  WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT best.lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM best JOIN n ON n.lang = best.lang WHERE rank <= 2000
+"""
+
+_LEVELS, _TOP = 8, 3  # enough for 8 ** 8 rows of a language and 8 ** 3 languages
+
+
+def _level_sql(name: str, below: str) -> str:
+    return (f"CASE WHEN len({below}) <= 1 THEN {below} ELSE list_transform(range(0, len({below}), 8), "
+            f"lambda i: sha256(array_to_string({below}[i + 1:i + 8], ''))) END AS {name}")
+
+
+def _merkle_sql() -> str:
+    field = lambda c: (f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')")
+    leaf = lambda text: f"sha256({' || '.join(map(field, ['doc_id', 'source', 'lang', 'n_chars', text]))})"
+    crc = ("xor(4294967295, list_reduce([4294967295] || flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), "
+           "lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1])), lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) "
+           "WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END))")
+    parts = [f"""d AS MATERIALIZED (
+  SELECT doc_id, lang, {leaf('text')} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {leaf('low')} ELSE {leaf('text')} END AS received
+  FROM (SELECT *, translate(text, {_UPPER}, {_LOWER}) AS low FROM documents)),
+x AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+t0 AS (SELECT lang, list(leaf ORDER BY pos) AS l0 FROM x GROUP BY lang)"""]
+    for i in range(1, _LEVELS + 1):
+        parts.append(f"t{i} AS MATERIALIZED (SELECT *, {_level_sql(f'l{i}', f'l{i - 1}')} FROM t{i - 1})")
+    parts.append(f"f AS MATERIALIZED (SELECT *, l{_LEVELS}[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM t{_LEVELS})")
+    parts.append("u0 AS (SELECT list(subroot ORDER BY place) AS m0 FROM f)")
+    for i in range(1, _TOP + 1):
+        parts.append(f"u{i} AS MATERIALIZED (SELECT *, {_level_sql(f'm{i}', f'm{i - 1}')} FROM u{i - 1})")
+    steps = [(f"l{i}", "pos", 8 ** i) for i in range(_LEVELS)] + [(f"m{i}", "place", 8 ** i) for i in range(_TOP)]
+    parts.append(f"j0 AS MATERIALIZED (SELECT x.doc_id, x.leaf, x.pos, f.*, u{_TOP}.*, received AS folded, '' AS proof "
+                 f"FROM x JOIN f ON x.lang IS NOT DISTINCT FROM f.lang, u{_TOP})")
+    for i, (nodes, at, width) in enumerate(steps, 1):
+        first, own = f"({at} // {8 * width} * 8)", f"({at} // {width})"
+        left, right = f"array_to_string({nodes}[{first} + 1:{own}], '')", f"array_to_string({nodes}[{own} + 2:{first} + 8], '')"
+        parts.append(f"j{i} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN len({nodes}) > 1 THEN sha256({left} || folded || {right}) ELSE folded END AS folded, "
+                     f"CASE WHEN len({nodes}) > 1 THEN proof || {left} || {right} ELSE proof END AS proof) FROM j{i - 1})")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, leaf, subroot, m{_TOP}[1] AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = m{_TOP}[1] AS verified
+FROM j{len(steps)}
+"""
+
+
+OP12_SQL = _merkle_sql()
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_sharding": (op1_sharding, None),
     "op2_packing": (op2_packing, None),
@@ -122,4 +213,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_quality": (op8_quality, None),
     "op9_mixing": (op9_mixing, OP9_SQL),
     "op10_url_filters": (op10_url_filters, OP10_SQL),
+    "op11_collocations": (op11_collocations, OP11_SQL),
+    "op12_merkle": (op12_merkle, OP12_SQL),
+    "op13_licenses": (op13_licenses, None),
 }
