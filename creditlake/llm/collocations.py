@@ -18,9 +18,11 @@ so the driver sees MAX_SLOTS / 8 bytes a scan); a larger corpus shares slots mor
 often, which costs counting, not results.
 
 A scan's counts are reduced in the task and stored; who is noted is an aggregate
-over 64-bit hashes of the stored counts that are still open. In the end counts
-whose slot was never set are left out (their phrases are below the threshold) and
-the others are summed by phrase.
+over 64-bit hashes of the stored counts that are still open. A phrase is noted at
+the latest when its cycle is complete, by all its counts; before, counts of one in
+a slice of the text, most of all rows, are left aside, which can only note it later.
+In the end counts whose slot was never set are left out (their phrases are below
+the threshold) and the others are summed by phrase.
 
 Edge cases: null and empty texts have no words; a null language is ``und``; repeated
 rows count each time; a text of any length is read in slices cut between pieces;
@@ -47,7 +49,7 @@ BYTES_PER_SLOT = 32
 SLICE_BYTES = 8 << 20
 RANK_BUCKETS = 64
 BREAKS = r"[.,;:!?\x0A-\x0D]"
-SCHEMA = "size byte, lang string, phrase string, start byte, n long"
+SCHEMA = "size byte, lang string, head string, last string, start byte, n long"  # a phrase is its head and its last word
 
 
 def _cut(text: str) -> Iterator[str]:
@@ -128,8 +130,9 @@ class _Slice:
             size = len(own[0])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(size, len(own), np.int8)), self.langs.take(pa.array(self.lang_of[own[0]])),
-                 pc.binary_join_element_wise(*parts, " "), pa.array(start[i:i + size].astype(np.int8)),
-                 pa.array(n[i:i + size].astype(np.int64))], ["size", "lang", "phrase", "start", "n"])
+                 pc.binary_join_element_wise(*parts[:-1], " ") if len(own) > 1 else pa.array([""] * size), parts[-1],
+                 pa.array(start[i:i + size].astype(np.int8)), pa.array(n[i:i + size].astype(np.int64))],
+                ["size", "lang", "head", "last", "start", "n"])
 
 
 def _distinct(words: list[np.ndarray], base: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -198,15 +201,23 @@ def _counted(part: _Slice, step: int, shards: int, longest: int, table: np.ndarr
 
 def phrase_hash(size: int) -> Column:
     """The hash that the tasks give a phrase of ``size`` words."""
-    words = F.split("phrase", " ")
-    out = F.xxhash64("lang", words[0])
-    for i in range(1, size):
-        out = F.shiftleft(out, 17).bitwiseOR(F.shiftrightunsigned(out, 47)).bitwiseXOR(F.xxhash64("lang", words[i]))
+    words = [F.col("head")] if size == 2 else [F.split("head", " ")[i] for i in range(size - 1)]
+    out = None
+    for w in [*words, F.col("last")]:
+        h = F.xxhash64("lang", w)
+        out = h if out is None else F.shiftleft(out, 17).bitwiseOR(F.shiftrightunsigned(out, 47)).bitwiseXOR(h)
     return out
 
 
-def _noted_slots(counts: DataFrame, size: int, least: int, slots: int) -> np.ndarray:
-    """Slots of the phrases of ``size`` words that reach ``least`` in ``counts``."""
+def _noted_slots(scans: list[DataFrame], step: int, shards: int, size: int, least: int, slots: int) -> np.ndarray:
+    """Slots of the phrases of ``size`` words known to reach ``least`` after this scan:
+    by all counts where the cycle is complete, else by counts of two and more."""
+    done = step - shards + 1
+    first = max(done, 0 if size == 1 else 1)
+    if first > step or (size == 1 and done > 0):
+        return np.zeros(0, np.int64)
+    counts = _union(scans[first:step + 1]).filter((F.col("size") == size) & (F.col("start") >= (0 if size == 1 else first))
+                                                  & ((F.col("start") == done) | (F.col("n") > 1)))
     reached = counts.select(phrase_hash(size).alias("h"), "n").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     slot = F.col("h").bitwiseAND(F.lit(slots - 1).cast("long")) + 1  # bitmaps count from one
     bits = reached.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
@@ -254,18 +265,14 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, shards: in
         shard = dealt.filter(F.col("shard") == step % shards).select("lang", "text")
         scans.append(stored(shard.mapInArrow(run, SCHEMA), "dic-scan", compression="zstd"))
         shipped.destroy()
-        fresh = [np.zeros(0, np.int64)]
-        for size in range(1, longest):
-            since = max(step - shards + 1, 0 if size == 1 else 1)
-            if (step < shards) if size == 1 else step > 0:
-                open_ = _union(scans[since:step + 1]).filter((F.col("size") == size) & (F.col("start") >= (0 if size == 1 else since)))
-                fresh.append(_noted_slots(open_, size, least, slots))
-        fresh = np.concatenate(fresh)
+        fresh = np.concatenate([_noted_slots(scans, step, shards, size, least, slots) for size in range(1, longest)])
         table[fresh[table[fresh] == 0]] = step + 1
         step += 1
     every = _union(scans)
     sized = [_in_set_slots(every.filter(F.col("size") == k), k, table) for k in range(1, longest)]
-    sums = _union([*sized, every.filter(F.col("size") == longest)]).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("a"))
+    phrase = F.when(F.col("size") == 1, F.col("last")).otherwise(F.concat_ws(" ", "head", "last"))
+    sums = (_union([*sized, every.filter(F.col("size") == longest)]).groupBy("lang", "size", phrase.alias("phrase"))
+            .agg(F.sum("n").alias("a")))
     words = every.filter("size = 1").groupBy("lang").agg(F.sum("n").alias("n"))
     return stored(sums.filter(F.col("a") >= least), "dic-phrases"), words
 
