@@ -46,9 +46,10 @@ runs_in_tasks(__name__)
 SHARDS = 3
 MAX_SLOTS = 1 << 26
 BYTES_PER_SLOT = 32
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 16 << 20
 RANK_BUCKETS = 64
 BREAKS = r"[.,;:!?\x0A-\x0D]"
+FOLD = bytes(46 if c in b".,;:!?\n\v\f\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))  # breaks to ".", A-Z to a-z
 SCHEMA = "size byte, lang string, head string, last string, start byte, n long"  # a phrase is its head and its last word
 
 
@@ -84,21 +85,28 @@ def _rotated(h: np.ndarray) -> np.ndarray:
     return (h << np.uint64(17)) | (h >> np.uint64(47))
 
 
+def _folded(texts: pa.Array) -> pa.Array:
+    """The texts with A-Z lower-cased and a full stop for every break: byte for byte."""
+    texts = pa.concat_arrays([texts.cast(pa.string())])  # own buffers, from offset zero
+    _, offsets, data = texts.buffers()
+    folded = pa.py_buffer(data.to_pybytes().translate(FOLD) if data else b"")
+    return pa.StringArray.from_buffers(len(texts), offsets, folded)
+
+
 class _Slice:
     """The words of some texts as numbers: ``at`` (a word's number at each place, -1
     between pieces), and for each number its language, word, hash and count."""
 
     def __init__(self, langs: pa.Array, texts: pa.Array):
         import xxhash
-        marked = pc.replace_substring_regex(pc.ascii_lower(texts), BREAKS, " . ")
-        split = pc.ascii_split_whitespace(marked)
+        split = pc.ascii_split_whitespace(pc.replace_substring(_folded(texts), ".", " . "))
         coded = split.flatten().dictionary_encode()
         self.words, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         lengths = pc.list_value_length(split).to_numpy(zero_copy_only=False)
         coded_lang = langs.dictionary_encode()
         self.langs = coded_lang.dictionary
         key = np.repeat(coded_lang.indices.to_numpy(zero_copy_only=False).astype(np.int64), lengths) * len(self.words) + code
-        gap = np.isin(code, [i for i, w in enumerate(self.words.to_pylist()) if w in ("", ".")])
+        gap = np.isin(code, np.flatnonzero(pc.is_in(self.words, pa.array(["", "."])).to_numpy(zero_copy_only=False)))
         self.first = np.zeros(len(code) + 1, bool)  # a document's first place
         self.first[np.cumsum(lengths) - lengths] = True
         ids, place = np.unique(key, return_inverse=True) if len(self.langs) * len(self.words) > 1 << 26 else self._dense(key)
@@ -110,7 +118,7 @@ class _Slice:
         self.lang_of, self.word_of = ids // max(1, len(self.words)), ids % max(1, len(self.words))
         self.count = np.bincount(self.at[~gap], minlength=len(ids))
         seeds = [xxhash.xxh64_intdigest(x.encode(), 42) for x in self.langs.to_pylist()]
-        named = self.words.cast(pa.binary()).to_pylist()
+        named = self.words.to_numpy(zero_copy_only=False).tolist()
         self.hash = np.fromiter((xxhash.xxh64_intdigest(named[w], seeds[k]) for k, w in zip(self.lang_of.tolist(), self.word_of.tolist())),
                                 np.uint64, len(ids))
 
@@ -227,15 +235,18 @@ def _noted_slots(scans: list[DataFrame], step: int, shards: int, size: int, leas
     return np.concatenate(found)
 
 
-def _in_set_slots(counts: DataFrame, size: int, table: np.ndarray) -> DataFrame:
-    """The counts whose slot is set. The set slots are broadcast as bits, len(table) / 8 bytes at most."""
-    slot = phrase_hash(size).bitwiseAND(F.lit(len(table) - 1).cast("long"))
+def _in_set_slots(counts: DataFrame, longest: int, table: np.ndarray) -> DataFrame:
+    """Without the counts of shorter phrases whose slot was never set. The set slots
+    are broadcast as bits, in rows of 64: len(table) / 64 rows at most."""
+    h = F.when(F.col("size") == 1, phrase_hash(1))
+    for size in range(2, longest):
+        h = h.when(F.col("size") == size, phrase_hash(size))
     words = np.packbits(table > 0, bitorder="little").view("<i8")
     there = np.flatnonzero(words)
     bits = counts.sparkSession.createDataFrame(pa.table({"__k": there, "__bits": words[there]}))
-    keyed = counts.withColumns({"__slot": slot})
-    return (keyed.join(F.broadcast(bits), F.shiftrightunsigned("__slot", 6) == F.col("__k"))
-            .filter("getbit(__bits, cast(__slot & 63 as int)) = 1").select(*counts.columns))
+    keyed = counts.withColumn("__slot", h.bitwiseAND(F.lit(len(table) - 1).cast("long")))
+    return (keyed.join(F.broadcast(bits), F.shiftrightunsigned("__slot", 6) == F.col("__k"), "left")
+            .filter(f"size = {longest} or getbit(__bits, cast(__slot & 63 as int)) = 1").select(*counts.columns))
 
 
 def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, shards: int = SHARDS,
@@ -269,10 +280,8 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, shards: in
         table[fresh[table[fresh] == 0]] = step + 1
         step += 1
     every = _union(scans)
-    sized = [_in_set_slots(every.filter(F.col("size") == k), k, table) for k in range(1, longest)]
     phrase = F.when(F.col("size") == 1, F.col("last")).otherwise(F.concat_ws(" ", "head", "last"))
-    sums = (_union([*sized, every.filter(F.col("size") == longest)]).groupBy("lang", "size", phrase.alias("phrase"))
-            .agg(F.sum("n").alias("a")))
+    sums = _in_set_slots(every, longest, table).groupBy("lang", "size", phrase.alias("phrase")).agg(F.sum("n").alias("a"))
     words = every.filter("size = 1").groupBy("lang").agg(F.sum("n").alias("n"))
     return stored(sums.filter(F.col("a") >= least), "dic-phrases"), words
 
