@@ -36,7 +36,7 @@ def recode_days_birth(df: DataFrame, col: str = "DAYS_BIRTH") -> DataFrame:
     })
 
 
-def missing_stats(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
+def missing_stats(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """One-row frame: null share, median (numeric) and mode (string) per column."""
     cols = cols or df.columns
     num = set(numeric_columns(df))
@@ -47,17 +47,17 @@ def missing_stats(df: DataFrame, cols: list[str] | None = None, exact: bool = Tr
             aggs.append(F.mode(F.col(c), True).alias(f"{c}__mode"))
     counts = df.agg(*aggs)
     specs = [(c, 0.5, f"{c}__med") for c in cols if c in num]
-    return with_scalars(counts, quantile_frame(df, specs, exact)) if specs else counts
+    return with_scalars(counts, quantile_frame(df, specs)) if specs else counts
 
 
-def handle_missing_values(df: DataFrame, protect=(KEY, TARGET), exact: bool = True) -> DataFrame:
+def handle_missing_values(df: DataFrame, protect=(KEY, TARGET)) -> DataFrame:
     """Drop columns more than 80 % missing; numeric ← median, string ← mode
     (or "MISSING" when the column has no value at all). A filled whole-number column
     becomes double, as a median can be fractional. The decision which
     columns to drop needs the shares, so one aggregate runs here (a single
     row comes back); the fills stay lazy in the returned plan."""
     cols = [c for c in df.columns if c not in protect]
-    stats = missing_stats(df, cols, exact).first().asDict()
+    stats = missing_stats(df, cols).first().asDict()
     n = stats["__n"] or 0
     drop = [c for c in cols if n and stats[f"{c}__null"] / n > MISSING_DROP_SHARE]
     fills = {}
@@ -73,7 +73,7 @@ def handle_missing_values(df: DataFrame, protect=(KEY, TARGET), exact: bool = Tr
     return df.drop(*drop).withColumns(fills) if fills else df.drop(*drop)
 
 
-def clean_application(df: DataFrame, impute: bool = True, exact: bool = True) -> DataFrame:
+def clean_application(df: DataFrame, impute: bool = True) -> DataFrame:
     """Recodes, gender flag, document flags in [0,1], Y/N flags, inf → null, C5."""
     out = recode_days_birth(recode_days_employed(df)).drop("DAYS_EMPLOYED", "DAYS_BIRTH")
     if "CODE_GENDER" in out.columns:
@@ -84,17 +84,16 @@ def clean_application(df: DataFrame, impute: bool = True, exact: bool = True) ->
     dbl = {f.name: clean_num(f.name) for f in out.schema.fields
            if f.dataType.typeName() in ("double", "float")}
     out = out.withColumns(dbl)
-    return handle_missing_values(out, exact=exact) if impute else out
+    return handle_missing_values(out) if impute else out
 
 
-def remove_outliers_iqr(df: DataFrame, cols: list[str], factor: float = IQR_FACTOR,
-                        exact: bool = True) -> DataFrame:
+def remove_outliers_iqr(df: DataFrame, cols: list[str], factor: float = IQR_FACTOR) -> DataFrame:
     """Winsorize each column to [Q1 − f·IQR, Q3 + f·IQR] (clipped, never dropped).
     Quartiles of all columns come from one aggregate joined back as one row."""
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return df
-    q = quantile_frame(df, [s for c in cols for s in ((c, 0.25, f"{c}__q1"), (c, 0.75, f"{c}__q3"))], exact)
+    q = quantile_frame(df, [s for c in cols for s in ((c, 0.25, f"{c}__q1"), (c, 0.75, f"{c}__q3"))])
     joined = with_scalars(df, q)
     out = {}
     for c in cols:
@@ -104,11 +103,10 @@ def remove_outliers_iqr(df: DataFrame, cols: list[str], factor: float = IQR_FACT
     return joined.withColumns(out).select(*df.columns)
 
 
-def outlier_report(df: DataFrame, cols: list[str], factor: float = IQR_FACTOR,
-                   exact: bool = True) -> DataFrame:
+def outlier_report(df: DataFrame, cols: list[str], factor: float = IQR_FACTOR) -> DataFrame:
     """C9 report: per column the fences and the number of values outside them."""
     cols = [c for c in cols if c in df.columns]
-    q = quantile_frame(df, [s for c in cols for s in ((c, 0.25, f"{c}__q1"), (c, 0.75, f"{c}__q3"))], exact)
+    q = quantile_frame(df, [s for c in cols for s in ((c, 0.25, f"{c}__q1"), (c, 0.75, f"{c}__q3"))])
     joined = with_scalars(df, q)
     aggs = []
     for c in cols:
@@ -121,10 +119,10 @@ def outlier_report(df: DataFrame, cols: list[str], factor: float = IQR_FACTOR,
     return wide.selectExpr(f"stack({len(cols)}, {stack}) as (column_name, lower_fence, upper_fence, n_clipped)")
 
 
-def fill_with_medians(df: DataFrame, cols: list[str], exact: bool = True) -> DataFrame:
+def fill_with_medians(df: DataFrame, cols: list[str]) -> DataFrame:
     """±inf → null, then every listed column ← its median (lazy, one agg)."""
     cleaned = df.withColumns({c: clean_num(F.col(c).cast("double")) for c in cols})
-    med = quantile_frame(cleaned, [(c, 0.5, f"{c}__med") for c in cols], exact)
+    med = quantile_frame(cleaned, [(c, 0.5, f"{c}__med") for c in cols])
     joined = with_scalars(cleaned, med)
     return (joined.withColumns({c: F.coalesce(F.col(c), F.col(f"{c}__med")) for c in cols})
                   .select(*df.columns))

@@ -21,7 +21,7 @@ from ..config import (DIMENSION_SCORES, EDUCATION_DEFAULT, EDUCATION_SCORE, HOUS
                       HOUSING_SCORE, INCOME_BRACKET_BOUNDS, KEY, RAW_FEATURES, TARGET,
                       TIER_BOUNDS, TIER_LABELS, UNEMPLOYED_SENTINEL, DAYS_PER_YEAR)
 from ..functions.exprs import bin_right_closed, clean_num, clip_, col_or, map_lookup, ratio, with_scalars
-from ..functions.quantiles import quantile_frame
+from ..functions.quantiles import quantile_frame, select_quantiles
 
 INCOME_FEATURES = ["income_total", "income_to_credit", "income_to_annuity", "annuity_income_ratio",
                    "years_employed", "is_unemployed", "job_stability_score", "income_bracket",
@@ -179,9 +179,9 @@ def build_behavioral(df: DataFrame) -> DataFrame:
     return out.withColumn("behavioral_score", _c01(score))
 
 
-def build_features_unfilled(master: DataFrame, exact: bool = True) -> DataFrame:
+def build_features_unfilled(master: DataFrame) -> DataFrame:
     """F1–F6 + demographics, before the final median fill."""
-    med = quantile_frame(master, [("AMT_INCOME_TOTAL", 0.5, "__income_med")], exact)
+    med = quantile_frame(master, [("AMT_INCOME_TOTAL", 0.5, "__income_med")])
     df = with_scalars(master, med)
     for step in (build_income_stability, build_spending_discipline, build_savings_consistency,
                  build_debt_burden, build_asset_signal, build_behavioral):
@@ -196,32 +196,23 @@ def build_features_unfilled(master: DataFrame, exact: bool = True) -> DataFrame:
     return df.select(F.col(KEY), *target, *ENGINEERED, *DEMOGRAPHICS)
 
 
-def build_all_features(master: DataFrame, exact: bool = True, materialize: bool = False) -> DataFrame:
+def build_all_features(master: DataFrame, store=None) -> DataFrame:
     """features with ±inf → null and every numeric feature median-filled.
 
-    ``materialize`` checkpoints the pre-fill table (reliable checkpoint in the
-    session's checkpoint dir) so the two passes — medians, then fill — read it
-    instead of recomputing the five child aggregates and the join chain."""
-    pre = build_features_unfilled(master, exact)
+    ``store`` writes the pre-fill table and reads it back, so the passes over it —
+    gaps, medians, fill — do not recompute the child aggregates and the join chain."""
+    pre = build_features_unfilled(master)
     cols = [f for f in pre.schema.fields if f.name not in (KEY, TARGET)]
     pre = pre.withColumns({f.name: clean_num(f.name) for f in cols
                            if f.dataType.typeName() in ("double", "float")})
-    specs = [(f.name, 0.5, f"{f.name}__med") for f in cols]
-    if materialize:
-        from ..session import cut_lineage
-        pre = cut_lineage(pre)
+    if store:
+        pre = store(pre)
     # a whole-number feature with gaps becomes double, as its median can be fractional
     whole = [f.name for f in cols if f.dataType.typeName() in ("integer", "long", "short", "byte")]
     gaps = pre.agg(F.count(F.lit(1)), *[F.count_if(F.col(c).isNull()).alias(c) for c in whole]).first()
     kinds = {f.name: "double" if f.name in whole and gaps[f.name] else f.dataType for f in cols}
-    if materialize:
-        # one row of medians (one scalar per feature, bounded by the column count)
-        row = quantile_frame(pre, specs, exact).first()
-        filled = {f.name: F.coalesce(F.col(f.name), F.lit(row[f"{f.name}__med"]).cast(kinds[f.name])) for f in cols}
-        return pre.withColumns(filled)
-    joined = with_scalars(pre, quantile_frame(pre, specs, exact))
-    filled = {f.name: F.coalesce(F.col(f.name), F.col(f"{f.name}__med").cast(kinds[f.name])) for f in cols}
-    return joined.withColumns(filled).select(*pre.columns)
+    medians = select_quantiles(pre, [(f.name, 0.5) for f in cols])
+    return pre.withColumns({f.name: F.coalesce(F.col(f.name), F.lit(m).cast(kinds[f.name])) for f, m in zip(cols, medians)})
 
 
 def composite_score(features: DataFrame, weights: dict | None = None) -> F.Column:

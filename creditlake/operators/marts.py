@@ -82,10 +82,10 @@ def cohort_comparison(app: DataFrame) -> DataFrame:
                     F.avg("AMT_CREDIT").alias("avg_credit")))
 
 
-def median_by_category(df: DataFrame, cat: str, value: str, exact: bool = True) -> DataFrame:
+def median_by_category(df: DataFrame, cat: str, value: str) -> DataFrame:
     """Median of ``value`` per category, sorted descending (null category dropped)."""
     dwelling = F.lower(F.col(cat)).contains("house") | F.lower(F.col(cat)).contains("apartment")
-    med = quantile_frame(df.where(F.col(cat).isNotNull()), [(value, 0.5, "median_value")], exact, [cat])
+    med = quantile_frame(df.where(F.col(cat).isNotNull()), [(value, 0.5, "median_value")], [cat])
     return med.withColumn("is_dwelling", dwelling).orderBy(F.desc("median_value"), cat)
 
 
@@ -153,10 +153,10 @@ def score_histogram(scored: DataFrame) -> DataFrame:
     return scored.groupBy(b.alias("score_bin"), "IS_YOUNG").agg(F.count(F.lit(1)).alias("n"))
 
 
-def box_stats(scored: DataFrame, value: str, by: str, exact: bool = True) -> DataFrame:
+def box_stats(scored: DataFrame, value: str, by: str) -> DataFrame:
     """q1/median/q3, whiskers (most extreme values within 1.5·IQR) and outlier
     count per group — quartiles in one aggregate, whiskers in a second pass."""
-    q = quantile_frame(scored, [(value, 0.25, "q1"), (value, 0.5, "median"), (value, 0.75, "q3")], exact, [by])
+    q = quantile_frame(scored, [(value, 0.25, "q1"), (value, 0.5, "median"), (value, 0.75, "q3")], [by])
     j = scored.join(q, by)
     iqr = F.col("q3") - F.col("q1")
     lo, hi = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr

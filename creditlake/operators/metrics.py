@@ -62,17 +62,21 @@ def threshold_grid(start=THRESHOLD_GRID[0], stop=THRESHOLD_GRID[1], n=THRESHOLD_
 
 def threshold_sweep(df: DataFrame, label: str = "label", score: str = "score",
                     grid: list[float] | None = None) -> DataFrame:
-    """precision/recall/F1 at every grid threshold (pred = score ≥ t) in one pass."""
-    grid = grid or threshold_grid()
-    y = F.col(label) == 1
-    aggs = [F.count_if(y).alias("P")]
-    for i, t in enumerate(grid):
-        pred = F.col(score) >= F.lit(t)
-        aggs += [F.count_if(pred & y).alias(f"tp{i}"), F.count_if(pred & ~y).alias(f"fp{i}")]
-    wide = df.agg(*aggs)
-    rows = [F.struct(F.lit(i).alias("grid_index"), F.lit(t).alias("threshold"),
-                     F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp")) for i, t in enumerate(grid)]
-    long = wide.select("P", F.inline(F.array(*rows)))
+    """precision/recall/F1 at every grid threshold (pred = score ≥ t). Each row is
+    counted once, at the number of thresholds it passes; a threshold's counts are the
+    sums of the places above it, over a table of one row per threshold."""
+    grid = sorted(grid or threshold_grid())
+    passed = sum((F.coalesce(F.col(score) >= F.lit(t), F.lit(False)).cast("int") for t in grid), F.lit(0))
+    places = (df.select(passed.alias("k"), (F.col(label) == 1).alias("y")).groupBy("k")
+                .agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg")))
+    one = places.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("P"), F.collect_list(F.struct("k", "pos", "neg")).alias("places"))
+    rows = [F.struct(F.lit(i).alias("grid_index"), F.lit(t).alias("threshold")) for i, t in enumerate(grid)]
+    long = one.select("P", "places", F.inline(F.array(*rows)))
+
+    def above(count: str) -> F.Column:
+        return F.aggregate("places", F.lit(0).cast("long"),
+                           lambda acc, p: acc + F.when(p["k"] > F.col("grid_index"), p[count]).otherwise(0))
+    long = long.withColumns({"tp": above("pos"), "fp": above("neg")})
     fn = F.col("P") - F.col("tp")
     f1 = F.when(F.col("tp") == 0, 0.0).otherwise(2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + fn))
     return long.select("grid_index", "threshold", "tp", "fp", fn.alias("fn"), f1.alias("f1"))

@@ -64,7 +64,7 @@ def model_feature_columns(df: DataFrame, extra_drop: list[str] | None = None) ->
     return [c for c in numeric_columns(df) if c not in exclude]
 
 
-def prepare_model_data(df: DataFrame, exact: bool = True,
+def prepare_model_data(df: DataFrame,
                        extra_drop: list[str] | None = None) -> tuple[DataFrame, list[str]]:
     """Features, ±inf → null, medians from the training rows only,
     train/test flag from the hash bucket (stratum ratios hold in expectation)."""
@@ -73,7 +73,7 @@ def prepare_model_data(df: DataFrame, exact: bool = True,
                      *[clean_num(F.col(c).cast("double")).alias(c) for c in cols])
     base = base.withColumn("is_train", split_bucket() < TRAIN_SHARE)
     # one row of training medians (one scalar per feature) → literal fills
-    med = quantile_frame(base.where("is_train"), [(c, 0.5, f"{c}__med") for c in cols], exact).first()
+    med = quantile_frame(base.where("is_train"), [(c, 0.5, f"{c}__med") for c in cols]).first()
     filled = base.select(KEY, TARGET, "is_train",
                          *[F.coalesce(F.col(c), F.lit(med[f"{c}__med"]).cast("double")).alias(c) for c in cols])
     return filled, cols
@@ -150,10 +150,9 @@ def positive_probability(pred: DataFrame) -> DataFrame:
     return pred.withColumn("score", vector_to_array(F.col("probability"))[1])
 
 
-def train_and_score(df: DataFrame, kind: str = "lr", max_iter: int | None = None,
-                    exact: bool = True, extra_drop: list[str] | None = None) -> tuple[object, DataFrame, list[str]]:
+def train_and_score(df: DataFrame, kind: str = "lr", max_iter: int | None = None, extra_drop: list[str] | None = None) -> tuple[object, DataFrame, list[str]]:
     """Fit on the training rows, return (model, test predictions with score, features)."""
-    prepared, cols = prepare_model_data(df, exact, extra_drop)
+    prepared, cols = prepare_model_data(df, extra_drop)
     feats = kept_features(prepared, cols)
     data = cut_lineage(with_weights(prepared).withColumn("is_valid", valid_fold()))
     train = data.where("is_train")
@@ -196,11 +195,11 @@ def importance(attributions: DataFrame, feats: list[str], top_n: int = 15) -> Da
                 .orderBy(F.desc("mean_abs_attribution"), "feature").limit(top_n))
 
 
-def cross_validated_lr(df: DataFrame, folds: int = 5, exact: bool = True) -> DataFrame:
+def cross_validated_lr(df: DataFrame, folds: int = 5) -> DataFrame:
     """K-fold CV over a small L2 grid with deterministic, stratified folds. A fold
     without both classes (fewer than ``folds`` rows of a class) makes the mean AUC a
     count of such folds more than a measure."""
-    prepared, cols = prepare_model_data(df, exact)
+    prepared, cols = prepare_model_data(df)
     feats = kept_features(prepared, cols)
     data = cut_lineage(stratified_folds(with_weights(prepared).where("is_train"), folds))
     n = data.count()

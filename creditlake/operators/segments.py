@@ -22,12 +22,12 @@ _SOURCE = {"income": "AMT_INCOME_TOTAL", "credit_amt": "AMT_CREDIT", "annuity":
            "active_credit_ratio": "bureau_active_ratio", "prev_approved_ratio": "prev_approved_ratio"}
 
 
-def cluster_input(master_with_age: DataFrame, exact: bool = True) -> DataFrame:
+def cluster_input(master_with_age: DataFrame) -> DataFrame:
     """Young cohort, 10 renamed features, median fill (young medians),
     log1p on the money columns, assembled + standardized (mean 0, unit population sd)."""
     young = master_with_age.where(F.col("AGE_YEARS") < YOUNG_AGE_MAX).select(
         KEY, *[F.col(src).cast("double").alias(dst) for dst, src in _SOURCE.items()])
-    med = quantile_frame(young, [(c, 0.5, f"{c}__med") for c in CLUSTER_FEATURES], exact)
+    med = quantile_frame(young, [(c, 0.5, f"{c}__med") for c in CLUSTER_FEATURES])
     filled = with_scalars(young, med).select(
         KEY, *[F.coalesce(F.col(c), F.col(f"{c}__med")).alias(c) for c in CLUSTER_FEATURES])
     logged = filled.withColumns({c: F.log1p(c) for c in CLUSTER_LOG_FEATURES})

@@ -7,7 +7,7 @@ incomplete beta in :mod:`creditlake.functions.special` on those few rows.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import FEATURE_GROUPS, TTEST_MIN_GROUP
@@ -17,26 +17,32 @@ from ..functions.quantiles import quantile_frame
 from ..functions.special import f_pvalue, t_pvalue
 
 
-def _group_moments(df: DataFrame, group_col: str, cols: list[str]) -> DataFrame:
-    """Long frame (column_name, n1, m1, v1, n0, m0, v0): group value 1 vs 0,
-    nulls dropped per column (as ``Series.dropna``). One group-by on the (binary)
-    group column computes n/mean/variance of every column with map-side partial
-    aggregation; the two result rows are reshaped into one row per column."""
+def _group_moments(df: DataFrame, group_cols: list[str], cols: list[str]) -> list[DataFrame]:
+    """For each (binary) group column a frame (column_name, n1, m1, v1, n0, m0, v0):
+    group value 1 vs 0, nulls dropped per column (as ``Series.dropna``). One scan
+    aggregates count, mean and variance of every column by all group columns
+    together (nine cells at most for two); the cells are then merged per group value."""
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"n_{i}"), F.avg(x).alias(f"m_{i}"), F.var_samp(x).alias(f"v_{i}")]
-    wide = df.where(F.col(group_col).isin(0, 1)).groupBy(F.col(group_col).alias("__g")).agg(*aggs)
+    binary = {f"__g{k}": F.when(F.col(g).isin(0, 1), F.col(g).cast("int")) for k, g in enumerate(group_cols)}
+    cells = df.select(*cols, *[c.alias(n) for n, c in binary.items()]).groupBy(*binary).agg(*aggs)
     rows = [F.struct(F.lit(c).alias("column_name"), F.col(f"n_{i}").alias("n"), F.col(f"m_{i}").alias("m"),
                      F.col(f"v_{i}").alias("v")) for i, c in enumerate(cols)]
-    long = wide.select("__g", F.inline(F.array(*rows)))
-    g1 = long.where(F.col("__g") == 1).select("column_name", F.col("n").alias("n1"), F.col("m").alias("m1"),
-                                               F.col("v").alias("v1"))
-    g0 = long.where(F.col("__g") == 0).select("column_name", F.col("n").alias("n0"), F.col("m").alias("m0"),
-                                               F.col("v").alias("v0"))
-    return g1.join(g0, "column_name", "full").select(
-        "column_name", F.coalesce("n1", F.lit(0)).alias("n1"), "m1", "v1",
-        F.coalesce("n0", F.lit(0)).alias("n0"), "m0", "v0")
+    long = cells.select(*binary, F.inline(F.array(*rows))).withColumn("s", F.coalesce(F.col("v"), F.lit(0.0)) * (F.col("n") - 1))
+    out = []
+    for g in binary:
+        side = Window.partitionBy("column_name", g)
+        mean = F.sum(F.col("n") * F.col("m")).over(side) / F.nullif(F.sum("n").over(side).cast("double"), F.lit(0.0))
+        spread = F.when(F.col("n") > 0, F.col("s") + F.col("n") * (F.col("m") - F.col("__mean")) ** 2)
+        merged = (long.withColumn("__mean", mean).withColumn("__spread", spread).groupBy("column_name", g)
+                  .agg(F.sum("n").alias("n"), F.first("__mean").alias("m"), F.sum("__spread").alias("s")))
+        of = lambda v, c: F.max(F.when(F.col(g) == v, F.col(c)))
+        out.append(merged.groupBy("column_name").agg(*[x for v in (1, 0) for x in (
+            F.coalesce(of(v, "n"), F.lit(0)).alias(f"n{v}"), of(v, "m").alias(f"m{v}"),
+            F.when(of(v, "n") > 1, of(v, "s") / (of(v, "n") - 1)).alias(f"v{v}"))]))
+    return out
 
 
 def _welch(m: DataFrame) -> DataFrame:
@@ -49,7 +55,7 @@ def _welch(m: DataFrame) -> DataFrame:
 
 def welch_ttest(df: DataFrame, group_col: str, cols: list[str], with_p: bool = True) -> DataFrame:
     """M1: Welch two-sample t-test (group 1 minus group 0) for each column."""
-    out = _welch(_group_moments(df, group_col, cols))
+    out = _welch(_group_moments(df, [group_col], cols)[0])
     out = out.select("column_name", F.col("n1").alias("n_group1"), F.col("n0").alias("n_group0"),
                      F.col("m1").alias("mean_group1"), F.col("m0").alias("mean_group0"), "t_stat", "dof")
     if with_p:
@@ -69,8 +75,8 @@ def dimension_of(feature: F.Column) -> F.Column:
 def feature_screen(features: DataFrame, cols: list[str], with_p: bool = True) -> DataFrame:
     """M2: every feature × (default, young) Welch test; a group with ≤30 rows gets p = 1."""
     parts = {}
-    for name, g in (("default", "TARGET"), ("age", "IS_YOUNG")):
-        t = _welch(_group_moments(features, g, cols))
+    for name, moments in zip(("default", "age"), _group_moments(features, ["TARGET", "IS_YOUNG"], cols)):
+        t = _welch(moments)
         small = (F.col("n1") <= TTEST_MIN_GROUP) | (F.col("n0") <= TTEST_MIN_GROUP)
         t = t.select("column_name",
                      F.when(small, None).otherwise(F.col("t_stat")).alias(f"t_{name}"),
@@ -99,7 +105,7 @@ def dimension_power(screen: DataFrame) -> DataFrame:
 
 def anova_two_groups(df: DataFrame, group_col: str, cols: list[str], with_p: bool = True) -> DataFrame:
     """M3: one-way ANOVA F per column from group n, mean, variance (k groups = 2)."""
-    m = _group_moments(df, group_col, cols)
+    m = _group_moments(df, [group_col], cols)[0]
     n = F.col("n1") + F.col("n0")
     grand = (F.col("m1") * F.col("n1") + F.col("m0") * F.col("n0")) / n
     ssb = F.col("n1") * (F.col("m1") - grand) ** 2 + F.col("n0") * (F.col("m0") - grand) ** 2
@@ -128,7 +134,7 @@ def kruskal_wallis(df: DataFrame, value_col: str, group_col: str) -> DataFrame:
     big_n = F.col("N").cast("double")
     h = 12.0 / (big_n * (big_n + 1)) * sum((F.col(f"R_{i}") ** 2 / F.col(f"n_{i}") for i in range(len(groups))),
                                            F.lit(0.0)) - 3 * (big_n + 1)
-    corr = 1 - F.col("ties") / (big_n ** 3 - big_n)
+    corr = 1 - F.try_divide(F.col("ties"), big_n ** 3 - big_n)  # a single row has no ranks to compare: null
     return per.select(F.lit(value_col).alias("column_name"), F.lit(len(groups)).alias("k"),
                       F.col("N").alias("n"), F.try_divide(h, corr).alias("h_stat"))
 
@@ -156,12 +162,11 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     return wide.select(F.inline(F.array(*rows)))
 
 
-def quantile_strata(df: DataFrame, value_col: str, outcome: str, n_bins: int = 10,
-                    exact: bool = True) -> DataFrame:
+def quantile_strata(df: DataFrame, value_col: str, outcome: str, n_bins: int = 10) -> DataFrame:
     """M8: cut points at the 1/n … (n−1)/n quantiles (one aggregate), right-closed
     buckets, outcome rate per bucket; rows without a value are in no bucket."""
     probs = [i / n_bins for i in range(1, n_bins)]
-    q = quantile_frame(df, [(value_col, p, f"__c{i}") for i, p in enumerate(probs)], exact)
+    q = quantile_frame(df, [(value_col, p, f"__c{i}") for i, p in enumerate(probs)])
     cuts = q.select(F.array(*[F.col(f"__c{i}") for i in range(len(probs))]).alias("__cuts"))
     joined = with_scalars(df.where(F.col(value_col).isNotNull()), cuts)
     bucket = F.aggregate(F.col("__cuts"), F.lit(0), lambda acc, c: acc + F.when(F.col(value_col) > c, 1).otherwise(0))

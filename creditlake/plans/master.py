@@ -10,14 +10,14 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..config import KEY
 from ..operators import aggregates as A
 from ..operators.cleaning import recode_days_birth, recode_days_employed
 from ..operators.features import append_raw_features, build_all_features, score_features
-from ..session import app_key, cut_lineage
-from ..sources.roles import load_roles
+from ..session import app_key
+from ..sources import io as IO
+from ..sources.roles import ROLE_TABLES, forget_schemas, load_roles
 
 CHILD_ROLES = ("bureau", "bureau_balance", "previous_application", "credit_card_balance",
                "installments_payments", "pos_cash_balance")
@@ -52,34 +52,50 @@ def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 _MATERIALIZED: dict[tuple, DataFrame] = {}
-
-
-def materialized(spark: SparkSession, key: tuple, build, checkpoint: bool = True) -> DataFrame:
-    """S8 materialize-or-reuse: build once per session and input folder, cut the
-    lineage with a reliable checkpoint in the cluster's ``spark.checkpoint.dir``
-    (survives executor loss; never a local checkpoint), reuse afterwards."""
-    k = app_key(spark) + key
+_SEEN: dict[str, str] = {}
+
+
+def inputs(spark: SparkSession, sf_dir: str) -> str:
+    """Fingerprint of the base tables' files now; cached schemas of changed files go."""
+    found = IO.input_fingerprint(spark, [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ROLE_TABLES])
+    if _SEEN.setdefault(sf_dir, found) != found:
+        forget_schemas(sf_dir)
+        _SEEN[sf_dir] = found
+    return found
+
+
+def materialized(spark: SparkSession, key: tuple[str, str], build, store: bool = True) -> DataFrame:
+    """S8 materialize-or-reuse: ``key`` is (name, input folder). Built once per session
+    and state of the input files, and written as Parquet in the cluster's
+    ``spark.checkpoint.dir``, so later queries read only the columns and rows they
+    need and a lost executor costs a read. A rewritten input is built anew."""
+    name, sf_dir = key
+    state = inputs(spark, sf_dir)
+    k = app_key(spark) + key + (state,)
     df = _MATERIALIZED.get(k)
     if df is None:
         df = build()
-        df = cut_lineage(df, spark) if checkpoint else df
+        if store:
+            folder = sf_dir.strip("/").replace("/", "_").replace(":", "_")
+            path = IO.shared_path(spark, f"{app_key(spark)[0]}/{folder}/{name}-{state}")
+            built = df
+            df = IO.materialize_or_reuse(spark, path, lambda: built)
         _MATERIALIZED[k] = df
     return df
 
 
 def master_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O5, written once per session and input folder (features, model input,
-    clustering and the marts all read it; each median pass would otherwise
-    recompute the five child aggregates)."""
+    """O5 (features, model input, clustering and the marts all read it)."""
     return materialized(spark, ("master", sf_dir), lambda: build_master(load(spark, sf_dir)))
 
 
 def features_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F7 table (customer grain), materialized once: the median fill needs two
-    passes over it, and every mart reads it."""
-    return materialized(spark, ("features", sf_dir),
-                        lambda: build_all_features(feature_input(master_table(spark, sf_dir)),
-                                                   materialize=True), checkpoint=False)
+    """F7 table (customer grain). The unfilled features are stored, the medians are
+    taken from there, and the filled table is a projection of it."""
+    def filled() -> DataFrame:
+        return build_all_features(feature_input(master_table(spark, sf_dir)),
+                                  lambda pre: materialized(spark, ("features_unfilled", sf_dir), lambda: pre))
+    return materialized(spark, ("features", sf_dir), filled, store=False)
 
 
 def scored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,11 +107,3 @@ def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F7 → F10: features with the raw aggregates appended (model input)."""
     return materialized(spark, ("model_input", sf_dir),
                         lambda: append_raw_features(master_table(spark, sf_dir), features_table(spark, sf_dir)))
-
-
-def customer_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored features plus the raw application attributes the marts need."""
-    roles = load(spark, sf_dir)
-    app = roles["application"].select(KEY, "AMT_CREDIT", "AMT_ANNUITY", "NAME_HOUSING_TYPE",
-                                      F.col("AMT_INCOME_TOTAL").alias("raw_income"))
-    return scored_table(spark, sf_dir).join(app, KEY, "left")

@@ -302,7 +302,7 @@ def q_s4(spark, sf):
 @register("s8_materialized_master", with_ctes(f"SELECT {rounded_select(MASTER_TYPES)} FROM master", "master"))
 def q_s8(spark, sf):
     """S6 + S8: master written once as parquet in the shared folder, reused after."""
-    return IO.materialize_or_reuse(spark, IO.shared_path(spark, f"master_{_tag(sf)}"),
+    return IO.materialize_or_reuse(spark, IO.shared_path(spark, f"master_{_tag(sf)}_{M.inputs(spark, sf)}"),
                                    lambda: M.master_table(spark, sf))
 
 

@@ -18,7 +18,7 @@ def app_clean(spark, sf):
     cohort tests read it; the imputation needs two statistics passes)."""
     return M.materialized(spark, ("app_clean", sf),
                           lambda: clean_application(role(spark, sf, "application")),
-                          checkpoint=False)
+                          store=False)
 
 
 def scored(spark, sf):

@@ -37,7 +37,7 @@ def prepared(spark, sf):
     cols = MD.model_feature_columns(M.model_table(spark, sf))
     df = M.materialized(spark, ("prepared", sf),
                         lambda: MD.prepare_model_data(M.model_table(spark, sf))[0],
-                        checkpoint=False)
+                        store=False)
     return df, cols
 
 
@@ -89,7 +89,7 @@ def q_m10(spark, sf):
 
 
 def _segments(spark, sf):
-    k = app_key(spark) + (sf,)
+    k = app_key(spark) + (sf, M.inputs(spark, sf))
     if k not in _SEGMENTS:
         prep = SG.cluster_input(M.feature_input(M.master_table(spark, sf)))
         _SEGMENTS[k] = cut_lineage(SG.assign_segments(prep, k=3))
@@ -131,7 +131,7 @@ LEARNERS = {"LogisticRegression": "lr", "GBT-A": "gbt_a", "GBT-B": "gbt_b"}
 
 def _scores(spark, sf, kind):
     """Fit once per session, input folder and learner; later queries reuse the fit."""
-    k = app_key(spark) + (sf, kind)
+    k = app_key(spark) + (sf, kind, M.inputs(spark, sf))
     if k not in _FITTED:
         model, pred, feats = MD.train_and_score(M.model_table(spark, sf), kind)
         _FITTED[k] = (model, cut_lineage(pred), feats)

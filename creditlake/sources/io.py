@@ -8,17 +8,17 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..session import checkpoint_dir
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, sep: str = ",",
-             header: bool = True, row_cap: int | None = None) -> DataFrame:
-    """CSV scan with a declared schema, optional delimiter and row cap."""
-    df = (spark.read.schema(schema).option("header", header).option("sep", sep)
-          .option("mode", "PERMISSIVE").csv(path))
-    return df.limit(row_cap) if row_cap is not None else df
+             header: bool = True) -> DataFrame:
+    """CSV scan with a declared schema and optional delimiter."""
+    return (spark.read.schema(schema).option("header", header).option("sep", sep)
+            .option("mode", "PERMISSIVE").csv(path))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -62,8 +62,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}"
 
 
+def input_fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """A digest of the path, size and time of every file below ``paths``: equal only
+    while no input was rewritten, added or removed. Lists files, reads no content."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    n, total = files.select(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)").alias("h")).agg(
+        F.count("h"), F.coalesce(F.sum("h"), F.lit(0))).first()
+    return f"{n}-{int(total) % 2 ** 64:016x}"
+
+
 def materialize_or_reuse(spark: SparkSession, path: str, build) -> DataFrame:
-    """Read the table at ``path`` when it exists, else build, write and read back."""
+    """Read the table at ``path`` when it exists, else build, write and read back.
+    Where inputs can change, put their ``input_fingerprint`` in the path."""
     if not _exists(spark, path.rstrip("/") + "/_SUCCESS"):      # absent or an interrupted write
         write_parquet(build(), path)
     return spark.read.parquet(path)
