@@ -14,8 +14,9 @@ rows or collecting values:
 If a proposal's ranks cover the wanted one, it is the answer, and the next larger
 value gives the interpolation partner. Else the proposals next to the rank become
 the bracket, which holds about 4 / accuracy of the values before, so a column of
-10^11 values takes three or four rounds. A rank that is not reached is an error,
-never a null.
+10^11 values takes three or four rounds. A bracket of less than accuracy / 2 values
+ends the search: a sketch of it has a rank error below a half and gives the value and
+its partner. A rank that is not reached is an error, never a null.
 
 Without groups the state is one row of numbers on the driver, a few per quantile;
 with groups it is a table of one row per group, joined back on the group.
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +35,7 @@ from ..session import cut_lineage
 ACCURACY = 10_000
 ROUNDS = 40
 GRID = 512      # probabilities a group's later sketches are read at
-BLOCK = 12      # quantiles counted in one aggregate: keeps it within generated code
+BLOCK = 32      # proposals counted in one aggregate: three columns each keep it within generated code
 
 
 @dataclass
@@ -60,20 +62,31 @@ class _Selection:
             cond = cond & (x < F.lit(self.hi))
         return F.when(cond, x)
 
+    def few(self, accuracy: int) -> bool:
+        """Whether a sketch of the bracket keeps every value: its rank error is below a half."""
+        return 2 * (self.above - self.base) < accuracy
+
     def sketch(self, accuracy: int) -> Column:
-        """Three values of the bracket around the wanted rank."""
-        size = max(1, self.above - self.base)
-        q = (self.f - self.base + 1) / size if self.n else self.p
+        """The wanted value and the next one where the sketch is exact, else three
+        values around the wanted rank."""
+        size, rank = max(1, self.above - self.base), self.f - self.base + 0.5
         eps = 2.0 / accuracy
-        return F.percentile_approx(self.inside(), F.array(*[F.lit(min(1.0, max(0.0, v))) for v in (q - eps, q, q + eps)]),
-                                   F.lit(accuracy))
+        at = (rank / size, (rank + 1) / size) if self.few(accuracy) else (rank / size - eps, rank / size, rank / size + eps)
+        return F.percentile_approx(self.inside(), F.array(*[F.lit(min(1.0, max(0.0, q))) for q in at]), F.lit(accuracy))
+
+    def finish(self, v: float, partner: float) -> None:
+        self.value, self.done = v + ((self.n - 1) * self.p - self.f) * (partner - v), True
+
+    def read(self, found: list[float]) -> None:
+        """The two values of an exact sketch; the bracket's end follows its last value."""
+        last = self.f - self.base + 1 == self.above - self.base
+        self.finish(found[0], (found[0] if self.hi is None else self.hi) if last else found[1])
 
     def settle(self, found: list[tuple[float, int, int, float | None]]) -> None:
         """``found``: proposal, values below it, values up to it, next larger value."""
         for v, below, upto, larger in found:
             if below <= self.f < upto:
-                partner = v if self.f + 1 < upto or larger is None else larger
-                self.value, self.done = v + ((self.n - 1) * self.p - self.f) * (partner - v), True
+                self.finish(v, v if self.f + 1 < upto or larger is None else larger)
                 return
             if upto <= self.f and upto > self.base:
                 self.lo, self.base = v, upto
@@ -85,26 +98,30 @@ def select_quantiles(df: DataFrame, specs: list[tuple[str, float]], accuracy: in
     """The quantile ``p`` of ``column`` for every (column, p); None for a column of nulls."""
     searches = [_Selection(c, p) for c, p in specs]
     columns = list(dict.fromkeys(c for c, _ in specs))
-    sizes = df.agg(*[F.count(F.col(f"`{c}`").cast("double")) for c in columns],
-                   *[s.sketch(accuracy) for s in searches]).first() if specs else []
-    proposals = sizes[len(columns):]
+    if not specs:
+        return []
+    sizes = df.agg(*[F.count(F.col(f"`{c}`").cast("double")) for c in columns]).first()
     for s in searches:
         s.n = s.above = sizes[columns.index(s.column)]
         s.f = math.floor((s.n - 1) * s.p) if s.n else 0
         s.done = not s.n
     for _ in range(ROUNDS):
-        open_ = [(s, sorted(set(v))) for s, v in zip(searches, proposals) if not s.done]
-        for i in range(0, len(open_), BLOCK):
-            block = open_[i:i + BLOCK]
+        left = [s for s in searches if not s.done]
+        if not left:
+            return [s.value for s in searches]
+        open_ = []
+        for s, found in zip(left, df.agg(*[s.sketch(accuracy) for s in left]).first()):
+            if s.few(accuracy):
+                s.read(found)
+            else:
+                open_.append((s, sorted(set(found))))
+        while open_:
+            fit = max(1, sum(n <= BLOCK for n in accumulate(len(vs) for _, vs in open_)))
+            block, open_ = open_[:fit], open_[fit:]
             row = iter(df.agg(*[agg for s, vs in block for v in vs for x in [F.col(f"`{s.column}`").cast("double")]
                                 for agg in (F.count_if(x < F.lit(v)), F.count_if(x <= F.lit(v)), F.min(F.when(x > F.lit(v), x)))]).first())
             for s, vs in block:
                 s.settle([(v, next(row), next(row), next(row)) for v in vs])
-        left = [s for s in searches if not s.done]
-        if not left:
-            return [s.value for s in searches]
-        row = df.agg(*[s.sketch(accuracy) for s in left]).first()
-        proposals = [None if s.done else row[left.index(s)] for s in searches]
     raise RuntimeError(f"quantiles not reached after {ROUNDS} rounds")
 
 

@@ -1,20 +1,22 @@
 """Default-risk modelling with MLlib.
 
 Data preparation is SQL-checkable column algebra (exclusion list, ±inf → null,
-train-only medians, population variance screen, deterministic hash split,
+train-only medians, population variance screen, exact stratified split,
 balanced class weights). Training uses MLlib estimators; evaluation reuses the
 distributed metric operators in :mod:`creditlake.operators.metrics`.
 """
 from __future__ import annotations
 
 import math
+import random
+from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,15 +29,49 @@ from ..functions.quantiles import quantile_frame
 from .metrics import auc_roc_pr
 from .quality import numeric_columns
 
-TRAIN_SHARE = 80          # percent of each stratum that goes to training (expected)
+TRAIN_SHARE = 80          # percent of each stratum that goes to training
+CLASSES = 1000            # more values of the target than this are no strata
+PATIENCE = 50             # rounds without gain on the validation fold that end the boosting
+FIRST_ROUNDS = 100        # boosted first; twice as many while the loss still falls
+# ranges of the random search: log-uniform penalty, uniform share of L1 in it
+SEARCH_SPACE = {"regParam": (1e-4, 1.0), "elasticNetParam": (0.0, 0.5)}
 VALID_SHARE = 10          # percent of the training rows held out for early stopping
 ROWS_PER_TASK = 100_000   # inputs too small for one such block per task are merged into fewer tasks
 
 
+def split_order(key: str = KEY) -> F.Column:
+    """Deterministic pseudo-random number of a key by integer arithmetic (same value in
+    any engine, no overflow for any 64-bit key)."""
+    return F.pmod(F.pmod(F.col(key), F.lit(1000003)) * F.lit(2654435761), F.lit(4294967296))
+
+
 def split_bucket(key: str = KEY) -> F.Column:
-    """Deterministic 0..99 bucket from the key by integer arithmetic (same value in
-    any engine, no overflow for any 64-bit key, no shuffle, no window)."""
-    return F.pmod(F.pmod(F.col(key), F.lit(1000003)) * F.lit(2654435761), F.lit(4294967296)) % 100
+    """0..99 from ``split_order``: a split without a look at the data, its shares in expectation."""
+    return split_order(key) % 100
+
+
+def train_rows(df: DataFrame, key: str = KEY) -> F.Column:
+    """True for ``TRAIN_SHARE`` percent of each class, rounded to whole rows: those
+    with the lowest (``split_order``, key). The last training key of a class is found by
+    running counts over the narrow (class, order, key) table; only these cuts, one per
+    class, come back and become a condition, so wide rows are neither ranked nor
+    joined. Rows of one key stay together."""
+    keys = df.groupBy(F.col(TARGET).alias("y"), split_order(key).alias("h"), F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    counts = keys.groupBy("y").agg(F.sum("n").alias("n")).orderBy(F.asc_nulls_first("y")).limit(CLASSES + 1).collect()
+    if len(counts) > CLASSES:
+        raise ValueError(f"more than {CLASSES} classes to stratify by")
+    wanted, before = [], 0
+    for r in counts:
+        take = (r["n"] * TRAIN_SHARE + 50) // 100
+        if take:
+            wanted.append(before + take)
+        before += r["n"]
+    ranked = running_totals(keys.withColumn("__order", F.struct("y", "h", "k")), "__order", ["n"])
+    covers = [(F.col("cum_n") >= w) & (F.col("cum_n") - F.col("n") < w) for w in wanted]
+    cuts = ranked.filter(reduce(lambda a, b: a | b, covers, F.lit(False))).collect()
+    h, k = split_order(key), F.col(key)
+    inside = [F.col(TARGET).eqNullSafe(F.lit(c["y"])) & ((h < c["h"]) | ((h == c["h"]) & (k <= F.lit(c["k"])))) for c in cuts]
+    return F.coalesce(reduce(lambda a, b: a | b, inside, F.lit(False)), F.lit(False))
 
 
 def valid_fold(key: str = KEY) -> F.Column:
@@ -67,11 +103,11 @@ def model_feature_columns(df: DataFrame, extra_drop: list[str] | None = None) ->
 def prepare_model_data(df: DataFrame,
                        extra_drop: list[str] | None = None) -> tuple[DataFrame, list[str]]:
     """Features, ±inf → null, medians from the training rows only,
-    train/test flag from the hash bucket (stratum ratios hold in expectation)."""
+    train/test flag exact per class. Reads ``df`` more than once: pass a stored table."""
     cols = model_feature_columns(df, extra_drop)
     base = df.select(KEY, F.col(TARGET).cast("int").alias(TARGET),
                      *[clean_num(F.col(c).cast("double")).alias(c) for c in cols])
-    base = base.withColumn("is_train", split_bucket() < TRAIN_SHARE)
+    base = base.withColumn("is_train", train_rows(base))
     # one row of training medians (one scalar per feature) → literal fills
     med = quantile_frame(base.where("is_train"), [(c, 0.5, f"{c}__med") for c in cols]).first()
     filled = base.select(KEY, TARGET, "is_train",
@@ -133,19 +169,47 @@ def logistic_pipeline(cols: list[str], n_rows: int, max_iter: int = 2000, c_inv_
 
 def gbt_pipeline(cols: list[str], max_iter: int = 400, variant: str = "A"):
     """Gradient-boosted trees. A: 400 trees depth 5, lr .05, subsample .8,
-    70 % features per split, min 5 rows per node (no split-gain or L1/L2 analogue). B: 500 trees, min 50
-    rows per node, early stopping on a validation fold taken from the training rows."""
+    70 % features per split, min 5 rows per node (no split-gain or L1/L2 analogue). B: min 50 rows per
+    node; ``boosted_with_patience`` finds its number of trees."""
     if variant == "A":
         gbt = GBTClassifier(featuresCol="raw_features", labelCol=TARGET, weightCol="weight", maxIter=max_iter,
                             maxDepth=5, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.7",
                             minInstancesPerNode=5, seed=42)
     else:
         gbt = GBTClassifier(featuresCol="raw_features", labelCol=TARGET, weightCol="weight", maxIter=max_iter,
-                            maxDepth=5, stepSize=0.05, minInstancesPerNode=50, seed=42,
-                            validationIndicatorCol="is_valid", validationTol=0.0)
+                            maxDepth=5, stepSize=0.05, minInstancesPerNode=50, seed=42)
     return Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="raw_features", handleInvalid="keep"), gbt])
 
 
+def best_round(losses: list[float], patience: int = PATIENCE) -> tuple[int, bool]:
+    """The round (from 1) with the lowest loss before ``patience`` rounds bring no gain,
+    and whether that many rounds were seen."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def boosted_with_patience(train: DataFrame, cols: list[str], max_iter: int = 500, patience: int = PATIENCE):
+    """Variant B with as many trees as do best on the validation fold. A longer
+    run begins with the trees of a shorter one, so the rounds are doubled until the
+    loss has not fallen for ``patience`` rounds, and the best prefix is fitted last."""
+    learn, check = train.where(~F.col("is_valid")), train.where("is_valid")
+    if check.isEmpty() or learn.isEmpty():
+        return gbt_pipeline(cols, max_iter, "B").fit(train)
+    rounds = min(FIRST_ROUNDS, max_iter)
+    while True:
+        model = gbt_pipeline(cols, rounds, "B").fit(learn)
+        features = model.stages[0].transform(check)
+        best, stopped = best_round(model.stages[-1].evaluateEachIteration(features), patience)
+        if stopped or rounds == max_iter:
+            return model if best == rounds else gbt_pipeline(cols, best, "B").fit(learn)
+        rounds = min(2 * rounds, max_iter)
+
+
 def positive_probability(pred: DataFrame) -> DataFrame:
     return pred.withColumn("score", vector_to_array(F.col("probability"))[1])
 
@@ -164,13 +228,12 @@ def train_and_score(df: DataFrame, kind: str = "lr", max_iter: int | None = None
     elif kind == "gbt_a":
         model = gbt_pipeline(feats, max_iter or 400, "A").fit(train)
     else:
-        model = gbt_pipeline(feats, max_iter or 500, "B").fit(train)
+        model = boosted_with_patience(train, feats, max_iter or 500)
     return model, positive_probability(model.transform(test)), feats
 
 
 def model_comparison(results: dict[str, DataFrame]) -> DataFrame:
     """AUC-ROC and AUC-PR per model, best first."""
-    from functools import reduce
     parts = [auc_roc_pr(pred, TARGET, "score").select(F.lit(name).alias("model"), "auc_roc", "auc_pr")
              for name, pred in results.items()]
     return reduce(DataFrame.unionByName, parts).orderBy(F.desc("auc_roc"))
@@ -195,8 +258,17 @@ def importance(attributions: DataFrame, feats: list[str], top_n: int = 15) -> Da
                 .orderBy(F.desc("mean_abs_attribution"), "feature").limit(top_n))
 
 
-def cross_validated_lr(df: DataFrame, folds: int = 5) -> DataFrame:
-    """K-fold CV over a small L2 grid with deterministic, stratified folds. A fold
+def search_draws(n: int, seed: int) -> list[dict[str, float]]:
+    """``n`` seeded draws from ``SEARCH_SPACE``: the same on every run."""
+    rng = random.Random(seed)
+    low, high = (math.log(v) for v in SEARCH_SPACE["regParam"])
+    return [{"regParam": math.exp(rng.uniform(low, high)), "elasticNetParam": rng.uniform(*SEARCH_SPACE["elasticNetParam"])}
+            for _ in range(n)]
+
+
+def cross_validated_lr(df: DataFrame, folds: int = 5, draws: int = 6, seed: int = 42) -> DataFrame:
+    """Random hyper-parameter search, each draw scored by k-fold CV over
+    deterministic, stratified folds of the training rows, which are stored once. A fold
     without both classes (fewer than ``folds`` rows of a class) makes the mean AUC a
     count of such folds more than a measure."""
     prepared, cols = prepare_model_data(df)
@@ -206,14 +278,14 @@ def cross_validated_lr(df: DataFrame, folds: int = 5) -> DataFrame:
     data = in_few_tasks(data, n)
     pipe = logistic_pipeline(feats, n)
     lr = pipe.getStages()[-1]
-    grid = ParamGridBuilder().addGrid(lr.regParam, [1e-4, 1e-3, 1e-2]).build()
+    sampled = search_draws(draws, seed)
+    grid = [{lr.getParam(k): v for k, v in draw.items()} for draw in sampled]
     ev = BinaryClassificationEvaluator(labelCol=TARGET, rawPredictionCol="rawPrediction", metricName="areaUnderROC")
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, numFolds=folds, foldCol="fold",
-                        parallelism=3)
+                        parallelism=4)
     m = cv.fit(data)
-    spark = df.sparkSession
-    return spark.createDataFrame([(float(p[lr.regParam]), float(a)) for p, a in zip(grid, m.avgMetrics)],
-                                 "reg_param double, mean_auc double")
+    rows = [(i, d["regParam"], d["elasticNetParam"], float(a)) for i, (d, a) in enumerate(zip(sampled, m.avgMetrics), 1)]
+    return df.sparkSession.createDataFrame(rows, "draw int, reg_param double, elastic_net double, mean_auc double")
 
 
 def approval_model_data(prev: DataFrame, features: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from .registry import register
 
 MODEL_COLS = [c for c in list(FEATURE_TYPES) + RAW_FEATURES
               if c not in set(DROP_FOR_MODELING) | {KEY, TARGET}]
-BUCKET = "((SK_ID_CURR % 1000003) * 2654435761 % 4294967296) % 100"
+SPLIT_ORDER = "(SK_ID_CURR % 1000003) * 2654435761 % 4294967296, SK_ID_CURR"
 
 
 def _prepared_cte() -> str:
@@ -24,7 +24,7 @@ def _prepared_cte() -> str:
     meds = ", ".join(f"median({c}) AS {c}__med" for c in MODEL_COLS)
     fill = ", ".join(f"coalesce(b.{c}, m.{c}__med) AS {c}" for c in MODEL_COLS)
     return f"""
-, mb AS (SELECT SK_ID_CURR, CAST(TARGET AS INTEGER) AS TARGET, {BUCKET} < 80 AS is_train, {cols} FROM model_input),
+, mb AS (SELECT SK_ID_CURR, CAST(TARGET AS INTEGER) AS TARGET, row_number() OVER (PARTITION BY TARGET ORDER BY {SPLIT_ORDER}) <= (count(*) OVER (PARTITION BY TARGET) * 80 + 50) // 100 AS is_train, {cols} FROM model_input),
 prepared AS (SELECT b.SK_ID_CURR, b.TARGET, b.is_train, {fill} FROM mb b, (SELECT {meds} FROM mb WHERE is_train) m)"""
 
 
@@ -59,7 +59,7 @@ def q_m13(spark, sf):
 
 @register("m14_split_counts", _ml_sql("SELECT is_train, TARGET, count(*) AS n FROM prepared GROUP BY 1, 2"))
 def q_m14(spark, sf):
-    """Deterministic hash split, rows per (split, stratum)."""
+    """Exact stratified split, rows per (split, stratum)."""
     return MD.split_counts(prepared(spark, sf)[0])
 
 
@@ -200,7 +200,7 @@ def q_m27(spark, sf):
 
 @register("m30_cross_validation", None)
 def q_m30(spark, sf):
-    """5-fold cross-validated L2 grid for the logistic model."""
+    """Random search for the logistic model, 5-fold cross-validated."""
     return MD.cross_validated_lr(M.model_table(spark, sf), folds=5)
 
 
@@ -208,7 +208,7 @@ def q_m30(spark, sf):
 def q_m31(spark, sf):
     """Approved-vs-refused model on previous applications (test AUC)."""
     data = MD.approval_model_data(role(spark, sf, "previous_application"), M.features_table(spark, sf))
-    _, pred, _ = MD.train_and_score(data, "lr", extra_drop=["SK_ID_PREV"])
+    _, pred, _ = MD.train_and_score(cut_lineage(data), "lr", extra_drop=["SK_ID_PREV"])
     from ..operators.metrics import auc_roc_pr
     return auc_roc_pr(pred, TARGET, "score")
 
