@@ -21,12 +21,14 @@ result; special-token strings in a text follow the tokenizer file's own rules.
 """
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +39,8 @@ runs_in_tasks(__name__)
 CAPACITY = 2048
 END_ID = 0
 BUCKETS = 1024
-CACHED_WORDS = 500_000
-CACHED_BYTES = 48
+SLICE_BYTES = 24 << 20
+TOGETHER = 2000
 
 
 def default_tokenizer() -> str:
@@ -46,47 +48,67 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class _Encoder:
-    """Token ids of a text as little-endian unsigned 32-bit bytes.
+def _unit_rules(path: str) -> tuple[bool, bool]:
+    """Whether the tokenizer lower-cases, and whether it parts a run of punctuation from
+    an ASCII letter or digit before it: then both may be done first, so that there are
+    fewer distinct words."""
+    with open(path, encoding="utf-8") as file:
+        rules = json.load(file)
+    normal, before = json.dumps(rules["normalizer"]), json.dumps(rules["pre_tokenizer"])
+    return '"Lowercase"' in normal, json.dumps(r"[^\s\p{L}\p{N}]+")[1:-1] in before
 
-    The tokenizer's white space ends every unit it encodes, so a text's ids are
-    those of its space-separated words in turn. Words come from a cache of two
-    generations: when the young one is full it becomes the old one, so words in
-    use stay and memory is bounded.
-    """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    @classmethod
-    def of_process(cls, path: str) -> "_Encoder":
-        """The encoder of this worker process, which serves many tasks in turn."""
-        import tokenizers
-        held = tokenizers.__dict__.setdefault("_word_encoders", {})
-        if path not in held:
-            held[path] = cls(path)
-        return held[path]
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        words = [t.encode("utf-8").split() for t in texts]
-        if len(self.young) > CACHED_WORDS:
-            self.old, self.young = self.young, {}
-        young, old, long, new = self.young, self.old, {}, []
-        for w in set().union(*words):
-            if w not in young:
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    new.append(w)
-        for i in range(0, len(new), 10_000):
-            some = new[i:i + 10_000]
-            for w, e in zip(some, self.tokenizer.encode_batch([w.decode("utf-8") for w in some], add_special_tokens=False)):
-                (young if len(w) <= CACHED_BYTES else long)[w] = np.array(e.ids, "<u4").tobytes()
-        for line in words:
-            yield b"".join([young[w] if w in young else long[w] for w in line])
+def _encoded(tokenizer, rules: tuple[bool, bool], texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts one after another, each followed by ``end_id``, and the
+    number of ids of each text.
+
+    The tokenizer's white space ends every unit it encodes, so a text's ids are those
+    of its space-separated words in turn. The words are numbered, each distinct one is
+    encoded once, and the ids are gathered by number.
+    """
+    lowers, parts = rules
+    if lowers and not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens keep their case
+        texts = pc.ascii_lower(texts)
+    if parts:
+        texts = pc.replace_substring_regex(texts, "([A-Za-z0-9])([.,;:!?])", r"\1 \2")
+    split = pc.ascii_split_whitespace(texts)
+    coded = split.flatten().dictionary_encode()
+    words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    sizes, flats = [], []
+    for i in range(0, len(words), TOGETHER):  # ids of many words at once, told apart by their offsets
+        some = words[i:i + TOGETHER]
+        ends = np.cumsum(np.fromiter((len(w) + 1 for w in some), np.int64, len(some)))
+        made = tokenizer.encode(" ".join(some), add_special_tokens=False)
+        begins = np.fromiter((o[0] for o in made.offsets), np.int64, len(made))
+        flats.append(np.array(made.ids, "<u4"))
+        sizes.append(np.bincount(np.searchsorted(ends, begins, "right"), minlength=len(some)))
+    size = np.concatenate([*sizes, [1]])
+    flat = np.concatenate([*flats, np.array([end_id], "<u4")])
+    per_text = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+    number = np.insert(coded.indices.to_numpy(zero_copy_only=False), np.cumsum(per_text), len(words))
+    length = size[number]
+    first = (np.cumsum(size) - size)[number]  # where each word's ids begin
+    ends = np.cumsum(length)
+    out = flat[np.repeat(first - (ends - length), length) + np.arange(int(ends[-1]))]
+    last = np.cumsum(per_text + 1) - 1  # the place of each text's end
+    return out, np.diff(ends[last], prepend=0)
+
+
+def _pieces(batch: pa.RecordBatch, tokenizer, rules: tuple[bool, bool], capacity: int, end_id: int, with_ids: bool) -> pa.RecordBatch:
+    ids, total = _encoded(tokenizer, rules, batch.column("text").cast(pa.string()), end_id)
+    n = -(-total // capacity)
+    row = np.repeat(np.arange(len(total)), n)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    start = piece * capacity
+    length = np.minimum(capacity, total[row] - start)
+    at = np.cumsum(length) - length
+    view = memoryview(np.ascontiguousarray(ids)).cast("B")
+    crc = [zlib.crc32(view[a:b]) for a, b in zip((4 * at).tolist(), (4 * (at + length)).tolist())]
+    columns = [batch.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length),
+               pa.array(crc, pa.int64())]
+    if with_ids:
+        columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)).astype(np.int32)), pa.array(ids.view("<i4"))))
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
 
 
 def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID,
@@ -94,25 +116,20 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
     """Pieces: doc_id, piece, start, length, ids_crc32 (and ids, on request)."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    end = np.array([end_id], "<u4").tobytes()
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        encode = _Encoder.of_process(tokenizer)
+        from tokenizers import Tokenizer
+        encoder = Tokenizer.from_file(tokenizer)
+        rules = _unit_rules(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                rows = []
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist())):
-                    ids += end
-                    for piece, a in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[a:a + 4 * capacity]
-                        rows.append((doc_id, piece, a // 4, len(own) // 4, zlib.crc32(own),
-                                     *([np.frombuffer(own, "<i4")] if with_ids else [])))
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+            ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False), dtype=np.int64)
+            at = 0
+            while at < batch.num_rows:  # some SLICE_BYTES of text at a time, one text at least
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+                yield _pieces(batch.slice(at, stop - at), encoder, rules, capacity, end_id, with_ids)
+                at = stop
 
     return narrow.mapInArrow(run, schema)
 

@@ -188,6 +188,22 @@ def test_packing_round_trip(docs):
     assert len(made) == len(at) and all(len(r.ids) == at[r.sequence_id] for r in made)
 
 
+def test_words_encode_as_their_text():
+    """Lower-casing and parting punctuation first leaves the tokenizer's ids as they are."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    rules = packing._unit_rules(packing.default_tokenizer())
+    assert rules == (True, True)
+    odd = ["It's, don't. DON'T!? we'LL; x.'s a,'s 3.14 1,000 a.b..c", "ΑΣ. ΣΑΣ, İI ﬁ", "x\u0327. e\u0301, <\u0338 a;\u0338", "a'.s b!'t 'll.'re",
+           "  \t tab.\x0b\x0c end", "日本語。x, y", "a.\u00a0b, \u2028c!", "n.n:n;n!n?n-n_n", ""]
+    special = ["A<|ENDOFTEXT|>. b,c", "x <|endoftext|>, Y."]
+    for texts in (odd, special, odd + special):
+        ids, total = packing._encoded(tokenizer, rules, pa.array(texts), 0)
+        want = [tokenizer.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+        assert total.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_pack_lengths_random():
     rng = np.random.default_rng(1)
     for _ in range(40):
