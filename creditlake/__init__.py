@@ -3,8 +3,8 @@
 Sub-packages: ``sources`` (role views, readers, sinks), ``functions`` (column
 helpers, distributed running totals, bounded exact quantiles, p-values),
 ``operators`` (aggregates, cleaning, features, marts, statistics, metrics,
-economics, MLlib models), ``plans`` (customer-360 pipeline, registered queries
-and their SQL oracles) and ``streaming`` (intentionally empty).
+economics, MLlib models) and ``plans`` (customer-360 pipeline, registered queries
+and their SQL oracles).
 """
 
 __version__ = "0.1.0"
