@@ -40,9 +40,10 @@ from .common import fold_of, runs_in_tasks, stored, text_of
 
 runs_in_tasks(__name__)
 
-ORDER = 5
+ORDER = 5  # odd: a gram is whole pairs of bytes
 HEAD_WORDS = 300_000
 HEAD_GRAMS = 1_000_000
+PROBES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)  # odd multipliers of the probe tables
 SLICE = 1 << 21
 GROUP = 50_000
 END = 10
@@ -54,9 +55,11 @@ def gram_codes(line: bytes) -> np.ndarray:
     """The gram (ORDER context bytes and the symbol) of every byte after the first ORDER."""
     b = np.frombuffer(line, np.uint8).astype(np.int64)
     n = max(0, len(b) - ORDER)
+    pair = b[:-1] << 8 | b[1:]
     code = np.zeros(n, np.int64)
-    for k in range(ORDER + 1):
-        code = (code << 8) | b[k:k + n]
+    for k in range(0, ORDER, 2):
+        code <<= 16
+        code |= pair[k:k + n]
     return code
 
 
@@ -170,14 +173,13 @@ def price(codes: np.ndarray, n: np.ndarray, one: np.ndarray, none: np.ndarray) -
             if key >> 8 in wanted[k]:
                 table.setdefault(key >> 8, {})[key & 255] = int(c)
         tables.append((k, table))
+    after_one = {last: _node(one[last]) for last in np.unique(codes[unseen] >> 8 & 255).tolist()}
+    after_none = _node(none)
     for i in unseen.tolist():
         context, s, gone, cost = int(codes[i]) >> 8, int(symbol[i]), set(), 0.0
         nodes = [t.get(context & ((1 << 8 * k) - 1), {}) for k, t in tables]
-        last = context & 255
-        nodes += [{j: int(one[last, j]) for j in np.flatnonzero(one[last]).tolist()},
-                  {j: int(none[j]) for j in np.flatnonzero(none).tolist()}]
-        for node in nodes:
-            left = {j: c for j, c in node.items() if j not in gone}
+        for node in (*nodes, after_one[context & 255], after_none):
+            left = {j: c for j, c in node.items() if j not in gone} if gone else node
             if not left:
                 continue
             whole = 2 * sum(left.values())
@@ -192,6 +194,59 @@ def price(codes: np.ndarray, n: np.ndarray, one: np.ndarray, none: np.ndarray) -
     return out
 
 
+def _node(counts: np.ndarray) -> dict[int, int]:
+    at = np.flatnonzero(counts)
+    return dict(zip(at.tolist(), counts[at].tolist()))
+
+
+def _slot(codes: np.ndarray, multiplier: int, bits: int) -> np.ndarray:
+    return ((codes.view(np.uint64) * np.uint64(multiplier)) >> np.uint64(64 - bits)).view(np.int64)
+
+
+def probe_tables(keys: np.ndarray, costs: np.ndarray) -> list[tuple]:
+    """``keys`` with their costs as hash tables of two to four slots a key: of keys that
+    share a slot the last stays, the others go to the next table; what the last
+    table leaves is kept sorted. A look-up is then one read per table, not a search."""
+    tables: list[tuple] = []
+    for multiplier in PROBES:
+        bits = max(1, (2 * len(keys)).bit_length())
+        slot = _slot(keys, multiplier, bits)
+        at, cost = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
+        at[slot] = keys
+        mine = at[slot] == keys
+        cost[slot[mine]] = costs[mine]
+        tables.append((multiplier, bits, at, cost))
+        keys, costs = keys[~mine], costs[~mine]
+    order = np.argsort(keys)
+    return [*tables, (keys[order], costs[order])]
+
+
+def add_known(pieces: list[bytes], owners: list[int], tables: list[tuple], scores: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Add the costs of the pieces' grams found in ``tables`` to the scores of their
+    owners (fewer than 32,768). Returns owner, gram and count of the others."""
+    line = b"".join(pieces)
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    inside = np.ones(len(line), bool)
+    ends = np.cumsum(sizes)
+    for k in range(1, ORDER + 1):
+        inside[ends - k] = False  # these grams reach into the next piece
+    inside = inside[:len(line) - ORDER]
+    codes, owner = gram_codes(line)[inside], np.repeat(owners, sizes)[:len(line) - ORDER][inside]
+    for multiplier, bits, at, cost in tables[:-1]:
+        slot = _slot(codes, multiplier, bits)
+        hit = at[slot] == codes
+        scores += np.bincount(owner[hit], cost[slot[hit]], len(scores))
+        codes, owner = codes[~hit], owner[~hit]
+    keys, costs = tables[-1]
+    if len(keys):
+        place = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
+        hit = keys[place] == codes
+        scores += np.bincount(owner[hit], costs[place[hit]], len(scores))
+        codes, owner = codes[~hit], owner[~hit]
+    both, n = np.unique(owner << 48 | codes, return_counts=True)
+    return both >> 48, both & ((1 << 48) - 1), n
+
+
 def gram_prices(grams: DataFrame, distinct: int) -> DataFrame:
     """gram, n, cost for every distinct gram."""
     one, none = _short_tables(grams)
@@ -235,11 +290,10 @@ def document_scores(docs: DataFrame, modulus: int = 7, held: int = 2, head_words
     prices = stored(gram_prices(grams, grams.count()), "lm-prices")
 
     top_words, top_grams = _most_frequent(words, head_words), _most_frequent(prices, head_grams)
-    keys = top_grams.column("gram").to_numpy()
-    order = np.argsort(keys)
+    order = np.argsort(top_grams.column("n").to_numpy())  # the most frequent win their slot
     shipped = spark.sparkContext.broadcast((
-        dict(zip(top_words.column("word").to_pylist(), top_words.column("n").to_pylist())), keys[order],
-        top_grams.column("cost").to_numpy()[order]))
+        dict(zip(top_words.column("word").to_pylist(), top_words.column("n").to_pylist())),
+        top_grams.column("gram").to_numpy()[order], top_grams.column("cost").to_numpy()[order]))
     end_cost = math.log10(ends + 1) - low
 
     schema = ("kind byte, rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, "
@@ -248,6 +302,7 @@ def document_scores(docs: DataFrame, modulus: int = 7, held: int = 2, head_words
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_words, gram_keys, gram_costs = shipped.value
         cost_of = {w: math.log10(c + 1) - low for w, c in known_words.items()}
+        tables = probe_tables(gram_keys, gram_costs)
         rid = TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -255,25 +310,29 @@ def document_scores(docs: DataFrame, modulus: int = 7, held: int = 2, head_words
                 found: list[tuple] = []
                 tails: list[tuple] = []
                 tail_grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                for doc_id, held_out, text in zip(part.column("doc_id").to_pylist(), part.column("held_out").to_pylist(),
-                                                  part.column("text")):
+                scores, pieces, owners, waiting = np.zeros(part.num_rows), [], [], 0
+                for i, (doc_id, held_out, text) in enumerate(zip(
+                        part.column("doc_id").to_pylist(), part.column("held_out").to_pylist(), part.column("text"))):
                     line = text.as_py().encode("utf-8").lower().split()
-                    base = [cost_of.get(w) for w in line]
-                    rare = Counter(w for w, c in zip(line, base) if c is None)
-                    tails += [(rid, w, c) for w, c in rare.items()]
-                    score = 0.0
+                    base = list(map(cost_of.get, line))
+                    rare = Counter(w for w, c in zip(line, base) if c is None) if None in base else {}
+                    tails += [(rid + i, w, c) for w, c in rare.items()]
                     for piece in _slices(line):
-                        codes = gram_codes(piece)
-                        place = np.minimum(np.searchsorted(gram_keys, codes), max(0, len(gram_keys) - 1))
-                        hit = gram_keys[place] == codes if len(gram_keys) else np.zeros(len(codes), bool)
-                        score += float(gram_costs[place[hit]].sum())
-                        if not hit.all():
-                            k, c = np.unique(codes[~hit], return_counts=True)
-                            tail_grams.append((np.full(len(k), rid), k, c))
+                        pieces.append(piece)
+                        owners.append(i)
+                        waiting += len(piece)
+                        if waiting >= SLICE // 4:
+                            tail_grams.append(add_known(pieces, owners, tables, scores))
+                            pieces, owners, waiting = [], [], 0
                     n_rare = sum(rare.values())
-                    found.append((rid, doc_id, held_out, len(line) + 1, len(line) - n_rare + (1 if ends else 0),
-                                  math.fsum(c for c in base if c is not None) + end_cost, score))
-                    rid += 1
+                    known = [c for c in base if c is not None] if rare else base
+                    found.append((rid + i, doc_id, held_out, len(line) + 1, len(line) - n_rare + (1 if ends else 0),
+                                  math.fsum(known) + end_cost))
+                if pieces:
+                    tail_grams.append(add_known(pieces, owners, tables, scores))
+                found = [(*row, score) for row, score in zip(found, scores.tolist())]
+                tail_grams = [(owner + rid, k, c) for owner, k, c in tail_grams]
+                rid += part.num_rows
                 yield from _emit(found, tails, tail_grams, schema)
 
     partial = stored(rows.mapInArrow(run, schema), "lm-scores")

@@ -238,6 +238,58 @@ def test_lm_scores(docs):
         assert r.score == pytest.approx(close[r.doc_id, r.n_tokens].score)
 
 
+def plain_ppm(train: list[bytes], line: bytes) -> float:
+    """log10 probability of a line, byte by byte, from counts of every context."""
+    counts = collections.defaultdict(collections.Counter)
+    for t in train:
+        padded = lm_scoring.PAD + t
+        for i in range(lm_scoring.ORDER, len(padded)):
+            for k in range(lm_scoring.ORDER + 1):
+                counts[padded[i - k:i]][padded[i]] += 1
+    cost, padded = 0.0, lm_scoring.PAD + line
+    for i in range(lm_scoring.ORDER, len(padded)):
+        gone: set[int] = set()
+        for k in range(lm_scoring.ORDER, -1, -1):
+            node = {s: n for s, n in counts.get(padded[i - k:i], {}).items() if s not in gone}
+            if padded[i] in node:
+                cost += math.log10((2 * node[padded[i]] - 1) / (2 * sum(node.values())))
+                break
+            if node:
+                cost += math.log10(len(node) / (2 * sum(node.values())))
+                gone |= set(node)
+        else:
+            cost -= math.log10(256 - len(gone))
+    return cost
+
+
+def test_lm_scores_against_a_plain_model(docs):
+    lines = {(d, t): b" ".join(text(t).encode().lower().split()) + b"\n" for d, t, _ in ROWS}
+    train = [b" ".join(text(t).encode().lower().split()) + b"\n" for d, t, _ in ROWS
+             if zlib.crc32(str(d).encode() if d is not None else b"") % 7 != 2]
+    short = {k: v for k, v in lines.items() if len(v) < 3000}
+    want = collections.Counter((d, round(plain_ppm(train, line), 6)) for (d, _), line in short.items())
+    for settings in ({}, {"head_grams": 60}):
+        got = {(r.doc_id, round(r.score, 6)) for r in lm_scoring.document_scores(docs, **settings).collect()}
+        assert all(any(d == e and abs(x - y) < 1e-5 for e, y in got) for d, x in want)
+
+
+def test_probe_tables_find_every_key():
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 103, n).astype(np.uint8)) for n in (1, 7, 5000, 40)]
+    pieces = [lm_scoring.PAD + t for t in texts]
+    codes = [lm_scoring.gram_codes(p) for p in pieces]
+    keys = np.unique(np.concatenate(codes))[::2]
+    costs = rng.normal(size=len(keys))
+    price = dict(zip(keys.tolist(), costs.tolist()))
+    for known, cost in ((keys, costs), (keys[:0], costs[:0])):
+        scores = np.zeros(4)
+        owner, gram, n = lm_scoring.add_known(pieces, [0, 1, 2, 3], lm_scoring.probe_tables(known, cost), scores)
+        have = set(known.tolist())
+        assert scores == pytest.approx([sum(price[c] for c in part.tolist() if c in have) for part in codes])
+        assert dict(zip(zip(owner.tolist(), gram.tolist()), n.tolist())) == collections.Counter(
+            (i, c) for i, part in enumerate(codes) for c in part.tolist() if c not in have)
+
+
 def test_symbol_probabilities_sum_to_one():
     line = lm_scoring.PAD + b"abracadabra abra\n"
     codes, n = np.unique(lm_scoring.gram_codes(line), return_counts=True)
