@@ -8,15 +8,17 @@ bounds of their kind, and a phone is no part of an address or a card. Boosted tr
 learn from the generators' own candidates: label 1 when the candidate passes the check
 of its kind after normalising (separators removed, "at" and "dot" resolved), else 0;
 bare runs of digits, dates and decimals are no phone. The check itself (Luhn, ranges,
-the exact pattern) is no feature; format and the text on both sides are. Those
-candidates stay whose score reaches the threshold of their kind, calibrated on a hash
-fold of the candidates of all documents kept out of the fit: the lowest score above
-which ``precision`` of the fold's candidates are valid; a kind without candidates in
-the fold takes the threshold of all kinds together. Added spans of a kind that overlap
-each other keep the earliest.
+the exact pattern) is no feature; format and the text on both sides are. Valid
+candidates are always added, whatever the table's size; of the others those whose score
+reaches the threshold of their kind, calibrated on a hash fold of the candidates of all
+documents kept out of the fit: the lowest score above which ``precision`` of the fold's
+candidates, one wrong one added, are valid; a kind without candidates in the fold takes the threshold of all
+kinds together. Added spans of a kind that overlap each other keep the earliest.
 
 Main path: one pass over the documents in DataFrame functions without a shuffle.
-Positions come from splitting the text at the matches and summing lengths; the
+Positions come from splitting the text at the matches and summing lengths in blocks,
+gaps are cut from blocks of the text, and overlaps found by bisection, so work grows
+in proportion to the text and its spans; the
 fitted trees are an SQL expression evaluated on a document's own candidates. The
 trees are fitted on the candidates of about ``max_docs`` distinct texts (a documented
 bound); one more pass counts (kind, score bin, label) over all documents, combined
@@ -27,9 +29,10 @@ after the last match), which finds the same matches in linear time without
 recursion, whatever the length of the text.
 
 Edge cases: null and empty texts have no spans (empty strings, zero counts); repeated
-rows have equal results; null ids are kept; if all candidates are valid all are added,
-if none is nothing is; an empty table gives an empty result; offsets are code points,
-ends exclusive.
+rows have equal results; null ids are kept; if no candidate is valid none is added;
+an empty table gives an empty result; offsets are code points, ends exclusive;
+``find_spans`` replaces input columns named ``base`` or ``spans``, ``redact`` returns
+all input columns.
 """
 from __future__ import annotations
 
@@ -115,13 +118,30 @@ def _literal(pattern: str) -> str:
     return "r'" + pattern.replace("'", "''") + "'" if "'" in pattern else f"r'{pattern}'"
 
 
-def _running(lengths: str) -> str:
-    """Inclusive running sums of an array of longs, in blocks (linear work)."""
-    blocks = (f"transform(sequence(0, (size({lengths}) - 1) div {BLOCK}), b -> slice({lengths}, b * {BLOCK} + 1, {BLOCK}))")
-    sums = f"transform({blocks}, x -> aggregate(x, 0L, (a, v) -> a + v))"
-    offsets = f"transform({sums}, (s, i) -> aggregate(slice({sums}, 1, i), 0L, (a, v) -> a + v))"
-    inside = "transform(z.x, (v, i) -> z.o + aggregate(slice(z.x, 1, i + 1), 0L, (a, w) -> a + w))"
-    return (f"if(size({lengths}) = 0, array(), flatten(transform(zip_with({blocks}, {offsets}, (x, o) -> named_struct('x', x, 'o', o)), z -> {inside})))")
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _running(values: str, both: str = "{} + {}") -> str:
+    """Inclusive running sums (or another ``both``) of an array of longs from 0 up, in blocks (linear work)."""
+    fold = f"0L, (a, v) -> {both.format('a', 'v')}"
+    inside = f"transform(z.x, (w, i) -> {both.format('z.o', f'aggregate(slice(z.x, 1, i + 1), {fold})')})"
+    before = f"transform(s, (y, i) -> aggregate(slice(s, 1, i), {fold}))"
+    found = f"flatten(transform(zip_with(k, {before}, (x, o) -> named_struct('x', x, 'o', o)), z -> {inside}))"
+    blocks = f"transform(sequence(0, (size(l) - 1) div {BLOCK}), b -> slice(l, b * {BLOCK} + 1, {BLOCK}))"
+    return _let(values, "l", "if(size(l) = 0, array(), "
+                + _let(blocks, "k", _let(f"transform(k, x -> aggregate(x, {fold}))", "s", found)) + ")")
+
+
+def _touches(spans: str) -> str:
+    """Whether span ``c`` overlaps one of ``spans``, which are apart and in order (bisection)."""
+    middle = "int((a.low + a.high) div 2)"
+    step = (f"if(a.low >= a.high, a, if({spans}[{middle}].start < c.end, named_struct('low', {middle} + 1, 'high', a.high), "
+            f"named_struct('low', a.low, 'high', {middle})))")
+    before = (f"aggregate(sequence(0, int(log2(size({spans}) + 1)) + 1), named_struct('low', 0, 'high', size({spans})), (a, t) -> {step}, "
+              "a -> a.low)")
+    return _let(before, "n", f"if(n = 0, false, {spans}[n - 1].end > c.start)")
 
 
 def _found(rows: DataFrame, name: str, kind: int, pattern: str, sides: bool, column: str = "__text") -> DataFrame:
@@ -149,20 +169,26 @@ def base_spans(rows: DataFrame) -> DataFrame:
 def candidates(rows: DataFrame) -> DataFrame:
     """Add ``cands``: loose spans in the gaps between base spans with their features
     and label (``valid``). Base spans are blanked out by as many ``MASK`` characters."""
-    masked = ("aggregate(array_sort(base, (a, b) -> case when a.start <> b.start then if(a.start < b.start, -1, 1) else 0 end), "
-              "named_struct('at', 0L, 'out', ''), (acc, s) -> if(s.end <= acc.at, acc, named_struct('at', s.end, 'out', concat(acc.out, "
-              "substring(__text, int(acc.at) + 1, int(greatest(0L, s.start - acc.at))), "
-              f"repeat('{MASK}', int(s.end - greatest(s.start, acc.at)))))), "
-              "acc -> concat(acc.out, substring(__text, int(acc.at) + 1)))")
-    rows = rows.withColumn("__gaps", F.expr(f"if(size(base) = 0, __text, {masked})"))
+    rows = rows.withColumn("__s", F.expr("array_sort(transform(base, s -> named_struct('start', s.start, 'end', s.end)))"))
+    ends = _running("transform(__s, x -> x.end)", "greatest({}, {})")
+    since, until = "if(i = 0, 0L, z.e[i - 1])", "if(i = size(z.s), z.n, z.s[i].start)"
+    gap = (f"if({until} <= {since}, '', substring(array_join(slice(z.k, int({since} div {BLOCK}) + 1, "
+           f"int(({until} - 1) div {BLOCK} - {since} div {BLOCK}) + 1), ''), int({since} % {BLOCK}) + 1, int({until} - {since})))")
+    mask = f"if(i = size(z.s), '', repeat('{MASK}', int(greatest(0L, z.e[i] - greatest(z.s[i].start, {since})))))"
+    blocks = f"regexp_extract_all(__text, r'(?s).{{1,{BLOCK}}}', 0)"
+    masked = _let(f"named_struct('s', __s, 'e', {ends}, 'k', {blocks}, 'n', bigint(char_length(__text)))", "z",
+                  f"array_join(transform(sequence(0, size(z.s)), i -> concat({gap}, {mask})), '')")
+    rows = rows.withColumn("__gaps", F.expr(f"if(size(base) = 0, __text, {masked})")).drop("__s")
     for k, kind in enumerate(KINDS):
         rows = _found(rows, f"__c{k}", k, LOOSE[kind], True, "__gaps")
         rows = rows.withColumn(f"__c{k}", F.expr(
             f"transform(__c{k}, c -> named_struct('kind', c.kind, 'start', c.start, 'end', c.end, 'm', c.m, "
             f"'left', c.left, 'right', c.right, 'valid', {VALID[kind].format(m='c.m')}))"))
     # a phone inside the run of an address or a card is a part of that run
-    rows = rows.withColumn("__c3", F.expr("filter(__c3, c -> not exists(concat(__c1, __c2), "
-                                          "o -> o.start < c.end and c.start < o.end and (o.valid or not c.m rlike '^[+(]')))"))
+    inside = (f"if(c.m rlike '^[+(]', {_touches('z.va')} or {_touches('z.vb')}, {_touches('z.a')} or {_touches('z.b')})")
+    apart = _let("named_struct('p', __c3, 'a', __c1, 'b', __c2, 'va', filter(__c1, o -> o.valid), 'vb', filter(__c2, o -> o.valid))", "z",
+                 f"filter(z.p, c -> not {inside})")
+    rows = rows.withColumn("__c3", F.expr(f"if(size(__c3) = 0 or size(__c1) + size(__c2) = 0, __c3, {apart})"))
     rows = rows.withColumn("__c", F.expr(f"concat({', '.join(f'__c{k}' for k in range(len(KINDS)))})"))
     features = f"array({', '.join(FEATURES)})".format(c="c")
     return rows.withColumn("cands", F.expr(
@@ -188,9 +214,9 @@ class SpanModel:
     def select(self, cands: str) -> str:
         """SQL for the candidates to add."""
         if self.score is None or all(t >= NEVER for t in self.thresholds):
-            return f"filter({cands}, c -> false)"
+            return f"filter({cands}, c -> c.valid)"
         least = "array(" + ", ".join(map(str, self.thresholds)) + ")"
-        return f"filter({cands}, c -> {_bin(self.score.format(f='c.f'))} >= {least}[c.kind])"
+        return f"filter({cands}, c -> c.valid or {_bin(self.score.format(f='c.f'))} >= {least}[c.kind])"
 
 
 def _bin(score: str) -> str:
@@ -198,12 +224,13 @@ def _bin(score: str) -> str:
 
 
 def _threshold(counts, precision: float) -> int:
-    """Lowest bin from which up ``precision`` of the candidates are valid, from (bin, n, good)."""
+    """Lowest bin from which up ``precision`` of the candidates and one more wrong one are
+    valid, from (bin, n, good): a few valid candidates alone let no wrong one pass."""
     n = good = 0
     least = NEVER
     for b, more, valid in sorted(counts, reverse=True):
         n, good = n + more, good + valid
-        if good >= precision * n:
+        if good >= precision * (n + 1):
             least = b
     return least
 
@@ -257,14 +284,15 @@ def find_spans(docs: DataFrame, max_docs: int = MAX_DOCS, precision: float = PRE
 def redact(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with every found span of the text replaced by its kind in brackets;
     where spans of kinds overlap, the earlier and then the longer one is written."""
-    found = find_spans(docs, **settings)
+    found = find_spans(docs.select(F.struct("*").alias("doc"), text_of(docs).alias("text")), **settings)
     names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
     ordered = ("array_sort(spans, (a, b) -> case when a.start <> b.start then if(a.start < b.start, -1, 1) "
                "when a.end <> b.end then if(a.end > b.end, -1, 1) else 0 end)")
     built = (f"aggregate({ordered}, named_struct('at', 0L, 'out', ''), (acc, s) -> if(s.start < acc.at, acc, "
              f"named_struct('at', s.end, 'out', concat(acc.out, substring(text, int(acc.at) + 1, int(s.start - acc.at)), {names}[s.kind]))),"
              "acc -> concat(acc.out, substring(text, int(acc.at) + 1)))")
-    return found.withColumn("text", F.when(F.size("spans") > 0, F.expr(built)).otherwise(F.col("text"))).drop("base", "spans")
+    text = F.when(F.size("spans") > 0, F.expr(built)).otherwise(F.col("doc.text")).alias("text")
+    return found.select(*[text if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def _joined(spans: str) -> str:
