@@ -53,26 +53,36 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None, **options:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """Hash of all columns of a row, nulls told from values (maps as JSON)."""
+    parts = []
+    for field in docs.schema.fields:
+        value = F.col(f"`{field.name}`")
+        parts += [F.to_json(value) if "map<" in field.dataType.simpleString() else value, value.isNull()]
+    return F.xxhash64(*parts)
+
+
 def with_row_key(docs: DataFrame) -> DataFrame:
-    """Add ``__id`` (id as text, null: a marker no number prints as) and
-    ``__th`` (hash of the text). Rows equal in both are repeated rows."""
-    return docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
-                             "__th": F.xxhash64(text_of(docs))})
+    """``__doc`` (the whole row as one struct, so that no column name clashes),
+    ``__id`` (id as text, null: a marker no number prints as) and ``__th`` (hash of
+    all columns). Rows equal in both are repeated rows."""
+    return docs.select(F.struct("*").alias("__doc"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__id"),
+                       row_hash(docs).alias("__th"))
 
 
 def attach_documents(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """Rows of ``plan`` (keyed by ``__id``, ``__th``) with the columns of their
     document. Repeated rows of ``docs`` are collapsed first, so a plan with one
     row per repetition keeps the right number of copies."""
-    return (with_row_key(docs).dropDuplicates(["__id", "__th"])
-            .join(plan, ["__id", "__th"]).drop("__id", "__th"))
+    return (with_row_key(docs).dropDuplicates(["__id", "__th"]).join(plan, ["__id", "__th"])
+            .select("__doc.*", *[c for c in plan.columns if c not in ("__id", "__th")]))
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """One row of ``docs`` for each key in ``kept``: the join key holds the id, so
     no group of copies meets in one task, and the text is shuffled once."""
     return (with_row_key(docs).join(kept.select("__id", "__th"), ["__id", "__th"], "left_semi")
-            .dropDuplicates(["__id", "__th"]).drop("__id", "__th"))
+            .dropDuplicates(["__id", "__th"]).select("__doc.*"))
 
 
 def prefix_sums(df: DataFrame, value: str, bucket: str, order: list[str], out: str,

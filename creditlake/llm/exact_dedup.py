@@ -10,9 +10,14 @@ join that reads the index without a shuffle - and the new digests are appended.
 loaded from the upper half down, so the largest id of equal texts is the one
 that enters the index.
 
+A digest that holds more than a HOT-th of all rows meets its group by broadcast (at
+most HOT such groups can exist); the copies of all others fit a task.
+
 Edge cases: null and empty texts are equal; of rows with the same id and equal
 text one row stays; null ids lose against any id; an empty table leaves an empty
-index; texts that differ only outside A-Z case are different.
+index; texts that differ only outside A-Z case are different; against an index held
+from earlier loads the row that stays is the index's, so its id may be the smaller one.
+Ids are numbers. Input columns of any name are kept as they are.
 """
 from __future__ import annotations
 
@@ -21,9 +26,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, keep_rows, one_row_per_copy, shared_path, stored, text_of, with_row_key
+from .common import ascii_lower, keep_rows, one_row_per_copy, row_hash, shared_path, stored, text_of
 
 INDEX_BUCKETS = 64
+HOT = 10_000
 
 
 def digest(docs: DataFrame):
@@ -85,7 +91,12 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     sizes = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
     groups = kept.join(sizes, "digest").select("digest", F.col("doc_id").alias("keep_id"), "group_size")
     rows = digests.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    copies = one_row_per_copy(rows.join(groups, "digest"), "n", "copy")
+    groups = stored(groups, "digest-groups")
+    least = groups.agg((F.coalesce(F.sum("group_size"), F.lit(0)) / HOT).alias("least")).first()["least"]
+    large = F.broadcast(groups.filter(F.col("group_size") > least))  # at most HOT rows
+    joined = (rows.join(large, "digest").unionByName(
+        rows.join(large.select("digest"), "digest", "left_anti").join(groups.filter(F.col("group_size") <= least), "digest")))
+    copies = one_row_per_copy(joined, "n", "copy")
     return copies.select("doc_id", "keep_id", "group_size",
                          (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 0)).alias("kept"),
                          F.lower(F.hex("digest")).alias("text_sha256"))
@@ -95,7 +106,7 @@ def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The documents whose text entered the index, one row each, all columns."""
     spark = docs.sparkSession
     digests = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                                 F.xxhash64(text_of(docs)).alias("th"), digest(docs).alias("digest")), "digests")
+                                 row_hash(docs).alias("th"), digest(docs).alias("digest")), "digests")
     index = index or DigestIndex(spark)
     index_loads(digests, index)
     kept = stored(index.entries(), "digest-entries")

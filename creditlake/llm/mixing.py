@@ -7,14 +7,15 @@ further source is clamped. L only rises, so one number carries the state from
 round to round; each round is one aggregate over the sources.
 
 A source's target is then taken as whole repetitions of all its documents plus a
-fractional one: documents in seeded hash order until the words are used up, the
-last one cut to the words that are left. Running sums go by hash bucket within a
-source, so a source with a third of all rows is spread over all tasks.
+fractional one: documents in seeded hash order until the words are used up, the last
+one whole or not at all, whichever is nearer the target. Running sums go by hash bucket
+within a source, so a source with a third of all rows is spread over all tasks; rows
+equal in all columns read are counted first, so repeated rows or null ids are one row.
 
 Edge cases: null text has no words; documents without words are never taken and
 have size 0; null is a source of its own; an empty table gives an empty result;
 repeated rows count each time; sources missing from ``weights`` get weight 0 and
-target 0.
+target 0; input columns of any name are kept as they are.
 """
 from __future__ import annotations
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cumulative import running_totals
-from .common import WORD, attach_documents, prefix_sums, stored, text_of
+from .common import WORD, attach_documents, one_row_per_copy, prefix_sums, row_hash, stored, text_of
 
 BUCKET_DIGITS = 3  # of the hexadecimal hash: 4096 buckets a source
 SEED = 17
@@ -72,40 +73,32 @@ def targets(sizes: DataFrame, weights: DataFrame, max_epochs: int = 3, budget: i
 
 
 def mix(sizes: DataFrame, weights: DataFrame, max_epochs: int = 3, seed: int = SEED) -> DataFrame:
-    """``sizes`` with source_size, target, ``whole`` (full repetitions), ``part``
-    (words of the fractional one) and ``taken`` words."""
+    """``sizes`` with source_size, target, ``whole`` (full repetitions), ``part`` (its
+    size if the fractional one takes it, else 0) and ``taken`` words."""
     goal = targets(sizes, weights, max_epochs).select(F.col("source").alias("__t"), "source_size", "target")
-    hashed = sizes.withColumn("__h", F.md5(F.concat_ws(":", F.lit(seed), "doc_id")))
-    hashed = hashed.withColumn("__bucket", F.substring("__h", 1, BUCKET_DIGITS))
+    others = [F.col(c).cast("string") for c in sizes.columns if c not in ("doc_id", "source")]
+    unnamed = F.when(F.col("doc_id").isNull(), F.concat_ws(":", *others))
+    rows = (sizes.groupBy(*sizes.columns).agg(F.count(F.lit(1)).alias("__n"))
+            .withColumns({"__h": F.md5(F.concat_ws(":", F.lit(seed), "doc_id", unnamed)), "__words": F.col("size") * F.col("__n")})
+            .withColumn("__bucket", F.substring("__h", 1, BUCKET_DIGITS)))
     order = ["__h", *[c for c in sizes.columns if c != "source"]]
-    summed = prefix_sums(hashed, "size", "__bucket", order, "__before", ["source"])
-    joined = summed.join(goal, F.col("source").eqNullSafe(F.col("__t"))).drop("__t", "__h", "__bucket")
+    summed = one_row_per_copy(prefix_sums(rows, "__words", "__bucket", order, "__before", ["source"]), "__n", "__copy")
+    joined = summed.join(goal, F.col("source").eqNullSafe(F.col("__t")))
+    left = (F.floor(F.col("target") - F.col("whole") * F.col("source_size") + 0.5).cast("long")
+            - F.col("__before") - F.col("__copy") * F.col("size"))
     return (joined.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
                               .otherwise(F.lit(0)).cast("long"))
-            .withColumn("__left", F.floor(F.col("target") - F.col("whole") * F.col("source_size") + 0.5).cast("long")
-                        - F.col("__before"))
-            .withColumn("part", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("__left"))))
+            .withColumn("part", F.when(2 * left >= F.col("size"), F.col("size")).otherwise(F.lit(0).cast("long")))
             .withColumn("taken", F.col("whole") * F.col("size") + F.col("part"))
-            .drop("__left", "__before"))
+            .select(*sizes.columns, "source_size", "target", "whole", "part", "taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: DataFrame | None = None, cycle: tuple[int, ...] = (5, 2, 1),
                     max_epochs: int = 3, seed: int = SEED) -> DataFrame:
-    """The mixture itself: each document as often as it is taken, all its columns;
-    a document taken in part has its first words, joined by spaces (and its
-    ``n_chars``, where there is such a column, follows)."""
+    """The mixture itself: each document, whole, as often as it is taken, all its columns."""
     id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__id")
-    sizes = sized(docs, id_text, F.xxhash64(text_of(docs)).alias("__th"))
+    sizes = sized(docs, id_text, row_hash(docs).alias("__th"))
     plan = mix(sizes, weights if weights is not None else cycled_weights(sizes, cycle), max_epochs, seed)
-    words = F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), F.col("part"))
-    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("whole").cast("int")),
-                      F.when(F.col("part") > 0, F.array(F.coalesce(words, F.lit(-1).cast("long"))))
-                      .otherwise(F.array().cast("array<bigint>")))
-    plan = plan.filter("taken > 0").select("__id", "__th", F.explode(copies).alias("__words"))
-    rows = attach_documents(docs, plan)
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), F.lit(1), F.col("__words").cast("int")), " ")
-    rows = rows.withColumn("text", F.when(F.col("__words") >= 0, cut).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__words") >= 0, F.char_length("text").cast(docs.schema["n_chars"].dataType))
-                               .otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    times = (F.col("whole") + F.when(F.col("part") > 0, 1).otherwise(0)).cast("int")
+    plan = plan.filter("taken > 0").select("__id", "__th", F.explode(F.array_repeat(F.lit(0), times)))
+    return attach_documents(docs, plan.select("__id", "__th"))

@@ -105,11 +105,11 @@ t AS (SELECT source, source_size, CASE WHEN weight * level >= cap THEN CAST(cap
       FROM r, l),
 x AS (SELECT d.doc_id, d.size, t.source_size, t.target,
              CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole,
-             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(concat_ws(':', '{mixing.SEED}', CAST(d.doc_id AS VARCHAR))), d.doc_id, d.size
+             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(concat_ws(':', '{mixing.SEED}', CAST(d.doc_id AS VARCHAR), CASE WHEN d.doc_id IS NULL THEN CAST(d.size AS VARCHAR) END)), d.doc_id, d.size
                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
-       CAST(whole * size + greatest(0, least(size, CAST(floor(target - whole * source_size + 0.5) AS BIGINT) - before)) AS BIGINT) AS taken
+       CAST(whole * size + CASE WHEN 2 * (CAST(floor(target - whole * source_size + 0.5) AS BIGINT) - before) >= size THEN size ELSE 0 END AS BIGINT) AS taken
 FROM x
 """
 

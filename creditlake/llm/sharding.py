@@ -75,7 +75,15 @@ def document_shards(docs: DataFrame, shards: int = 8, seed: int = 17) -> DataFra
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 17, rows_per_file: int = 1_000_000) -> None:
     """Write whole documents under ``path/shard=k`` ordered by slot; a shard is
-    written by as many tasks as it has runs of ``rows_per_file`` slots."""
+    written by as many tasks as it has runs of ``rows_per_file`` slots. Input
+    columns named like those written here get underscores added."""
+    taken = {"row_number", "shard", "slot", "__run", *map(str.lower, docs.columns)}
+    for name in [c for c in docs.columns if c.lower() in ("row_number", "shard", "slot", "__run")]:
+        free = name + "_"
+        while free.lower() in taken:
+            free += "_"
+        taken.add(free.lower())
+        docs = docs.withColumnRenamed(name, free)
     keyed = with_row_key(docs).select("__id", "__th")
     placed = attach_documents(docs, assign_shards(keyed, ["__id", "__th"], shards, seed))
     (placed.withColumn("__run", F.expr(f"slot div {rows_per_file}")).repartition("shard", "__run")

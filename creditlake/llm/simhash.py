@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, runs_in_tasks, stored, text_of, with_row_key
+from .common import keep_rows, row_hash, runs_in_tasks, stored, text_of
 from .components import components
 
 runs_in_tasks(__name__)
@@ -65,8 +65,8 @@ def fingerprint(text: str, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, th (hash of the text), fp (the fingerprint's bits as a signed long)."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of(docs)).alias("th"),
+    """doc_id, th (hash of the row), fp (the fingerprint's bits as a signed long)."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(docs).alias("th"),
                          text_of(docs).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Dat
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """Of each component the row with the smallest (id, text hash) stays, whole."""
+    """Of each component the row with the smallest (id, row hash) stays, whole."""
     rows = stored(fingerprints(docs, shingle), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("first")
     nodes = stored(rows.groupBy("fp").agg(first), "fingerprint-nodes")
