@@ -139,16 +139,18 @@ def _lines(text: str) -> int:
 def measure(texts: list[str], window: int = WINDOW) -> pd.DataFrame:
     """One row per text: n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, longest_repeat."""
-    words = [t.encode("utf-8").split() for t in texts]
-    covered, longest = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    n_words, covered, longest = (np.zeros(len(texts), np.int64) for _ in range(3))
+    block: list[list[bytes]] = []
     start = size = 0
-    for i, w in enumerate(words):
-        size += len(w)
-        if size >= BLOCK_WORDS or i == len(words) - 1:
-            covered[start:i + 1], longest[start:i + 1] = _block(words[start:i + 1], window)
-            start, size = i + 1, 0
+    for i, t in enumerate(texts):  # the words of one block only are held at a time
+        block.append(t.encode("utf-8").split())
+        n_words[i] = len(block[-1])
+        size += len(block[-1])
+        if size >= BLOCK_WORDS or i == len(texts) - 1:
+            covered[start:i + 1], longest[start:i + 1] = _block(block, window)
+            start, size, block = i + 1, 0, []
     spaces = [sum(map(t.count, "\x20\t\n\x0b\x0c\r")) for t in texts]
-    return pd.DataFrame({"n_words": [len(w) for w in words],
+    return pd.DataFrame({"n_words": n_words,
                          "word_chars": [len(t) - s for t, s in zip(texts, spaces)],
                          "n_symbols": [len(SYMBOLS.findall(t)) for t in texts],
                          "n_dup_lines": [_lines(t) for t in texts],
@@ -173,4 +175,4 @@ def quality(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: float = MA
 
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
     """The documents that pass, all their columns."""
-    return quality(docs.withColumn("__row", F.struct(*docs.columns)), **limits).filter("quality.kept").select("__row.*")
+    return quality(docs.withColumn("__row", F.struct("*")), **limits).filter("quality.kept").select("__row.*")
