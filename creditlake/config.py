@@ -160,3 +160,4 @@ ROI_COLOR_BELOW = "Below Breakeven"
 AGE_FILTER = (18, 70)
 AGE_BIN_WIDTH = 2
 SCORE_BINS = 50
+AGE_CHART_RANGE = (20, 74)

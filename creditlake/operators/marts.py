@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import (AGE_BIN_WIDTH, AGE_FILTER, DIMENSION_SCORES, INCOME_BAND_TOP, INCOME_BANDS, KEY,
+from ..config import (AGE_BIN_WIDTH, AGE_CHART_RANGE, AGE_FILTER, DIMENSION_SCORES, INCOME_BAND_TOP, INCOME_BANDS, KEY,
                       ROI_COLOR_BELOW, ROI_COLORS, SCORE_BINS, SEGMENT_LABELS, TIER_LABELS, YOUNG_AGE_MAX)
 from ..functions.exprs import bin_right_closed
 from ..functions.quantiles import quantile_frame
@@ -153,6 +153,29 @@ def score_histogram(scored: DataFrame) -> DataFrame:
     return scored.groupBy(b.alias("score_bin"), "IS_YOUNG").agg(F.count(F.lit(1)).alias("n"))
 
 
+def age_chart_histogram(scored: DataFrame) -> DataFrame:
+    """Chart bins of 2 years from 20 to 74, the last one closed; ages outside are left out."""
+    lo, hi = AGE_CHART_RANGE
+    start = F.floor((F.col("AGE_YEARS") - lo) / AGE_BIN_WIDTH) * AGE_BIN_WIDTH + lo
+    return (scored.where(F.col("AGE_YEARS").between(lo, hi))
+                  .groupBy(F.least(start, F.lit(hi - AGE_BIN_WIDTH)).cast("bigint").alias("age_bin"), "IS_YOUNG")
+                  .agg(F.count(F.lit(1)).alias("n_customers")))
+
+
+def score_range_histogram(scored: DataFrame) -> DataFrame:
+    """Composite score in equal bins over the data's own range, the last one closed;
+    a range of one value is widened by a half on both sides. Null scores are left out."""
+    x = scored.select("composite_score").where(F.col("composite_score").isNotNull())
+    x = x.withColumns({"lo": x.agg(F.min("composite_score")).scalar(), "hi": x.agg(F.max("composite_score")).scalar()})
+    one = F.col("lo") == F.col("hi")
+    x = x.withColumns({"lo": F.when(one, F.col("lo") - 0.5).otherwise(F.col("lo")),
+                       "hi": F.when(one, F.col("hi") + 0.5).otherwise(F.col("hi"))})
+    width = (F.col("hi") - F.col("lo")) / SCORE_BINS
+    place = F.least(F.floor((F.col("composite_score") - F.col("lo")) / width), F.lit(SCORE_BINS - 1)).cast("int")
+    return (x.groupBy(place.alias("score_bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
+             .select("score_bin", (F.col("lo") + F.col("score_bin") * (F.col("hi") - F.col("lo")) / SCORE_BINS).alias("bin_start"), "n"))
+
+
 def box_stats(scored: DataFrame, value: str, by: str) -> DataFrame:
     """q1/median/q3, whiskers (most extreme values within 1.5·IQR) and outlier
     count per group — quartiles in one aggregate, whiskers in a second pass."""
@@ -173,6 +196,12 @@ def score_matrix(scored: DataFrame) -> DataFrame:
                                                                F.count(F.lit(1)).alias("n")))
 
 
+def tier_income_matrix(scored: DataFrame) -> DataFrame:
+    """Average composite score per IncomeBand × tier."""
+    return (scored.groupBy(income_band().alias("income_band"), "tier")
+                  .agg(F.avg("composite_score").alias("avg_score"), F.count(F.lit(1)).alias("n")))
+
+
 def segment_mix(scored: DataFrame) -> DataFrame:
     """Customers per SegmentLabel with percent of total."""
     g = scored.groupBy(segment_label().alias("segment_label")).agg(F.count(KEY).alias("n_customers"))

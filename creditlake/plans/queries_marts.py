@@ -130,6 +130,25 @@ def q_a19s(spark, sf):
     return MT.score_histogram(scored(spark, sf))
 
 
+@register("a19_age_chart_histogram", with_ctes("""
+SELECT CAST(least(20 + floor((AGE_YEARS - 20) / 2) * 2, 72) AS BIGINT) AS age_bin, IS_YOUNG, count(*) AS n_customers
+FROM scored WHERE AGE_YEARS >= 20 AND AGE_YEARS <= 74 GROUP BY 1, 2""", "scored"))
+def q_a19_chart(spark, sf):
+    """Age chart, 2-year bins from 20 to 74 by cohort."""
+    return MT.age_chart_histogram(scored(spark, sf))
+
+
+@register("a19_score_range_histogram", with_ctes(f"""
+SELECT score_bin, {r4('lo + score_bin * (hi - lo) / 50')} AS bin_start, count(*) AS n FROM (
+ SELECT lo, hi, CAST(least(floor((composite_score - lo) / ((hi - lo) / 50)), 49) AS INTEGER) AS score_bin
+ FROM scored, (SELECT CASE WHEN a = b THEN a - 0.5 ELSE a END AS lo, CASE WHEN a = b THEN b + 0.5 ELSE b END AS hi
+               FROM (SELECT min(composite_score) AS a, max(composite_score) AS b FROM scored) r) e
+ WHERE composite_score IS NOT NULL) t GROUP BY score_bin, lo, hi""", "scored"))
+def q_a19_range(spark, sf):
+    """Composite score chart, 50 bins over the data's range."""
+    return MT.score_range_histogram(scored(spark, sf))
+
+
 @register("a20_box_stats_by_tier", with_ctes(f"""
 SELECT s.tier, {r4('q1')} AS q1, {r4('med')} AS median, {r4('q3')} AS q3,
  {r4('min(CASE WHEN composite_score >= q1 - 1.5 * (q3 - q1) THEN composite_score END)')} AS whisker_low,
@@ -152,6 +171,14 @@ def q_a21(spark, sf):
     return MT.score_matrix(scored(spark, sf))
 
 
+@register("a21_tier_income_matrix", with_ctes(f"""
+SELECT {income_band_sql()} AS income_band, tier, {r4('avg(composite_score)')} AS avg_score, count(*) AS n
+FROM scored GROUP BY 1, 2""", "scored"))
+def q_a21_tier(spark, sf):
+    """Average score per income band × tier."""
+    return MT.tier_income_matrix(scored(spark, sf))
+
+
 @register("a22_segment_mix", with_ctes(f"""
 SELECT segment_label, n_customers, {r4('CAST(n_customers AS DOUBLE) / sum(n_customers) OVER () * 100')} AS pct_of_total
 FROM (SELECT {segment_label_sql()} AS segment_label, count(DISTINCT SK_ID_CURR) AS n_customers FROM scored GROUP BY 1) t""",

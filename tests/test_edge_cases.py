@@ -1,6 +1,7 @@
 """Small frames with gaps, ties and zeros, held against hand-computed values."""
 from pyspark.sql import functions as F
 
+from creditlake.operators import marts as MT
 from creditlake.operators import extras as X
 from creditlake.operators import metrics as ME
 from creditlake.operators import models as MD
@@ -69,3 +70,18 @@ def test_approval_rows_hold_no_outcome_feature(spark):
     cols = MD.model_feature_columns(data, ["SK_ID_PREV"])
     assert "debt_to_income" in cols
     assert not [c for c in cols if c.startswith("prev_") or c in ("behavioral_score", "SK_ID_PREV")]
+
+
+def test_score_chart_of_one_value_nulls_and_no_rows(spark):
+    rows = spark.createDataFrame([(40.0,), (40.0,), (None,)], "composite_score double")
+    assert [tuple(r) for r in MT.score_range_histogram(rows).collect()] == [(25, 40.0, 2)]
+    assert MT.score_range_histogram(rows.limit(0)).collect() == []
+    rows = spark.createDataFrame([(float(x),) for x in range(101)], "composite_score double")
+    got = {r.score_bin: r.n for r in MT.score_range_histogram(rows).collect()}
+    assert sum(got.values()) == 101 and got[0] == 2 and got[49] == 3
+
+
+def test_age_chart_edges(spark):
+    ages = [19.9, 20.0, 21.9, 72.0, 74.0, 74.1, None]
+    rows = spark.createDataFrame([(a, 0) for a in ages], "AGE_YEARS double, IS_YOUNG int")
+    assert {r.age_bin: r.n_customers for r in MT.age_chart_histogram(rows).collect()} == {20: 2, 72: 2}
