@@ -156,6 +156,23 @@ def channel_analysis(prev: DataFrame) -> DataFrame:
     })
 
 
+def channel_segment_mart(prev: DataFrame, scored: DataFrame) -> DataFrame:
+    """Volume, average commission per application and approval conversion per
+    channel and customer segment. Applications are summed per (customer, channel)
+    before the key join, so a customer with very many of them is combined map-side;
+    applications without a channel or a known customer are left out."""
+    approved = F.when(F.col("NAME_CONTRACT_STATUS") == "Approved", 1).otherwise(0)
+    per_customer = (prev.where(F.col("NAME_CONTRACT_TYPE").isNotNull())
+                        .groupBy(KEY, F.col("NAME_CONTRACT_TYPE").alias("channel"))
+                        .agg(F.count(F.lit(1)).alias("n"), F.sum("AMT_APPLICATION").alias("amount"), F.sum(approved).alias("approved")))
+    segments = scored.select(KEY, segment_label().alias("customer_segment"))
+    g = (per_customer.join(segments, KEY).groupBy("channel", "customer_segment")
+         .agg(F.sum("n").alias("n_applications"), F.sum("amount").alias("volume"), F.sum("approved").alias("approved")))
+    return g.select("channel", "customer_segment", "n_applications", "volume",
+                    (F.col("volume") * F.lit(COMMISSION_RATE) / F.col("n_applications")).alias("avg_commission"),
+                    (F.col("approved") / F.col("n_applications")).alias("conversion_rate"))
+
+
 def commission_at_reach(scored: DataFrame, penetrations: list[float] | None = None,
                         segment: str = TARGET_SEGMENT) -> DataFrame:
     """Slider — commission saved at a chosen reach (market × p × conversion ×

@@ -451,6 +451,18 @@ def q_o4(spark, sf):
     return EC.channel_analysis(role(spark, sf, "previous_application"))
 
 
+@register("o4_channel_by_segment", with_ctes(f"""
+SELECT channel, customer_segment, n_applications, {r4('volume')} AS volume,
+ {r4(f'volume * {COMM!r} / n_applications')} AS avg_commission, {r4('conversion_rate')} AS conversion_rate FROM (
+ SELECT p.NAME_CONTRACT_TYPE AS channel, {segment_label_sql()} AS customer_segment, count(*) AS n_applications,
+  sum(p.AMT_APPLICATION) AS volume, avg(CASE WHEN p.NAME_CONTRACT_STATUS = 'Approved' THEN 1.0 ELSE 0.0 END) AS conversion_rate
+ FROM previous_application p JOIN scored USING (SK_ID_CURR) WHERE p.NAME_CONTRACT_TYPE IS NOT NULL GROUP BY 1, 2) t""",
+                                            "previous_application", "scored"))
+def q_o4_segment(spark, sf):
+    """Channel × customer segment mart."""
+    return EC.channel_segment_mart(role(spark, sf, "previous_application"), scored(spark, sf))
+
+
 @register("b7_commission_at_reach", with_ctes(f"""
 SELECT segment_label, 0.18::DOUBLE AS penetration,
  {r4(f'market_size * 0.18 * {DEFAULT_CONVERSION!r} * {float(AVG_LOAN_SIZE)!r} * {COMM!r}')} AS commission_saved
