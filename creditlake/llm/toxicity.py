@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from itertools import permutations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
@@ -35,9 +35,7 @@ from pyspark.sql import types as T
 from .common import fold_of, stored, text_of
 
 MAX_ROWS = 20_000
-VOCABULARY = 1 << 16
-MIN_DOCUMENTS = 5
-PENALTY = 5e-4
+PENALTY = 2e-4
 SWAP_WEIGHT = 1.0
 ANCHOR = 0.05
 THRESHOLD = 0.7
@@ -55,6 +53,7 @@ FAMILIES = (
     ("frauen", "männer"), ("femmes", "hommes"), ("mujeres", "hombres"),
     ("muslime", "christen", "juden"), ("musulmans", "chrétiens", "juifs"), ("musulmanes", "cristianos", "judíos"),
 )
+TERMS = sorted({t for family in FAMILIES for t in family})
 
 
 def _tokens(text):
@@ -64,16 +63,21 @@ def _tokens(text):
 def swaps(labelled: DataFrame) -> DataFrame:
     """Counted swaps in sentences: ``gone`` (the term), ``new`` (its counterpart),
     ``fresh`` (the counterpart is not in the sentence already), ``n``."""
-    terms = sorted({t for family in FAMILIES for t in family})
     pairs = F.array(*[F.struct(F.lit(a).alias("gone"), F.lit(b).alias("new"))
                       for family in FAMILIES for a, b in permutations(family, 2)])
     sentence = labelled.select(F.explode(F.split(F.col("text"), r"[.!?\n]+")).alias("s"))
-    words = sentence.filter(F.lower("s").rlike(r"(?U)\b(" + "|".join(terms) + r")\b")).select(_tokens(F.col("s")).alias("w"))
+    words = sentence.filter(F.lower("s").rlike(r"(?U)\b(" + "|".join(TERMS) + r")\b")).select(_tokens(F.col("s")).alias("w"))
     pair = words.select("w", F.explode(F.filter(pairs, lambda p: F.array_contains("w", p["gone"]))).alias("p"))
     return pair.groupBy("p.gone", "p.new", (~F.array_contains("w", F.col("p.new"))).alias("fresh")).agg(
         F.count(F.lit(1)).alias("n"))
 
 
+def live_words(tokens: DataFrame, rows: float) -> list[str]:
+    """The words found in more than ``rows`` rows and the identity terms, sorted."""
+    counts = tokens.select(F.explode("__w").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c"))
+    return sorted({r["w"] for r in counts.filter(F.col("c") > rows).collect()}.union(TERMS))
+
+
 @dataclass
 class Toxicity:
     """A fitted model; ``words`` is the vocabulary model, ``linear`` the classifier."""
@@ -109,25 +113,23 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, penalty: float = PENALTY,
     if not n or share in (0.0, 1.0):
         return Toxicity(None, None, float(share or 0.0))
     tokens = rows.withColumn("__w", _tokens(F.col("text")))
-    words = CountVectorizer(inputCol="__w", outputCol="__f", vocabSize=VOCABULARY, minDF=min(MIN_DOCUMENTS, n),
-                            binary=True).fit(tokens)
-    index = {w: i for i, w in enumerate(words.vocabulary)}
+    vocabulary = live_words(tokens, penalty * n)
+    words = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="__w", outputCol="__f", binary=True)
+    index = {w: i for i, w in enumerate(vocabulary)}
     size = len(index)
     # the swaps are bounded by the pairs of the fixed families
     found = swaps(rows).collect()
     scale = sum(r["n"] for r in found) or 1
     extra = [(Vectors.sparse(size + 1, {}), y, ANCHOR * n) for y in (0.0, 1.0)]
     for r in found:
-        d = {index[r["gone"]]: -1.0} if r["gone"] in index else {}
-        if r["fresh"] and r["new"] in index:
-            d[index[r["new"]]] = 1.0
-        extra += [(Vectors.sparse(size + 1, d), y, swap_weight * n * r["n"] / scale) for y in (0.0, 1.0) if d]
+        d = {index[r["gone"]]: -1.0, **({index[r["new"]]: 1.0} if r["fresh"] else {})}
+        extra += [(Vectors.sparse(size + 1, d), y, swap_weight * n * r["n"] / scale) for y in (0.0, 1.0)]
     schema = T.StructType([T.StructField("__x", VectorUDT()), T.StructField("label", T.DoubleType()),
                            T.StructField("weight", T.DoubleType())])
     real = _features(words, tokens).select("__x", "label", F.lit(1.0).alias("weight"))
     linear = LogisticRegression(featuresCol="__x", labelCol="label", weightCol="weight", probabilityCol="__p",
                                 rawPredictionCol="__r", predictionCol="__y", maxIter=60, regParam=penalty,
-                                elasticNetParam=1.0, fitIntercept=False).fit(
+                                elasticNetParam=1.0, fitIntercept=False, standardization=False).fit(
                                     real.unionByName(labelled.sparkSession.createDataFrame(extra, schema)))
     return Toxicity(words, linear, float(share))
 

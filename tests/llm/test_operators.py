@@ -526,6 +526,23 @@ def test_swaps_close_the_gap_between_groups(spark):
     assert gap(tight) < gap(loose)
 
 
+def test_words_left_out_of_the_classifier_have_no_weight(spark, monkeypatch):
+    """Fitted on every word, the words that ``fit`` leaves out get weight zero."""
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(rng.choice([f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)], 6))
+             + (" vile" if i % 3 == 0 else "") + (" women." if i % 4 == 0 else "."), int(i % 3 == 0)) for i in range(200)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    kept = set(toxicity.fit(train, penalty=0.02).words.vocabulary)
+    every, screen = {w for _, t, _ in rows for w in re.findall(r"[a-z]+", t)}, toxicity.live_words
+    rare = every - kept
+    assert rare and "vile" in kept and set(toxicity.TERMS) <= kept
+    assert all(sum(w in t.rstrip(".").split() for _, t, _ in rows) <= 4 for w in rare)
+    monkeypatch.setattr(toxicity, "live_words", lambda tokens, n: screen(tokens, 0))
+    full = toxicity.fit(train, penalty=0.02)
+    assert set(full.words.vocabulary) >= every
+    assert full.weights().get("vile", 0) > 0 and not rare & set(full.weights())
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
