@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import DAYS_PER_YEAR, IQR_FACTOR, KEY, MISSING_DROP_SHARE, TARGET, UNEMPLOYED_SENTINEL, YOUNG_AGE_MAX
 from ..functions.exprs import clean_num, clip_, flag_yn, with_scalars
 from ..functions.quantiles import quantile_frame
-from .quality import numeric_columns
+from .quality import numeric_columns, string_columns, value_counts
 
 
 def recode_days_employed(df: DataFrame, col: str = "DAYS_EMPLOYED") -> DataFrame:
@@ -36,16 +36,26 @@ def recode_days_birth(df: DataFrame, col: str = "DAYS_BIRTH") -> DataFrame:
     })
 
 
+def modes(df: DataFrame, cols: list[str]) -> DataFrame:
+    """One-row frame: the commonest value of each text column, the smallest on ties, null
+    without values. (column, value) pairs are counted, so no buffer holds a column's values."""
+    best = value_counts(df, cols).groupBy("__c").agg(F.min(F.struct((-F.col("__n")).alias("n"), F.col("__v").alias("v"))).alias("b"))
+    return best.agg(*[F.max(F.when(F.col("__c") == i, F.col("b.v"))).alias(f"{c}__mode") for i, c in enumerate(cols)])
+
+
 def missing_stats(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """One-row frame: null share, median (numeric) and mode (string) per column."""
     cols = cols or df.columns
     num = set(numeric_columns(df))
+    texts = [c for c in string_columns(df) if c in cols]
     aggs = [F.count(F.lit(1)).alias("__n")]
     for c in cols:
         aggs.append(F.count_if(F.col(c).isNull()).alias(f"{c}__null"))
-        if c not in num:
+        if c not in num and c not in texts:
             aggs.append(F.mode(F.col(c), True).alias(f"{c}__mode"))
     counts = df.agg(*aggs)
+    if texts:
+        counts = with_scalars(counts, modes(df, texts))
     specs = [(c, 0.5, f"{c}__med") for c in cols if c in num]
     return with_scalars(counts, quantile_frame(df, specs)) if specs else counts
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import KEY, TARGET, UNEMPLOYED_SENTINEL
@@ -27,6 +27,21 @@ def string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
 
 
+def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(``__c`` = position in ``cols``, ``__v`` = value as text, ``__n`` rows), nulls left
+    out: narrow pairs, combined in every map task, so a common value is one row of it."""
+    types = {f.name: f.dataType.typeName() for f in df.schema.fields}
+
+    def text(c: str) -> Column:
+        if types[c] in ("double", "float"):
+            return (F.col(c) + F.lit(0.0)).cast("string")  # -0.0 and 0.0 are one value
+        return F.to_json(F.col(c)) if types[c] in ("array", "map", "struct") else F.col(c).cast("string")
+
+    pairs = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("__c"), text(c).alias("__v"))
+                                         for i, c in enumerate(cols)])))
+    return pairs.where(F.col("__v").isNotNull()).groupBy("__c", "__v").agg(F.count(F.lit(1)).alias("__n"))
+
+
 def data_quality_report(df: DataFrame) -> DataFrame:
     """Per column dtype, missing %, missing n, non-null cardinality, sample skew
     (0 for a constant column of three values or more)."""
