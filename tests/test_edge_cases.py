@@ -5,7 +5,7 @@ from creditlake.operators import marts as MT
 from creditlake.operators import extras as X
 from creditlake.operators import metrics as ME
 from creditlake.operators import models as MD
-from creditlake.operators.cleaning import handle_missing_values
+from creditlake.operators.cleaning import handle_missing_values, modes
 from creditlake.operators.quality import data_quality_report
 from creditlake.operators.stats import quantile_strata
 
@@ -85,3 +85,10 @@ def test_age_chart_edges(spark):
     ages = [19.9, 20.0, 21.9, 72.0, 74.0, 74.1, None]
     rows = spark.createDataFrame([(a, 0) for a in ages], "AGE_YEARS double, IS_YOUNG int")
     assert {r.age_bin: r.n_customers for r in MT.age_chart_histogram(rows).collect()} == {20: 2, 72: 2}
+
+
+def test_mode_takes_the_smallest_of_ties_and_null_without_values(spark):
+    df = spark.createDataFrame([("b", None, "x"), ("a", None, None), ("a", None, None), ("b", None, ""), (None, None, "")],
+                               "t string, none string, `empty text` string")
+    assert modes(df, df.columns).first().asDict() == {"t__mode": "a", "none__mode": None, "empty text__mode": ""}
+    assert modes(df.limit(0), ["t"]).first()["t__mode"] is None
