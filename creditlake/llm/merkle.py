@@ -154,8 +154,7 @@ def exchanged(nodes: DataFrame, outer: DataFrame) -> DataFrame:
         out["places"], out["widths"], out["siblings"] = map(list, zip(*paths))
         if leaf:
             out["leaf"] = digests
-            out["folded_root"] = [up["root"] if got == own else fold(got.hex(), *path)
-                                  for got, own, path in zip(part["received"], part["digest"], paths)]
+            out["folded_root"] = [fold(got.hex(), *path) for got, path in zip(part["received"], paths)]
         return out
 
     schema = ("tree string, at long, subroot string, root string, " + PROOF

@@ -88,6 +88,18 @@ def test_manifest_of_a_hot_row(spark):
     assert one.leaf == one.subroot == one.root == leaf((4, None, None, None, "Only")) and one.siblings == []
 
 
+def test_manifest_folds_every_leaf(spark):
+    """The root is recomputed from the proof for rows as they were too, not copied."""
+    digests = [hashlib.sha256(bytes([i])).digest() for i in range(10)]
+    nodes = spark.createDataFrame([("=en", i, d, "en", i, d) for i, d in enumerate(digests)],
+                                  "tree string, at long, digest binary, lang string, doc_id long, received binary")
+    outer = spark.createDataFrame([("=en", 0, False, "s", "not the root", [], [], [])], "tree string, block long, forced boolean, "
+                                  "subroot string, root string, places array<int>, widths array<int>, siblings array<string>")
+    hexed = [d.hex() for d in digests]
+    root = merkle.node([merkle.node(hexed[:8]), merkle.node(hexed[8:])])
+    assert {(r.doc_id, r.folded_root) for r in merkle.exchanged(nodes, outer).collect()} == {(i, root) for i in range(10)}
+
+
 def brute_collocations(rows, longest, least, top):
     n, f = collections.Counter(), collections.Counter()
     for _, _, lang, _, t in rows:
