@@ -5,6 +5,7 @@ from creditlake.operators import marts as MT
 from creditlake.operators import extras as X
 from creditlake.operators import metrics as ME
 from creditlake.operators import models as MD
+from creditlake.operators import quality as Q
 from creditlake.operators.cleaning import handle_missing_values, modes
 from creditlake.operators.quality import data_quality_report
 from creditlake.operators.stats import quantile_strata
@@ -92,3 +93,18 @@ def test_mode_takes_the_smallest_of_ties_and_null_without_values(spark):
                                "t string, none string, `empty text` string")
     assert modes(df, df.columns).first().asDict() == {"t__mode": "a", "none__mode": None, "empty text__mode": ""}
     assert modes(df.limit(0), ["t"]).first()["t__mode"] is None
+
+
+def test_distinct_counts_hold_few_values_in_a_task(spark, monkeypatch):
+    """Rows of one file are dealt out before values are told apart; a row is not
+    expanded into one as wide as itself per column."""
+    monkeypatch.setattr(Q, "VALUES_PER_TASK", 50)
+    nan = float("nan")
+    rows = [(i, str(i % 7), [0.0, -0.0, nan, nan, None][i % 5], i % 2 == 0, None, [i % 3]) for i in range(100)]
+    df = spark.createDataFrame(rows, "a long, b string, c double, d boolean, e double, f array<int>").coalesce(1)
+    got = {r["column_name"]: (r["cardinality"], r["missing_n"]) for r in data_quality_report(df).collect()}
+    assert got == {"a": (100, 0), "b": (7, 0), "c": (2, 20), "d": (2, 0), "e": (0, 100), "f": (3, 0)}
+    counts = Q.distinct_counts(df)
+    plan = counts._jdf.queryExecution().toString()
+    assert "Expand" not in plan and "12), REPARTITION_BY_NUM" in plan
+    assert {r["__c"]: r["__d"] for r in counts.collect()} == {0: 100, 1: 7, 2: 2, 3: 2, 5: 3}
