@@ -32,7 +32,6 @@ from .quality import numeric_columns
 TRAIN_SHARE = 80          # percent of each stratum that goes to training
 CLASSES = 1000            # more values of the target than this are no strata
 PATIENCE = 50             # rounds without gain on the validation fold that end the boosting
-FIRST_ROUNDS = 100        # boosted first; twice as many while the loss still falls
 # ranges of the random search: log-uniform penalty, uniform share of L1 in it
 SEARCH_SPACE = {"regParam": (1e-4, 1.0), "elasticNetParam": (0.0, 0.5)}
 VALID_SHARE = 10          # percent of the training rows held out for early stopping
@@ -195,19 +194,15 @@ def best_round(losses: list[float], patience: int = PATIENCE) -> tuple[int, bool
 
 def boosted_with_patience(train: DataFrame, cols: list[str], max_iter: int = 500, patience: int = PATIENCE):
     """Variant B with as many trees as do best on the validation fold. A longer
-    run begins with the trees of a shorter one, so the rounds are doubled until the
-    loss has not fallen for ``patience`` rounds, and the best prefix is fitted last."""
+    run begins with the trees of a shorter one, so one run of ``max_iter`` rounds shows
+    where ``patience`` rounds bring no gain, and the best prefix is fitted last: less
+    than twice ``max_iter`` trees in all."""
     learn, check = train.where(~F.col("is_valid")), train.where("is_valid")
     if check.isEmpty() or learn.isEmpty():
         return gbt_pipeline(cols, max_iter, "B").fit(train)
-    rounds = min(FIRST_ROUNDS, max_iter)
-    while True:
-        model = gbt_pipeline(cols, rounds, "B").fit(learn)
-        features = model.stages[0].transform(check)
-        best, stopped = best_round(model.stages[-1].evaluateEachIteration(features), patience)
-        if stopped or rounds == max_iter:
-            return model if best == rounds else gbt_pipeline(cols, best, "B").fit(learn)
-        rounds = min(2 * rounds, max_iter)
+    model = gbt_pipeline(cols, max_iter, "B").fit(learn)
+    best, _ = best_round(model.stages[-1].evaluateEachIteration(model.stages[0].transform(check)), patience)
+    return model if best == max_iter else gbt_pipeline(cols, best, "B").fit(learn)
 
 
 def positive_probability(pred: DataFrame) -> DataFrame:

@@ -83,3 +83,29 @@ def test_metrics_report_holds_all_models(spark, monkeypatch):
     pred = spark.createDataFrame([(i, i % 2, (i * 7 % 10) / 10) for i in range(20)], f"{MD.KEY} long, {MD.TARGET} int, score double")
     monkeypatch.setattr(Q, "_scores", lambda spark, sf, kind, *more: (None, pred, []))
     assert {r.model for r in Q.q_s10(spark, SF_SMALL).collect()} == {"LogisticRegression", "GBT-A", "GBT-B"}
+
+
+def test_boosting_with_patience_fits_no_runs_of_growing_length(spark, monkeypatch):
+    """A loss that falls to the end takes one run of all rounds; else the best prefix follows."""
+    rounds, losses = [], {}
+
+    class Fitted:
+        def __init__(self, n):
+            rounds.append(n)
+            self.stages, self.n = [self, self], n
+
+        def fit(self, rows):
+            return self
+
+        def transform(self, rows):
+            return rows
+
+        def evaluateEachIteration(self, rows):
+            return [losses.get(i, 1 / (i + 1)) for i in range(self.n)]
+
+    monkeypatch.setattr(MD, "gbt_pipeline", lambda cols, n, variant: Fitted(n))
+    train = spark.range(10).selectExpr("id % 5 = 0 as is_valid")
+    assert MD.boosted_with_patience(train, ["x"]).n == 500 and rounds == [500]
+    rounds.clear()
+    losses.update({299: -1.0})
+    assert MD.boosted_with_patience(train, ["x"]).n == 300 and rounds == [500, 300]
