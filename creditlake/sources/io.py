@@ -15,10 +15,12 @@ from ..session import checkpoint_dir
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, sep: str = ",",
-             header: bool = True) -> DataFrame:
-    """CSV scan with a declared schema and optional delimiter."""
-    return (spark.read.schema(schema).option("header", header).option("sep", sep)
+             header: bool = True, row_cap: int | None = None) -> DataFrame:
+    """CSV scan with a declared schema and optional delimiter. ``row_cap`` is for
+    a look at a file: the caller's own limit, which no registered query sets."""
+    rows = (spark.read.schema(schema).option("header", header).option("sep", sep)
             .option("mode", "PERMISSIVE").csv(path))
+    return rows if row_cap is None else rows.limit(row_cap)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
