@@ -22,7 +22,9 @@ over 64-bit hashes of the stored counts that are still open. A phrase is noted a
 the latest when its cycle is complete, by all its counts; before, counts of one in
 a slice of the text, most of all rows, are left aside, which can only note it later.
 In the end counts whose slot was never set are left out (their phrases are below
-the threshold) and the others are summed by phrase.
+the threshold) and the others are summed by phrase, its language written behind it as
+one key. Sums by hash keep HASH_BITS of it: a shared hash, like a shared slot, only
+notes more.
 
 Edge cases: null and empty texts have no words; a null language is ``und``; repeated
 rows count each time; a text of any length is read in slices cut between pieces;
@@ -45,6 +47,7 @@ runs_in_tasks(__name__)
 
 SHARDS = 3
 MAX_SLOTS = 1 << 26
+HASH_BITS = 40  # of a phrase's hash in sums: the fewer, the less is shuffled; no fewer than a slot's
 BYTES_PER_SLOT = 32
 SLICE_BYTES = 16 << 20
 RANK_BUCKETS = 64
@@ -226,7 +229,8 @@ def _noted_slots(scans: list[DataFrame], step: int, shards: int, size: int, leas
         return np.zeros(0, np.int64)
     counts = _union(scans[first:step + 1]).filter((F.col("size") == size) & (F.col("start") >= (0 if size == 1 else first))
                                                   & ((F.col("start") == done) | (F.col("n") > 1)))
-    reached = counts.select(phrase_hash(size).alias("h"), "n").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    h = phrase_hash(size).bitwiseAND(F.lit((1 << HASH_BITS) - 1).cast("long"))
+    reached = counts.select(h.alias("h"), "n").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     slot = F.col("h").bitwiseAND(F.lit(slots - 1).cast("long")) + 1  # bitmaps count from one
     bits = reached.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
     found = [np.zeros(0, np.int64)]
@@ -280,10 +284,14 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, shards: in
         table[fresh[table[fresh] == 0]] = step + 1
         step += 1
     every = _union(scans)
-    phrase = F.when(F.col("size") == 1, F.col("last")).otherwise(F.concat_ws(" ", "head", "last"))
-    sums = _in_set_slots(every, longest, table).groupBy("lang", "size", phrase.alias("phrase")).agg(F.sum("n").alias("a"))
+    head = F.when(F.col("size") == 1, F.lit("")).otherwise(F.concat("head", F.lit(" ")))
+    key = F.concat(head, "last", F.lit("\n"), "lang")  # no word holds a line end, a language may
+    sums = _in_set_slots(every, longest, table).groupBy(key.alias("key")).agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+    phrase = F.substring_index("key", "\n", 1)
+    parts = sums.select(F.expr("substring(key, instr(key, '\\n') + 1)").alias("lang"), phrase.alias("phrase"), "a")
+    size = (F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1).cast("byte")
     words = every.filter("size = 1").groupBy("lang").agg(F.sum("n").alias("n"))
-    return stored(sums.filter(F.col("a") >= least), "dic-phrases"), words
+    return stored(parts.select("lang", size.alias("size"), "phrase", "a"), "dic-phrases"), words
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

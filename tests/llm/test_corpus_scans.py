@@ -158,6 +158,15 @@ def test_shared_slots_change_no_count(spark, monkeypatch):
     assert sum(r.n for r in words.collect()) == sum(a for (_, p), a in want.items() if " " not in p)
 
 
+def test_few_hash_bits_and_odd_languages_change_no_result(spark, monkeypatch):
+    """Sums by a hash of 16 bits, as many as slots have, note too many phrases, never too few or a wrong count; a
+    language may hold what separates phrase and language in the key of the last sums."""
+    monkeypatch.setattr(collocations, "HASH_BITS", 16)
+    rows = [(i, "s", lang, 1, t) for i, (_, _, _, _, t) in enumerate(phrase_rows()[:250]) for lang in ("a\nb", "\n", "a b", "")]
+    got = collocations.collocations(frame(spark, rows), 3, 10, 40)
+    assert sorted(map(tuple, got.collect())) == brute_collocations(rows, 3, 10, 40)
+
+
 def test_tasks_and_sql_hash_alike(spark):
     import pyarrow as pa
     part = collocations._Slice(pa.array(["en", ""]), pa.array(["bé a bé", "a"]))
