@@ -12,19 +12,22 @@ byte a slot, the slot being bits of the phrase's hash and the byte the first sca
 after which a phrase of that slot was noted. A slot is never changed once set, so
 the scans in which a phrase counts follow from the phrase alone and are one full
 cycle. Phrases that share a slot can only make another one active too early or in
-vain: its count is exact all the same, and the threshold at the end decides. The
-table has at most MAX_SLOTS bytes (its bits are built by a distributed aggregate,
-so the driver sees MAX_SLOTS / 8 bytes a scan); a larger corpus shares slots more
-often, which costs counting, not results.
-
-A scan's counts are reduced in the task and stored; who is noted is an aggregate
-over 64-bit hashes of the stored counts that are still open. A phrase is noted at
-the latest when its cycle is complete, by all its counts; before, counts of one in
-a slice of the text, most of all rows, are left aside, which can only note it later.
-In the end counts whose slot was never set are left out (their phrases are below
-the threshold) and the others are summed by phrase, its language written behind it as
-one key. Sums by hash keep HASH_BITS of it: a shared hash, like a shared slot, only
-notes more.
+vain. The table has at most MAX_SLOTS bytes (its bits are built by a distributed
+aggregate, so the driver sees MAX_SLOTS / 8 bytes a scan); a larger corpus shares
+slots more often, which costs counting, not results.
+
+A scan counts hashes, not texts: nine of ten rows are of phrases that never reach the
+threshold, and rows with their words cost more than the counting. A task reduces the
+counts of a slice, and what goes on is a row for each bucket of hashes, with the
+rest of each hash packed (counts of one apart, they need no number). Who is noted is
+summed bucket by bucket. A phrase is noted at the latest when its cycle is complete, by
+all its counts; before, counts of one in a slice of the text are left aside, which can
+only note it later. Sums by hash keep HASH_BITS of it, and one bit more with every
+doubling of the buckets: a shared hash, like a shared slot, only notes more.
+
+So no phrase that reaches the threshold is missed, and few others are noted. An exact
+check follows: one more scan counts the noted phrases by their words, and these counts
+are summed by phrase, its language written behind it as one key.
 
 Edge cases: null and empty texts have no words; a null language is ``und``; repeated
 rows count each time; a text of any length is read in slices cut between pieces;
@@ -48,12 +51,15 @@ runs_in_tasks(__name__)
 SHARDS = 3
 MAX_SLOTS = 1 << 26
 HASH_BITS = 40  # of a phrase's hash in sums: the fewer, the less is shuffled; no fewer than a slot's
+BUCKET_BITS = 8  # of these name the bucket, at least; the others, 32 at most, are packed
+BYTES_PER_BUCKET = 32 << 20
 BYTES_PER_SLOT = 32
 SLICE_BYTES = 16 << 20
 RANK_BUCKETS = 64
 BREAKS = r"[.,;:!?\x0A-\x0D]"
 FOLD = bytes(46 if c in b".,;:!?\n\v\f\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))  # breaks to ".", A-Z to a-z
-SCHEMA = "size byte, lang string, head string, last string, start byte, n long"  # a phrase is its head and its last word
+HASHED = "size byte, start byte, bucket int, ones binary, many binary, n binary"
+COUNTED = "size byte, key string, n long"  # a phrase and its language; of size 0: all words of the language
 
 
 def _cut(text: str) -> Iterator[str]:
@@ -133,17 +139,24 @@ class _Slice:
         number[ids] = np.arange(len(ids))
         return ids, number[key]
 
-    def rows(self, words: list[np.ndarray], start: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows(self, words: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Counts of phrases, given by the numbers of their words."""
         for i in range(0, len(n), 200_000):
             own = [w[i:i + 200_000] for w in words]
-            parts = [self.words.take(pa.array(self.word_of[w])) for w in own]
-            size = len(own[0])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(size, len(own), np.int8)), self.langs.take(pa.array(self.lang_of[own[0]])),
-                 pc.binary_join_element_wise(*parts[:-1], " ") if len(own) > 1 else pa.array([""] * size), parts[-1],
-                 pa.array(start[i:i + size].astype(np.int8)), pa.array(n[i:i + size].astype(np.int64))],
-                ["size", "lang", "head", "last", "start", "n"])
+            phrase = [x for w in own for x in (self.words.take(pa.array(self.word_of[w])), " ")][:-1]
+            key = pc.binary_join_element_wise(*phrase, "\n", self.langs.take(pa.array(self.lang_of[own[0]])), "")
+            yield _count_rows(len(own), key, n[i:i + 200_000])
+
+    def totals(self) -> pa.RecordBatch:
+        """The number of words of each language."""
+        n = np.bincount(self.lang_of, self.count, len(self.langs))
+        there = np.flatnonzero(n)
+        return _count_rows(0, pc.binary_join_element_wise("", self.langs.take(pa.array(there)), "\n"), n[there])
+
+
+def _count_rows(size: int, key: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), size, np.int8)), key.cast(pa.string()), pa.array(n.astype(np.int64))],
+                                      ["size", "key", "n"])
 
 
 def _distinct(words: list[np.ndarray], base: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -165,25 +178,34 @@ def _distinct(words: list[np.ndarray], base: int) -> tuple[list[np.ndarray], np.
     return [w[first] for w in words], n
 
 
-def _starts(words: list[np.ndarray], hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The scan in which each phrase becomes active: the one after its last part was noted."""
-    mask, start = np.uint64(len(table) - 1), np.zeros(len(words[0]), np.uint8)
-    h = [hashes[w] for w in words]
-    parts = list(h)
-    for size in range(1, len(words)):
-        for p in parts:
-            np.maximum(start, table[p & mask], out=start)
-        parts = [_rotated(p) ^ last for p, last in zip(parts, h[size:])]
-    return start
-
-
-def _counted(part: _Slice, step: int, shards: int, longest: int, table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases that are active in this scan."""
-    numbers, base = part.at, max(1, len(part.hash))
-    if step < shards:
-        every = np.arange(len(part.hash))
-        yield from part.rows([every], np.zeros(len(every)), part.count)
-    if not step or not len(numbers):
+def _packed(size: int, start: int, h: np.ndarray, n: np.ndarray | None, buckets: int) -> pa.RecordBatch:
+    """Counts of hashes (no ``n``: one each), a row for each bucket that has any."""
+    low_bits = HASH_BITS - BUCKET_BITS
+    key = h & np.uint64((buckets << low_bits) - 1)
+    if n is None:
+        key, n = np.unique(key, return_counts=True)
+    else:
+        order = np.argsort(key)
+        key, n = key[order], n[order]
+    low, edges = (key & np.uint64((1 << low_bits) - 1)).astype("<u4"), np.arange(buckets + 1, dtype=np.uint64) << np.uint64(low_bits)
+
+    def by_bucket(values: np.ndarray, chosen: np.ndarray) -> pa.Array:
+        ends = (4 * np.searchsorted(key[chosen], edges)).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), buckets, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values[chosen]))])
+
+    some = np.searchsorted(key, edges)
+    row = pa.RecordBatch.from_arrays(
+        [pa.array(np.full(buckets, size, np.int8)), pa.array(np.full(buckets, start, np.int8)), pa.array(np.arange(buckets, dtype=np.int32)),
+         by_bucket(low, n == 1), by_bucket(low, n > 1), by_bucket(n.astype("<u4"), n > 1)],
+        ["size", "start", "bucket", "ones", "many", "n"])
+    return row.filter(pa.array(some[1:] > some[:-1]))
+
+
+def _phrases(part: _Slice, longest: int, table: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each size from two the places of phrases whose subphrases are all noted, the
+    scans after which the last of these was, and the phrases' hashes."""
+    numbers = part.at
+    if not len(numbers):
         return
     mask = np.uint64(len(table) - 1)
     word_hash = np.append(part.hash, np.uint64(0))[numbers]
@@ -200,18 +222,39 @@ def _counted(part: _Slice, step: int, shards: int, longest: int, table: np.ndarr
         begun = np.maximum(start[at], start[at + 1])
         if size > 2:
             begun = np.maximum(begun, np.maximum(noted[at], noted[at + 1]))
-        active = at[begun.astype(np.int64) > step - shards]
-        if len(active):
-            words, n = _distinct([numbers[active + j] for j in range(size)], base)
-            yield from part.rows(words, _starts(words, part.hash, table), n)
+        grown = _rotated(h[at]) ^ word_hash[at + size - 1]
+        yield size, at, begun, grown
         if size < longest:
-            grown = _rotated(h[at]) ^ word_hash[at + size - 1]
             noted, start, h = np.zeros(len(numbers), np.uint8), np.zeros(len(numbers), np.uint8), np.zeros(len(numbers), np.uint64)
             noted[at], start[at], h[at] = table[grown & mask], begun, grown
 
 
+def _hashed(part: _Slice, step: int, shards: int, longest: int, table: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the phrases that are active in this scan, by hash."""
+    if step < shards:
+        yield _packed(1, 0, part.hash, part.count, buckets)
+    for size, _, begun, h in _phrases(part, longest, table) if step else ():
+        for start in range(max(1, step - shards + 1), step + 1):
+            active = h[begun == start]
+            if len(active):
+                yield _packed(size, start, active, None, buckets)
+
+
+def _counted(part: _Slice, longest: int, table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counts of the noted phrases by their words, and of all words of each language."""
+    yield part.totals()
+    mask = np.uint64(len(table) - 1)
+    words = np.flatnonzero(table[part.hash & mask])
+    yield from part.rows([words], part.count[words])
+    for size, at, _, h in _phrases(part, longest, table):
+        at = at[table[h & mask] > 0]
+        if len(at):
+            phrases, n = _distinct([part.at[at + j] for j in range(size)], max(1, len(part.hash)))
+            yield from part.rows(phrases, n)
+
+
 def phrase_hash(size: int) -> Column:
-    """The hash that the tasks give a phrase of ``size`` words."""
+    """The hash that the tasks give a phrase of ``size`` words, in SQL: of ``head``, all but its last word, and ``last``."""
     words = [F.col("head")] if size == 2 else [F.split("head", " ")[i] for i in range(size - 1)]
     out = None
     for w in [*words, F.col("last")]:
@@ -220,37 +263,43 @@ def phrase_hash(size: int) -> Column:
     return out
 
 
-def _noted_slots(scans: list[DataFrame], step: int, shards: int, size: int, least: int, slots: int) -> np.ndarray:
-    """Slots of the phrases of ``size`` words known to reach ``least`` after this scan:
-    by all counts where the cycle is complete, else by counts of two and more."""
-    done = step - shards + 1
-    first = max(done, 0 if size == 1 else 1)
-    if first > step or (size == 1 and done > 0):
-        return np.zeros(0, np.int64)
-    counts = _union(scans[first:step + 1]).filter((F.col("size") == size) & (F.col("start") >= (0 if size == 1 else first))
-                                                  & ((F.col("start") == done) | (F.col("n") > 1)))
-    h = phrase_hash(size).bitwiseAND(F.lit((1 << HASH_BITS) - 1).cast("long"))
-    reached = counts.select(h.alias("h"), "n").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    slot = F.col("h").bitwiseAND(F.lit(slots - 1).cast("long")) + 1  # bitmaps count from one
-    bits = reached.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+def _noted_slots(scans: list[DataFrame], size: int, done: int, least: int, slots: int) -> np.ndarray:
+    """Slots of the phrases of ``size`` words known to reach ``least`` in these scans: by
+    all counts of those whose cycle is complete (they began in ``done`` or before), else
+    by counts of two and more."""
+    low_bits = HASH_BITS - BUCKET_BITS
+
+    def reached(group: pa.Table) -> pa.Table:
+        ones, many, n = (np.frombuffer(b"".join(group.column(c).drop_null().to_pylist()), "<u4") for c in ("ones", "many", "n"))
+        low, n = np.concatenate([ones, many]), np.concatenate([np.ones(len(ones), np.int64), n.astype(np.int64)])
+        order = np.argsort(low)
+        low = low[order]
+        first = np.flatnonzero(np.append(True, low[1:] != low[:-1])[:len(low)])
+        enough = first[np.add.reduceat(n[order], first) >= least] if len(first) else first
+        found = (group.column("bucket")[0].as_py() << low_bits) | low[enough].astype(np.int64)
+        return pa.table({"slot": np.unique(found & (slots - 1))})
+
+    ones = F.when(F.col("start") <= done, F.col("ones")) if done >= 0 else F.lit(None).cast("binary")
+    counts = _union(scans).filter(F.col("size") == size).select("bucket", ones.alias("ones"), "many", "n")
+    known = counts.filter("length(ones) > 0 or length(many) > 0").groupBy("bucket").applyInArrow(reached, "slot long")
+    slot = F.col("slot") + 1  # bitmaps count from one
+    bits = known.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
     found = [np.zeros(0, np.int64)]
     for r in bits.collect():  # slots / 32768 rows at most
         found.append((r["k"] - 1) * 32768 + np.flatnonzero(np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")))
     return np.concatenate(found)
 
 
-def _in_set_slots(counts: DataFrame, longest: int, table: np.ndarray) -> DataFrame:
-    """Without the counts of shorter phrases whose slot was never set. The set slots
-    are broadcast as bits, in rows of 64: len(table) / 64 rows at most."""
-    h = F.when(F.col("size") == 1, phrase_hash(1))
-    for size in range(2, longest):
-        h = h.when(F.col("size") == size, phrase_hash(size))
-    words = np.packbits(table > 0, bitorder="little").view("<i8")
-    there = np.flatnonzero(words)
-    bits = counts.sparkSession.createDataFrame(pa.table({"__k": there, "__bits": words[there]}))
-    keyed = counts.withColumn("__slot", h.bitwiseAND(F.lit(len(table) - 1).cast("long")))
-    return (keyed.join(F.broadcast(bits), F.shiftrightunsigned("__slot", 6) == F.col("__k"), "left")
-            .filter(f"size = {longest} or getbit(__bits, cast(__slot & 63 as int)) = 1").select(*counts.columns))
+def _fresh(scans: list[DataFrame], step: int, shards: int, longest: int, least: int, slots: int) -> np.ndarray:
+    """Slots of the phrases known to reach ``least`` after this scan. The longest ones
+    make no other active; they are summed at the end."""
+    done, found = step - shards + 1, [np.zeros(0, np.int64)]
+    if done <= 0 and longest > 1:
+        found.append(_noted_slots(scans, 1, done, least, slots))
+    if step:
+        begun = [s.filter(F.col("start") >= done) for s in scans[max(1, done):]]  # those that began before are summed
+        found += [_noted_slots(begun, size, done, least, slots) for size in range(2, longest)]
+    return np.concatenate(found)
 
 
 def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, shards: int = SHARDS,
@@ -264,9 +313,10 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, shards: in
     dealt = stored(docs.select(lang.alias("lang"), text_of(docs).alias("text"), F.octet_length(text_of(docs)).alias("bytes"),
                                (F.monotonically_increasing_id() % shards).cast("int").alias("shard")),
                    "dic-shards", partition_by="shard", compression="zstd")
+    size = dealt.agg(F.sum("bytes")).first()[0] or 0
     if slots is None:
-        size = dealt.agg(F.sum("bytes")).first()[0] or 0
         slots = min(MAX_SLOTS, max(1 << 16, 1 << (size // BYTES_PER_SLOT).bit_length()))
+    buckets = 1 << max(BUCKET_BITS, (size // BYTES_PER_BUCKET).bit_length())
     table = np.zeros(slots, np.uint8)
     scans: list[DataFrame] = []
     step = 0
@@ -275,22 +325,29 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, shards: in
 
         def run(batches: Iterator[pa.RecordBatch], step: int = step, shipped=shipped) -> Iterator[pa.RecordBatch]:
             for langs, texts in _slices(batches):
-                yield from _counted(_Slice(langs, texts), step, shards, longest, shipped.value)
+                yield from _hashed(_Slice(langs, texts), step, shards, longest, shipped.value, buckets)
 
         shard = dealt.filter(F.col("shard") == step % shards).select("lang", "text")
-        scans.append(stored(shard.mapInArrow(run, SCHEMA), "dic-scan", compression="zstd"))
+        scans.append(stored(shard.mapInArrow(run, HASHED), "dic-scan", compression="zstd"))
         shipped.destroy()
-        fresh = np.concatenate([_noted_slots(scans, step, shards, size, least, slots) for size in range(1, longest)])
+        fresh = _fresh(scans, step, shards, longest, least, slots)
         table[fresh[table[fresh] == 0]] = step + 1
         step += 1
-    every = _union(scans)
-    head = F.when(F.col("size") == 1, F.lit("")).otherwise(F.concat("head", F.lit(" ")))
-    key = F.concat(head, "last", F.lit("\n"), "lang")  # no word holds a line end, a language may
-    sums = _in_set_slots(every, longest, table).groupBy(key.alias("key")).agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+    table[_noted_slots(scans, longest, step, least, slots)] = step
+    shipped = spark.sparkContext.broadcast(table)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for langs, texts in _slices(batches):
+            yield from _counted(_Slice(langs, texts), longest, shipped.value)
+
+    every = stored(dealt.select("lang", "text").mapInArrow(check, COUNTED), "dic-counts", compression="zstd")
+    shipped.destroy()
+    sums = every.filter("size > 0").groupBy("key").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+    lang = F.expr("substring(key, instr(key, '\\n') + 1)")  # no word holds a line end, a language may
     phrase = F.substring_index("key", "\n", 1)
-    parts = sums.select(F.expr("substring(key, instr(key, '\\n') + 1)").alias("lang"), phrase.alias("phrase"), "a")
+    parts = sums.select(lang.alias("lang"), phrase.alias("phrase"), "a")
     size = (F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1).cast("byte")
-    words = every.filter("size = 1").groupBy("lang").agg(F.sum("n").alias("n"))
+    words = every.filter("size = 0").groupBy(lang.alias("lang")).agg(F.sum("n").alias("n"))
     return stored(parts.select("lang", size.alias("size"), "phrase", "a"), "dic-phrases"), words
 
 

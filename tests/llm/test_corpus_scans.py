@@ -167,6 +167,26 @@ def test_few_hash_bits_and_odd_languages_change_no_result(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == brute_collocations(rows, 3, 10, 40)
 
 
+def test_phrases_below_the_threshold_go_on_without_their_words(spark, monkeypatch):
+    """The scans hand on hashes; only the check counts words, and only of phrases noted."""
+    rows = [(i, "s", "en", 1, "new york city. " + " ".join(f"w{(i * i * 31 + j * (i % 97 + 3) + j * j * 17) % 101}" for j in range(40)))
+            for i in range(400)]
+    written, kept = [], collocations.stored
+
+    def stored(df, name, *args, **options):
+        out = kept(df, name, *args, **options)
+        written.append((name, "string" in dict(out.dtypes).values(), out))
+        return out
+
+    monkeypatch.setattr(collocations, "stored", stored)
+    got = collocations.collocations(frame(spark, rows), 3, 10, 40)
+    assert sorted(map(tuple, got.collect())) == brute_collocations(rows, 3, 10, 40)
+    noted = next(out for name, _, out in written if name == "dic-phrases").count()
+    tasks = 4 * 3  # each shard of each partition
+    by_words = sum(out.count() for name, text, out in written if text and name not in ("dic-shards", "dic-phrases"))
+    assert by_words <= (1.1 * noted + 1) * tasks
+
+
 def test_tasks_and_sql_hash_alike(spark):
     import pyarrow as pa
     part = collocations._Slice(pa.array(["en", ""]), pa.array(["bé a bé", "a"]))
