@@ -26,8 +26,12 @@ only note it later. Sums by hash keep HASH_BITS of it, and one bit more with eve
 doubling of the buckets: a shared hash, like a shared slot, only notes more.
 
 So no phrase that reaches the threshold is missed, and few others are noted. An exact
-check follows: one more scan counts the noted phrases by their words, and these counts
-are summed by phrase, its language written behind it as one key.
+check follows: one more scan counts the noted phrases by their words. A task sees most of
+them, the more the larger the corpus, so what goes on is not a row a phrase but a row for
+each language and bucket, with the phrases written one after another and compressed: a
+bucket holds those of the same first word, which shares most of their bytes. A first word
+has a sixteenth of all buckets, by the phrase's hash, so that a frequent one fills no
+bucket of its own. The phrases are summed bucket by bucket, some at a time.
 
 Edge cases: null and empty texts have no words; a null language is ``und``; repeated
 rows count each time; a text of any length is read in slices cut between pieces;
@@ -55,11 +59,13 @@ BUCKET_BITS = 8  # of these name the bucket, at least; the others, 32 at most, a
 BYTES_PER_BUCKET = 32 << 20
 BYTES_PER_SLOT = 32
 SLICE_BYTES = 16 << 20
+PHRASE_BUCKET_BITS = 6  # of a language in the check, at least; a first word has a sixteenth of them
+SUM_ROWS, SUM_BYTES = 1 << 20, 64 << 20  # of phrases and their text summed at a time
 RANK_BUCKETS = 64
 BREAKS = r"[.,;:!?\x0A-\x0D]"
 FOLD = bytes(46 if c in b".,;:!?\n\v\f\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))  # breaks to ".", A-Z to a-z
 HASHED = "size byte, start byte, bucket int, ones binary, many binary, n binary"
-COUNTED = "size byte, key string, n long"  # a phrase and its language; of size 0: all words of the language
+COUNTED = "lang string, bucket int, phrases binary, n binary"  # a line a phrase; an empty one: all words of the language
 
 
 def _cut(text: str) -> Iterator[str]:
@@ -139,24 +145,54 @@ class _Slice:
         number[ids] = np.arange(len(ids))
         return ids, number[key]
 
-    def rows(self, words: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows(self, words: list[np.ndarray], n: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
         """Counts of phrases, given by the numbers of their words."""
+        spread = np.uint64(buckets // 16)
         for i in range(0, len(n), 200_000):
-            own = [w[i:i + 200_000] for w in words]
-            phrase = [x for w in own for x in (self.words.take(pa.array(self.word_of[w])), " ")][:-1]
-            key = pc.binary_join_element_wise(*phrase, "\n", self.langs.take(pa.array(self.lang_of[own[0]])), "")
-            yield _count_rows(len(own), key, n[i:i + 200_000])
-
-    def totals(self) -> pa.RecordBatch:
+            own, h = [w[i:i + 200_000] for w in words], None
+            for w in own:
+                h = self.hash[w] if h is None else _rotated(h) ^ self.hash[w]
+            bucket = (((self.hash[own[0]] >> np.uint64(32)) + (h >> np.uint64(32)) % spread) % np.uint64(buckets)).astype(np.int64)
+            group = self.lang_of[own[0]] * buckets + bucket
+            order = np.argsort(group, kind="stable")  # as they come, by their first word
+            words_of = [self.words.take(pa.array(self.word_of[w[order]])) for w in own]
+            lines = pc.binary_join_element_wise(*[x for w in words_of for x in (w, " ")][:-1], "\n", "")
+            yield _bundled(self.langs, group[order], buckets, lines, n[i:i + 200_000][order])
+
+    def totals(self, buckets: int) -> pa.RecordBatch:
         """The number of words of each language."""
         n = np.bincount(self.lang_of, self.count, len(self.langs))
         there = np.flatnonzero(n)
-        return _count_rows(0, pc.binary_join_element_wise("", self.langs.take(pa.array(there)), "\n"), n[there])
-
-
-def _count_rows(size: int, key: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), size, np.int8)), key.cast(pa.string()), pa.array(n.astype(np.int64))],
-                                      ["size", "key", "n"])
+        return _bundled(self.langs, there * buckets, buckets, pa.array(["\n"] * len(there), pa.string()), n[there])
+
+
+def _bundled(langs: pa.Array, group: np.ndarray, buckets: int, lines: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    """Counts of phrases, a row for each run of one ``group``, which is language times bucket."""
+    lines = pa.concat_arrays([lines.cast(pa.string())])  # own buffers, from offset zero
+    ends, data = np.frombuffer(lines.buffers()[1], np.int32), lines.buffers()[2]
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1])[:len(group)])
+    runs = list(zip(first.tolist(), [*first[1:].tolist(), len(group)]))
+    text = [pa.compress(data[int(ends[i]):int(ends[j])], codec="zstd", asbytes=True) for i, j in runs]
+    counts = [pa.compress(n[i:j].astype("<i8").tobytes(), codec="zstd", asbytes=True) for i, j in runs]
+    return pa.RecordBatch.from_arrays(
+        [langs.take(pa.array(group[first] // buckets)).cast(pa.string()), pa.array((group[first] % buckets).astype(np.int32)),
+         pa.array(text, pa.binary()), pa.array(counts, pa.binary())], ["lang", "bucket", "phrases", "n"])
+
+
+def _summed(bundles: pa.Table) -> pa.Table:
+    """The phrases of some rows of a language and bucket (phrase, n), each once: SUM_ROWS at a time."""
+    total = pa.table({"phrase": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
+    texts, counts, rows, size, left = [], [], 0, 0, len(bundles)
+    for text, n in zip(bundles.column("phrases"), bundles.column("n")):
+        texts.append(pa.input_stream(text.as_buffer(), compression="zstd").read())
+        counts.append(np.frombuffer(pa.input_stream(n.as_buffer(), compression="zstd").read(), "<i8"))
+        rows, size, left = rows + len(counts[-1]), size + len(texts[-1]), left - 1
+        if not left or rows >= SUM_ROWS or size >= SUM_BYTES:
+            phrase = pc.split_pattern(pa.array([b"".join(texts)], pa.string()), "\n").flatten()[:-1]  # every line ends with a break
+            total = pa.concat_tables([total, pa.table({"phrase": phrase, "n": np.concatenate(counts)})])
+            total = total.group_by("phrase").aggregate([("n", "sum")]).rename_columns(["phrase", "n"])
+            texts, counts, rows, size = [], [], 0, 0
+    return total
 
 
 def _distinct(words: list[np.ndarray], base: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -240,17 +276,19 @@ def _hashed(part: _Slice, step: int, shards: int, longest: int, table: np.ndarra
                 yield _packed(size, start, active, None, buckets)
 
 
-def _counted(part: _Slice, longest: int, table: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _counted(part: _Slice, longest: int, table: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """Counts of the noted phrases by their words, and of all words of each language."""
-    yield part.totals()
+    if not len(part.hash):
+        return
+    yield part.totals(buckets)
     mask = np.uint64(len(table) - 1)
     words = np.flatnonzero(table[part.hash & mask])
-    yield from part.rows([words], part.count[words])
+    yield from part.rows([words], part.count[words], buckets)
     for size, at, _, h in _phrases(part, longest, table):
         at = at[table[h & mask] > 0]
         if len(at):
             phrases, n = _distinct([part.at[at + j] for j in range(size)], max(1, len(part.hash)))
-            yield from part.rows(phrases, n)
+            yield from part.rows(phrases, n, buckets)
 
 
 def phrase_hash(size: int) -> Column:
@@ -335,20 +373,25 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, shards: in
         step += 1
     table[_noted_slots(scans, longest, step, least, slots)] = step
     shipped = spark.sparkContext.broadcast(table)
+    bundles = 1 << max(PHRASE_BUCKET_BITS, (size // BYTES_PER_BUCKET).bit_length())
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for langs, texts in _slices(batches):
-            yield from _counted(_Slice(langs, texts), longest, shipped.value)
-
-    every = stored(dealt.select("lang", "text").mapInArrow(check, COUNTED), "dic-counts", compression="zstd")
+            yield from _counted(_Slice(langs, texts), longest, shipped.value, bundles)
+
+    def kept(group: pa.Table) -> pa.Table:
+        sums = _summed(group)
+        sums = sums.filter(pc.or_(pc.greater_equal(sums["n"], least), pc.equal(sums["phrase"], "")))
+        return pa.table({"lang": pa.repeat(group.column("lang")[0], len(sums)), "phrase": sums["phrase"], "a": sums["n"]})
+
+    counts = (dealt.select("lang", "text").mapInArrow(check, COUNTED).groupBy("lang", "bucket")
+              .applyInArrow(kept, "lang string, phrase string, a long"))
+    spaces = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit("")))
+    words_in = F.when(F.col("phrase") == "", 0).otherwise(spaces + 1).cast("byte")
+    every = stored(counts.select("lang", words_in.alias("size"), "phrase", "a"), "dic-phrases")
     shipped.destroy()
-    sums = every.filter("size > 0").groupBy("key").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
-    lang = F.expr("substring(key, instr(key, '\\n') + 1)")  # no word holds a line end, a language may
-    phrase = F.substring_index("key", "\n", 1)
-    parts = sums.select(lang.alias("lang"), phrase.alias("phrase"), "a")
-    size = (F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1).cast("byte")
-    words = every.filter("size = 0").groupBy(lang.alias("lang")).agg(F.sum("n").alias("n"))
-    return stored(parts.select("lang", size.alias("size"), "phrase", "a"), "dic-phrases"), words
+    words = every.filter("size = 0").groupBy("lang").agg(F.sum("a").alias("n"))
+    return every.filter("size > 0"), words
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

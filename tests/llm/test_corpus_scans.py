@@ -187,6 +187,55 @@ def test_phrases_below_the_threshold_go_on_without_their_words(spark, monkeypatc
     assert by_words <= (1.1 * noted + 1) * tasks
 
 
+def test_the_check_bundles_phrases(monkeypatch):
+    """A task hands on noted phrases by language and bucket, compressed; bundles add up to the exact counts."""
+    import numpy as np
+    import pyarrow as pa
+    monkeypatch.setattr(collocations, "SUM_ROWS", 500)
+    texts = [" ".join(f"common word{i * j % 997}" for j in range(60)) + f". rare{i} a, a" for i in range(300)]
+    langs = [("en", "a\nb", "")[i % 3] for i in range(300)]
+    table = np.ones(1 << 16, np.uint8)
+    slices = [(pa.array(langs[i:i + 100]), pa.array(texts[i:i + 100])) for i in (0, 100, 200)] + [(pa.array(["en"]), pa.array([""]))]
+    rows = pa.Table.from_batches([b for part in slices for b in collocations._counted(collocations._Slice(*part), 3, table, 64)])
+    want = collections.Counter()
+    for lang, text in zip(langs, texts):
+        for piece in re.split("[.,]", text):
+            w = piece.split()
+            want[lang, ""] += len(w)
+            want.update((lang, " ".join(w[i:i + k])) for k in (1, 2, 3) for i in range(len(w) - k + 1))
+    got, groups = {}, collections.defaultdict(list)
+    for r in rows.to_pylist():
+        groups[r["lang"], r["bucket"]].append(r)
+    for (lang, _), own in groups.items():
+        for r in collocations._summed(pa.Table.from_pylist(own)).to_pylist():
+            assert (lang, r["phrase"]) not in got  # a phrase is in one bucket
+            got[lang, r["phrase"]] = r["n"]
+    assert got == want
+    assert 4 * len(rows) < len(want)
+    common = {bucket for (lang, bucket), own in groups.items() for r in own if lang == "en" and b"\ncommon word" in
+              b"\n" + pa.input_stream(pa.py_buffer(r["phrases"]), compression="zstd").read()}
+    assert len(common) == 4  # a sixteenth of the buckets, not one
+
+
+def test_the_check_writes_no_row_a_phrase_and_task(spark, monkeypatch):
+    """Counts by words are summed from the scan on; only the phrases kept are written."""
+    rows, written, kept = phrase_rows(), [], collocations.stored
+
+    def stored(df, name, *args, **options):
+        out = kept(df, name, *args, **options)
+        written.append((name, out))
+        return out
+
+    monkeypatch.setattr(collocations, "stored", stored)
+    phrases, words = collocations.phrase_counts(frame(spark, rows), 3, 10, 3)
+    assert {name for name, out in written if "string" in dict(out.dtypes).values()} == {"dic-shards", "dic-phrases"}
+    assert next(out for name, out in written if name == "dic-phrases").count() == phrases.count() + words.count()
+
+
+def test_a_table_of_empty_texts_has_no_collocations(spark):
+    assert collocations.collocations(frame(spark, [(i, "s", "en", 0, ("", None, ".")[i % 3]) for i in range(9)])).collect() == []
+
+
 def test_tasks_and_sql_hash_alike(spark):
     import pyarrow as pa
     part = collocations._Slice(pa.array(["en", ""]), pa.array(["bé a bé", "a"]))
