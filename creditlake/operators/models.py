@@ -36,6 +36,8 @@ PATIENCE = 50             # rounds without gain on the validation fold that end
 SEARCH_SPACE = {"regParam": (1e-4, 1.0), "elasticNetParam": (0.0, 0.5)}
 VALID_SHARE = 10          # percent of the training rows held out for early stopping
 ROWS_PER_TASK = 100_000   # inputs too small for one such block per task are merged into fewer tasks
+# boosting reads its rows once per tree level: up to TREE_TASKS tasks, smaller blocks pay
+TREE_ROWS_PER_TASK, TREE_TASKS = 25_000, 8
 
 
 def split_order(key: str = KEY) -> F.Column:
@@ -87,10 +89,15 @@ def stratified_folds(df: DataFrame, folds: int) -> DataFrame:
                   .drop("__order", "__one", "cum___one"))
 
 
-def in_few_tasks(stored_rows: DataFrame, n: int) -> DataFrame:
+def in_few_tasks(stored_rows: DataFrame, n: int, least: int = 1) -> DataFrame:
     """Iterative fits run hundreds of jobs over the rows: small inputs go to few
     tasks. ``coalesce`` only merges partitions, so large inputs keep theirs."""
-    return stored_rows.coalesce(max(1, math.ceil(n / ROWS_PER_TASK)))
+    return stored_rows.coalesce(max(least, math.ceil(n / ROWS_PER_TASK)))
+
+
+def tree_tasks(n: int) -> int:
+    """Least number of tasks that boosting ``n`` rows is dealt to."""
+    return max(1, min(TREE_TASKS, math.ceil(n / TREE_ROWS_PER_TASK)))
 
 
 def model_feature_columns(df: DataFrame, extra_drop: list[str] | None = None) -> list[str]:
@@ -209,22 +216,32 @@ def positive_probability(pred: DataFrame) -> DataFrame:
     return pred.withColumn("score", vector_to_array(F.col("probability"))[1])
 
 
-def train_and_score(df: DataFrame, kind: str = "lr", max_iter: int | None = None, extra_drop: list[str] | None = None) -> tuple[object, DataFrame, list[str]]:
-    """Fit on the training rows, return (model, test predictions with score, features)."""
-    prepared, cols = prepare_model_data(df, extra_drop)
+def training_data(prepared: DataFrame, cols: list[str]) -> tuple[DataFrame, list[str]]:
+    """The rows of ``prepare_model_data`` with weight and validation fold, stored once for
+    any number of learners, and the features that pass the variance screen."""
     feats = kept_features(prepared, cols)
-    data = cut_lineage(with_weights(prepared).withColumn("is_valid", valid_fold()))
+    return cut_lineage(with_weights(prepared).withColumn("is_valid", valid_fold())), feats
+
+
+def fit_and_score(data: DataFrame, feats: list[str], kind: str = "lr", max_iter: int | None = None) -> tuple[object, DataFrame]:
+    """Fit on the training rows of ``training_data``, return (model, test predictions with score)."""
     train = data.where("is_train")
     test = data.where(~F.col("is_train"))
     n, n_w = train.agg(F.count(F.lit(1)), F.sum("weight")).first()
-    train = in_few_tasks(train, n)
     if kind == "lr":
-        model = logistic_pipeline(feats, n, max_iter or 2000, n_weight=n_w or 1.0).fit(train)
+        model = logistic_pipeline(feats, n, max_iter or 2000, n_weight=n_w or 1.0).fit(in_few_tasks(train, n))
     elif kind == "gbt_a":
-        model = gbt_pipeline(feats, max_iter or 400, "A").fit(train)
+        model = gbt_pipeline(feats, max_iter or 400, "A").fit(in_few_tasks(train, n, tree_tasks(n)))
     else:
-        model = boosted_with_patience(train, feats, max_iter or 500)
-    return model, positive_probability(model.transform(test)), feats
+        model = boosted_with_patience(in_few_tasks(train, n, tree_tasks(n)), feats, max_iter or 500)
+    return model, positive_probability(model.transform(test))
+
+
+def train_and_score(df: DataFrame, kind: str = "lr", max_iter: int | None = None, extra_drop: list[str] | None = None) -> tuple[object, DataFrame, list[str]]:
+    """Prepare ``df`` and fit one learner: (model, test predictions with score, features)."""
+    data, feats = training_data(*prepare_model_data(df, extra_drop))
+    model, pred = fit_and_score(data, feats, kind, max_iter)
+    return model, pred, feats
 
 
 def model_comparison(results: dict[str, DataFrame]) -> DataFrame:

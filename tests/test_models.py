@@ -1,6 +1,8 @@
 """MLlib pipeline checks: planted signal is learned; linear attributions add up."""
 import math
+from threading import Barrier
 
+import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -109,3 +111,69 @@ def test_boosting_with_patience_fits_no_runs_of_growing_length(spark, monkeypatc
     rounds.clear()
     losses.update({299: -1.0})
     assert MD.boosted_with_patience(train, ["x"]).n == 300 and rounds == [500, 300]
+
+
+def _side_by_side(spark, monkeypatch):
+    """Scores of learners that each wait until all three are being fitted."""
+    pred = spark.createDataFrame([(i, i % 2, (i * 7 % 10) / 10) for i in range(20)], f"{MD.KEY} long, {MD.TARGET} int, score double")
+    met = Barrier(3)
+
+    def fitted(spark, sf, kind, *more):
+        if kind not in seen:
+            met.wait(timeout=20)
+            seen.append(kind)
+        return None, pred, []
+
+    seen = []
+    monkeypatch.setattr(Q, "_training", lambda *a: None, raising=False)
+    monkeypatch.setattr(Q, "_scores", fitted)
+    return seen
+
+
+def test_compared_learners_are_fitted_side_by_side(spark, monkeypatch):
+    seen = _side_by_side(spark, monkeypatch)
+    assert {r.model for r in Q.q_m25(spark, SF_SMALL).collect()} == {"LogisticRegression", "GBT-A", "GBT-B"}
+    assert sorted(seen) == ["gbt_a", "gbt_b", "lr"]
+
+
+def test_a_failed_fit_fails_the_comparison(spark, monkeypatch):
+    pred = spark.createDataFrame([(1, 1, 0.5)], f"{MD.KEY} long, {MD.TARGET} int, score double")
+
+    def fitted(spark, sf, kind, *more):
+        if kind == "gbt_a":
+            raise ValueError(kind)
+        return None, pred, []
+
+    monkeypatch.setattr(Q, "_training", lambda *a: None, raising=False)
+    monkeypatch.setattr(Q, "_scores", fitted)
+    with pytest.raises(ValueError, match="gbt_a"):
+        Q.q_m25(spark, SF_SMALL)
+
+
+def test_learners_share_the_training_rows(spark, monkeypatch):
+    """Each learner gets the same stored rows: they are prepared once."""
+    screens, whole = [], MD.kept_features
+
+    class Seen(Exception):
+        pass
+
+    def seen(*more):
+        raise Seen
+
+    monkeypatch.setattr(MD, "kept_features", lambda *a: screens.append(1) or whole(*a))
+    for name in ("logistic_pipeline", "gbt_pipeline"):
+        monkeypatch.setattr(MD, name, lambda *a, **b: seen())
+    for name in ("_FITTED", "_TRAINING"):
+        monkeypatch.setattr(Q, name, {}, raising=False)
+    for query in (Q.q_m16, Q.q_m17, Q.q_m18):
+        with pytest.raises(Seen):
+            query(spark, SF_SMALL)
+    assert len(screens) == 1
+
+
+def test_boosting_gets_more_tasks_than_one_block_of_rows(spark):
+    assert [MD.tree_tasks(n) for n in (0, 1, 25_000, 25_001, 72_000, 720_000, 21_600_000)] == [1, 1, 1, 2, 3, 8, 8]
+    rows = spark.range(0, 100, 1, 12)
+    parts = [MD.in_few_tasks(rows, n, MD.tree_tasks(n)).rdd.getNumPartitions() for n in (12_000, 72_000, 720_000, 1_000_000)]
+    assert parts == [1, 3, 8, 10]
+    assert MD.in_few_tasks(rows, 72_000).rdd.getNumPartitions() == 1
