@@ -4,6 +4,7 @@ from threading import Barrier
 
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from conftest import SF_CHECK, SF_SMALL
@@ -177,3 +178,19 @@ def test_boosting_gets_more_tasks_than_one_block_of_rows(spark):
     parts = [MD.in_few_tasks(rows, n, MD.tree_tasks(n)).rdd.getNumPartitions() for n in (12_000, 72_000, 720_000, 1_000_000)]
     assert parts == [1, 3, 8, 10]
     assert MD.in_few_tasks(rows, 72_000).rdd.getNumPartitions() == 1
+
+
+def test_report_fits_the_learners_side_by_side(spark, monkeypatch):
+    class Trees:
+        featureImportances = Vectors.dense([0.7, 0.3])
+
+    model = Trees()
+    model.stages = [model]
+    seen = _side_by_side(spark, monkeypatch)
+    waiting = Q._scores
+    monkeypatch.setattr(Q, "_scores", lambda *a: (model, waiting(*a)[1], ["x", "y"]))
+    monkeypatch.setattr(Q, "LEARNERS", {"GBT-A": "gbt_a", "GBT-B": "gbt_b", "GBT-C": "gbt_c"})
+    got = Q.q_m29(spark, SF_SMALL).collect()
+    assert sorted(seen) == ["gbt_a", "gbt_b", "gbt_c"]
+    assert {r.section for r in got} == {"auc_roc", "auc_pr", "best_model", "threshold", "confusion", "top_features"}
+    assert sum(r.value for r in got if r.section == "confusion") == 20
