@@ -194,3 +194,9 @@ def test_report_fits_the_learners_side_by_side(spark, monkeypatch):
     assert sorted(seen) == ["gbt_a", "gbt_b", "gbt_c"]
     assert {r.section for r in got} == {"auc_roc", "auc_pr", "best_model", "threshold", "confusion", "top_features"}
     assert sum(r.value for r in got if r.section == "confusion") == 20
+
+
+def test_metrics_report_fits_the_learners_side_by_side(spark, monkeypatch):
+    seen = _side_by_side(spark, monkeypatch)
+    assert len(Q.q_s10(spark, SF_SMALL).collect()) == 3
+    assert sorted(seen) == ["gbt_a", "gbt_b", "lr"]
